@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from millrace.llm import quality
+from millrace.llm import quality, sharding
 
 QUERIES = {
+    "op2_hash_tree_sharding": sharding.op2_hash_tree_sharding,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_hash_tree_sharding": sharding.OP2_SQL,
+}
