@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from millrace.llm import quality, sharding
+from millrace.llm import line_dedup, quality, secrets, sharding
 
 QUERIES = {
+    "op1_winnow_line_dedup": line_dedup.op1_winnow_line_dedup,
     "op2_hash_tree_sharding": sharding.op2_hash_tree_sharding,
+    "op3_secret_ledger": secrets.op3_secret_ledger,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_winnow_line_dedup": line_dedup.OP1_SQL,
     "op2_hash_tree_sharding": sharding.OP2_SQL,
+    "op3_secret_ledger": secrets.OP3_SQL,
 }
