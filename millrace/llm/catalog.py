@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, line_dedup, quality, secrets, sharding, token_counts
+from millrace.llm import bpe, decontamination, line_dedup, quality, secrets, sharding, token_counts
 
 QUERIES = {
     "op1_winnow_line_dedup": line_dedup.op1_winnow_line_dedup,
     "op2_hash_tree_sharding": sharding.op2_hash_tree_sharding,
     "op3_secret_ledger": secrets.op3_secret_ledger,
     "op5_bpe_word_table": bpe.op5_bpe_word_table,
+    "op6_cgk_decontamination": decontamination.op6_cgk_decontamination,
     "op9_viterbi_token_counts": token_counts.op9_viterbi_token_counts,
     "op10_quality_rules": quality.op10_quality_rules,
 }
