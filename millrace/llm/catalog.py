@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, decontamination, line_dedup, quality, secrets, sharding, token_counts
+from millrace.llm import bpe, decontamination, line_dedup, near_join, quality, secrets, sharding, token_counts
 
 QUERIES = {
     "op1_winnow_line_dedup": line_dedup.op1_winnow_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_secret_ledger": secrets.op3_secret_ledger,
     "op5_bpe_word_table": bpe.op5_bpe_word_table,
     "op6_cgk_decontamination": decontamination.op6_cgk_decontamination,
+    "op8_chosen_path_join": near_join.op8_chosen_path_join,
     "op9_viterbi_token_counts": token_counts.op9_viterbi_token_counts,
     "op10_quality_rules": quality.op10_quality_rules,
 }
