@@ -26,11 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import SPACE, fresh, let, text_of, word_hashes, words
+from millrace.llm.common import let, text_of, word_hashes, words, written
 from millrace.session import table
 
 SYMBOLS = "#*$%&|<>"
+NOT_SPACE = r"[^\x20\x09-\x0D]"
 MIN_WORDS = 50
+BLOCK = 500_000
 #: Rules: a ratio of a text, high values of which are bad. The grid of cutoffs is the same for all rules.
 RULES = ("symbol_share", "upper_share", "dup_line_share", "repeat_share")
 GRID = tuple(i / 50 for i in range(50))
@@ -52,13 +54,16 @@ class Cutoff:
 def repeated_words(hashes: pd.Series) -> pd.Series:
     """Words that lie in a 3-word window found twice or more in the same text, for each row."""
     sizes = np.array([len(h) for h in hashes], dtype=np.int64)
-    out = np.zeros(len(sizes), dtype=np.int64)
-    if not sizes.sum():
-        return pd.Series(out)
-    flat = np.concatenate([np.asarray(h, dtype=np.int64) for h in hashes if len(h)])
+    # Whole rows in blocks of about BLOCK words, which bounds the memory of the sort.
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // BLOCK)) + 1
+    return pd.Series(np.concatenate([_repeated(list(hashes[a:b]), sizes[a:b]) for a, b in zip([0, *cuts], [*cuts, len(sizes)], strict=True)]))
+
+
+def _repeated(hashes: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    flat = np.concatenate([np.zeros(0, dtype=np.int64), *hashes])
     row = np.repeat(np.arange(len(sizes)), sizes)
     if len(flat) < 3:
-        return pd.Series(out)
+        return np.zeros(len(sizes), dtype=np.int64)
     inside = np.flatnonzero(row[:-2] == row[2:])
     order = inside[np.lexsort((flat[inside + 2], flat[inside + 1], flat[inside], row[inside]))]
     alike = np.ones(max(len(order) - 1, 0), dtype=bool)
@@ -71,22 +76,25 @@ def repeated_words(hashes: pd.Series) -> pd.Series:
     covered = np.zeros(len(flat) + 2, dtype=bool)
     for k in range(3):
         covered[order[twice] + k] = True
-    return pd.Series(np.bincount(row, weights=covered[: len(flat)], minlength=len(sizes)).astype(np.int64))
+    return np.bincount(row, weights=covered[: len(flat)], minlength=len(sizes)).astype(np.int64)
 
 
 def features(text: Column) -> Column:
     """The counts of a text as one struct: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and more."""
     count = F.pandas_udf(repeated_words, T.LongType())
-    joined = F.regexp_replace(text, SPACE, "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
-    return F.struct(
-        F.size(words(text)).cast("long").alias("n_words"),
-        F.length(joined).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        count(word_hashes(text)).alias("n_repeat_words"),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.length(F.regexp_replace(text, r"[^\p{Lu}]", "")).cast("long").alias("n_upper"),
+    sizes = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars")))
+    lines = let(F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE)), lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("distinct")))
+    return let(
+        F.struct(sizes.alias("words"), lines.alias("lines"), count(word_hashes(text)).alias("repeated")),
+        lambda c: F.struct(
+            c["words"]["n"].alias("n_words"),
+            c["words"]["chars"].alias("word_chars"),
+            F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+            (c["lines"]["n"] - c["lines"]["distinct"]).cast("long").alias("n_dup_lines"),
+            c["repeated"].alias("n_repeat_words"),
+            c["lines"]["n"].cast("long").alias("n_lines"),
+            F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
+        ),
     )
 
 
@@ -150,23 +158,27 @@ def certified(counts: list, risk: float, delta: float, weight: float) -> list[Cu
     return out
 
 
-def fit(scored: DataFrame, labels: DataFrame, *, doc_id: str, stratum: str, f: str, risk: float = 0.02, delta: float = 0.05, weight: float = 5.0) -> list[Cutoff]:
-    """Certified cutoffs from all labelled rows that pass the base rule.
+def fit(counts: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05, weight: float = 5.0) -> list[Cutoff]:
+    """Certified cutoffs from all labelled rows that pass the base rule; counts as counted() gives them.
 
-    scored has the id, the stratum and the counts f. Only one row for each stratum, rule and step of
-    the grid comes to the driver, however many rows are labelled. A ratio falls in step i when it is
-    above GRID[i] and not above GRID[i + 1].
+    Only one row for each stratum, rule and step of the grid comes to the driver, however many rows are
+    labelled. A ratio falls in step i when it is above GRID[i] and not above GRID[i + 1].
     """
-    good = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select(F.col("doc_id").alias("__id"), (F.col("quality") > 0).alias("__good")).distinct()
-    rows = scored.filter(~base_failed(F.col(f))).select(F.col(doc_id).alias("__id"), F.col(stratum).cast("string").alias("stratum"), F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("value")) for k, v in ratios(F.col(f)).items()])).alias("r"))
-    step = (F.ceil(F.least(F.col("r.value"), F.lit(1.0)) * len(GRID)) - 1).cast("int")
-    counts = (
-        rows.select("__id", "stratum", F.col("r.rule").alias("rule"), step.alias("step"))
-        .join(good, "__id")
+    good = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", (F.col("quality") > 0).alias("good")).distinct()
+    f = F.col("counts")
+    steps = F.array(*[F.struct(F.lit(k).alias("rule"), _step(v).alias("step")) for k, v in ratios(f).items()])
+    rows = counts.filter(~base_failed(f)).select("doc_id", "stratum", F.explode(steps).alias("r"))
+    found = (
+        rows.select("doc_id", "stratum", "r.*")
+        .join(good, "doc_id")
         .groupBy("stratum", "rule", "step")
-        .agg(F.count_if("__good").alias("good"), F.count_if(~F.col("__good")).alias("bad"))
+        .agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
     )
-    return certified(counts.collect(), risk, delta, weight)
+    return certified(found.collect(), risk, delta, weight)
+
+
+def _step(ratio: Column) -> Column:
+    return (F.ceil(F.least(ratio, F.lit(1.0)) * len(GRID)) - 1).cast("int")
 
 
 def verdict(f: Column, stratum: Column, cutoffs: list[Cutoff]) -> Column:
@@ -174,30 +186,30 @@ def verdict(f: Column, stratum: Column, cutoffs: list[Cutoff]) -> Column:
     by = ratios(f)
     reject = F.lit(False)
     for c in cutoffs:
-        step = F.ceil(F.least(by[c.rule], F.lit(1.0)) * len(GRID)) - 1
-        reject = reject | (stratum.eqNullSafe(F.lit(c.stratum).cast("string")) & (step >= F.lit(GRID.index(c.cutoff))))
+        reject = reject | (stratum.eqNullSafe(F.lit(c.stratum).cast("string")) & (_step(by[c.rule]) >= F.lit(GRID.index(c.cutoff))))
     return ~base_failed(f) & ~reject
 
 
-def judged(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", **settings) -> tuple[DataFrame, str, list[Cutoff]]:
-    """The documents with a struct column of counts, base_failed and kept; that column's name; the cutoffs."""
-    taken = docs.columns
-    f, out = fresh("quality_counts", taken), fresh("quality", taken)
-    counted = docs.withColumn(f, features(text_of()))
-    narrow = docs.select("doc_id", stratum, "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi") if settings.pop("semi", False) else docs
-    cutoffs = fit(narrow.select("doc_id", stratum, features(text_of()).alias(f)), labels, doc_id="doc_id", stratum=stratum, f=f, **settings)
-    done = counted.withColumn(out, F.struct(f"{f}.*", base_failed(F.col(f)).alias("base_failed"), verdict(F.col(f), F.col(stratum).cast("string"), cutoffs).alias("kept")))
-    return done.drop(f), out, cutoffs
+def counted(docs: DataFrame, stratum: str) -> DataFrame:
+    """doc_id, the stratum and the counts of every document, written once: both the fit and the verdict read it."""
+    return written(docs.select("doc_id", F.col(stratum).cast("string").alias("stratum"), features(text_of()).alias("counts")), "quality-counts")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their counts, the base rule and the verdict."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    done, out, _ = judged(docs, table(spark, sf_dir, "labels"))
-    return done.select("doc_id", *[f"{out}.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")], F.col("lang").alias("stratum"))
+    counts = counted(table(spark, sf_dir, "documents"), "lang")
+    cutoffs = fit(counts, table(spark, sf_dir, "labels"))
+    f = F.col("counts")
+    return counts.select(
+        "doc_id",
+        *[f[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        base_failed(f).alias("base_failed"),
+        verdict(f, F.col("stratum"), cutoffs).alias("kept"),
+        "stratum",
+    )
 
 
-def quality_stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def quality_stage(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **settings) -> DataFrame:
     """The documents that are kept, with their own columns."""
-    done, out, _ = judged(docs, labels)
-    return done.filter(F.col(f"{out}.kept")).select(*docs.columns)
+    cutoffs = fit(counted(docs, stratum), labels, **settings)
+    return docs.filter(let(features(text_of()), lambda f: verdict(f, F.col(stratum).cast("string"), cutoffs)))
