@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, decontamination, line_dedup, near_join, quality, secrets, sharding, token_counts
+from millrace.llm import bpe, decontamination, line_dedup, near_join, quality, secrets, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_winnow_line_dedup": line_dedup.op1_winnow_line_dedup,
     "op2_hash_tree_sharding": sharding.op2_hash_tree_sharding,
     "op3_secret_ledger": secrets.op3_secret_ledger,
+    "op4_fm_substring_dedup": substring_dedup.op4_fm_substring_dedup,
     "op5_bpe_word_table": bpe.op5_bpe_word_table,
     "op6_cgk_decontamination": decontamination.op6_cgk_decontamination,
     "op8_chosen_path_join": near_join.op8_chosen_path_join,
@@ -19,4 +20,5 @@ ORACLES: dict[str, str] = {
     "op1_winnow_line_dedup": line_dedup.OP1_SQL,
     "op2_hash_tree_sharding": sharding.OP2_SQL,
     "op3_secret_ledger": secrets.OP3_SQL,
+    "op4_fm_substring_dedup": substring_dedup.OP4_SQL,
 }
