@@ -18,7 +18,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.llm.common import same, text_of, written
 from millrace.session import table
@@ -41,7 +40,8 @@ RULES = (
     Rule("access", "AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", "[0-9a-f]{16,}", 0, 16),  # a shorter run can't match, and can't hide a longer one
 )
-LEDGER = T.StructType.fromDDL("blob string, version string, spans array<struct<start:int,rank:int,kind:string,end:int>>")
+#: Columns of the ledger: blob string, version string, spans array<struct<start:int,rank:int,kind:string,end:int>>.
+LEDGER = ("blob", "version", "spans")
 
 
 def blob_of(text: Column) -> Column:
@@ -71,7 +71,7 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, version: str =
     placed = rows.withColumn("end", end)
     span = F.struct((F.col("end") - F.col("n")).alias("start"), "rank", F.get(kinds, F.col("rank")).alias("kind"), "end")
     spans = F.array_sort(F.collect_list(F.when(F.col("ok"), span)))
-    return placed.groupBy("blob").agg(F.lit(version).alias("version"), spans.alias("spans")).select(*LEDGER.names)
+    return placed.groupBy("blob").agg(F.lit(version).alias("version"), spans.alias("spans")).select(*LEDGER)
 
 
 def scan(paths: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = VERSION) -> tuple[DataFrame, DataFrame]:
