@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, decontamination, line_dedup, near_join, quality, secrets, sharding, substring_dedup, token_counts
+from millrace.llm import bpe, decontamination, line_dedup, lm_scoring, near_join, quality, secrets, sharding, substring_dedup, token_counts
 
 QUERIES = {
     "op1_winnow_line_dedup": line_dedup.op1_winnow_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_fm_substring_dedup": substring_dedup.op4_fm_substring_dedup,
     "op5_bpe_word_table": bpe.op5_bpe_word_table,
     "op6_cgk_decontamination": decontamination.op6_cgk_decontamination,
+    "op7_pseudo_likelihood": lm_scoring.op7_pseudo_likelihood,
     "op8_chosen_path_join": near_join.op8_chosen_path_join,
     "op9_viterbi_token_counts": token_counts.op9_viterbi_token_counts,
     "op10_quality_rules": quality.op10_quality_rules,
