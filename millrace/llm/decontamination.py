@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import same, text_of, word_hashes, written
-from millrace.llm.word_table import gathered, lists
+from millrace.llm.word_table import blocks, gathered, lists
 from millrace.session import table
 
 SHARE = 0.2
@@ -159,7 +159,7 @@ def close_windows(docs: DataFrame, items: list[np.ndarray], share: float = SHARE
     shared = docs.sparkSession.sparkContext.broadcast(_Items(items, share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches, "words"):
             offsets, flat = lists(batch.column("words"))
             flat = flat.to_numpy(zero_copy_only=False)
             if not len(flat):

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import text_of, word_hashes, written
-from millrace.llm.word_table import gathered, lists
+from millrace.llm.word_table import BLOCK as BLOCK_WORDS
+from millrace.llm.word_table import blocks, gathered, lists
 from millrace.session import table
 
 SIDE = 32  # classes, and words in a class
@@ -138,7 +139,7 @@ def framed(offsets: np.ndarray, hashes: np.ndarray, vocab: np.ndarray) -> tuple[
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], vocab: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for batch in batches:
+    for batch in blocks(batches, "words", 10 * BLOCK_WORDS):
         offsets, flat = lists(batch.column("words"))
         yield framed(offsets, flat.to_numpy(zero_copy_only=False), vocab)
 
@@ -187,7 +188,7 @@ def score(docs: DataFrame, vocab: np.ndarray, net: Net, keep: list[str]) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, net = shared.value
-        for batch in batches:
+        for batch in blocks(batches, "__words"):
             offsets, flat = lists(batch.column("__words"))
             ids, places = framed(offsets, flat.to_numpy(zero_copy_only=False), vocab)
             logs = np.zeros(len(places) + 1)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import same, text_of, word_hashes, written
-from millrace.llm.word_table import gathered, lists
+from millrace.llm.word_table import blocks, gathered, lists
 from millrace.session import table
 
 N = 5
@@ -101,30 +101,29 @@ def signatures(docs: DataFrame, n: int, runs: int) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("th"), word_hashes(text_of()).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in _blocks(whole):
-                offsets, sets = shingles(*_flat(batch.column("words")), n)
-                sizes = np.diff(offsets)
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                sums = [np.zeros(len(sizes) + 0, dtype=np.uint64) for _ in range(2)]
-                for out, mixed in zip(sums, (_mixed(sets + _MIX), _mixed(sets * _MIX)), strict=True):
-                    np.add.at(out, row, mixed)
-                rid = np.stack([*sums], axis=1).astype(">u8").tobytes()
-                found = [choices(offsets, sets, np.full(len(sizes), r + 1, dtype=np.uint64)) for r in range(runs)]
-                of, path = (np.concatenate([f[i] for f in found]) for i in range(2))
-                order = np.argsort(of, kind="stable")
-                ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(sizes)))])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        batch.column("th"),
-                        pa.array([rid[i : i + 16] for i in range(0, len(rid), 16)], pa.binary()),
-                        pa.array(sizes.astype(np.int32)),
-                        pa.array(_sketches(offsets, sets).astype(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(path[order].astype(np.int64))),
-                    ],
-                    names=["doc_id", "th", "rid", "size", "sketch", "paths"],
-                )
+        for batch in blocks(batches, "words"):
+            offsets, sets = shingles(*_flat(batch.column("words")), n)
+            sizes = np.diff(offsets)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            sums = [np.zeros(len(sizes), dtype=np.uint64) for _ in range(2)]
+            for out, mixed in zip(sums, (_mixed(sets + _MIX), _mixed(sets * _MIX)), strict=True):
+                np.add.at(out, row, mixed)
+            rid = np.stack([*sums], axis=1).astype(">u8").tobytes()
+            found = [choices(offsets, sets, np.full(len(sizes), r + 1, dtype=np.uint64)) for r in range(runs)]
+            of, path = (np.concatenate([f[i] for f in found]) for i in range(2))
+            order = np.argsort(of, kind="stable")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(sizes)))])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    batch.column("th"),
+                    pa.array([rid[i : i + 16] for i in range(0, len(rid), 16)], pa.binary()),
+                    pa.array(sizes.astype(np.int32)),
+                    pa.array(_sketches(offsets, sets).astype(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(path[order].astype(np.int64))),
+                ],
+                names=["doc_id", "th", "rid", "size", "sketch", "paths"],
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, th long, rid binary, size int, sketch long, paths array<long>")
@@ -135,25 +134,15 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, flat.to_numpy(zero_copy_only=False)
 
 
-def _blocks(batch: pa.RecordBatch, words: int = 500_000) -> Iterator[pa.RecordBatch]:
-    """Whole rows of a batch in blocks of about so many words, which bounds memory."""
-    offsets, _ = lists(batch.column("words"))
-    cuts = [0, *(np.flatnonzero(np.diff(offsets[1:] // words)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(rid, set) of the wanted classes; wanted has rid and the doc_id and th of one document."""
     hint = wanted.select("rid", F.col("doc_id").alias("d"), F.col("th").alias("t")).hint("merge")
     texts = docs.select("doc_id", text_of().alias("text")).join(hint, same(F.col("doc_id"), F.col("d")) & (F.xxhash64("text") == F.col("t")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in _blocks(whole):
-                offsets, sets = shingles(*_flat(batch.column("words")), n)
-                yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sets.astype(np.int64)))], names=["rid", "set"])
+        for batch in blocks(batches, "words"):
+            offsets, sets = shingles(*_flat(batch.column("words")), n)
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sets.astype(np.int64)))], names=["rid", "set"])
 
     return texts.select("rid", word_hashes(F.col("text")).alias("words")).mapInArrow(run, "rid binary, set array<long>")
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import text_of, word_hashes, words, written
 from millrace.llm.fm_index import FMIndex, repeated_spans
-from millrace.llm.word_table import gathered, lists
+from millrace.llm.word_table import blocks, gathered, lists
 from millrace.session import table
 
 WIDTH = 35
@@ -82,7 +82,7 @@ def _minimizers(docs: DataFrame, width: int, m: int) -> DataFrame:
     rows = docs.select(_text_key().alias("tk"), word_hashes(text_of()).alias("words")).filter(F.size("words") >= width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches, "words"):
             offsets, flat = lists(batch.column("words"))
             row, start, n, mini = segments(offsets, flat.to_numpy(zero_copy_only=False), width, m)
             yield pa.RecordBatch.from_arrays([pa.array(mini), batch.column("tk").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["mini", "tk", "start", "n"])
@@ -94,7 +94,7 @@ def _cut(texts: DataFrame, width: int) -> DataFrame:
     """(key, tk, start, n, words) of the listed segments of each text, and (key, tk, start) of each window of the hot ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches, "words"):
             offsets, flat = lists(batch.column("words"))
             flat = flat.to_numpy(zero_copy_only=False)
             ends, found = lists(batch.column("found"))
@@ -170,7 +170,7 @@ def dedup_substrings(docs: DataFrame, keep: list[str], width: int = WIDTH, **set
     rows = rows.select(*keep, words(F.col("__text")).alias("__words"), F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>")).alias("__spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches, "__words"):
             offsets, flat = lists(batch.column("__words"))
             ends, found = lists(batch.column("__spans"))
             size = np.diff(offsets)

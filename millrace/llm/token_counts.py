@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import text_of, words
-from millrace.llm.word_table import WordTable, lists
+from millrace.llm.word_table import WordTable, blocks, lists
 from millrace.session import table
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -99,7 +99,7 @@ def count_tokens(docs: DataFrame, keep: list[str], path: str = PATH) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _loaded(path)
-        for batch in batches:
+        for batch in blocks(batches, "__words"):
             offsets, flat = lists(batch.column("__words"))
             values, at = known.lookup(flat)
             counts, scores = np.array([c for c, _ in values], dtype=np.int64), np.array([s for _, s in values], dtype=np.float64)

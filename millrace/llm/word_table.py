@@ -9,12 +9,14 @@ and changes no result.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-LIMIT = 500_000
+LIMIT = 200_000
+#: Words of whole rows that a task works on at once; a longer row is worked on alone.
+BLOCK = 300_000
 
 
 class WordTable:
@@ -47,3 +49,13 @@ def gathered(sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Indices that lay the stretches [start, start + size) one after another."""
     total = int(sizes.sum())
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], column: str, words: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """Whole rows of the batches in blocks of about so many words of a list column, which bounds memory."""
+    for batch in batches:
+        offsets, _ = lists(batch.column(column))
+        cuts = [0, *(np.flatnonzero(np.diff(offsets[1:] // words)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                yield batch.slice(a, b - a)
