@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import text_of, words
-from millrace.llm.word_table import WordTable, gathered, lists
+from millrace.llm.word_table import WordTable, blocks, gathered, lists
 from millrace.session import table
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -46,51 +46,58 @@ def _loaded(path: str) -> tuple[WordTable, pa.Array]:
         t.no_truncation()
         t.no_padding()
         pieces = [t.id_to_token(i) for i in range(t.get_vocab_size(with_added_tokens=True))]
-        _tables[path] = WordTable(lambda new: [e.ids for e in t.encode_batch(new, add_special_tokens=False)]), pa.array(pieces, pa.string())
+        _tables[path] = WordTable(lambda new: [np.array(e.ids, dtype=np.int32).tobytes() for e in t.encode_batch(new, add_special_tokens=False)]), pa.array(pieces, pa.string())
     return _tables[path]
 
 
-def encode(docs: DataFrame, keep: list[str], path: str = PATH) -> DataFrame:
-    """The columns in keep and `ids`, the token ids of the whole text."""
-    rows = docs.select(*keep, words(text_of()).alias("__words"))
+def _ids(words: pa.Array, path: str) -> pa.ListArray:
+    """The ids of each row of words; each distinct word is encoded once and its ids joined back by position."""
+    offsets, flat = lists(words)
+    values, at = _loaded(path)[0].lookup(flat)
+    sizes = np.array([len(v) // 4 for v in values], dtype=np.int64)
+    each = sizes[at]
+    ends = np.concatenate([[0], np.cumsum(each)])
+    ids = np.frombuffer(b"".join(values), dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends[offsets].astype(np.int32)), pa.array(ids[gathered(each, (np.cumsum(sizes) - sizes)[at])]))
+
+
+def _decoded(ids: pa.Array, path: str) -> pa.Array:
+    """The text of each row of ids: ids joined with pieces, one space between them."""
+    offsets, flat = lists(ids)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), _loaded(path)[1].take(flat)), " ")
+
+
+def _schema(df: DataFrame, keep: list[str], *more: str) -> str:
+    return ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep], *more])
+
+
+def encode(docs: DataFrame, keep: list[str], path: str = PATH, decoded: bool = False) -> DataFrame:
+    """The columns in keep and `ids`, the token ids of the whole text; if asked for, `decoded`, the text of these ids."""
+    names = [*keep, "ids", *["decoded"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, _ = _loaded(path)
-        for batch in batches:
-            offsets, flat = lists(batch.column("__words"))
-            values, at = known.lookup(flat)
-            sizes = np.array([len(v) for v in values], dtype=np.int64)
-            each = sizes[at]
-            ids = np.fromiter((i for v in values for i in v), np.int32, int(sizes.sum()))
-            ends = np.concatenate([[0], np.cumsum(each)])
-            out = pa.ListArray.from_arrays(pa.array(ends[offsets].astype(np.int32)), pa.array(ids[gathered(each, (np.cumsum(sizes) - sizes)[at])]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], out], names=[*keep, "ids"])
-
-    kept = [f for f in docs.select(*keep).schema]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "ids array<int>"])
-    return rows.mapInArrow(run, schema)
+        for batch in blocks(batches, "__words"):
+            ids = _ids(batch.column("__words"), path)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], ids, *[_decoded(ids, path)] * decoded], names=names)
+
+    rows = docs.select(*keep, words(text_of()).alias("__words"))
+    return rows.mapInArrow(run, _schema(docs, keep, "ids array<int>", *["decoded string"] * decoded))
 
 
 def decode(encoded: DataFrame, keep: list[str], path: str = PATH) -> DataFrame:
-    """The columns in keep and `decoded`, the text of the ids."""
-    rows = encoded.select(*keep, F.coalesce("ids", F.array().cast("array<int>")).alias("__ids"))
+    """The columns in keep and `decoded`, the text of the column ids; null ids are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, pieces = _loaded(path)
-        for batch in batches:
-            offsets, ids = lists(batch.column("__ids"))
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pieces.take(ids)), " ")
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], joined], names=[*keep, "decoded"])
+        for batch in blocks(batches, "__ids"):
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], _decoded(batch.column("__ids"), path)], names=[*keep, "decoded"])
 
-    kept = [f for f in encoded.select(*keep).schema]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "decoded string"])
-    return rows.mapInArrow(run, schema)
+    rows = encoded.select(*keep, F.coalesce("ids", F.array().cast("array<int>")).alias("__ids"))
+    return rows.mapInArrow(run, _schema(encoded, keep, "decoded string"))
 
 
 def digests(docs: DataFrame, path: str = PATH) -> DataFrame:
     """doc_id, the number of ids and the hashes of the ids and of the decoded text."""
-    encoded = encode(docs, ["doc_id"], path)
-    return decode(encoded, ["doc_id", "ids"], path).select(
+    return encode(docs, ["doc_id"], path, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

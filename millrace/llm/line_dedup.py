@@ -54,16 +54,17 @@ def later_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     place = F.struct("doc_id", "th", "start")
     found = windows(docs, run)
     shared = found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("fp")
-    near = written(found.join(written(shared, "fingerprints"), "fp", "left_semi").drop("fp"), "windows")
+    near = written(found.join(written(shared, "fingerprints").hint("merge"), "fp", "left_semi").drop("fp"), "windows")
     first = near.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("key", "first")
-    later = near.join(written(first, "first-runs"), "key").filter(place > F.col("first"))
+    later = near.join(written(first, "first-runs").hint("merge"), "key").filter(place > F.col("first"))
     return written(later.groupBy("doc_id", "th").agg(F.collect_set("start").alias("starts")), "later-runs")
 
 
 def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     """The documents, text without later repeated runs, and a struct column `line_dedup` of n_lines and n_removed."""
     gone = later_runs(docs.select("doc_id", "text"), run).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("starts").alias("__starts"))
-    joined = docs.join(gone, same(docs["doc_id"], F.col("__id")) & (F.xxhash64(text_of()) == F.col("__th")), "left")
+    # A sort-merge join at every size: a broadcast that fits small inputs only would change the plan as they grow.
+    joined = docs.join(gone.hint("merge"), same(docs["doc_id"], F.col("__id")) & (F.xxhash64(text_of()) == F.col("__th")), "left")
     lost = F.flatten(F.transform("__starts", lambda s: F.sequence(s, s + run - 1)))
     kept = let(
         _lines(F.col("text")),

@@ -9,8 +9,9 @@ is indexed and its segments are streamed through the index; a window that occurs
 with the others of its segment as an interval of words.
 
 A minimizer at more than HOT places, such as one in a passage that a third of all documents share, is not
-put into one shard: its windows are compared by a hash of all their words instead, in an aggregate and
-a join that split such groups. Exact copies of a text are indexed once: all their windows repeat.
+put into one shard: its segments are aggregated by content and its windows compared by a hash of all
+their words, in aggregates and joins that split such groups. Exact copies of a text are indexed once:
+all their windows repeat; and so are segments of the same words.
 
 Words are compared by 64-bit hashes, window hashes of the hot path have 64 bits too.
 
@@ -91,7 +92,9 @@ def _minimizers(docs: DataFrame, width: int, m: int) -> DataFrame:
 
 
 def _cut(texts: DataFrame, width: int) -> DataFrame:
-    """(key, tk, start, n, words) of the listed segments of each text, and (key, tk, start) of each window of the hot ones."""
+    """(key, tk, start, n, hot, content, words) of the listed segments of each text; content is a hash of the words."""
+    powers = np.random.default_rng(9).integers(1, 1 << 62, size=2 * width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    names = ["key", "tk", "start", "n", "hot", "content", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "words"):
@@ -100,45 +103,72 @@ def _cut(texts: DataFrame, width: int) -> DataFrame:
             ends, found = lists(batch.column("found"))
             row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
             start, n, key, hot = (pc.struct_field(found, c).to_numpy(zero_copy_only=False) for c in ("start", "n", "mini", "hot"))
-            place = offsets[:-1][row] + start
-            cold = np.flatnonzero(~hot)
-            for k in range(0, len(cold), 20_000):
-                of = cold[k : k + 20_000]
+            for k in range(0, len(row), 20_000):  # bounds a batch, not the result
+                of = slice(k, k + 20_000)
                 size = (n[of] + width - 1).astype(np.int64)
-                cut = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat[gathered(size, place[of])]))
-                yield pa.RecordBatch.from_arrays([pa.array(key[of]), batch.column("tk").take(pa.array(row[of])), pa.array(start[of]), pa.array(n[of]), cut], names=["key", "tk", "start", "n", "words"])
-            of = np.flatnonzero(hot)
-            if len(of):
-                hashes = _grams(flat, width).astype(np.int64)
-                count = n[of].astype(np.int64)
-                each = gathered(count, place[of])
-                at = np.repeat(row[of], count)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[each]), batch.column("tk").take(pa.array(at)), pa.array((each - offsets[:-1][at]).astype(np.int32)), pa.nulls(len(each), pa.int32()), pa.nulls(len(each), pa.list_(pa.int64()))], names=["key", "tk", "start", "n", "words"])
+                words = flat[gathered(size, offsets[:-1][row[of]] + start[of])]
+                begin = np.cumsum(size) - size
+                hashed = np.add.reduceat(_grams(words, 1) * powers[gathered(size, np.zeros_like(size))], begin)
+                cut = pa.ListArray.from_arrays(pa.array(np.append(begin, len(words)).astype(np.int32)), pa.array(words))
+                yield pa.RecordBatch.from_arrays([pa.array(key[of]), batch.column("tk").take(pa.array(row[of])), pa.array(start[of]), pa.array(n[of]), pa.array(hot[of]), pa.array(hashed.astype(np.int64)), cut], names=names)
 
-    return texts.mapInArrow(run, "key long, tk binary, start int, n int, words array<long>")
+    return texts.mapInArrow(run, "key long, tk binary, start int, n int, hot boolean, content long, words array<long>")
 
 
 def _searched(shards: DataFrame, width: int) -> DataFrame:
     """(tk, a, b): intervals of words that the index of each shard reports."""
 
     def run(group: pa.Table) -> pa.Table:
-        offsets, flat = lists(group.column("words"))
-        flat = flat.to_numpy(zero_copy_only=False)
-        symbols = np.unique(flat, return_inverse=True)[1] + 1
-        # Segments one after another, a 0 after each: no window crosses it.
+        # Segments of the same words are one content; more places than one make all its windows repeated.
+        _, some, which, places = np.unique(group.column("content").to_numpy(), return_index=True, return_inverse=True, return_counts=True)
+        n = group.column("n").to_numpy().astype(np.int64)
+        offsets, flat = lists(group.column("words").take(pa.array(some)))
+        symbols = np.unique(flat.to_numpy(zero_copy_only=False), return_inverse=True)[1] + 1
+        # Contents one after another, a 0 after each: no window crosses it.
         sizes = np.diff(offsets)
         begins = offsets[:-1] + np.arange(len(sizes))
-        text = np.zeros(len(flat) + len(sizes), dtype=np.int64)
+        text = np.zeros(int(sizes.sum()) + len(sizes), dtype=np.int64)
         text[gathered(sizes, begins)] = symbols
-        n = group.column("n").to_numpy().astype(np.int64)
-        first, last = repeated_spans(FMIndex(text, width), text, begins, n, width)
-        hit = np.flatnonzero(first >= 0)
+        first, last = np.zeros(len(some), dtype=np.int64), n[some] - 1
+        single = places == 1
+        first[single], last[single] = repeated_spans(FMIndex(text, width), text, begins[single], n[some][single], width)
+        hit = np.flatnonzero(first[which] >= 0)
         start = group.column("start").to_numpy()[hit]
-        return pa.table({"tk": group.column("tk").take(pa.array(hit)), "a": pa.array((start + first[hit]).astype(np.int32)), "b": pa.array((start + last[hit] + width).astype(np.int32))})
+        return pa.table({"tk": group.column("tk").take(pa.array(hit)), "a": pa.array((start + first[which][hit]).astype(np.int32)), "b": pa.array((start + last[which][hit] + width).astype(np.int32))})
 
     return shards.groupBy("shard").applyInArrow(run, "tk binary, a int, b int")
 
 
+def _hot_spans(hot: DataFrame, width: int) -> DataFrame:
+    """(tk, a, b) of segments whose minimizer is too frequent for one shard.
+
+    Contents are aggregated first. All windows of a content with several places repeat; a window of a
+    content with one place repeats if another content has it too. (Two windows of one segment differ:
+    they hold their minimizer at different places.)
+    """
+    place = F.struct("tk", "start")
+    contents = written(hot.groupBy("key", "content").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.first("n").alias("n"), F.first("words").alias("words")), "hot-contents")
+    many = contents.filter("x <> y").select("key", "content").hint("merge")
+    whole = hot.select("key", "content", "tk", "start", "n").join(many, ["key", "content"], "left_semi").select("tk", F.col("start").alias("a"), (F.col("start") + F.col("n") + (width - 1)).alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "words"):
+            offsets, flat = lists(batch.column("words"))
+            count = np.diff(offsets) - width + 1
+            hashes = _grams(flat.to_numpy(zero_copy_only=False), width)[gathered(count, offsets[:-1])].astype(np.int64)
+            of = pa.array(np.repeat(np.arange(batch.num_rows), count))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), batch.column("content").take(of), batch.column("key").take(of), pa.array(gathered(count, np.zeros_like(count)).astype(np.int32))], names=["window", "content", "key", "i"])
+
+    def windows(of: DataFrame) -> DataFrame:
+        return of.select("content", "key", "words").mapInArrow(run, "window long, content long, key long, i int")
+
+    twice = windows(contents).groupBy("window").agg(F.min("content").alias("a"), F.max("content").alias("b")).filter("a <> b").select("window")
+    single = contents.filter("x = y")
+    some = windows(single).join(written(twice, "hot-windows").hint("merge"), "window", "left_semi").groupBy("key", "content").agg(F.min("i").alias("first"), F.max("i").alias("last"))
+    parts = single.select("key", "content", "x").join(some, ["key", "content"]).select("x.tk", (F.col("x.start") + F.col("first")).alias("a"), (F.col("x.start") + F.col("last") + width).alias("b"))
+    return whole.unionByName(parts)
+
+
 def _place() -> Column:
     return F.xxhash64("tk", "start")
 
@@ -152,12 +182,10 @@ def repeated(docs: DataFrame, width: int = WIDTH, m: int = M, hot: int = HOT) ->
     near = written(near, "near")
     texts = docs.select(_text_key().alias("tk"), text_of().alias("text")).groupBy("tk").agg(F.first("text").alias("text"))
     cut = written(_cut(texts.join(near.hint("merge"), "tk").select("tk", "found", word_hashes(F.col("text")).alias("words")), width), "segments")
-    total = cut.filter("n is not null").agg(F.sum(F.col("n") + width - 1)).first()[0] or 0
-    shards = cut.filter("n is not null").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(1 + total // SHARD_WORDS)))
-    spans = _searched(shards.select("shard", "tk", "start", "n", "words"), width)
-    windows = cut.filter("n is null").select("key", "tk", "start")
-    twice = windows.groupBy("key").agg(F.min(_place()).alias("x"), F.max(_place()).alias("y")).filter("x <> y").select("key")
-    hot_spans = windows.join(written(twice, "twice").hint("merge"), "key", "left_semi").select("tk", F.col("start").alias("a"), (F.col("start") + width).alias("b"))
+    total = cut.filter(~F.col("hot")).agg(F.sum(F.col("n") + width - 1)).first()[0] or 0
+    shards = cut.filter(~F.col("hot")).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(1 + total // SHARD_WORDS)))
+    spans = _searched(shards.select("shard", "tk", "start", "n", "content", "words"), width)
+    hot_spans = _hot_spans(cut.filter("hot"), width)
     copies = docs.groupBy(_text_key().alias("tk")).agg(F.count("*").alias("c")).filter("c > 1").select("tk", F.lit(0).alias("a"), F.lit(2**31 - 1).alias("b"))
     every = spans.unionByName(hot_spans).unionByName(copies)
     return written(every.groupBy("tk").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
