@@ -38,12 +38,15 @@ class WaveletMatrix:
 class FMIndex:
     """Counts patterns of up to `depth` symbols in a text of symbols from 0 on.
 
+    The text ends with 0, which no pattern holds: it stands before the text's start in the transform.
     Suffixes are sorted by their first `depth` symbols; the order of those that agree so far does not
     matter to a backward search of that length.
     """
 
     def __init__(self, text: np.ndarray, depth: int):
         n = len(text)
+        if n and text[-1]:
+            raise ValueError("the text must end with 0")
         rank, length = text.astype(np.int64), 1
         order = np.argsort(rank, kind="stable")
         while length < depth:

@@ -24,7 +24,9 @@ def test_wavelet_ranks():
 
 def test_backward_search_counts():
     rng = np.random.default_rng(2)
-    text = rng.integers(1, 4, 300)
+    text = np.append(rng.integers(1, 4, 300), 0)
+    with pytest.raises(ValueError):
+        FMIndex(text[:-1], 8)
     index = FMIndex(text, 8)
     for _ in range(60):
         at = int(rng.integers(0, 292))
