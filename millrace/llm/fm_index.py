@@ -18,21 +18,27 @@ class WaveletMatrix:
             before = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)[:-1]]).astype(np.uint32)
             self.levels.append((packed, before, int(len(ones) - ones.sum())))
             symbols = np.concatenate([symbols[ones == 0], symbols[ones == 1]])
+        every = np.arange(1 << bits)
+        (self.start,) = self._walked(every, np.zeros_like(every))  # where each symbol's places begin on the last level
 
-    def rank(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How often each symbol occurs before low and before high; low counts from the symbol's own first place."""
-        start = np.zeros_like(low)
+    def _walked(self, symbol: np.ndarray, *places: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The places, followed through all levels along each symbol's bits."""
         bits = len(self.levels)
         for k, (packed, before, zeros) in enumerate(self.levels):
             one = ((symbol >> (bits - 1 - k)) & 1).astype(bool)
             found = []
-            for at in (start, low, high):
+            for at in places:
                 word = at >> 6
                 mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
                 ones = before[word].astype(np.int64) + np.bitwise_count(packed[word] & mask)
                 found.append(np.where(one, zeros + ones, at - ones))
-            start, low, high = found
-        return low - start, high - start
+            places = tuple(found)
+        return places
+
+    def rank(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each symbol occurs before low and before high."""
+        low, high = self._walked(symbol, low, high)
+        return low - self.start[symbol], high - self.start[symbol]
 
 
 class FMIndex:
@@ -48,12 +54,12 @@ class FMIndex:
         if n and text[-1]:
             raise ValueError("the text must end with 0")
         rank, length = text.astype(np.int64), 1
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         while length < depth:
             after = np.full(n, -1, dtype=np.int64)
             after[: n - length] = rank[length:] if length < n else after[:0]
             key = rank * (n + 1) + after + 1
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             sorted_key = key[order]
             new = np.empty(n, dtype=np.int64)
             new[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
