@@ -4,11 +4,16 @@ A document is the set of its shingles (N consecutive words). Documents of equal
 handled once. A run splits the classes recursively: at each level a set x chooses each of its shingles
 whose hash with the path so far is below CHOSEN / |x|, and each choice extends the path; sets on one
 path share all shingles chosen on it. A path with at most SMALL sets is compared by brute force, a
-larger one is split further, and one that a split hardly shrinks is made of similar sets and compared
-as it is. A pair at the threshold keeps CHOSEN * similarity common choices a level on average, so it
-is lost in one run with a known probability, and runs are repeated until RECALL is reached.
+larger one is split further. A pair at the threshold keeps CHOSEN * similarity common choices a level on
+average, so it is lost in one run with a known probability, and runs are repeated until RECALL is reached.
 
-Compared pairs pass by their sizes and by 64 one-bit min-hash sketches (a pair at the threshold is held back
+A larger path that is made of similar sets can't be split: its sets agree in most bits of their sketches,
+or the last split hardly shrank it. Such crowds, joined where they share a set, are compared whole, each
+pair once: the sets are dealt to blocks of bounded size, a task has two blocks, and it returns for each
+set only the number of its links and the least set of its component there. So a crowd of n sets makes
+n * blocks rows, not n * n pairs.
+
+Pairs compared on small paths pass by their sizes and by 64 one-bit min-hash sketches (a pair at the threshold is held back
 with a probability under 1e-4, which is part of the stated recall), then by the exact Jaccard of their sets.
 
 Defined results. A text with fewer than N words is one shingle of all its words; texts without words,
@@ -36,6 +41,11 @@ RECALL = 0.999
 CHOSEN = 2.0
 SMALL = 256
 DEPTH = 12
+#: Sets of a path that agree in this share of their sketches' bits, on average, are a crowd: it can't be split.
+ALIKE = 0.75
+#: Sets in a block of a crowd, and shingles in one: what a task holds of each of its two blocks.
+CROWD_SETS = 2048
+CROWD_SHINGLES = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Agreeing bits that a pair at the threshold has: 57.6 on average, standard deviation 2.4.
 SKETCH_BITS_APART = 16
@@ -178,11 +188,96 @@ def _compared(buckets: DataFrame, similarity: float) -> DataFrame:
     return each.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
 
-def _compared_large(buckets: DataFrame, similarity: float) -> DataFrame:
-    """The same for paths of any size, by a join that Spark can split."""
-    left, right = (buckets.select("path", *[F.col(c).alias(f"{c}_{s}") for c in ("rid", "size", "sketch")]) for s in "ab")
-    sides = [{c: F.col(f"{c}_{s}") for c in ("rid", "size", "sketch")} for s in "ab"]
-    return left.join(right, "path").filter(_may_link(*sides, similarity)).select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"))
+def _parted(rows: DataFrame, last: bool, name: str) -> tuple[DataFrame, DataFrame]:
+    """(crowds, the rest) of the paths with more than SMALL sets."""
+    # Of two sets of one path a bit agrees with the probability p * p + (1 - p) * (1 - p).
+    ones = [F.avg(F.shiftrightunsigned("sketch", b).bitwiseAND(F.lit(1))) for b in range(64)]
+    alike = sum((1 - 2 * p * (1 - p) for p in ones), F.lit(0.0)) / 64
+    seen = written(rows.groupBy("path").agg(alike.alias("alike")), f"{name}-alike")
+    rows = rows.join(seen.hint("merge"), "path")
+    crowd = F.lit(True) if last else (F.col("alike") >= ALIKE) | F.coalesce(2 * F.col("n") > F.col("parent"), F.lit(False))
+    rows = written(rows.withColumn("crowd", crowd), f"{name}-large")
+    return rows.filter("crowd"), rows.filter(~F.col("crowd"))
+
+
+def shared_shingles(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], same_block: bool, columns: int = 2048) -> np.ndarray:
+    """How many shingles each set of a shares with each of b; a and b are (offsets, flat shingles)."""
+    if same_block:
+        values, counts = np.unique(a[1], return_counts=True)
+        values = values[counts > 1]
+    else:
+        values = np.intersect1d(a[1], b[1])
+    out = np.zeros((len(a[0]) - 1, len(b[0]) - 1), dtype=np.float32)
+    sides = []
+    for offsets, flat in (a, b):
+        at = np.minimum(np.searchsorted(values, flat), max(len(values) - 1, 0))
+        ok = values[at] == flat if len(values) else np.zeros(len(flat), dtype=bool)
+        row, at = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[ok], at[ok]
+        order = np.argsort(at)
+        sides.append((row[order], at[order]))
+    for k in range(0, len(values), columns):
+        parts = []
+        for (row, at), (offsets, _) in zip(sides, (a, b), strict=True):
+            low, high = np.searchsorted(at, (k, k + columns))
+            part = np.zeros((len(offsets) - 1, min(columns, len(values) - k)), dtype=np.float32)
+            part[row[low:high], at[low:high] - k] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _clusters(crowds: DataFrame) -> DataFrame:
+    """(rid, cluster) of the sets in crowds; crowds that share a set are one cluster."""
+    root = written(crowds.groupBy("path").agg(F.min("rid").alias("root")), "crowd-roots")
+    stars = crowds.select("path", "rid").join(root.hint("merge"), "path").select(F.col("rid").alias("a"), F.col("root").alias("b")).distinct()
+    return written(components(stars).select("rid", F.col("root").alias("cluster")), "crowded")
+
+
+def _compared_crowds(crowded: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(rid, root, n): a set of a crowd, the least set it is connected with in a pair of blocks, and its links there."""
+    sized = written(crowded.join(sets, "rid").select("rid", "cluster", "set"), "crowded-sets")
+    total = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CROWD_SETS), F.ceil(F.sum(F.size("set")) / CROWD_SHINGLES)).cast("int").alias("blocks"))
+    dealt = sized.join(written(total, "crowd-blocks").hint("merge"), "cluster").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.select("rid", "cluster", "set", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def run(group: pa.Table) -> pa.Table:
+        block, i, j = (group.column(c).to_numpy() for c in ("block", "i", "j"))
+        sides = [group.filter(pa.array(block == x)) for x in ((i[0],) if i[0] == j[0] else (i[0], j[0]))]
+        if not all(len(x) for x in sides):  # a block that no set was dealt to
+            return pa.table({"rid": pa.array([], pa.binary()), "root": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
+        a, b = (_flat(sides[k].column("set")) for k in (0, -1))
+        common = shared_shingles(a, b, len(sides) == 1).astype(np.float64)
+        size_a, size_b = np.diff(a[0])[:, None], np.diff(b[0])[None, :]
+        with np.errstate(invalid="ignore"):
+            linked = common / (size_a + size_b - common) >= similarity
+        if len(sides) == 1:
+            np.fill_diagonal(linked, False)
+        rids = pa.concat_tables(sides).column("rid").combine_chunks()
+        rank = np.argsort(np.argsort(np.array(rids.to_pylist(), dtype=object)))
+        roots = _roots(linked, rank, len(sides) == 1)
+        counts = linked.sum(1) if len(sides) == 1 else np.concatenate([linked.sum(1), linked.sum(0)])
+        hit = np.flatnonzero(counts)
+        by_rank = np.argsort(rank)
+        return pa.table({"rid": rids.take(pa.array(hit)), "root": rids.take(pa.array(by_rank[roots[hit]])), "n": pa.array(counts[hit].astype(np.int64))})
+
+    return written(pairs.groupBy("cluster", "i", "j").applyInArrow(run, "rid binary, root binary, n long"), "crowd-links")
+
+
+def _roots(linked: np.ndarray, rank: np.ndarray, one_block: bool) -> np.ndarray:
+    """The least rank in each set's component of a matrix of links."""
+    far = len(rank)
+    a = len(linked)
+    labels = rank.copy()
+    while True:
+        left, right = (labels, labels) if one_block else (labels[:a], labels[a:])
+        near = np.where(linked, right[None, :], far).min(1, initial=far)
+        if not one_block:
+            near = np.concatenate([near, np.where(linked, left[:, None], far).min(0, initial=far)])
+        new = np.minimum(labels, near)
+        if (new == labels).all():
+            return labels
+        labels = new
 
 
 def _sized(rows: DataFrame, name: str) -> DataFrame:
@@ -191,33 +286,38 @@ def _sized(rows: DataFrame, name: str) -> DataFrame:
     return written(rows.join(counts.hint("merge"), "path"), f"{name}-paths")
 
 
-def links(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """(pairs, members): pairs (a, b, jaccard) of similar classes, a < b; members (doc_id, th, rid) of all documents."""
+def links(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, crowds, members).
+
+    pairs (a, b, jaccard) of similar classes, a < b, but for those of two sets of one crowd; crowds (rid, root,
+    n): for each block that a set of a crowd was compared with, its links there and a set it is connected
+    with; members (doc_id, th, rid) of all documents.
+    """
     docs = docs.select("doc_id", "text")
     members = written(signatures(docs, n, runs_for(recall, similarity)), "signatures")
     classes = written(members.groupBy("rid").agg(F.min(F.struct("doc_id", "th")).alias("m"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")).select("rid", "m.*", "size", "sketch", "paths"), "classes")
     first = classes.select(F.explode(F.array_distinct("paths")).alias("path"), "rid", "size", "sketch").withColumn("parent", F.lit(None).cast("long"))
     sized = _sized(first, "level-1")
-    small, large = sized.filter(F.col("n") <= SMALL), sized.filter(F.col("n") > SMALL)
-    met = written(_compared(small, similarity).distinct(), "met-1")
-    wanted = met.select(F.col("a").alias("rid")).union(met.select("b")).union(large.select("rid")).distinct()
-    sets = written(_sets(docs, classes.select("rid", "doc_id", "th").join(wanted, "rid"), n), "sets").distinct()
-    found, level = [met], 1
+    crowds, large = _parted(sized.filter(F.col("n") > SMALL), False, "level-1")
+    met = written(_compared(sized.filter(F.col("n") <= SMALL), similarity).distinct(), "met-1")
+    wanted = met.select(F.col("a").alias("rid")).union(met.select("b")).union(large.select("rid")).union(crowds.select("rid")).distinct()
+    sets = written(_sets(docs, classes.select("rid", "doc_id", "th").join(wanted, "rid"), n).dropDuplicates(["rid"]), "sets")
+    found, crowded, level = [met], [crowds.select("path", "rid")], 1
     while level < DEPTH and not large.isEmpty():
         level += 1
         sized = _sized(_split(large, sets), f"level-{level}")
-        small = sized.filter(F.col("n") <= SMALL)
-        dense = sized.filter((F.col("n") > SMALL) & (2 * F.col("n") > F.col("parent")))
-        large = sized.filter((F.col("n") > SMALL) & (2 * F.col("n") <= F.col("parent")))
-        if level == DEPTH:
-            dense, large = dense.union(large), large.limit(0)
-        found += [_compared(small, similarity), _compared_large(dense, similarity)]
+        found.append(_compared(sized.filter(F.col("n") <= SMALL), similarity))
+        crowds, large = _parted(sized.filter(F.col("n") > SMALL), level == DEPTH, f"level-{level}")
+        crowded.append(crowds.select("path", "rid"))
     pairs = found[0] if len(found) == 1 else written(_union(found).distinct(), "met")
+    clusters = _clusters(_union(crowded))
+    inside = [clusters.select(F.col("rid").alias(c), F.col("cluster").alias(f"cluster_{c}")) for c in "ab"]
+    pairs = pairs.join(inside[0], "a", "left").join(inside[1], "b", "left").filter(F.coalesce(F.col("cluster_a") != F.col("cluster_b"), F.lit(True))).select("a", "b")
     left = pairs.join(sets.select(F.col("rid").alias("a"), F.col("set").alias("x")), "a")
     both = left.join(sets.select(F.col("rid").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y")).cast("double")
     exact = both.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("jaccard")).filter(F.col("jaccard") >= similarity)
-    return written(exact, "links"), members.select("doc_id", "th", "rid")
+    return written(exact, "links"), _compared_crowds(clusters, sets, similarity), members.select("doc_id", "th", "rid")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -248,9 +348,10 @@ def components(pairs: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame, **settings) -> DataFrame:
     """(doc_id, th, set_doc_id, set_th, class_id, class_th, n_links) of every document, repeated rows included."""
-    pairs, members = links(docs, **settings)
-    roots = components(pairs)
-    degree = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).groupBy("rid").agg(F.count("*").alias("n_links"))
+    pairs, crowds, members = links(docs, **settings)
+    roots = components(pairs.select("a", "b").union(crowds.filter("rid <> root").select("rid", "root")))
+    one = F.lit(1).cast("long").alias("n")
+    degree = pairs.select(F.col("a").alias("rid"), one).union(pairs.select("b", one)).union(crowds.select("rid", "n")).groupBy("rid").agg(F.sum("n").alias("n_links"))
     sets = members.groupBy("rid").agg(F.min(F.struct("doc_id", "th")).alias("m"))
     known = sets.join(roots, "rid", "left").join(degree, "rid", "left").select("rid", "m", F.coalesce("root", "rid").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     known = written(known, "sets-known")

@@ -81,6 +81,7 @@ def test_near_join_crowded_paths(spark, monkeypatch):
     texts = [edited(one, 1) for _ in range(60)] + [random_text(20) + " " + common + " " + random_text(20) for _ in range(120)]
     links, roots = brute_groups(texts)
     monkeypatch.setattr(near_join, "SMALL", 16)
+    monkeypatch.setattr(near_join, "CROWD_SETS", 20)
     got = {r.doc_id: r for r in near_join.grouped(docs(spark, texts)).collect()}
     assert all((got[i].n_links, got[i].class_id) == (links[i], roots[i]) for i in range(len(texts)))
 
