@@ -44,8 +44,8 @@ DEPTH = 12
 #: Sets of a path that agree in this share of their sketches' bits, on average, are a crowd: it can't be split.
 ALIKE = 0.75
 #: Sets in a block of a crowd, and shingles in one: what a task holds of each of its two blocks.
-CROWD_SETS = 2048
-CROWD_SHINGLES = 1_000_000
+CROWD_SETS = 4096
+CROWD_SHINGLES = 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Agreeing bits that a pair at the threshold has: 57.6 on average, standard deviation 2.4.
 SKETCH_BITS_APART = 16
@@ -145,9 +145,14 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(rid, set) of the wanted classes; wanted has rid and the doc_id and th of one document."""
-    hint = wanted.select("rid", F.col("doc_id").alias("d"), F.col("th").alias("t")).hint("merge")
-    texts = docs.select("doc_id", text_of().alias("text")).join(hint, same(F.col("doc_id"), F.col("d")) & (F.xxhash64("text") == F.col("t")))
+    """(rid, set) of the wanted classes, each once; wanted has rid and the doc_id and th of one document."""
+
+    def key(th: Column) -> Column:
+        return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), th.cast("string"))
+
+    texts = docs.select(key(F.xxhash64(text_of())).alias("key"), text_of().alias("text"))
+    texts = texts.join(wanted.select("rid", key(F.col("th")).alias("key")).hint("merge"), "key")
+    texts = texts.groupBy("key", "rid").agg(F.first("text").alias("text"))  # rows that repeat; the join's partitions serve
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "words"):
@@ -200,13 +205,9 @@ def _parted(rows: DataFrame, last: bool, name: str) -> tuple[DataFrame, DataFram
     return rows.filter("crowd"), rows.filter(~F.col("crowd"))
 
 
-def shared_shingles(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], same_block: bool, columns: int = 2048) -> np.ndarray:
+def shared_shingles(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], columns: int = 2048) -> np.ndarray:
     """How many shingles each set of a shares with each of b; a and b are (offsets, flat shingles)."""
-    if same_block:
-        values, counts = np.unique(a[1], return_counts=True)
-        values = values[counts > 1]
-    else:
-        values = np.intersect1d(a[1], b[1])
+    values = np.intersect1d(a[1], b[1])
     out = np.zeros((len(a[0]) - 1, len(b[0]) - 1), dtype=np.float32)
     sides = []
     for offsets, flat in (a, b):
@@ -227,18 +228,19 @@ def shared_shingles(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.nd
 
 
 def _clusters(crowds: DataFrame) -> DataFrame:
-    """(rid, cluster) of the sets in crowds; crowds that share a set are one cluster."""
+    """(rid, cluster, size) of the sets in crowds; crowds that share a set are one cluster."""
     root = written(crowds.groupBy("path").agg(F.min("rid").alias("root")), "crowd-roots")
     stars = crowds.select("path", "rid").join(root.hint("merge"), "path").select(F.col("rid").alias("a"), F.col("root").alias("b")).distinct()
-    return written(components(stars).select("rid", F.col("root").alias("cluster")), "crowded")
+    sizes = crowds.groupBy("rid").agg(F.first("size").alias("size"))
+    return written(components(stars).join(sizes, "rid").select("rid", F.col("root").alias("cluster"), "size"), "crowded")
 
 
 def _compared_crowds(crowded: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(rid, root, n): a set of a crowd, the least set it is connected with in a pair of blocks, and its links there."""
-    sized = written(crowded.join(sets, "rid").select("rid", "cluster", "set"), "crowded-sets")
-    total = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CROWD_SETS), F.ceil(F.sum(F.size("set")) / CROWD_SHINGLES)).cast("int").alias("blocks"))
-    dealt = sized.join(written(total, "crowd-blocks").hint("merge"), "cluster").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    total = crowded.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CROWD_SETS), F.ceil(F.sum("size") / CROWD_SHINGLES)).cast("int").alias("blocks"))
+    dealt = crowded.join(written(total, "crowd-blocks").hint("merge"), "cluster").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    dealt = written(dealt.select("rid", "cluster", "block", "blocks"), "crowd-dealt")
+    pairs = dealt.join(sets.hint("merge"), "rid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("rid", "cluster", "set", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def run(group: pa.Table) -> pa.Table:
@@ -247,14 +249,15 @@ def _compared_crowds(crowded: DataFrame, sets: DataFrame, similarity: float) ->
         if not all(len(x) for x in sides):  # a block that no set was dealt to
             return pa.table({"rid": pa.array([], pa.binary()), "root": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
         a, b = (_flat(sides[k].column("set")) for k in (0, -1))
-        common = shared_shingles(a, b, len(sides) == 1).astype(np.float64)
-        size_a, size_b = np.diff(a[0])[:, None], np.diff(b[0])[None, :]
-        with np.errstate(invalid="ignore"):
-            linked = common / (size_a + size_b - common) >= similarity
+        linked = np.zeros((len(a[0]) - 1, len(b[0]) - 1), dtype=bool)
+        for k in range(0, len(linked), 512):
+            ends = a[0][k : k + 513]
+            common = shared_shingles((ends - ends[0], a[1][ends[0] : ends[-1]]), b).astype(np.float64)
+            linked[k : k + 512] = common / np.maximum(np.diff(ends)[:, None] + np.diff(b[0])[None, :] - common, 1) >= similarity
         if len(sides) == 1:
             np.fill_diagonal(linked, False)
         rids = pa.concat_tables(sides).column("rid").combine_chunks()
-        rank = np.argsort(np.argsort(np.array(rids.to_pylist(), dtype=object)))
+        rank = np.argsort(np.argsort(np.array(rids.to_pylist(), dtype=object))).astype(np.int32)
         roots = _roots(linked, rank, len(sides) == 1)
         counts = linked.sum(1) if len(sides) == 1 else np.concatenate([linked.sum(1), linked.sum(0)])
         hit = np.flatnonzero(counts)
@@ -266,7 +269,7 @@ def _compared_crowds(crowded: DataFrame, sets: DataFrame, similarity: float) ->
 
 def _roots(linked: np.ndarray, rank: np.ndarray, one_block: bool) -> np.ndarray:
     """The least rank in each set's component of a matrix of links."""
-    far = len(rank)
+    far = np.int32(len(rank))
     a = len(linked)
     labels = rank.copy()
     while True:
@@ -301,14 +304,14 @@ def links(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: f
     crowds, large = _parted(sized.filter(F.col("n") > SMALL), False, "level-1")
     met = written(_compared(sized.filter(F.col("n") <= SMALL), similarity).distinct(), "met-1")
     wanted = met.select(F.col("a").alias("rid")).union(met.select("b")).union(large.select("rid")).union(crowds.select("rid")).distinct()
-    sets = written(_sets(docs, classes.select("rid", "doc_id", "th").join(wanted, "rid"), n).dropDuplicates(["rid"]), "sets")
-    found, crowded, level = [met], [crowds.select("path", "rid")], 1
+    sets = written(_sets(docs, classes.select("rid", "doc_id", "th").join(wanted, "rid"), n), "sets")
+    found, crowded, level = [met], [crowds.select("path", "rid", "size")], 1
     while level < DEPTH and not large.isEmpty():
         level += 1
         sized = _sized(_split(large, sets), f"level-{level}")
         found.append(_compared(sized.filter(F.col("n") <= SMALL), similarity))
         crowds, large = _parted(sized.filter(F.col("n") > SMALL), level == DEPTH, f"level-{level}")
-        crowded.append(crowds.select("path", "rid"))
+        crowded.append(crowds.select("path", "rid", "size"))
     pairs = found[0] if len(found) == 1 else written(_union(found).distinct(), "met")
     clusters = _clusters(_union(crowded))
     inside = [clusters.select(F.col("rid").alias(c), F.col("cluster").alias(f"cluster_{c}")) for c in "ab"]
