@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.queries import metrics
+from millrace.queries import analysis, metrics, relational
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (metrics,):
+for _module in (metrics, relational, analysis):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
