@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import funnel, results
+from millrace.operators import funnel, repair, results
 from millrace.session import table
 
 _ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
@@ -128,10 +128,18 @@ def completion_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.completed(parts, expected).select("id", F.array_join("results", ",").alias("results"))
 
 
+def repair_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as samples: finished ones passed, dear ones are tried again and pass when they are urgent."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit(0).alias("sample"), "o_orderstatus", "o_orderpriority", "o_totalprice")
+    old = orders.withColumns({"output": F.col("o_orderstatus"), "passed": F.col("o_orderstatus") == "F"})
+    tried = orders.filter("o_totalprice > 100000").withColumns({"output": F.col("o_orderpriority"), "passed": F.col("o_orderpriority") == "1-URGENT"})
+    return repair.next_round(old, tried).select("id", "output", "passed", "carried")
+
+
 _S = "(l_returnflag <> 'R')::INT AS ok, (l_linestatus = 'F')::INT AS comp"
 _W = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)"
 _A = "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'A'"
-QUERIES = {f.__name__: f for f in (pad_missing_tasks, combine_results_zip, subset_semi, separate_anti, merge_union, project_rank_filter, any_all_filters, compile_filter_side_output, funnel_counts, dataset_stats, rich_summary, topk_summary, dedup_first, shortest_k, annotation_upsert, resume_worklist, completion_accumulate)}
+QUERIES = {f.__name__: f for f in (pad_missing_tasks, combine_results_zip, subset_semi, separate_anti, merge_union, project_rank_filter, any_all_filters, compile_filter_side_output, funnel_counts, dataset_stats, rich_summary, topk_summary, dedup_first, shortest_k, annotation_upsert, resume_worklist, completion_accumulate, repair_round)}
 ORACLES = {
     "pad_missing_tasks": f"WITH s AS (SELECT l_orderkey, count(*) n, sum(ok) c FROM (SELECT l_orderkey, {_S} FROM lineitem) GROUP BY 1) SELECT o_orderkey AS id, coalesce(n, 10)::BIGINT n, coalesce(c, 0)::BIGINT c FROM orders LEFT JOIN s ON l_orderkey = o_orderkey",
     "combine_results_zip": f"""WITH a AS (SELECT l_orderkey, {_S}, {_W} r FROM lineitem WHERE l_quantity <= 25), b AS (SELECT l_orderkey, {_S}, {_W} r FROM lineitem WHERE l_quantity > 25),
@@ -154,4 +162,5 @@ ORACLES = {
     "annotation_upsert": "WITH e AS (SELECT user_id, event_id, event_type, value, min(event_id) OVER (PARTITION BY user_id) created, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) r FROM events) SELECT user_id, event_id, event_type, value, created FROM e WHERE r = 1 AND event_type <> 'click'",
     "resume_worklist": "SELECT o_orderkey AS id, 'F' AS kind FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'F')",
     "completion_accumulate": "SELECT conv_id AS id, string_agg(role, ',' ORDER BY turn) AS results FROM conversations GROUP BY 1 HAVING count(*) = 4",
+    "repair_round": "SELECT o_orderkey AS id, CASE WHEN o_orderstatus <> 'F' AND o_totalprice > 100000 THEN o_orderpriority ELSE o_orderstatus END AS output, o_orderstatus = 'F' OR (o_totalprice > 100000 AND o_orderpriority = '1-URGENT') AS passed, o_orderstatus = 'F' AS carried FROM orders",
 }
