@@ -5,7 +5,11 @@ the text's score. The network adds one embedding for each place of the window, a
 in a softmax over classes of words times a softmax over the words of the class, so a prediction costs
 the root of the vocabulary and is a proper conditional probability.
 
-The vocabulary is the K most frequent words of all documents; rarer words share buckets by their hash.
+The network tells the K most frequent words of all documents apart; all others are dealt to buckets by their hash. A word
+in a bucket scores as the bucket, which the network predicts, times the word's share in it: n / (N + T) for a
+word seen n times, where N and T are the words and the distinct words of the bucket, and for words that the counts lack
+T / (N + T), or 1 where nothing was seen, times one in 257 for each byte and for the end. So a score is a probability of the very words, and
+the counts of all words are joined to them, which grow with the corpus and stay in the cluster.
 Training is data-parallel numpy: every task passes once over all words of its own documents (Adagrad,
 minibatches, in an order drawn from a fixed seed), and the tasks' weights are averaged by their
 numbers of words, in a shuffle that adds up single weights. So what is gathered grows with the corpus, while
@@ -18,14 +22,15 @@ Scores depend on how the input is dealt to tasks, as any such training does, but
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import text_of, word_hashes, written
+from millrace.llm.common import fresh, text_of, word_hashes, words, written
 from millrace.llm.word_table import BLOCK as BLOCK_WORDS
 from millrace.llm.word_table import blocks, gathered, lists
 from millrace.session import table
@@ -144,9 +149,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], vocab: np.ndarray) -> Iterator[tu
         yield framed(offsets, flat.to_numpy(zero_copy_only=False), vocab)
 
 
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """((hash, id) of the K most frequent words of all documents, sorted by hash; counts of all ids)."""
-    counts = written(docs.select(F.explode(word_hashes(text_of())).alias("h")).groupBy("h").agg(F.count("*").alias("n")), "word-counts")
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(h, n): how often the words of all documents occur, by their hash."""
+    return written(docs.select(F.explode(word_hashes(text_of())).alias("h")).groupBy("h").agg(F.count("*").alias("n")), "word-counts")
+
+
+def vocabulary(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """((hash, id) of the K most frequent words, sorted by hash; counts of all ids)."""
     top = counts.orderBy(F.desc("n"), "h").limit(K).collect()
     total = counts.agg(F.sum("n")).first()[0] or 0
     ids = np.zeros(SIDE * SIDE)
@@ -155,9 +164,31 @@ def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array(sorted((r["h"], i + 1) for i, r in enumerate(top)), dtype=np.int64).reshape(-1, 2), ids
 
 
-def fit(docs: DataFrame, rounds: int = 1) -> tuple[np.ndarray, Net]:
+def _bucket(h: Column) -> Column:
+    """The bucket of a hash, from 0; the hash counts as unsigned, as in framed()."""
+    return F.pmod(F.pmod(h, F.lit(OTHER)) + F.when(h < 0, 2**64 % OTHER).otherwise(0), F.lit(OTHER)).cast("int")
+
+
+def rare_logs(docs: DataFrame, vocab: np.ndarray, counts: DataFrame | None, key: str) -> DataFrame:
+    """(key, the mean log-share in their buckets of the words without an id) of the rows in docs (key, text)."""
+    spark = docs.sparkSession
+    known = F.broadcast(spark.createDataFrame([(int(h),) for h in vocab[:, 0]], "h long"))
+    rare = (spark.createDataFrame([], "h long, n long") if counts is None else counts).join(known, "h", "left_anti")
+    whole, new = np.zeros(OTHER), np.zeros(OTHER)  # logs of N + T and of T / (N + T)
+    for r in rare.groupBy(_bucket(F.col("h")).alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("t")).collect():
+        whole[r["b"]], new[r["b"]] = math.log(r["n"] + r["t"]), math.log(r["t"] / (r["n"] + r["t"]))
+    of = lambda logs: F.get(F.lit(logs.tolist()), _bucket(F.col("h")))
+    # Words without an id are never more frequent than those with one, so no hash holds many of the rows.
+    each = docs.select(key, F.explode(F.transform(words(text_of()), lambda w: F.struct(F.xxhash64(w).alias("h"), F.octet_length(w).alias("size")))).alias("w"))
+    each = each.select(key, "w.h", "w.size").join(known, "h", "left_anti")
+    shares = rare.select("h", (F.log("n") - of(whole)).alias("share"))
+    log = F.coalesce("share", of(new) - (F.col("size") + 1) * math.log(257))
+    return each.join(shares.hint("shuffle_hash"), "h", "left").groupBy(key).agg(F.avg(log).alias("rare_log"))
+
+
+def fit(docs: DataFrame, rounds: int = 1, counts: DataFrame | None = None) -> tuple[np.ndarray, Net]:
     """(vocabulary, network) trained on all documents; each round starts from the last round's average."""
-    vocab, counts = vocabulary(docs)
+    vocab, counts = vocabulary(word_counts(docs) if counts is None else counts)
     net = new_net(counts)
     rows = docs.select(word_hashes(text_of()).alias("words")).filter(F.size("words") > 0)
     for _ in range(rounds):
@@ -180,10 +211,16 @@ def fit(docs: DataFrame, rounds: int = 1) -> tuple[np.ndarray, Net]:
     return vocab, net
 
 
-def score(docs: DataFrame, vocab: np.ndarray, net: Net, keep: list[str]) -> DataFrame:
-    """The columns in keep, n_words, log_likelihood (the sum) and mean_log_likelihood of each document."""
+def score(docs: DataFrame, vocab: np.ndarray, net: Net, keep: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """The columns in keep, n_words, log_likelihood (the sum) and mean_log_likelihood of each document.
+
+    counts are the word_counts() of the training documents; without them all words without an id are spelled.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((vocab, net))
-    rows = docs.select(*keep, word_hashes(text_of()).alias("__words"))
+    key = fresh("__key", docs.columns)
+    # Rows that agree in all of this hold the same words, so their mean is that of each.
+    docs = docs.withColumn(key, F.xxhash64(*keep, text_of()))
+    rows = docs.select(*keep, key, word_hashes(text_of()).alias("__words"))
     reach = np.array([i for i in range(-REACH, REACH + 1) if i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,10 +233,12 @@ def score(docs: DataFrame, vocab: np.ndarray, net: Net, keep: list[str]) -> Data
                 at = places[k : k + BATCH]
                 logs[k + 1 : k + 1 + len(at)] = predict(net, ids[at[:, None] + reach], ids[at])
             total = np.cumsum(logs)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(np.diff(offsets)), pa.array(total[offsets[1:]] - total[offsets[:-1]])], names=[*keep, "n_words", "sum"])
+            rare = np.cumsum(np.concatenate([[0], ids[places] > K]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in [*keep, key]], pa.array(np.diff(offsets)), *[pa.array(x[offsets[1:]] - x[offsets[:-1]]) for x in (total, rare)]], names=[*keep, key, "n_words", "sum", "n_rare"])
 
-    schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep], "n_words long, sum double"])
-    out = rows.mapInArrow(run, schema)
+    schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [*keep, key]], "n_words long, sum double, n_rare long"])
+    out = rows.mapInArrow(run, schema).join(rare_logs(docs.select(key, "text"), vocab, counts, key).hint("merge"), key, "left")
+    out = out.withColumn("sum", F.col("sum") + F.when(F.col("n_rare") > 0, F.col("n_rare") * F.col("rare_log")).otherwise(0))
     mean = F.when(F.col("n_words") > 0, F.col("sum") / F.col("n_words"))
     return out.select(*keep, "n_words", F.round("sum", 4).alias("log_likelihood"), F.round(mean, 6).alias("mean_log_likelihood"))
 
@@ -207,5 +246,6 @@ def score(docs: DataFrame, vocab: np.ndarray, net: Net, keep: list[str]) -> Data
 def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, scored by a network trained on all of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    vocab, net = fit(docs)
-    return score(docs, vocab, net, ["doc_id"])
+    counts = word_counts(docs)
+    vocab, net = fit(docs, counts=counts)
+    return score(docs, vocab, net, ["doc_id"], counts)

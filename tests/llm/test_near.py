@@ -195,3 +195,30 @@ def test_scores_prefer_held_out_language(spark):
     assert scores[122].log_likelihood < 0
     vocab, net = lm_scoring.fit(df.limit(0))
     assert lm_scoring.score(df.limit(0), vocab, net, ["doc_id"]).count() == 0
+
+
+def test_rare_words_score_as_themselves(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "K", 2)
+    monkeypatch.setattr(lm_scoring, "OTHER", lm_scoring.SIDE**2 - 3)
+    common = ["the", "of"] * 400
+    prose = [f"w{i % 60}" for i in range(1200)]
+    texts = [" ".join(common[i::20] + prose[i::20]) for i in range(20)]
+    junk = " ".join(f"zq{i}x" for i in range(60))
+    df = docs(spark, [*texts, junk])
+    counts = lm_scoring.word_counts(df)
+    vocab, net = lm_scoring.fit(df, counts=counts)
+    scores = {r.doc_id: r for r in lm_scoring.score(docs(spark, [texts[0], junk, texts[0], "w1", "w1", "unheard", "unheardof", "w1 unheard"]), vocab, net, ["doc_id"], counts).collect()}
+    assert scores[0].mean_log_likelihood > scores[1].mean_log_likelihood + 2
+    assert scores[0].log_likelihood == scores[2].log_likelihood and scores[3].log_likelihood == scores[4].log_likelihood
+    assert scores[5].log_likelihood < scores[3].log_likelihood - 30  # a word that was never seen is spelled
+    assert scores[7].n_words == 2
+    every = [r.h for r in counts.collect() if r.h not in set(vocab[:, 0].tolist())]
+    words = [w for w in {w for t in [*texts, junk] for w in t.split()} if w not in ("the", "of")]
+    logs = {r.k: r.rare_log for r in lm_scoring.rare_logs(spark.createDataFrame([(w, w) for w in words], "k string, text string"), vocab, counts, "k").collect()}
+    sums = {}
+    hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", "xxhash64(w) AS h").collect()}
+    for w, log in logs.items():
+        b = int(np.uint64(hashes[w] % 2**64) % np.uint64(lm_scoring.OTHER))
+        sums[b] = sums.get(b, 0) + np.exp(log)
+    assert len(every) == len(words) == len(logs)
+    assert all(0.4 < v < 1 for v in sums.values())  # the rest of each bucket is for words not seen
