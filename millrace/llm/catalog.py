@@ -6,6 +6,7 @@ from millrace.llm import bpe, decontamination, line_dedup, lm_scoring, near_join
 
 QUERIES = {
     "op1_winnow_line_dedup": line_dedup.op1_winnow_line_dedup,
+    "op1_content_line_dedup": line_dedup.op1_content_line_dedup,
     "op2_hash_tree_sharding": sharding.op2_hash_tree_sharding,
     "op3_secret_ledger": secrets.op3_secret_ledger,
     "op4_fm_substring_dedup": substring_dedup.op4_fm_substring_dedup,
@@ -19,6 +20,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_winnow_line_dedup": line_dedup.OP1_SQL,
+    "op1_content_line_dedup": line_dedup.OP1_CONTENT_SQL,
     "op2_hash_tree_sharding": sharding.OP2_SQL,
     "op3_secret_ledger": secrets.OP3_SQL,
     "op4_fm_substring_dedup": substring_dedup.OP4_SQL,

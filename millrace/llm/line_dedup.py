@@ -9,8 +9,12 @@ the order of doc_id, then of the text's hash, then of the line; and every window
 repeated run. A longer match is the union of its windows, so runs grow to their full length without
 comparing pairs. Lines in a later repeated run are deleted.
 
+With `least`, a run is measured by its content too: a line of `least` words or more and the whole of a text of one
+line that isn't blank are windows of their own, whatever their neighbours are. The pipeline's stage and op1_content_line_dedup have this
+rule; op1_winnow_line_dedup keeps the rule of its SQL, runs of RUN lines only.
+
 Defined results. Lines are what lies between \\n. A null text stays null and is treated as empty. A text
-of fewer lines than `run` is kept whole. Rows with the same doc_id and text are one document: each
+of fewer lines than `run` is kept whole, without `least`. Rows with the same doc_id and text are one document: each
 gets the same result. A null doc_id comes first in the order. Runs that repeat in one document, also
 where they overlap, are later runs too. A document may lose all its lines: its text is then empty.
 Columns of the input are kept and may have any names.
@@ -21,18 +25,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import let, same, text_of, written
+from millrace.llm.common import let, same, text_of, words, written
 from millrace.session import table
 
 RUN = 2
+LEAST = 10  # words of a line that is a window of its own
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def windows(docs: DataFrame, run: int) -> DataFrame:
-    """One row for each fingerprint of a document: fp, doc_id, th and the starts and hashes of its windows."""
+def windows(docs: DataFrame, run: int, least: int | None = None) -> DataFrame:
+    """One row for each window of a document: fp, doc_id, th, start, key and the window's last line."""
     hashes = F.transform(_lines(text_of()), lambda x: F.xxhash64(x))
     # A window's least (hash, -position) is its minimum, the rightmost on ties.
     each = let(
@@ -46,35 +51,42 @@ def windows(docs: DataFrame, run: int) -> DataFrame:
         ),
     )
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("th"), F.explode(each).alias("w"))
-    return rows.select("doc_id", "th", F.col("w.least.h").alias("fp"), F.col("w.start").alias("start"), F.col("w.key").alias("key"))
-
-
-def later_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, th, starts): where in a document later repeated runs start."""
+    found = rows.select("doc_id", "th", F.col("w.least.h").alias("fp"), F.col("w.start").alias("start"), F.col("w.key").alias("key"), (F.col("w.start") + run - 1).alias("end"))
+    if least is None:
+        return found
+    # A window of one line is its own fingerprint; its key is salted, so no longer window has it.
+    alone = docs.select("doc_id", F.xxhash64(text_of()).alias("th"), F.posexplode(_lines(text_of())).alias("start", "line"), (~F.contains(text_of(), F.lit("\n"))).alias("whole"))
+    alone = alone.filter(F.size(words(F.col("line"))) >= F.when(F.col("whole"), 1).otherwise(least))
+    key = F.xxhash64(F.lit("line"), "line")
+    return found.unionByName(alone.select("doc_id", "th", key.alias("fp"), "start", key.alias("key"), F.col("start").alias("end")))
+
+
+def later_runs(docs: DataFrame, run: int = RUN, least: int | None = None) -> DataFrame:
+    """(doc_id, th, spans): the first and last lines of the later repeated windows of a document."""
     place = F.struct("doc_id", "th", "start")
-    found = windows(docs, run)
+    found = windows(docs, run, least)
     shared = found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("fp")
     near = written(found.join(written(shared, "fingerprints").hint("merge"), "fp", "left_semi").drop("fp"), "windows")
     first = near.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("key", "first")
     later = near.join(written(first, "first-runs").hint("merge"), "key").filter(place > F.col("first"))
-    return written(later.groupBy("doc_id", "th").agg(F.collect_set("start").alias("starts")), "later-runs")
+    return written(later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "later-runs")
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
+def dedup_lines(docs: DataFrame, run: int = RUN, least: int | None = None) -> DataFrame:
     """The documents, text without later repeated runs, and a struct column `line_dedup` of n_lines and n_removed."""
-    gone = later_runs(docs.select("doc_id", "text"), run).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("starts").alias("__starts"))
+    gone = later_runs(docs.select("doc_id", "text"), run, least).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
     # A sort-merge join at every size: a broadcast that fits small inputs only would change the plan as they grow.
     joined = docs.join(gone.hint("merge"), same(docs["doc_id"], F.col("__id")) & (F.xxhash64(text_of()) == F.col("__th")), "left")
-    lost = F.flatten(F.transform("__starts", lambda s: F.sequence(s, s + run - 1)))
+    lost = F.flatten(F.transform("__spans", lambda s: F.sequence(s["start"], s["end"])))
     kept = let(
         _lines(F.col("text")),
         lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), lost), lambda p: F.get(ls, p)), "\n"),
     )
     n_lines, n_removed = F.size(_lines(text_of())), F.coalesce(F.size(F.array_distinct(lost)), F.lit(0))
     # size() of null is -1 unless ANSI rules say null.
-    removed = F.when(F.col("__starts").isNull(), F.lit(0)).otherwise(n_removed)
+    removed = F.when(F.col("__spans").isNull(), F.lit(0)).otherwise(n_removed)
     counts = F.struct(n_lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
-    text = F.when(F.col("__starts").isNull(), F.col("text")).otherwise(kept)
+    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(kept)
     return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], counts.alias("__line_dedup"))
 
 
@@ -84,9 +96,15 @@ def op1_winnow_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "__line_dedup.n_lines", "__line_dedup.n_removed", "text")
 
 
+def op1_content_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later repeated runs of two lines or more, lines of LEAST words or more and texts of one line."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, least=LEAST).select("doc_id", "__line_dedup.n_lines", "__line_dedup.n_removed", "text")
+
+
 def line_dedup_stage(docs: DataFrame) -> DataFrame:
     """The documents with their own columns; n_chars, where there is one, follows the text."""
-    out = dedup_lines(docs).drop("__line_dedup")
+    out = dedup_lines(docs, least=LEAST).drop("__line_dedup")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -107,3 +125,21 @@ def dedup_sql(source: str, run: int = RUN) -> str:
 
 
 OP1_SQL = dedup_sql("documents")
+
+
+def content_sql(source: str, run: int = RUN, least: int = LEAST) -> str:
+    """DuckDB SQL of dedup_lines() with least: (doc_id, n_lines, n_removed, text) of a relation with unique ids."""
+    shift = " || chr(10) || ".join(["l"] + [f"lead(l, {k}) OVER w" for k in range(1, run)])
+    return rf"""
+    WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i, len(string_split(text, chr(10))) AS n FROM {source}),
+    win AS (SELECT doc_id, i, {run} AS size, {shift} AS key FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+            UNION ALL SELECT doc_id, i, 1, l FROM lines WHERE len(regexp_extract_all(l, '[^ 	-]+')) >= CASE WHEN n = 1 THEN 1 ELSE {least} END),
+    ranked AS (SELECT doc_id, i, size, row_number() OVER (PARTITION BY size, key ORDER BY doc_id, i) AS r FROM win WHERE key IS NOT NULL),
+    gone AS (SELECT DISTINCT doc_id, i + k AS i FROM ranked, unnest(range({run})) AS u(k) WHERE r > 1 AND k < size),
+    kept AS (SELECT doc_id, count(*) AS n_lines, count(g.i) AS n_removed, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (g.i IS NULL), '') AS text
+             FROM lines LEFT JOIN gone AS g USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_lines, 1) AS n_lines, coalesce(n_removed, 0) AS n_removed, kept.text AS text FROM {source} LEFT JOIN kept USING (doc_id)
+    """
+
+
+OP1_CONTENT_SQL = content_sql("documents")

@@ -140,3 +140,40 @@ def test_line_dedup_edges(spark):
     assert stage.columns == twice.columns
     assert {(r.doc_id, r.n_chars) for r in stage.collect()} == {(None, 3), (5, 0)}
     assert line_dedup.line_dedup_stage(docs(spark, [])).count() == 0
+
+
+def brute_content(rows, run, least):
+    seen, out = set(), {}
+    for i, text in sorted(rows, key=lambda r: r[0]):
+        lines = (text or "").split("\n")
+        spans = [(a, a + run) for a in range(len(lines) - run + 1)]
+        spans += [(a, a + 1) for a, x in enumerate(lines) if len(re.findall(r"[^\x20\x09-\x0D]+", x)) >= (1 if len(lines) == 1 else least)]
+        gone = set()
+        for a, b in sorted(spans):
+            key = tuple(lines[a:b])
+            if key in seen:
+                gone |= set(range(a, b))
+            seen.add(key)
+        out[i] = (len(lines), len(gone), text if not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone))
+    return out
+
+
+def test_line_dedup_measures_content(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    random.seed(6)
+    long = [" ".join(f"w{k}{i}" for i in range(12)) for k in range(3)]
+    pool = [*long, "a", "b", "c d", "", "e\tf g"]
+    texts = [*TEXTS, "one line", "one line", " ", " ", long[0], f"x\n{long[0]}\ny", f"p\n{long[0]}\nq", f"a\n{long[1]}\n{long[1]}"] + ["\n".join(random.choice(pool) for _ in range(random.randint(1, 6))) for _ in range(60)]
+    df = docs(spark, texts)
+    want = brute_content(list(enumerate(texts)), 2, line_dedup.LEAST)
+    d = save(tmp_path, df)
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.op1_content_line_dedup(spark, d).collect()}
+    assert got == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet/*.parquet'")
+    assert {r[0]: r[1:] for r in con.execute(line_dedup.OP1_CONTENT_SQL).fetchall()} == want
+    assert want[9][2] == "" and want[14][2] == "p\nq"
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup_stage(df).collect()} == {i: v[2] for i, v in want.items()}
