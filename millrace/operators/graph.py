@@ -2,47 +2,55 @@
 
 from __future__ import annotations
 
-import uuid
+import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def call_paths(edges: DataFrame, start: DataFrame, depth: int = 10) -> DataFrame:
-    """(start, path) of all simple call paths from each start to a leaf, cut at depth nodes.
+def _kept(df: DataFrame) -> DataFrame:
+    """The rows, written once to the checkpoint folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+    return df.checkpoint()
+
+
+def call_paths(edges: DataFrame, start: DataFrame, depth: int | None = 10) -> DataFrame:
+    """(start, path) of all simple call paths from each start to a leaf, cut at depth nodes, or whole if depth is None.
 
     C edges are calls; an O edge (overrider, overridden) is followed backwards, except at the start. A start without calls is a path.
+    Each round of joins adds a node and is written.
     """
-    spark = edges.sparkSession
-    e, s = (f"v_{uuid.uuid4().hex}" for _ in range(2))
     calls = edges.filter("label = 'C'").select("src", "dst")
-    calls.withColumn("over", F.lit(False)).unionByName(edges.filter("label = 'O'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("over"))).createOrReplaceTempView(e)
-    start.createOrReplaceTempView(s)
-    rows = spark.sql(f"""
-        WITH RECURSIVE p(start, node, path, n) AS (
-            SELECT id, id, array(id), 1 FROM {s}
-            UNION ALL
-            SELECT p.start, e.dst, concat(p.path, array(e.dst)), p.n + 1 FROM p JOIN {e} AS e ON e.src = p.node
-            WHERE NOT array_contains(p.path, e.dst) AND p.n < {int(depth)} AND NOT (e.over AND p.n = 1))
-        SELECT start, node, path, n FROM p""")
+    e = _kept(calls.withColumn("over", F.lit(False)).unionByName(edges.filter("label = 'O'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("over"))))
+    rounds = [_kept(start.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("path")))]
+    while (depth is None or len(rounds) < depth) and not rounds[-1].isEmpty():
+        grown = rounds[-1].join(e.filter("NOT over") if len(rounds) == 1 else e, F.col("src") == F.col("node")).filter(~F.array_contains("path", F.col("dst")))
+        rounds.append(_kept(grown.select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))))
+    rows = reduce(DataFrame.unionByName, rounds)
     inner = calls.select(F.col("src").alias("node")).distinct()
-    leaves = rows.join(inner, "node", "left_anti").select("start", "path")
-    cut = rows.filter(F.col("n") == depth).join(inner, "node", "left_semi").select("start", "path")
-    found = leaves.union(cut).distinct()
+    found = rows.join(inner, "node", "left_anti").select("start", "path")
+    if depth is not None:
+        found = found.union(rows.filter(F.size("path") == depth).join(inner, "node", "left_semi").select("start", "path"))
+    found = found.distinct()
     return found.unionByName(start.select(F.col("id").alias("start")).join(found.select("start"), "start", "left_anti").select("start", F.array("start").alias("path")))
 
 
-def ancestors(parents: DataFrame, depth: int = 50) -> DataFrame:
-    """(node, ancestor, distance) along a table (node, parent); a node is its own at distance 0."""
-    spark = parents.sparkSession
-    v = f"v_{uuid.uuid4().hex}"
-    parents.createOrReplaceTempView(v)
-    return spark.sql(f"""
-        WITH RECURSIVE a(node, ancestor, distance) AS (
-            SELECT DISTINCT node, node, 0 FROM {v}
-            UNION ALL
-            SELECT a.node, p.parent, a.distance + 1 FROM a JOIN {v} AS p ON p.node = a.ancestor WHERE p.parent IS NOT NULL AND a.distance < {int(depth)})
-        SELECT node, ancestor, distance FROM a""")
+def ancestors(parents: DataFrame) -> DataFrame:
+    """(node, ancestor, distance) along a table (node, parent), at any distance, the least where there are several; a node is its own at 0.
+
+    Each round of joins adds a generation and is written, until nothing new comes; so cycles end.
+    """
+    up = _kept(parents.select("node", "parent"))
+    rounds = [_kept(up.select("node", F.col("node").alias("ancestor")).distinct().withColumn("distance", F.lit(0)))]
+    while not rounds[-1].isEmpty():
+        seen = reduce(DataFrame.unionByName, rounds).select("node", "ancestor")
+        link = up.filter("parent IS NOT NULL").select(F.col("node").alias("ancestor"), "parent")
+        new = rounds[-1].join(link, "ancestor").select("node", F.col("parent").alias("ancestor")).distinct().join(seen, ["node", "ancestor"], "left_anti")
+        rounds.append(_kept(new.withColumn("distance", F.lit(len(rounds)))))
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def members(parents: DataFrame, own: DataFrame) -> DataFrame:

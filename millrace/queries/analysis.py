@@ -98,6 +98,14 @@ def call_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.call_paths(_edges(spark, sf_dir).filter("label = 'C'"), start, 8).select("start", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
+def call_paths_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All paths from all suppliers over all supplier-part pairs; a part is -1 - p_partkey, and the odd ones override the part before."""
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst"), F.lit("C").alias("label")).distinct()
+    over = table(spark, sf_dir, "part").filter("p_partkey % 2 = 1").select((-1 - F.col("p_partkey")).alias("src"), (-F.col("p_partkey")).alias("dst"), F.lit("O").alias("label"))
+    start = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
+    return graph.call_paths(pairs.unionByName(over), start, None).select("start", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+
+
 def ancestor_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     parents = s.select(F.col("s_suppkey").alias("node"), F.when(F.col("s_suppkey") > 1, F.floor(F.col("s_suppkey") / 2)).alias("parent"))
@@ -105,7 +113,7 @@ def ancestor_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.members(parents, own)
 
 
-QUERIES = {f.__name__: f for f in (cohen_kappa, venn_overlap, binned_success, bin_gap, best_config_per_metric, text_counts, code_block_extract, regex_extract_all, prompt_fill, line_comment, trace_parse, frame_interval_join, call_paths, ancestor_members)}
+QUERIES = {f.__name__: f for f in (cohen_kappa, venn_overlap, binned_success, bin_gap, best_config_per_metric, text_counts, code_block_extract, regex_extract_all, prompt_fill, line_comment, trace_parse, frame_interval_join, call_paths, call_paths_lineitem, ancestor_members)}
 _BIN = "WITH r AS (SELECT least(greatest(ceil(l_quantity / 5) - 1, 0), 8)::BIGINT AS bin, (l_returnflag <> 'R')::INT a, (l_linestatus = 'F')::INT b FROM lineitem), m AS (SELECT bin, count(*) n, avg(a) ma, avg(b) mb FROM r GROUP BY 1), g AS (SELECT i::BIGINT bin, CASE WHEN i = 8 THEN '40+' ELSE (i * 5) || '-' || (i * 5 + 5) END AS label, coalesce(n, 0)::BIGINT n, ma, mb FROM range(9) t(i) LEFT JOIN m ON m.bin = i)"
 ORACLES = {
     "cohen_kappa": """WITH c AS (SELECT lang, count(*) FILTER (quality = 1 AND toxic = 1) yes_yes, count(*) FILTER (quality = 1 AND toxic <> 1) yes_no, count(*) FILTER (quality <> 1 AND toxic = 1) no_yes, count(*) FILTER (quality <> 1 AND toxic <> 1) no_no FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY 1),
