@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,26 +34,48 @@ def let(value: Column, use) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; one of our own only where none is set."""
+    """The checkpoint folder that the session names. Only where all tasks run on this machine may it be unset: a temporary one then serves."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-"))
     return context.getCheckpointDir()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once as Parquet to the shared folder and read back.
+class Scratch:
+    """Tables of one job in the shared folder, each written once as Parquet and read back.
 
-    This cuts lineage: a lost executor costs the tasks that ran on it, not what came before. Spark
-    removes the folder when the application ends.
+    This cuts lineage: a lost executor costs the tasks that ran on it, not what came before. A table
+    is dropped when later ones have been written from it; what is left goes when the application ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        at, files = self._at(self.path)
+        files.deleteOnExit(at)
+
+    def _at(self, path: str):
+        """The path and its file system, whichever store it is in."""
+        context = self.spark.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(context._jsc.hadoopConfiguration())
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """The rows, written and read back."""
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            at, files = self._at(f"{self.path}/{name}")
+            files.delete(at, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once to the shared folder and read back; they stay until the application ends."""
+    return Scratch(df.sparkSession, name).keep(df, "rows")
 
 
 def same(left: Column, right: Column) -> Column:

@@ -3,23 +3,27 @@
 A document is the set of its shingles (N consecutive words). Documents of equal sets are a class,
 handled once. A run splits the classes recursively: at each level a set x chooses each of its shingles
 whose hash with the path so far is below CHOSEN / |x|, and each choice extends the path; sets on one
-path share all shingles chosen on it. A path with at most SMALL sets is compared by brute force, a
-larger one is split further. A pair at the threshold keeps CHOSEN * similarity common choices a level on
-average, so it is lost in one run with a known probability, and runs are repeated until RECALL is reached.
-
-A larger path that is made of similar sets can't be split: its sets agree in most bits of their sketches,
-or the last split hardly shrank it. Such crowds, joined where they share a set, are compared whole, each
-pair once: the sets are dealt to blocks of bounded size, a task has two blocks, and it returns for each
-set only the number of its links and the least set of its component there. So a crowd of n sets makes
-n * blocks rows, not n * n pairs.
-
-Pairs compared on small paths pass by their sizes and by 64 one-bit min-hash sketches (a pair at the threshold is held back
-with a probability under 1e-4, which is part of the stated recall), then by the exact Jaccard of their sets.
+path share all shingles chosen on it. A path with at most SMALL sets is a bucket, compared by brute force; a
+larger one is split further, unless its sets agree in most bits of their sketches or the last split
+hardly shrank it: no split would part them, so it is a bucket too. A pair at the threshold keeps CHOSEN *
+similarity common choices a level on average, so it is lost in one run with a known probability, and
+runs are repeated until RECALL is reached.
+
+A bucket is compared in three steps, whatever its size. Its sets are dealt to blocks of bounded size, and a
+task works on two of them.
+
+1. Sketches: 64 one-bit min-hashes and the sizes tell which sets may be similar to another one (a pair
+   at the threshold is held back with a probability under 1e-4, part of the stated recall). Only these stay.
+2. First meetings: a pair that shares several buckets belongs to the first of them by its path, so it is
+   counted once. Sets without a pair of their own here leave the bucket.
+3. Shingles: the exact Jaccard of the pairs that belong here. The bucket returns for each set the number of its links and
+   the least set of its component, not pairs: so it makes as many rows as it has sets.
 
 Defined results. A text with fewer than N words is one shingle of all its words; texts without words,
 null ones too, are one class. Rows with equal doc_id and text are one document, repeated. The class of
 a document is the connected component of its links; class_id is the least doc_id in it, null if a
 document without doc_id is in it (nulls are least). n_links counts the other sets linked to its set.
+An empty table gives no rows. Texts may be of any length, and further columns may have any names.
 """
 
 from __future__ import annotations
@@ -28,24 +32,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import same, text_of, word_hashes, written
-from millrace.llm.word_table import blocks, gathered, lists
+from millrace.llm.common import Scratch, fresh, text_of, word_hashes, written
+from millrace.llm.word_table import blocks, gathered, lists, whole_groups
 from millrace.session import table
 
 N = 5
 SIMILARITY = 0.8
 RECALL = 0.999
 CHOSEN = 2.0
-SMALL = 256
+SMALL = 4096
 DEPTH = 12
-#: Sets of a path that agree in this share of their sketches' bits, on average, are a crowd: it can't be split.
+#: Sets of a path that agree in this share of their sketches' bits, on average, can't be split.
 ALIKE = 0.75
-#: Sets in a block of a crowd, and shingles in one: what a task holds of each of its two blocks.
+#: Sets in a block of a bucket, and shingles in one: what a task holds of each of its two blocks.
 CROWD_SETS = 4096
 CROWD_SHINGLES = 2_000_000
+#: Pairs of small buckets that are looked at in one go; a bucket of more rows than FEW is looked at by itself.
+PAIRS = 1_000_000
+FEW = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Agreeing bits that a pair at the threshold has: 57.6 on average, standard deviation 2.4.
 SKETCH_BITS_APART = 16
@@ -144,14 +151,15 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, flat.to_numpy(zero_copy_only=False)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(rid, set) of the wanted classes, each once; wanted has rid and the doc_id and th of one document."""
+def _key(doc_id: Column, th: Column) -> Column:
+    """A document by its id and its text's hash, as one plain column; a null id is a value."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), th.cast("string"))
 
-    def key(th: Column) -> Column:
-        return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), th.cast("string"))
 
-    texts = docs.select(key(F.xxhash64(text_of())).alias("key"), text_of().alias("text"))
-    texts = texts.join(wanted.select("rid", key(F.col("th")).alias("key")).hint("merge"), "key")
+def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(rid, set) of the wanted classes, each once; wanted has rid and the doc_id and th of one document."""
+    texts = docs.select(_key(F.col("doc_id"), F.xxhash64(text_of())).alias("key"), text_of().alias("text"))
+    texts = texts.join(wanted.select("rid", _key(F.col("doc_id"), F.col("th")).alias("key")).hint("merge"), "key")
     texts = texts.groupBy("key", "rid").agg(F.first("text").alias("text"))  # rows that repeat; the join's partitions serve
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,31 +186,156 @@ def _split(active: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "path long, rid binary, size int, sketch long, parent long")
 
 
-def _may_link(a: dict[str, Column], b: dict[str, Column], similarity: float) -> Column:
-    return (
-        (a["rid"] < b["rid"])
-        & (F.least(a["size"], b["size"]) >= F.lit(similarity) * F.greatest(a["size"], b["size"]))
-        & (F.bit_count(a["sketch"].bitwiseXOR(b["sketch"])) <= SKETCH_BITS_APART)
-    )
-
-
-def _compared(buckets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of rids that share a path of at most SMALL sets and may be similar."""
-    each = buckets.groupBy("path").agg(F.collect_list(F.struct("rid", "size", "sketch")).alias("x"))
-    pairs = F.flatten(F.transform("x", lambda p: F.transform(F.filter("x", lambda q: _may_link(p, q, similarity)), lambda q: F.struct(p["rid"].alias("a"), q["rid"].alias("b")))))
-    return each.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
-
-
-def _parted(rows: DataFrame, last: bool, name: str) -> tuple[DataFrame, DataFrame]:
-    """(crowds, the rest) of the paths with more than SMALL sets."""
+def _parted(rows: DataFrame, last: bool, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """(those that no split parts, the rest) of the paths with more than SMALL sets."""
     # Of two sets of one path a bit agrees with the probability p * p + (1 - p) * (1 - p).
     ones = [F.avg(F.shiftrightunsigned("sketch", b).bitwiseAND(F.lit(1))) for b in range(64)]
     alike = sum((1 - 2 * p * (1 - p) for p in ones), F.lit(0.0)) / 64
-    seen = written(rows.groupBy("path").agg(alike.alias("alike")), f"{name}-alike")
+    seen = scratch.keep(rows.groupBy("path").agg(alike.alias("alike")), f"{name}-alike")
     rows = rows.join(seen.hint("merge"), "path")
-    crowd = F.lit(True) if last else (F.col("alike") >= ALIKE) | F.coalesce(2 * F.col("n") > F.col("parent"), F.lit(False))
-    rows = written(rows.withColumn("crowd", crowd), f"{name}-large")
-    return rows.filter("crowd"), rows.filter(~F.col("crowd"))
+    whole = F.lit(True) if last else (F.col("alike") >= ALIKE) | F.coalesce(2 * F.col("n") > F.col("parent"), F.lit(False))
+    rows = scratch.keep(rows.withColumn("whole", whole).drop("alike"), f"{name}-large")
+    return rows.filter("whole").drop("whole"), rows.filter(~F.col("whole")).drop("whole")
+
+
+#: A group of a task: two blocks of a bucket, or one with itself.
+GROUP = ("path", "i", "j")
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """The rows dealt out and sorted by group, for whole_groups()."""
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of buckets (path, rid, size, sketch, n, total) as (path, i, j, block, rid, size, sketch), a row for each pair of blocks."""
+    count = F.greatest(F.ceil(F.col("n") / CROWD_SETS), F.ceil(F.col("total") / CROWD_SHINGLES)).cast("int")
+    dealt = rows.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("path", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "size", "sketch")
+
+
+class _Rows:
+    """The two sides of a group, equal if it has one block only."""
+
+    def __init__(self, group: pa.RecordBatch):
+        block, i, j = (group.column(c).to_numpy() for c in ("block", "i", "j"))
+        self.one = bool(i[0] == j[0])
+        self.at = [np.flatnonzero(block == x) for x in (i[0], j[0])]
+        self.size, self.sketch = group.column("size").to_numpy(), group.column("sketch").to_numpy().view(np.uint64)
+
+    def near(self, similarity: float) -> np.ndarray:
+        """Which pairs of the sides may be similar, by their sizes and sketches."""
+        a, b = self.at
+        out = np.zeros((len(a), len(b)), dtype=bool)
+        for k in range(0, len(a), 512):
+            out[k : k + 512] = _may_link(self.size[a[k : k + 512], None], self.size[None, b], self.sketch[a[k : k + 512], None], self.sketch[None, b], similarity)
+        if self.one:
+            np.fill_diagonal(out, False)
+        return out
+
+    def any(self, pairs: np.ndarray) -> np.ndarray:
+        """The rows of the group that are in a pair."""
+        out = np.zeros(len(self.size), dtype=bool)
+        out[self.at[0]] |= pairs.any(1)
+        out[self.at[1]] |= pairs.any(0)
+        return out
+
+    def first_met(self, pairs: np.ndarray, path: int, lists: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The pairs without those that share a path before this one; lists are the paths of each row."""
+        offsets, flat = lists
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        row, flat = row[flat < path], flat[flat < path]
+        order = np.argsort(flat, kind="stable")
+        row, flat = row[order], flat[order]
+        place = [np.full(len(self.size), -1, dtype=np.int64) for _ in range(2)]
+        for x, at in zip(place, self.at, strict=True):
+            x[at] = np.arange(len(at))
+        cuts = np.flatnonzero(np.diff(flat)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(flat)], strict=True):
+            if b - a > 1:
+                left, right = (x[row[a:b]] for x in place)
+                pairs[np.ix_(left[left >= 0], right[right >= 0])] = False
+        return pairs
+
+
+def _may_link(size: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, sketches: np.ndarray, similarity: float) -> np.ndarray:
+    return (np.bitwise_count(sketch ^ sketches) <= SKETCH_BITS_APART) & (np.minimum(size, sizes) >= similarity * np.maximum(size, sizes))
+
+
+def near_rows(rows: pa.RecordBatch, edges: np.ndarray, similarity: float) -> np.ndarray:
+    """The rows of groups that may be similar to another row of their group."""
+    sizes = np.diff(edges)
+    size, sketch = rows.column("size").to_numpy(), rows.column("sketch").to_numpy().view(np.uint64)
+    out = np.zeros(rows.num_rows, dtype=bool)
+    small = (sizes <= FEW) & (rows.column("i").to_numpy() == rows.column("j").to_numpy())[edges[:-1]]
+    after = np.where(np.repeat(small, sizes), np.repeat(edges[1:], sizes) - np.arange(rows.num_rows) - 1, 0)  # rows of the group that come later
+    cuts = np.flatnonzero(np.diff(np.cumsum(after) // PAIRS)) + 1
+    for k, end in zip([0, *cuts], [*cuts, rows.num_rows], strict=True):
+        a = np.repeat(np.arange(k, end), after[k:end])
+        b = gathered(after[k:end], np.arange(k, end) + 1)
+        ok = _may_link(size[a], size[b], sketch[a], sketch[b], similarity)
+        out[a[ok]] = out[b[ok]] = True
+    for g in np.flatnonzero(~small):
+        group = _Rows(rows.slice(edges[g], sizes[g]))
+        out[edges[g] : edges[g + 1]] = group.any(group.near(similarity))
+    return out
+
+
+def _near(rows: DataFrame, similarity: float) -> DataFrame:
+    """Step 1: the dealt rows that may be similar to another one of their group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, edges in whole_groups(batches, GROUP):
+            yield part.filter(pa.array(near_rows(part, edges, similarity)))
+
+    return _grouped(_dealt(rows)).mapInArrow(run, "path long, i int, j int, block int, rid binary, size int, sketch long")
+
+
+def _owned(near: DataFrame, similarity: float) -> DataFrame:
+    """Step 2: the rows with a pair that meets in this bucket first, each with all the buckets of its set."""
+    lists_of = near.groupBy("rid").agg(F.collect_set("path").alias("paths"))
+    rows = near.join(lists_of.hint("merge"), "rid").select(*near.columns, "paths")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, edges in whole_groups(batches, GROUP):
+            keep = [np.zeros(0, dtype=bool)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                group = part.slice(a, b - a)
+                sides = _Rows(group)
+                keep.append(sides.any(sides.first_met(sides.near(similarity), group.column("path")[0].as_py(), _flat(group.column("paths")))))
+            yield part.filter(pa.array(np.concatenate(keep)))
+
+    return _grouped(rows).mapInArrow(run, "path long, i int, j int, block int, rid binary, size int, sketch long, paths array<long>")
+
+
+def _linked(owned: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Step 3: (rid, root, n): for each group that a set has links in, their number and the least set that it is connected with there."""
+    rows = owned.join(sets.hint("merge"), "rid").select(*owned.columns, "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, edges in whole_groups(batches, GROUP):
+            for a, b in zip(edges, edges[1:], strict=False):
+                yield _links_of(part.slice(a, b - a), similarity)
+
+    return _grouped(rows).mapInArrow(run, "rid binary, root binary, n long")
+
+
+def _links_of(group: pa.RecordBatch, similarity: float) -> pa.RecordBatch:
+    sides = _Rows(group)
+    linked = sides.first_met(sides.near(similarity), group.column("path")[0].as_py(), _flat(group.column("paths")))
+    a, b = (_flat(group.column("set").take(pa.array(x))) for x in sides.at)
+    for k in range(0, len(linked), 512):
+        ends = a[0][k : k + 513]
+        common = shared_shingles((ends - ends[0], a[1][ends[0] : ends[-1]]), b).astype(np.float64)
+        linked[k : k + 512] &= common / np.maximum(np.diff(ends)[:, None] + np.diff(b[0])[None, :] - common, 1) >= similarity
+    rids = group.column("rid").take(pa.array(sides.at[0] if sides.one else np.concatenate(sides.at)))
+    rank = np.argsort(np.argsort(np.array(rids.to_pylist(), dtype=object))).astype(np.int32)
+    roots = _roots(linked, rank, sides.one)
+    counts = linked.sum(1) if sides.one else np.concatenate([linked.sum(1), linked.sum(0)])
+    hit = np.flatnonzero(counts)
+    least = np.argsort(rank)[roots[hit]]
+    return pa.RecordBatch.from_arrays([rids.take(pa.array(hit)), rids.take(pa.array(least)), pa.array(counts[hit].astype(np.int64))], names=["rid", "root", "n"])
 
 
 def shared_shingles(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], columns: int = 2048) -> np.ndarray:
@@ -227,46 +360,6 @@ def shared_shingles(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.nd
     return out
 
 
-def _clusters(crowds: DataFrame) -> DataFrame:
-    """(rid, cluster, size) of the sets in crowds; crowds that share a set are one cluster."""
-    root = written(crowds.groupBy("path").agg(F.min("rid").alias("root")), "crowd-roots")
-    stars = crowds.select("path", "rid").join(root.hint("merge"), "path").select(F.col("rid").alias("a"), F.col("root").alias("b")).distinct()
-    sizes = crowds.groupBy("rid").agg(F.first("size").alias("size"))
-    return written(components(stars).join(sizes, "rid").select("rid", F.col("root").alias("cluster"), "size"), "crowded")
-
-
-def _compared_crowds(crowded: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(rid, root, n): a set of a crowd, the least set it is connected with in a pair of blocks, and its links there."""
-    total = crowded.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CROWD_SETS), F.ceil(F.sum("size") / CROWD_SHINGLES)).cast("int").alias("blocks"))
-    dealt = crowded.join(written(total, "crowd-blocks").hint("merge"), "cluster").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    dealt = written(dealt.select("rid", "cluster", "block", "blocks"), "crowd-dealt")
-    pairs = dealt.join(sets.hint("merge"), "rid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("rid", "cluster", "set", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-
-    def run(group: pa.Table) -> pa.Table:
-        block, i, j = (group.column(c).to_numpy() for c in ("block", "i", "j"))
-        sides = [group.filter(pa.array(block == x)) for x in ((i[0],) if i[0] == j[0] else (i[0], j[0]))]
-        if not all(len(x) for x in sides):  # a block that no set was dealt to
-            return pa.table({"rid": pa.array([], pa.binary()), "root": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
-        a, b = (_flat(sides[k].column("set")) for k in (0, -1))
-        linked = np.zeros((len(a[0]) - 1, len(b[0]) - 1), dtype=bool)
-        for k in range(0, len(linked), 512):
-            ends = a[0][k : k + 513]
-            common = shared_shingles((ends - ends[0], a[1][ends[0] : ends[-1]]), b).astype(np.float64)
-            linked[k : k + 512] = common / np.maximum(np.diff(ends)[:, None] + np.diff(b[0])[None, :] - common, 1) >= similarity
-        if len(sides) == 1:
-            np.fill_diagonal(linked, False)
-        rids = pa.concat_tables(sides).column("rid").combine_chunks()
-        rank = np.argsort(np.argsort(np.array(rids.to_pylist(), dtype=object))).astype(np.int32)
-        roots = _roots(linked, rank, len(sides) == 1)
-        counts = linked.sum(1) if len(sides) == 1 else np.concatenate([linked.sum(1), linked.sum(0)])
-        hit = np.flatnonzero(counts)
-        by_rank = np.argsort(rank)
-        return pa.table({"rid": rids.take(pa.array(hit)), "root": rids.take(pa.array(by_rank[roots[hit]])), "n": pa.array(counts[hit].astype(np.int64))})
-
-    return written(pairs.groupBy("cluster", "i", "j").applyInArrow(run, "rid binary, root binary, n long"), "crowd-links")
-
-
 def _roots(linked: np.ndarray, rank: np.ndarray, one_block: bool) -> np.ndarray:
     """The least rank in each set's component of a matrix of links."""
     far = np.int32(len(rank))
@@ -283,44 +376,44 @@ def _roots(linked: np.ndarray, rank: np.ndarray, one_block: bool) -> np.ndarray:
         labels = new
 
 
-def _sized(rows: DataFrame, name: str) -> DataFrame:
-    """The rows whose path has at least two sets, with n, their number."""
-    counts = written(rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), f"{name}-counts")
-    return written(rows.join(counts.hint("merge"), "path"), f"{name}-paths")
+def _sized(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The rows whose path has at least two sets, with n, their number, and total, that of their shingles."""
+    counts = scratch.keep(rows.groupBy("path").agg(F.count("*").alias("n"), F.sum("size").alias("total")).filter("n > 1"), f"{name}-counts")
+    out = scratch.keep(rows.join(counts.hint("merge"), "path"), f"{name}-paths")
+    scratch.drop(f"{name}-counts")
+    return out
 
 
-def links(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs, crowds, members).
+def links(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """(found, members).
 
-    pairs (a, b, jaccard) of similar classes, a < b, but for those of two sets of one crowd; crowds (rid, root,
-    n): for each block that a set of a crowd was compared with, its links there and a set it is connected
-    with; members (doc_id, th, rid) of all documents.
+    found (rid, root, n): for each group of a bucket in which a set has links, their number and the least set it is connected
+    with there; each link counts once, at both its ends. members (doc_id, th, rid) has all documents.
     """
     docs = docs.select("doc_id", "text")
-    members = written(signatures(docs, n, runs_for(recall, similarity)), "signatures")
-    classes = written(members.groupBy("rid").agg(F.min(F.struct("doc_id", "th")).alias("m"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")).select("rid", "m.*", "size", "sketch", "paths"), "classes")
-    first = classes.select(F.explode(F.array_distinct("paths")).alias("path"), "rid", "size", "sketch").withColumn("parent", F.lit(None).cast("long"))
-    sized = _sized(first, "level-1")
-    crowds, large = _parted(sized.filter(F.col("n") > SMALL), False, "level-1")
-    met = written(_compared(sized.filter(F.col("n") <= SMALL), similarity).distinct(), "met-1")
-    wanted = met.select(F.col("a").alias("rid")).union(met.select("b")).union(large.select("rid")).union(crowds.select("rid")).distinct()
-    sets = written(_sets(docs, classes.select("rid", "doc_id", "th").join(wanted, "rid"), n), "sets")
-    found, crowded, level = [met], [crowds.select("path", "rid", "size")], 1
-    while level < DEPTH and not large.isEmpty():
+    scratch = Scratch(docs.sparkSession, "near-join")
+    members = scratch.keep(signatures(docs, n, runs_for(recall, similarity)), "signatures")
+    classes = scratch.keep(members.groupBy("rid").agg(F.min(F.struct("doc_id", "th")).alias("m"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")).select("rid", "m.*", "size", "sketch", "paths"), "classes")
+    rows = classes.select(F.explode(F.array_distinct("paths")).alias("path"), "rid", "size", "sketch").withColumn("parent", F.lit(None).cast("long"))
+    sets, near, level = None, [], 0
+    while level < DEPTH:
         level += 1
-        sized = _sized(_split(large, sets), f"level-{level}")
-        found.append(_compared(sized.filter(F.col("n") <= SMALL), similarity))
-        crowds, large = _parted(sized.filter(F.col("n") > SMALL), level == DEPTH, f"level-{level}")
-        crowded.append(crowds.select("path", "rid", "size"))
-    pairs = found[0] if len(found) == 1 else written(_union(found).distinct(), "met")
-    clusters = _clusters(_union(crowded))
-    inside = [clusters.select(F.col("rid").alias(c), F.col("cluster").alias(f"cluster_{c}")) for c in "ab"]
-    pairs = pairs.join(inside[0], "a", "left").join(inside[1], "b", "left").filter(F.coalesce(F.col("cluster_a") != F.col("cluster_b"), F.lit(True))).select("a", "b")
-    left = pairs.join(sets.select(F.col("rid").alias("a"), F.col("set").alias("x")), "a")
-    both = left.join(sets.select(F.col("rid").alias("b"), F.col("set").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y")).cast("double")
-    exact = both.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("jaccard")).filter(F.col("jaccard") >= similarity)
-    return written(exact, "links"), _compared_crowds(clusters, sets, similarity), members.select("doc_id", "th", "rid")
+        sized = _sized(rows, scratch, f"level-{level}")
+        whole, large = _parted(sized.filter(F.col("n") > SMALL), level == DEPTH, scratch, f"level-{level}")
+        buckets = sized.filter(F.col("n") <= SMALL).select("path", "rid", "size", "sketch", "n", "total").unionByName(whole.select("path", "rid", "size", "sketch", "n", "total"))
+        near.append(scratch.keep(_near(buckets, similarity), f"near-{level}"))
+        if sets is None:
+            wanted = near[0].select("rid").union(large.select("rid")).distinct()
+            sets = scratch.keep(_sets(docs, classes.select("rid", "doc_id", "th").join(wanted, "rid"), n), "sets")
+            scratch.drop("classes")
+        if large.isEmpty():
+            break
+        scratch.drop(f"level-{level}-paths")
+        rows = _split(large, sets)
+    owned = scratch.keep(_owned(_union(near), similarity), "owned")
+    found = scratch.keep(_linked(owned, sets, similarity), "found")
+    scratch.drop("sets", "owned", *[f"{x}-{k}" for k in range(1, level + 1) for x in ("near",)], *[f"level-{k}-{x}" for k in range(1, level + 1) for x in ("paths", "large", "alike")])
+    return found, members.select("doc_id", "th", "rid")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -336,14 +429,17 @@ def components(pairs: DataFrame) -> DataFrame:
     Labels fall to the least label around, then to that label's own label, so paths shorten by half in
     each round; every round is a join and an aggregate, written to the shared folder.
     """
-    edges = written(pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = written(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("rid"), "root"), "labels")
+    scratch, turn = Scratch(pairs.sparkSession, "components"), 0
+    edges = scratch.keep(pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).distinct(), "edges")
+    labels = scratch.keep(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("rid"), "root"), "labels-0")
     while True:
+        turn += 1
         near = edges.join(labels.select(F.col("rid").alias("b"), "root"), "b").groupBy(F.col("a").alias("rid")).agg(F.min("root").alias("near"))
         lower = labels.join(near, "rid").select("rid", F.least("root", "near").alias("next"), "root")
-        lower = written(lower, "lower")
+        lower = scratch.keep(lower, f"lower-{turn}")
         jumped = lower.join(lower.select(F.col("rid").alias("next"), F.col("next").alias("jump")), "next").select("rid", F.least("next", "jump").alias("root"), (F.least("next", "jump") != F.col("root")).alias("moved"))
-        jumped = written(jumped, "labels")
+        jumped = scratch.keep(jumped, f"labels-{turn}")
+        scratch.drop(f"lower-{turn}", f"labels-{turn - 1}")
         if jumped.filter("moved").isEmpty():
             return jumped.select("rid", "root")
         labels = jumped.select("rid", "root")
@@ -351,15 +447,16 @@ def components(pairs: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame, **settings) -> DataFrame:
     """(doc_id, th, set_doc_id, set_th, class_id, class_th, n_links) of every document, repeated rows included."""
-    pairs, crowds, members = links(docs, **settings)
-    roots = components(pairs.select("a", "b").union(crowds.filter("rid <> root").select("rid", "root")))
-    one = F.lit(1).cast("long").alias("n")
-    degree = pairs.select(F.col("a").alias("rid"), one).union(pairs.select("b", one)).union(crowds.select("rid", "n")).groupBy("rid").agg(F.sum("n").alias("n_links"))
+    found, members = links(docs, **settings)
+    roots = components(found.filter("rid <> root").select(F.col("rid").alias("a"), F.col("root").alias("b")))
+    degree = found.groupBy("rid").agg(F.sum("n").alias("n_links"))
     sets = members.groupBy("rid").agg(F.min(F.struct("doc_id", "th")).alias("m"))
     known = sets.join(roots, "rid", "left").join(degree, "rid", "left").select("rid", "m", F.coalesce("root", "rid").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    known = written(known, "sets-known")
-    least = written(known.groupBy("root").agg(F.min("m").alias("least")), "least")
-    classes = written(known.join(least, "root").select("rid", "m", "least", "n_links"), "near-classes")
+    scratch = Scratch(docs.sparkSession, "near-classes")
+    known = scratch.keep(known, "known")
+    least = scratch.keep(known.groupBy("root").agg(F.min("m").alias("least")), "least")
+    classes = scratch.keep(known.join(least.hint("merge"), "root").select("rid", "m", "least", "n_links"), "classes")
+    scratch.drop("known", "least")
     return members.join(classes.hint("merge"), "rid").select("doc_id", "th", F.col("m.doc_id").alias("set_doc_id"), F.col("m.th").alias("set_th"), F.col("least.doc_id").alias("class_id"), F.col("least.th").alias("class_th"), "n_links")
 
 
@@ -369,10 +466,11 @@ def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_copies_stage(docs: DataFrame) -> DataFrame:
-    """One document of each class, the first by doc_id and then by its text's hash, with its own columns."""
-    kept = grouped(docs).filter(same(F.col("doc_id"), F.col("class_id")) & (F.col("th") == F.col("class_th")))
-    kept = written(kept.groupBy("doc_id", "th").agg(F.count("*").alias("copies")).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "copies"), "kept")
-    joined = docs.join(kept.hint("merge"), same(F.col("doc_id"), F.col("__d")) & (F.xxhash64(text_of()) == F.col("__t")), "inner")
-    if not kept.filter("copies > 1").isEmpty():  # rows that repeat whole: one of them stays
-        joined = joined.dropDuplicates(["__d", "__t"])
-    return joined.select(*docs.columns)
+    """One document of each class, the first by doc_id and then by its text's hash, with its own columns; of rows that repeat, one."""
+    key, place = fresh("__key", docs.columns), fresh("__place", docs.columns)
+    first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("class_th"))
+    kept = written(grouped(docs).filter(first).select(_key(F.col("doc_id"), F.col("th")).alias(key)).distinct(), "kept")
+    joined = docs.withColumn(key, _key(F.col("doc_id"), F.xxhash64(text_of()))).join(kept.hint("merge"), key, "left_semi")
+    # The join has dealt out and sorted the rows by the key, so this costs no shuffle.
+    numbered = joined.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(key)))
+    return numbered.filter(F.col(place) == 1).select(*docs.columns)

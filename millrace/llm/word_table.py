@@ -59,3 +59,30 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, words: int = BLOCK) -
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(rows, where their groups start and end) of batches that are sorted by the keys; no group is cut.
+
+    The group at the end of a batch is held until the next one shows that it is over, so memory holds one
+    batch and one group: whoever deals the rows out must bound the groups.
+    """
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        edges = _edges(rows, keys)
+        if edges[-2]:
+            yield rows.slice(0, int(edges[-2])), edges[:-1]
+        held = rows.slice(int(edges[-2]))
+    if held is not None:
+        yield held, np.array([0, held.num_rows])
+
+
+def _edges(rows: pa.RecordBatch, keys: tuple[str, ...]) -> np.ndarray:
+    new = np.zeros(max(rows.num_rows - 1, 0), dtype=bool)
+    for k in keys:
+        column = rows.column(k).to_numpy(zero_copy_only=False)
+        new |= column[1:] != column[:-1]
+    return np.concatenate([[0], np.flatnonzero(new) + 1, [rows.num_rows]])
