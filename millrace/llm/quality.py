@@ -9,10 +9,14 @@ rejects the most bad texts, each good one weighed against several bad ones, is u
 nothing stays off. So with probability 1 - delta, in every stratum all rules together reject at most
 the share `risk` of good texts.
 
+The binomial bound needs independent trials, so a labelled text counts once in its stratum however many documents or rows
+have it, and a text with labels of both kinds counts not at all. Rules and grid are fixed in advance and nothing else is learned from the labels, so all of
+them are holdout rows.
+
 Defined results. A null text is empty: no words, all counts 0, base_failed. Nulls in the stratum form a
 stratum of their own. A stratum with no certified cutoff keeps all that passes the base rule. Rows that
 repeat are judged alike, each on its own. Labels with a null id or null quality are not used; repeated
-label rows count once. Columns of the input are kept and may have any names.
+label rows count once. An empty table gives no rows, whatever the labels. Columns of the input are kept and may have any names.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import let, text_of, word_hashes, words, written
+from millrace.llm.common import fresh, let, text_of, word_hashes, words, written
 from millrace.session import table
 
 SYMBOLS = "#*$%&|<>"
@@ -159,7 +163,7 @@ def certified(counts: list, risk: float, delta: float, weight: float) -> list[Cu
 
 
 def fit(counts: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05, weight: float = 5.0) -> list[Cutoff]:
-    """Certified cutoffs from all labelled rows that pass the base rule; counts as counted() gives them.
+    """Certified cutoffs from all labelled texts that pass the base rule; counts has doc_id, th (the text's hash), stratum and counts.
 
     Only one row for each stratum, rule and step of the grid comes to the driver, however many rows are
     labelled. A ratio falls in step i when it is above GRID[i] and not above GRID[i + 1].
@@ -167,10 +171,11 @@ def fit(counts: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float =
     good = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", (F.col("quality") > 0).alias("good")).distinct()
     f = F.col("counts")
     steps = F.array(*[F.struct(F.lit(k).alias("rule"), _step(v).alias("step")) for k, v in ratios(f).items()])
-    rows = counts.filter(~base_failed(f)).select("doc_id", "stratum", F.explode(steps).alias("r"))
+    rows = counts.filter(~base_failed(f)).select("doc_id", "th", "stratum", steps.alias("steps")).join(good, "doc_id")
+    trials = rows.groupBy("th", "stratum").agg(F.bool_and("good").alias("good"), F.bool_or("good").alias("any_good"), F.first("steps").alias("steps")).filter("good = any_good")
     found = (
-        rows.select("doc_id", "stratum", "r.*")
-        .join(good, "doc_id")
+        trials.select("stratum", "good", F.explode("steps").alias("r"))
+        .select("stratum", "good", "r.*")
         .groupBy("stratum", "rule", "step")
         .agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
     )
@@ -190,9 +195,14 @@ def verdict(f: Column, stratum: Column, cutoffs: list[Cutoff]) -> Column:
     return ~base_failed(f) & ~reject
 
 
+def _measures(stratum: str) -> list[Column]:
+    """doc_id, th, the stratum and the counts of a document, as fit() reads them."""
+    return [F.col("doc_id"), F.xxhash64(text_of()).alias("th"), F.col(stratum).cast("string").alias("stratum"), features(text_of()).alias("counts")]
+
+
 def counted(docs: DataFrame, stratum: str) -> DataFrame:
-    """doc_id, the stratum and the counts of every document, written once: both the fit and the verdict read it."""
-    return written(docs.select("doc_id", F.col(stratum).cast("string").alias("stratum"), features(text_of()).alias("counts")), "quality-counts")
+    """The measures of every document, written once: both the fit and the verdict read them."""
+    return written(docs.select(*_measures(stratum)), "quality-counts")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,6 +220,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **settings) -> DataFrame:
-    """The documents that are kept, with their own columns."""
-    cutoffs = fit(counted(docs, stratum), labels, **settings)
-    return docs.filter(let(features(text_of()), lambda f: verdict(f, F.col(stratum).cast("string"), cutoffs)))
+    """The documents that are kept, with their own columns.
+
+    They are written once with their measures: the fit reads these only, and no text is counted twice.
+    """
+    name = fresh("measures", docs.columns)
+    rows = written(docs.withColumn(name, F.struct(*_measures(stratum))), "quality-documents")
+    cutoffs = fit(rows.select(f"{name}.*"), labels, **settings)
+    return rows.filter(verdict(F.col(name)["counts"], F.col(name)["stratum"], cutoffs)).select(*docs.columns)
