@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The fence of a reply's code, what stands for a reply without one, and the fields of coverage logs.
 FENCE = r"```(\w*)\n([\s\S]*?)```"
 NO_MATCH = "// No match"
+LINE_NUMBER = r"LineNum:\[(\d+)\]"
+EXCEPTION_TYPE = r"ExceptionType:\[(.*)\]"
+EXCEPTION_FRAME = r"ExceptionST:\[(.*;.*;\d+)\]"
 
+#: Between tokens: white space as Python's str.split() has it, not only ASCII.
+UNICODE_SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
-def extract_code(reply: Column) -> Column:
-    """The first fenced block of a reply; without one, a comment that says so."""
-    return F.when(reply.rlike(FENCE), F.regexp_extract(reply, FENCE, 2)).otherwise(F.lit(NO_MATCH))
+
+def extract_code(reply: Column, missing: str | None = NO_MATCH) -> Column:
+    """The first fenced block of a reply; without one, `missing`: a comment that says so, an empty text or null."""
+    return F.when(reply.rlike(FENCE), F.regexp_extract(reply, FENCE, 2)).otherwise(F.lit(missing))
 
 
 def strip_thinking(reply: Column, end_token: Column) -> Column:
@@ -53,8 +60,8 @@ def counted_lines(text: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    """Number of tokens between white space."""
-    return F.size(F.filter(F.split(text, r"\s+"), lambda x: x != ""))
+    """Number of tokens between white space of any kind."""
+    return F.size(F.filter(F.split(text, UNICODE_SPACE), lambda x: x != ""))
 
 
 def occurrences(text: Column, part: str) -> Column:
@@ -68,9 +75,9 @@ def add_comment(code: Column, line: Column, text: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
-def remove_comments(code: Column) -> Column:
-    """The code without comments at the ends of lines."""
-    return F.regexp_replace(code, r"(?m)[ \t]*//[^\n]*$", "")
+def remove_comment(code: Column, pattern: str) -> Column:
+    """The code without comments (// and space) whose text matches the pattern; the space before them stays."""
+    return F.regexp_replace(code, r"//\s*" + pattern, "")
 
 
 def fill_template(template: str, values: dict[str, Column]) -> Column:
@@ -97,9 +104,142 @@ def splice_lines(file: Column, start: Column, end: Column, code: Column) -> Colu
 
 
 def parameter_types(descriptor: Column) -> Column:
-    """The types of a descriptor's parameters, in order: (Lp/T;[I)V gives Lp/T; and [I."""
-    inside = F.regexp_extract(descriptor, r"\(([^)]*)\)", 1)
-    return F.regexp_extract_all(inside, F.lit(r"(\[*(?:L[^;]*;|.))"), F.lit(1))
+    """The class types that a descriptor names, slashed, in order, without those of java: (Lp/T;[ILjava/lang/String;)V gives p/T."""
+    found = F.regexp_extract_all(descriptor, F.lit("L([0-9a-zA-Z/_]*);"), F.lit(1))
+    return F.filter(found, lambda x: ~x.startswith("java/"))
+
+
+def split_types(descriptor: Column) -> Column:
+    """All types of a row of descriptors, arrays with their brackets: ILp/T;[[J gives I, Lp/T; and [[J."""
+    return F.regexp_extract_all(descriptor, F.lit(r"\[*(?:L[^;]*;|[^\[L])"), F.lit(0))
+
+
+#: The one-letter names of the simple types.
+SIMPLE = {"int": "I", "long": "J", "float": "F", "double": "D", "boolean": "Z", "byte": "B", "char": "C", "short": "S", "void": "V"}
+
+
+def class_descriptor(name: Column) -> Column:
+    """A type's name as a descriptor: int[] gives [I, p.T gives Lp/T;."""
+    levels = F.length(F.regexp_extract(name, r"((?:\[\])*)$", 1)) / 2
+    plain = F.regexp_replace(name, r"(\[\])+$", "")
+    out = F.concat(F.lit("L"), F.translate(plain, ".", "/"), F.lit(";"))
+    for word, letter in SIMPLE.items():
+        out = F.when(plain == word, F.lit(letter)).otherwise(out)
+    return F.concat(F.repeat(F.lit("["), levels.cast("int")), out)
+
+
+def simple_type_name(descriptor: Column) -> Column:
+    """A type's short name: [Lp/T; gives T[], I gives int; a dotted name its last part. V stays, it names no value."""
+    levels = F.length(F.regexp_extract(descriptor, r"^(\[*)", 1))
+    plain = F.regexp_replace(descriptor, r"^\[+", "")
+    bare = F.when(plain.endswith(";"), F.substring(plain, F.lit(2), F.length(plain) - 2)).otherwise(plain)
+    out = F.regexp_extract(bare, r"([^./]*)$", 1)
+    for word, letter in SIMPLE.items():
+        if letter != "V":
+            out = F.when(plain == letter, F.lit(word)).otherwise(out)
+    return F.concat(out, F.repeat(F.lit("[]"), levels))
+
+
+def imports(source: Column) -> Column:
+    """The names that a source file imports, in order, static ones with their word."""
+    return F.regexp_extract_all(source, F.lit(r"(?m)^\s*import\s+((?:static\s+)?[\w.*]+)\s*;"), F.lit(1))
+
+
+def qualified_class(source: Column, otherwise: Column) -> Column:
+    """package.Class of a source file: its package, if it names one, and its public class, or another name if it has none."""
+    package = F.regexp_extract(source, r"(?m)^\s*package\s+([\w.]+)\s*;", 1)
+    name = F.regexp_extract(source, r"public\s+class\s+(\w+)", 1)
+    return F.concat(F.when(package != "", F.concat(package, F.lit("."))).otherwise(F.lit("")), F.when(name != "", name).otherwise(otherwise))
+
+
+def subtokens(line: Column) -> Column:
+    """Runs of ASCII letters and digits, and single other signs; what isn't ASCII is left out."""
+    return F.regexp_extract_all(F.regexp_replace(line, r"[^\x00-\x7F]", ""), F.lit(r"[a-zA-Z0-9]+|[^\sa-zA-Z0-9]"), F.lit(0))
+
+
+def dedent(text: Column) -> Column:
+    """The text without the white space that all its lines begin with; lines of white space only become empty and don't count."""
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike(r"^[ \t]*$"), F.lit("")).otherwise(x))
+    margins = F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.regexp_extract(x, r"^([ \t]*)", 1))
+    # What the first and the last margin in order share, all between them share.
+    a, b = F.array_min(margins), F.array_max(margins)
+    same = F.filter(F.sequence(F.lit(0), F.length(a)), lambda n: F.substring(a, F.lit(1), n) == F.substring(b, F.lit(1), n))
+    width = F.coalesce(F.array_max(same), F.lit(0))
+    return F.array_join(F.transform(lines, lambda x: F.when(x == "", x).otherwise(F.substring(x, width + 1, F.length(x)))), "\n")
+
+
+def indent(text: Column, prefix: str) -> Column:
+    """The text with a prefix before each line that isn't white space only."""
+    return F.regexp_replace(text, r"(?m)^(?=[^\n]*\S)", prefix)
+
+
+#: What a test file's frame holds in place of a test, and what its class's name begins with.
+TEST_MARK = "/*TEST PLACEHOLDER*/"
+ADHOC = "adhoc_"
+
+
+def test_class(key: Column, method: Column) -> Column:
+    """The name of the class that holds one test of pkg.Class: pkg.adhoc_Class and the test's name."""
+    package = F.regexp_extract(key, r"^(.*\.)?[^.]*$", 1)
+    return F.concat(package, F.lit(ADHOC), _last(key, "."), method)
+
+
+def test_file(frame: Column, key: Column, method: Column, code: Column, mark: str = TEST_MARK) -> Column:
+    """A frame with its mark replaced by a test, and its class renamed for that test."""
+    filled = F.replace(frame, F.lit(mark), code)
+    return F.replace(filled, F.concat(F.lit(ADHOC), _last(key, ".")), F.concat(F.lit(ADHOC), _last(key, "."), method))
+
+
+def _last(name: Column, sign: str) -> Column:
+    return F.substring_index(name, sign, -1)
+
+
+def short_exception(name: Column) -> Column:
+    """The part of a dotted name after its last dot and, there, its last dollar; a name without dots whole."""
+    return F.when(name.contains("."), _last(_last(name, "."), "$")).otherwise(name)
+
+
+def expect_exception(test: Column, exception: Column) -> Column:
+    """The test whose annotations expect an exception; one that already has such an annotation stays as it is."""
+    marked = F.concat(F.lit("@Test(expected = "), short_exception(exception), F.lit(".class)"))
+    return F.when(test.contains("@Test(expected"), test).otherwise(F.replace(test, F.lit("@Test"), marked))
+
+
+def number_text(value: Column, whole: bool) -> Column:
+    """A number as tables print it: thousands apart, whole or with two decimals."""
+    return F.format_number(value, 0 if whole else 2)
+
+
+def throw_lines(code: Column, exception: Column, place: Column) -> Column:
+    """Numbers of the lines, from 0, at which a method throws an exception.
+
+    One line with `throw ` is the answer. Of several, those count that name the exception; if the first of them
+    doesn't, the one at the exception's place among the method's exceptions goes first. A line that rethrows counts (again) for
+    RuntimeException.
+    """
+    name = _last(_last(exception, "."), "$")
+    lines = F.transform(F.split(F.regexp_replace(code, r"\n\z", ""), "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    some = F.filter(lines, lambda s: s["x"].contains("throw "))
+
+    def hits(s: Column) -> Column:
+        again = F.when((name == "RuntimeException") & s["x"].contains("rethrow"), F.array(s["i"])).otherwise(F.array().cast("array<int>"))
+        return F.concat(F.when(F.contains(s["x"], name), F.array(s["i"])).otherwise(F.array().cast("array<int>")), again)
+
+    all_hits = F.flatten(F.transform(some, hits))
+    by_place = F.when(F.size(hits(F.get(some, F.lit(0)))) == 0, F.array(F.get(some, place)["i"])).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(some) < 2, F.transform(some, lambda s: s["i"])).otherwise(F.concat(by_place, all_hits))
+
+
+def log_entry(line: Column) -> Column:
+    """(etest_method, exception, mut_key, stack_trace) of a tool's log line class#method#exception##frame##frame..., or null.
+
+    The first part must have three fields and the first frame at least two.
+    """
+    parts = F.split(line, "##")
+    head, frame = F.split(parts[0], "#"), F.trim(F.get(parts, F.lit(1)))
+    good = (F.size(parts) > 1) & (F.size(head) == 3) & (F.size(F.split(frame, "#")) > 1)
+    rest = F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), "\n")
+    return F.when(good, F.struct(F.concat_ws("#", head[0], head[1]).alias("etest_method"), F.get(head, F.lit(2)).alias("exception"), frame.alias("mut_key"), rest.alias("stack_trace")))
 
 
 def generic_parts(name: Column) -> Column:
@@ -110,7 +250,7 @@ def generic_parts(name: Column) -> Column:
 
 def covered_lines(log: Column, start: Column, n_lines: Column) -> Column:
     """Lines of a method that a log covers, from 0, sorted: LineNum:[n] less the start line and 3, within the method."""
-    found = F.transform(F.regexp_extract_all(log, F.lit(r"LineNum:\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int") - start - 3)
+    found = F.transform(F.regexp_extract_all(log, F.lit(LINE_NUMBER), F.lit(1)), lambda x: x.cast("int") - start - 3)
     return F.array_sort(F.array_distinct(F.filter(found, lambda x: (x >= 0) & (x < n_lines))))
 
 
@@ -132,3 +272,21 @@ def is_one_throw(method: Column) -> Column:
 def slug(path: Column) -> Column:
     """A path as a flat key."""
     return F.replace(F.regexp_replace(F.regexp_replace(path, r"^/+|/+$", ""), r"\.jsonl$", ""), F.lit("/"), F.lit("__"))
+
+
+def thrown_at(log: Column, key: Column, method: Column, start: Column) -> Column:
+    """(line, exception) of the exception that a log of one test tells of, or null.
+
+    Of the frames in the method's class, the first that is in the method gives its line, less the start line and 3; one in another method
+    that the code names gives the first line of code with that name; whichever frame comes first counts. Lines must be above 0.
+    """
+    frames = F.transform(F.regexp_extract_all(log, F.lit(EXCEPTION_FRAME), F.lit(1)), lambda x: F.split(x, ";"))
+    lines = F.split(F.regexp_replace(method, r"\n\z", ""), "\n", -1)
+
+    def place(f: Column) -> Column:
+        named = F.array_position(F.transform(lines, lambda x: F.contains(x, f[1])), F.lit(True)) - 1
+        return F.when(f[1] == method_of(key), f[2].cast("long") - start - 3).otherwise(named)
+
+    ours = F.filter(frames, lambda f: (f[0] == class_of(key)) & ((f[1] == method_of(key)) | F.contains(method, f[1])))
+    at = F.get(F.transform(ours, place), F.lit(0))
+    return F.when(log.rlike(EXCEPTION_TYPE) & (at > 0), F.struct(at.cast("int").alias("line"), F.regexp_extract(log, EXCEPTION_TYPE, 1).alias("exception")))

@@ -94,3 +94,85 @@ def keep_first(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key; the last is that of descending order."""
     w = Window.partitionBy(*key).orderBy(*order)
     return rows.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+
+
+def no_project(rows: DataFrame, projects: DataFrame) -> DataFrame:
+    """The rows whose project is on the list."""
+    return rows.join(projects.select("project"), "project", "left_semi")
+
+
+def target_projects(rows: DataFrame, names: list[str] | None = None, skipped: list[str] | None = None) -> DataFrame:
+    """The rows of the named projects, or of all, without those of the skipped ones."""
+    out = rows if names is None else rows.filter(F.col("project").isin(names))
+    return out if not skipped else out.filter(~F.col("project").isin(skipped))
+
+
+def kept_modules(modules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(modules that can be run, the others with `skipped`, the reason): packaging pom, no sources, or no exceptional test."""
+    reason = F.when(F.col("packaging") == "pom", "pom").when(~F.coalesce("has_src", F.lit(False)), "no_src").when(F.coalesce("n_etests", F.lit(0)) == 0, "no_etest")
+    named = modules.withColumn("skipped", reason)
+    return named.filter("skipped IS NULL").drop("skipped"), named.filter("skipped IS NOT NULL")
+
+
+def tests_of_kind(tests: DataFrame, exceptional: bool) -> DataFrame:
+    """The tests that expect an exception (pattern is set), or those that don't."""
+    return tests.filter(F.col("pattern").isNotNull() if exceptional else F.col("pattern").isNull())
+
+
+def public_throwing(methods: DataFrame) -> DataFrame:
+    """(project, module, mut_key, etype, line): a row for each exception of each public method; line counts from the method's start.
+
+    methods: project, module, method, modifiers (array), exceptions (array of name@@line), start_line.
+    """
+    rows = methods.filter(F.array_contains("modifiers", "public")).select("project", "module", F.col("method").alias("mut_key"), "start_line", F.explode("exceptions").alias("e"))
+    return rows.select("project", "module", "mut_key", F.split_part("e", F.lit("@@"), F.lit(1)).alias("etype"), (F.split_part("e", F.lit("@@"), F.lit(2)).cast("int") - F.col("start_line")).alias("line"))
+
+
+def drop_failing_tests(rows: DataFrame, results: DataFrame, field: str) -> DataFrame:
+    """The rows with the tests (structs with etest_method) of a field whose class didn't fail for that id; classes that never ran stay.
+
+    results: id, fqcn, passed (null counts as failed).
+    """
+    bad = results.filter(~F.coalesce("passed", F.lit(False))).groupBy("id").agg(F.collect_set("fqcn").alias("__bad"))
+    kept = F.filter(field, lambda t: ~F.array_contains("__bad", F.split_part(t["etest_method"], F.lit("#"), F.lit(1))))
+    return rows.join(bad, "id", "left").withColumn(field, F.when(F.col("__bad").isNull(), F.col(field)).otherwise(kept)).drop("__bad")
+
+
+def allowed(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is listed; one of them without a stack trace is an error when the result is read."""
+    listed = rows.join(ids.select("id"), "id", "left_semi")
+    ok = F.when(F.coalesce(F.size("stack_traces"), F.lit(0)) > 0, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no stack trace: "), F.col("id").cast("string"))).cast("boolean"))
+    return listed.filter(ok)
+
+
+def numbered(rows: DataFrame, order: str, name: str = "number", block: int = 1_000_000) -> DataFrame:
+    """The rows with numbers from 0 in the order of a column of whole numbers, without a gap.
+
+    Rows are numbered in blocks of the order's values, and a block starts at the number of rows before it; one
+    row for each block is all that is ordered in one task.
+    """
+    return running(rows.withColumn("__one", F.lit(1)), order, "__one", name, block).withColumn(name, F.col(name) - 1).drop("__one")
+
+
+def running(rows: DataFrame, order: str, value: str, name: str, block: int = 1_000_000) -> DataFrame:
+    """The rows with the sum of a value up to and with each of them, in the order of a column of whole numbers without repeats."""
+    at = rows.withColumn("__block", F.floor(F.col(order) / block))
+    sums = at.groupBy("__block").agg(F.sum(value).alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum(value).over(Window.partitionBy("__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    starts = sums.select("__block", before.alias("__before"))
+    return at.withColumn("__inside", inside).join(starts, "__block").withColumn(name, F.col("__before") + F.col("__inside")).drop("__block", "__inside", "__before")
+
+
+def within_budget(requests: DataFrame, order: str, cost: str, limit: float, block: int = 1_000_000) -> DataFrame:
+    """The requests with `spent`, what was spent before them, and `sent`: once that has reached the limit, only filler is given out.
+
+    A request that takes the sum over the limit is still sent.
+    """
+    out = running(requests, order, cost, "spent", block).withColumn("spent", F.col("spent") - F.col(cost))
+    return out.withColumn("sent", F.col("spent") < limit)
+
+
+def head(rows: DataFrame, a: str, b: str, n: int) -> Column:
+    """The first n items of two arrays, one after the other."""
+    return F.slice(F.concat(a, b), 1, n)

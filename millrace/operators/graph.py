@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,7 +14,10 @@ def _kept(df: DataFrame) -> DataFrame:
     """The rows, written once to the checkpoint folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-"))
     return df.checkpoint()
 
 
@@ -57,3 +61,81 @@ def members(parents: DataFrame, own: DataFrame) -> DataFrame:
     """(node, signature, owner): a class's members and those it inherits; the nearest of one signature, private ones of its own only."""
     joined = ancestors(parents).join(own.select(F.col("node").alias("ancestor"), "signature", "private"), "ancestor").filter("distance = 0 OR NOT private")
     return joined.groupBy("node", "signature").agg(F.min_by("ancestor", "distance").alias("owner"))
+
+
+def edges_from(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, dst, label): the edges that start at the nodes listed."""
+    return nodes.select("id").distinct().join(edges.withColumnRenamed("src", "id"), "id").distinct()
+
+
+def edges_to(edges: DataFrame, nodes: DataFrame, label: str | None = None) -> DataFrame:
+    """(id, src, label): the edges that end at the nodes listed; with a label only those, so O gives what overrides them."""
+    some = edges if label is None else edges.filter(F.col("label") == label)
+    return nodes.select("id").distinct().join(some.withColumnRenamed("dst", "id"), "id").distinct()
+
+
+def throwing_paths(edges: DataFrame, methods: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, exception, path): for each declared exception of a start, the calls that lead to a method which throws it.
+
+    methods: id, declared (array), thrown (array). A path ends at the first method that throws and goes on through methods that
+    declare the exception only. No method is twice on a path, so cycles end.
+    """
+    thrown = methods.select("id", F.explode(F.array_distinct("thrown")).alias("exception")).withColumn("throws", F.lit(True))
+    declared = _kept(methods.select("id", F.explode(F.array_distinct("declared")).alias("exception")).join(thrown, ["id", "exception"], "left").withColumn("throws", F.coalesce("throws", F.lit(False))))
+    calls = _kept(edges.select("src", "dst").distinct())
+    first = starts.select("id").distinct().join(declared, "id").select(F.col("id").alias("start"), "exception", F.array("id").alias("path"), F.col("id").alias("node"), "throws")
+    rounds = [_kept(first)]
+    while not rounds[-1].isEmpty():
+        grown = rounds[-1].filter("NOT throws").join(calls, F.col("src") == F.col("node")).filter(~F.array_contains("path", F.col("dst")))
+        next_of = declared.select(F.col("id").alias("dst"), "exception", F.col("throws").alias("next_throws"))
+        grown = grown.join(next_of, ["dst", "exception"]).select("start", "exception", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("node"), F.col("next_throws").alias("throws"))
+        rounds.append(_kept(grown))
+    return reduce(DataFrame.unionByName, rounds).filter("throws").select("start", "exception", "path")
+
+
+def call_graph(calls: DataFrame, methods: DataFrame, parents: DataFrame) -> DataFrame:
+    """(src, dst, label): C edges of calls to the nearest class that has the method, O edges to every ancestor's method of the same signature.
+
+    calls: src, owner, signature; methods: id, class, signature, private, static; parents: node, parent (classes and interfaces). Private and static
+    methods override nothing. A call that no class answers has no edge.
+    """
+    up = _kept(ancestors(parents.select("node", "parent").unionByName(parents.select(F.col("parent").alias("node"), F.lit(None).cast(parents.schema["parent"].dataType).alias("parent")).filter("node IS NOT NULL"))))
+    own = methods.select(F.col("id").alias("dst"), F.col("class").alias("ancestor"), "signature")
+    found = calls.select("src", F.col("owner").alias("node"), "signature").distinct().join(up, "node").join(own, ["ancestor", "signature"])
+    nearest = found.groupBy("src", "node", "signature").agg(F.min_by("dst", F.struct("distance", "dst")).alias("dst")).select("src", "dst", F.lit("C").alias("label"))
+    free = methods.filter("NOT private AND NOT static").select(F.col("id").alias("src"), F.col("class").alias("node"), "signature")
+    over = free.join(up.filter("distance > 0"), "node").join(own, ["ancestor", "signature"]).select("src", "dst", F.lit("O").alias("label"))
+    return nearest.unionByName(over).distinct()
+
+
+def dependencies(lines: DataFrame) -> DataFrame:
+    """(name): the left sides of a dependency listing's arrows, up to a bracket and without quotes, each once; files and downloads are left out."""
+    left = F.trim(F.replace(F.split_part(F.split_part("value", F.lit("->"), F.lit(1)), F.lit("("), F.lit(1)), F.lit('"'), F.lit("")))
+    names = lines.filter(F.contains("value", F.lit("->"))).select(left.alias("name"))
+    return names.filter(~(F.col("name").contains("_downloads/") | F.col("name").endswith(".jar") | F.col("name").endswith(".class"))).distinct()
+
+
+def throws_itself(nodes: DataFrame, exceptions: DataFrame) -> DataFrame:
+    """(method, exception) whose code creates and throws the exception: in a throw statement, a new object of its short name.
+
+    nodes: method, node, parent, type, code: the syntax tree as a table; exceptions: method, exception.
+    """
+    n = {k: nodes.filter(F.col("type") == t).select("method", F.col("node").alias(k), F.col("parent").alias(f"{k}_of"), F.col("code").alias(f"{k}_code")) for k, t in (("throw", "ThrowStmt"), ("new", "ObjectCreationExpr"), ("name", "ClassOrInterfaceType"))}
+    thrown = n["throw"].join(n["new"].withColumnRenamed("new_of", "throw"), ["method", "throw"]).join(n["name"].withColumnRenamed("name_of", "new"), ["method", "new"])
+    short = F.substring_index("exception", ".", -1)
+    return exceptions.select("method", "exception", short.alias("name_code")).join(thrown.select("method", "name_code"), ["method", "name_code"], "left_semi").select("method", "exception").distinct()
+
+
+def prefixes(key: Column) -> Column:
+    """All beginnings of an array, the empty one too: what a trie holds on the way to a key."""
+    return F.transform(F.sequence(F.lit(0), F.size(key)), lambda n: F.slice(key, F.lit(1), n))
+
+
+def with_prefix(entries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(prefix, key, value): the entries (key array, value) under each prefix wanted. Keys are looked up by their beginnings, not compared."""
+    return entries.select("key", "value", F.explode(prefixes(F.col("key"))).alias("prefix")).join(wanted.select("prefix").distinct(), "prefix").select("prefix", "key", "value")
+
+
+def prefixes_of(entries: DataFrame, sequences: DataFrame) -> DataFrame:
+    """(id, key, value): the entries whose key begins a sequence (id, sequence)."""
+    return sequences.select("id", F.explode(prefixes(F.col("sequence"))).alias("key")).join(entries.select("key", "value"), "key").select("id", "key", "value")

@@ -16,6 +16,51 @@ def test_summary(tests: Column) -> Column:
     return F.struct(F.exists(tests, lambda t: t["compiled"]).cast("int").alias("compiled"), ratio.alias("pass_ratio"), ((n > 0) & (passed == n)).cast("int").alias("all_pass"))
 
 
+def merge_tests(a: Column, b: Column, guarded: bool = True) -> Column:
+    """A sample (success, tests) with the tests of another added, as (summary, success, tests); one that failed to build keeps its own.
+
+    Without tests the ratio is 0 and nothing passes if guarded, as for tests of tools; else that is an error, as it is for tests of one kind.
+    """
+    tests = F.concat(a["tests"], F.coalesce(b["tests"], F.slice(a["tests"], 1, 0)))
+    n, passed = F.size(tests), F.size(F.filter(tests, lambda t: t["passed"]))
+    empty = F.lit(0.0) if guarded else F.raise_error(F.lit("a sample without tests")).cast("double")
+    summary = F.struct(F.lit(1).alias("compiled"), F.when(n > 0, passed / n).otherwise(empty).alias("pass_ratio"), (passed == n).cast("int").alias("all_pass"))
+    return F.when(a["success"], F.struct(summary.alias("summary"), a["success"].alias("success"), tests.alias("tests"))).otherwise(a)
+
+
+def combined_means(rows: DataFrame, count_failed: bool) -> DataFrame:
+    """(metric, mean): the means over tasks of the max, min and mean over each task's samples.
+
+    A sample that failed to build counts only if count_failed is set, as it is when tests of tools are added; in a task whose
+    results nothing was added to (`matched` false), all count. A task without any counted sample has no values.
+    """
+    counted = F.filter("result", lambda r: F.lit(count_failed) | ~F.col("matched") | r["success"])
+    out = []
+    for metric in ("compiled", "pass_ratio", "all_pass"):
+        values = F.transform(counted, _field(metric))
+        top = topk_summary(values)
+        out += [F.struct(F.lit(f"{metric}-{k}").alias("metric"), top[k].alias("value")) for k in ("max", "min", "avg")]
+    return rows.select(F.inline(F.array(*out))).filter("value IS NOT NULL").groupBy("metric").agg(F.avg("value").alias("mean"))
+
+
+def _field(name: str):
+    return lambda r: r["summary"][name].cast("double")
+
+
+def predictions_by_id(data: DataFrame, predictions: DataFrame) -> DataFrame:
+    """(id, predictions): predictions (pos, prediction) put with the rows of data (pos, id) of their places, listed for each id in that order."""
+    pairs = data.select("pos", "id").join(predictions.select("pos", "prediction"), "pos")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "prediction"))), lambda x: x["prediction"])
+    return pairs.groupBy("id").agg(listed.alias("predictions"))
+
+
+def with_cache(tasks: DataFrame, cache: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The tasks with `result` and `hit`: the cached result if there is one, else the new one, null if it hasn't run."""
+    joined = tasks.join(cache.select(*keys, F.struct(F.col("result").alias("r")).alias("__old")), keys, "left").join(new.select(*keys, F.col("result").alias("__new")), keys, "left")
+    hit = F.col("__old").isNotNull()
+    return joined.select(*tasks.columns, F.when(hit, F.col("__old.r")).otherwise(F.col("__new")).alias("result"), hit.alias("hit"))
+
+
 def combine(left: DataFrame, right: DataFrame, combined, strict: bool = True) -> DataFrame:
     """The left results, each sample combined(left, right) with the right one of its place.
 
@@ -60,7 +105,7 @@ def first_wins(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def rich_summary(rows: DataFrame, group: list[str], value: str) -> DataFrame:
-    """avg, sum, max, min, median, population deviation, least mode and count of a value for each group."""
+    """avg, sum, max, min, median, population deviation, least mode and count of a value for each group; without values all but the count are null."""
     v = F.col(value)
     return rows.groupBy(*group).agg(
         F.avg(v).alias("avg"),
@@ -86,8 +131,12 @@ def work_list(tasks: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def completed(parts: DataFrame, expected: DataFrame) -> DataFrame:
-    """(id, results): the results of tasks all of whose parts (id, idx, results) are there, in the order of idx."""
-    done = parts.groupBy("id").agg(F.count("*").alias("n"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idx", "results"))), lambda x: x["results"])).alias("results"))
+    """(id, results): the results of tasks all of whose parts (id, idx, results) are there, in the order of idx.
+
+    A part that repeats counts once; of different results for one part the least stands.
+    """
+    first = parts.groupBy("id", "idx").agg(F.min("results").alias("results"))
+    done = first.groupBy("id").agg(F.count("*").alias("n"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idx", "results"))), lambda x: x["results"])).alias("results"))
     return done.join(expected.select("id", "expected"), "id").filter("n = expected").select("id", "results")
 
 

@@ -40,3 +40,35 @@ def resolve(rows: DataFrame, methods: DataFrame, key: list[str]) -> DataFrame:
     joined = rows.join(counts, ["class", "method"]).filter((F.col("__n") == 1) | F.col("line").between(F.col("start_line"), F.col("end_line")))
     w = Window.partitionBy(*key).orderBy("start_line", "end_line")
     return joined.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r", "__n")
+
+
+def directly_called(traces: DataFrame) -> DataFrame:
+    """(test, methods): all methods logged at the least depth, each once, sorted; frames of test classes don't count towards the depth.
+
+    traces: test, logged, frames (array of class names). A trace of test frames only is left out.
+    """
+    depth = F.size(F.filter("frames", lambda f: ~f.contains("adhoc_")))
+    rows = traces.withColumn("depth", depth).filter("depth > 0")
+    least = F.min("depth").over(Window.partitionBy("test"))
+    return rows.withColumn("least", least).filter("depth = least").groupBy("test").agg(F.array_sort(F.collect_set("logged")).alias("methods"))
+
+
+def cleaned(frames: Column) -> Column:
+    """Frames (method, line) without those whose line is negative and whose method is the next frame's too."""
+    following = F.transform(frames, lambda f, i: F.get(frames, i + 1)["method"])
+    zipped = F.zip_with(frames, following, lambda f, n: F.struct(f.alias("f"), n.alias("n")))
+    return F.transform(F.filter(zipped, lambda z: ~((z["f"]["line"] < 0) & F.coalesce(z["n"] == z["f"]["method"], F.lit(False)))), lambda z: z["f"])
+
+
+def running_values(deltas: DataFrame, key: list[str], order: str) -> DataFrame:
+    """(key, order, values): all variables at each statement, from deltas (map) of the changed ones; the last value of a name stands."""
+    w = Window.partitionBy(*key).orderBy(order)
+    upto = F.collect_list("delta").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    joined = F.aggregate(upto, F.create_map().cast(deltas.schema["delta"].dataType), lambda acc, d: F.map_concat(F.map_filter(acc, lambda k, v: ~F.map_contains_key(d, k)), d))
+    return deltas.select(*key, order, joined.alias("values"))
+
+
+def last_called(statements: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The statements with `last_called`, the last method called up to each of them; a statement that calls none has null in `called`."""
+    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return statements.withColumn("last_called", F.last("called", ignorenulls=True).over(w))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.queries import analysis, metrics, relational
+from millrace.queries import analysis, metrics, relational, reports
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (metrics, relational, analysis):
+for _module in (metrics, relational, analysis, reports):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
