@@ -94,7 +94,8 @@ def one_field_messages(system: str, user: str) -> Column:
 
 def class_info(description: str, key: Column, variables: Column, methods: Column) -> Column:
     """Variables, up to their last `=`, and methods of a class; empty without any. {} in the description is the class's name."""
-    names = F.transform(variables, lambda v: inline_code(F.when(v.contains("="), F.substring_index(v, "=", F.size(F.split(v, "=")) - 1)).otherwise(F.substring(v, F.lit(1), F.length(v) - 1))))
+    # A name without `=` loses its last sign, as the cut at the last one, where there is none, takes it off.
+    names = F.transform(variables, lambda v: inline_code(F.when(v.contains("="), F.regexp_extract(v, r"(?s)^(.*)=", 1)).otherwise(F.substring(v, F.lit(1), F.length(v) - 1))))
     groups = F.filter(F.array(F.struct(F.lit("Variables").alias("name"), names.alias("items")), F.struct(F.lit("Methods").alias("name"), F.transform(methods, inline_code).alias("items"))), lambda g: F.size(g["items"]) > 0)
     text = F.concat(F.replace(F.lit(description), F.lit("{}"), class_of(key)), nested_bullets(groups), F.lit("\n"))
     return F.when(F.size(groups) > 0, text).otherwise(F.lit(""))
