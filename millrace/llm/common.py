@@ -44,6 +44,17 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Bytes of an Arrow batch on its way to Python: what a task holds several times over.
+BATCH_BYTES = "8m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Holds Arrow batches down to BATCH_BYTES in this session, unless its configuration names a size: rows of long texts would make large ones."""
+    if not spark.sparkContext.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 class Scratch:
     """Tables of one job in the shared folder, each written once as Parquet and read back.
 

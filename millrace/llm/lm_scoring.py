@@ -9,15 +9,18 @@ The network tells the K most frequent words of all documents apart; all others a
 in a bucket scores as the bucket, which the network predicts, times the word's share in it: n / (N + T) for a
 word seen n times, where N and T are the words and the distinct words of the bucket, and for words that the counts lack
 T / (N + T), or 1 where nothing was seen, times one in 257 for each byte and for the end. So a score is a probability of the very words, and
-the counts of all words are joined to them, which grow with the corpus and stay in the cluster.
+the counts of all words are joined to them, which grow with the corpus and stay in the cluster; only
+the COMMON most frequent ones go to every task, so no key of that join holds many of the rows.
 Training is data-parallel numpy: every task passes once over all words of its own documents (Adagrad,
 minibatches, in an order drawn from a fixed seed), and the tasks' weights are averaged by their
 numbers of words, in a shuffle that adds up single weights. So what is gathered grows with the corpus, while
 the driver and the scoring tasks only ever hold one network, whose size is fixed by the settings.
 
-Defined results. A text without words, null ones too, has no words to score: sum 0, mean null. Repeated rows get the
-same score, each, and count as often in training. Without any words no network is needed.
-Scores depend on how the input is dealt to tasks, as any such training does, but on nothing random.
+Defined results. A text without words, null ones too, has no words to score: sum 0, mean null. Repeated rows count as
+often in training. Equal texts get equal scores: sums are in 64-bit floats for each text, and what the shuffle adds up are whole
+numbers, so neither a text's place nor the order of rows shows in the digits given. Without any words no network is needed.
+The weights depend on how the input is dealt to tasks, as in any such training, but on nothing random.
+Columns of the input may have any names.
 """
 
 from __future__ import annotations
@@ -27,10 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fresh, text_of, word_hashes, words, written
+from millrace.llm.common import fresh, small_batches, text_of, word_hashes, words, written
 from millrace.llm.word_table import BLOCK as BLOCK_WORDS
 from millrace.llm.word_table import blocks, gathered, lists
 from millrace.session import table
@@ -43,6 +47,8 @@ REACH = 2
 BATCH = 8192
 RATE = 0.15
 BLOCK = 1024
+COMMON = 250_000  # words whose shares every task has: 4 MB at most
+UNIT = 2.0**20  # shares are added up as whole numbers of 1 / UNIT
 
 Net = dict[str, np.ndarray]
 
@@ -71,42 +77,60 @@ def unpacked(flat: np.ndarray, like: Net) -> Net:
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray, at: np.ndarray, weights: np.ndarray, bias: np.ndarray, grad: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """(log-probabilities at one column of each row, the gradient of their sum by x); x, made of weights and biases, is overwritten.
+
+    For inputs from -1 to 1 the weights bound how far the values of x lie apart; if exp() can span that, one shift serves all rows.
+    """
+    rows = np.arange(len(x))
+    spread = 2 * np.abs(weights).sum(axis=-2).max() + bias.max() - bias.min()
+    x -= x.max(axis=1, keepdims=True) if spread > 60 else bias.max()
+    own = x[rows, at]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], dtype=x.dtype)
+    if grad:
+        x /= -total[:, None]
+        x[rows, at] += 1
+    return own - np.log(total), x if grad else None
 
 
 def predict(net: Net, context: np.ndarray, target: np.ndarray, grad: Net | None = None) -> np.ndarray:
     """Log-probabilities of the targets; with grad, the gradients of their mean are put there."""
-    rows = np.arange(len(target))
-    hidden = np.tanh(sum(net["embed"][p][context[:, p]] for p in range(2 * REACH)))
+    # All work is done in the order of the classes, so that each class's words lie together.
+    order = np.argsort((target // SIDE).astype(np.uint8), kind="stable")
+    context, target = np.take(context, order, axis=0).T.copy(), target[order]
     kind, member = target // SIDE, target % SIDE
-    log_class = _log_softmax(hidden @ net["class"] + net["class_bias"])
-    out = log_class[rows, kind]
-    back = np.zeros_like(hidden) if grad is not None else None
+    ends = np.searchsorted(kind, np.arange(SIDE + 1))
+    some = [(k, slice(ends[k], ends[k + 1])) for k in np.flatnonzero(np.diff(ends))]
+    hidden = np.take(net["embed"][0], context[0], axis=0)
+    for p in range(1, 2 * REACH):
+        hidden += np.take(net["embed"][p], context[p], axis=0)
+    np.tanh(hidden, out=hidden)
+    scores = hidden @ net["class"]
+    scores += net["class_bias"]
+    of_class, d_class = _softmax(scores, kind, net["class"], net["class_bias"], grad is not None)
+    scores = np.empty((len(target), SIDE), dtype=hidden.dtype)
+    for k, at in some:
+        np.matmul(hidden[at], net["word"][k], out=scores[at])
+        scores[at] += net["word_bias"][k]
+    of_word, d_word = _softmax(scores, member, net["word"], net["word_bias"], grad is not None)
+    out = np.empty(len(target), dtype=hidden.dtype)
+    out[order] = of_class + of_word
     if grad is not None:
-        d = -np.exp(log_class)
-        d[rows, kind] += 1
-        grad["class"][:], grad["class_bias"][:] = hidden.T @ d, d.sum(0)
-        back += d @ net["class"].T
+        ones = np.ones(len(target), dtype=hidden.dtype)
+        grad["class"][:], grad["class_bias"][:] = hidden.T @ d_class, ones @ d_class
+        back = d_class @ net["class"].T
         grad["word"][:], grad["word_bias"][:] = 0, 0
-    order = np.argsort(kind.astype(np.uint8), kind="stable")
-    ends = np.searchsorted(kind[order], np.arange(SIDE + 1))
-    for k in np.flatnonzero(np.diff(ends)):
-        at = order[ends[k] : ends[k + 1]]
-        h = hidden[at]
-        log_word = _log_softmax(h @ net["word"][k] + net["word_bias"][k])
-        out[at] += log_word[np.arange(len(at)), member[at]]
-        if grad is not None:
-            d = -np.exp(log_word)
-            d[np.arange(len(at)), member[at]] += 1
-            grad["word"][k], grad["word_bias"][k] = h.T @ d, d.sum(0)
-            back[at] += d @ net["word"][k].T
-    if grad is not None:
+        for k, at in some:
+            grad["word"][k], grad["word_bias"][k] = hidden[at].T @ d_word[at], ones[at] @ d_word[at]
+            back[at] += d_word[at] @ net["word"][k].T
         back *= 1 - hidden**2
         for p in range(2 * REACH):
-            for j in range(DIM):
-                grad["embed"][p, :, j] = np.bincount(context[:, p], weights=back[:, j], minlength=SIDE * SIDE)
+            by = np.argsort(context[p].astype(np.uint16), kind="stable")
+            ids = context[p][by]
+            first = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1]) if len(ids) else np.zeros(0, dtype=np.int64)
+            grad["embed"][p][:] = 0
+            grad["embed"][p][ids[first]] = np.add.reduceat(np.take(back, by, axis=0), first) if len(ids) else 0
         for g in grad.values():
             g /= len(target)
     return out
@@ -144,8 +168,8 @@ def framed(offsets: np.ndarray, hashes: np.ndarray, vocab: np.ndarray) -> tuple[
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], vocab: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for batch in blocks(batches, "words", 10 * BLOCK_WORDS):
-        offsets, flat = lists(batch.column("words"))
+    for batch in blocks(batches, "h", 10 * BLOCK_WORDS):
+        offsets, flat = lists(batch.column("h"))
         yield framed(offsets, flat.to_numpy(zero_copy_only=False), vocab)
 
 
@@ -154,6 +178,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return written(docs.select(F.explode(word_hashes(text_of())).alias("h")).groupBy("h").agg(F.count("*").alias("n")), "word-counts")
 
 
+def _sized() -> Column:
+    """The words of a text as structs of their hash and their bytes."""
+    return F.transform(words(text_of()), lambda w: F.struct(F.xxhash64(w).alias("h"), F.octet_length(w).alias("size")))
+
+
 def vocabulary(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """((hash, id) of the K most frequent words, sorted by hash; counts of all ids)."""
     top = counts.orderBy(F.desc("n"), "h").limit(K).collect()
@@ -169,30 +198,55 @@ def _bucket(h: Column) -> Column:
     return F.pmod(F.pmod(h, F.lit(OTHER)) + F.when(h < 0, 2**64 % OTHER).otherwise(0), F.lit(OTHER)).cast("int")
 
 
-def rare_logs(docs: DataFrame, vocab: np.ndarray, counts: DataFrame | None, key: str) -> DataFrame:
-    """(key, the mean log-share in their buckets of the words without an id) of the rows in docs (key, text)."""
-    spark = docs.sparkSession
+def _shares(spark: SparkSession, vocab: np.ndarray, counts: DataFrame | None) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(broadcast (h) of the words with an id, (h, share) of all others that were counted, the log-share of a word that wasn't by bucket)."""
     known = F.broadcast(spark.createDataFrame([(int(h),) for h in vocab[:, 0]], "h long"))
     rare = (spark.createDataFrame([], "h long, n long") if counts is None else counts).join(known, "h", "left_anti")
     whole, new = np.zeros(OTHER), np.zeros(OTHER)  # logs of N + T and of T / (N + T)
     for r in rare.groupBy(_bucket(F.col("h")).alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("t")).collect():
         whole[r["b"]], new[r["b"]] = math.log(r["n"] + r["t"]), math.log(r["t"] / (r["n"] + r["t"]))
-    of = lambda logs: F.get(F.lit(logs.tolist()), _bucket(F.col("h")))
-    # Words without an id are never more frequent than those with one, so no hash holds many of the rows.
-    each = docs.select(key, F.explode(F.transform(words(text_of()), lambda w: F.struct(F.xxhash64(w).alias("h"), F.octet_length(w).alias("size")))).alias("w"))
-    each = each.select(key, "w.h", "w.size").join(known, "h", "left_anti")
-    shares = rare.select("h", (F.log("n") - of(whole)).alias("share"))
-    log = F.coalesce("share", of(new) - (F.col("size") + 1) * math.log(257))
-    return each.join(shares.hint("shuffle_hash"), "h", "left").groupBy(key).agg(F.avg(log).alias("rare_log"))
+    of = F.get(F.lit(whole.tolist()), _bucket(F.col("h")))
+    return known, rare.select("h", "n", (F.log("n") - of).alias("share")), new
+
+
+def _common(shares: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, log-shares in 1 / UNIT) of the most frequent words, COMMON at most: those above a count that is found from a histogram."""
+    level = F.floor(4 * F.log2("n")).cast("int")
+    total, least = 0, None
+    for r in sorted(shares.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        total += r["words"]
+        if total > COMMON:
+            break
+        least = r["level"]
+    some = shares.filter(level >= least if least is not None else F.lit(False)).select("h", "share").toArrow()
+    h, share = some.column("h").to_numpy(), some.column("share").to_numpy()
+    order = np.argsort(h)
+    return h[order], np.round(share[order] * UNIT)
+
+
+def _summed(rows: DataFrame, shares: DataFrame, new: np.ndarray, key: str) -> DataFrame:
+    """(key, rare, found): the words of rows (key, h, size), their number and the sum of their log-shares in 1 / UNIT."""
+    unseen = F.get(F.lit(new.tolist()), _bucket(F.col("h"))) - (F.col("size") + 1) * math.log(257)
+    log = F.round(F.coalesce("share", unseen) * UNIT).cast("long")
+    return rows.join(shares.select("h", "share").hint("shuffle_hash"), "h", "left").groupBy(key).agg(F.sum(log).alias("rare"), F.count("*").alias("found"))
+
+
+def rare_logs(docs: DataFrame, vocab: np.ndarray, counts: DataFrame | None, key: str) -> DataFrame:
+    """(key, the mean log-share in their buckets of the words without an id) of the rows in docs (key, text)."""
+    known, shares, new = _shares(docs.sparkSession, vocab, counts)
+    word = fresh("word", docs.columns)
+    each = docs.select(key, F.explode(_sized()).alias(word)).select(key, f"{word}.h", f"{word}.size").join(known, "h", "left_anti")
+    return _summed(each, shares, new, key).select(key, (F.col("rare") / F.col("found") / UNIT).alias("rare_log"))
 
 
 def fit(docs: DataFrame, rounds: int = 1, counts: DataFrame | None = None) -> tuple[np.ndarray, Net]:
     """(vocabulary, network) trained on all documents; each round starts from the last round's average."""
+    small_batches(docs.sparkSession)
     vocab, counts = vocabulary(word_counts(docs) if counts is None else counts)
     net = new_net(counts)
-    rows = docs.select(word_hashes(text_of()).alias("words")).filter(F.size("words") > 0)
+    rows = docs.select(word_hashes(text_of()).alias("h")).filter(F.size("h") > 0)
     for _ in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast((vocab, net))
+        shared = rows.sparkSession.sparkContext.broadcast((vocab, net))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             vocab, net = shared.value
@@ -203,10 +257,10 @@ def fit(docs: DataFrame, rounds: int = 1, counts: DataFrame | None = None) -> tu
                     part = flat[k : k + BLOCK].astype(np.float64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, k + len(part), dtype=np.int32)), pa.array(part * seen), pa.array(np.full(len(part), seen, dtype=np.int64))], names=["at", "weighted", "seen"])
 
-        sums = rows.mapInArrow(run, "at int, weighted double, seen long").groupBy("at").agg((F.sum("weighted") / F.sum("seen")).alias("v")).collect()
-        if sums:
-            flat = np.empty(len(sums))
-            flat[[r["at"] for r in sums]] = [r["v"] for r in sums]
+        sums = rows.mapInArrow(run, "at int, weighted double, seen long").groupBy("at").agg((F.sum("weighted") / F.sum("seen")).alias("v")).toArrow()
+        if sums.num_rows:
+            flat = np.empty(sums.num_rows)
+            flat[sums.column("at").to_numpy()] = sums.column("v").to_numpy()
             net = unpacked(flat, net)
     return vocab, net
 
@@ -216,29 +270,45 @@ def score(docs: DataFrame, vocab: np.ndarray, net: Net, keep: list[str], counts:
 
     counts are the word_counts() of the training documents; without them all words without an id are spelled.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, net))
-    key = fresh("__key", docs.columns)
-    # Rows that agree in all of this hold the same words, so their mean is that of each.
-    docs = docs.withColumn(key, F.xxhash64(*keep, text_of()))
-    rows = docs.select(*keep, key, word_hashes(text_of()).alias("__words"))
+    spark = docs.sparkSession
+    small_batches(spark)
+    key, word = fresh("key", keep), fresh("word", keep)
+    # Rows that agree in the key hold the same words.
+    rows = docs.select(*keep, F.xxhash64(*keep, text_of()).alias(key), _sized().alias(word))
+    _, shares, new = _shares(spark, vocab, counts)
+    common = _common(shares)
+    shared = spark.sparkContext.broadcast((vocab, {k: v.astype(np.float64) for k, v in net.items()}, common))
     reach = np.array([i for i in range(-REACH, REACH + 1) if i])
+    rest = fresh("rest", keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, net = shared.value
-        for batch in blocks(batches, "__words"):
-            offsets, flat = lists(batch.column("__words"))
-            ids, places = framed(offsets, flat.to_numpy(zero_copy_only=False), vocab)
-            logs = np.zeros(len(places) + 1)
+        vocab, net, (hashes, logs) = shared.value
+        for batch in blocks(batches, word):
+            offsets, structs = lists(batch.column(word))
+            flat, sizes = (pc.struct_field(structs, c).to_numpy(zero_copy_only=False) for c in ("h", "size"))
+            ids, places = framed(offsets, flat, vocab)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            each = np.zeros(len(places))
             for k in range(0, len(places), BATCH):
                 at = places[k : k + BATCH]
-                logs[k + 1 : k + 1 + len(at)] = predict(net, ids[at[:, None] + reach], ids[at])
-            total = np.cumsum(logs)
-            rare = np.cumsum(np.concatenate([[0], ids[places] > K]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in [*keep, key]], pa.array(np.diff(offsets)), *[pa.array(x[offsets[1:]] - x[offsets[:-1]]) for x in (total, rare)]], names=[*keep, key, "n_words", "sum", "n_rare"])
-
-    schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [*keep, key]], "n_words long, sum double, n_rare long"])
-    out = rows.mapInArrow(run, schema).join(rare_logs(docs.select(key, "text"), vocab, counts, key).hint("merge"), key, "left")
-    out = out.withColumn("sum", F.col("sum") + F.when(F.col("n_rare") > 0, F.col("n_rare") * F.col("rare_log")).otherwise(0))
+                each[k : k + len(at)] = predict(net, ids[at[:, None] + reach], ids[at])
+            left = np.flatnonzero(ids[places] > K)
+            if len(hashes):
+                place = np.minimum(np.searchsorted(hashes, flat[left]), len(hashes) - 1)
+                found = hashes[place] == flat[left]
+                each[left[found]] += logs[place[found]] / UNIT
+                left = left[~found]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row[left], minlength=batch.num_rows))]).astype(np.int32)
+            more = pa.StructArray.from_arrays([pa.array(flat[left]), pa.array(sizes[left].astype(np.int32))], names=["h", "size"])
+            total = np.bincount(row, weights=each, minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in [*keep, key]], pa.array(np.diff(offsets)), pa.array(total), pa.ListArray.from_arrays(pa.array(ends), more)], names=[*keep, key, "n_words", "sum", rest])
+
+    schema = ", ".join([*[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*keep, key]], f"n_words long, sum double, `{rest}` array<struct<h:long,size:int>>"])
+    scored = written(rows.mapInArrow(run, schema), "scored")
+    found = _summed(scored.select(key, F.explode(rest).alias("w")).select(key, "w.h", "w.size"), shares, new, key)
+    # Rows that repeat share their key and add up as often, so their words' mean is that of each.
+    out = scored.join(found.hint("merge"), key, "left")
+    out = out.withColumn("sum", F.col("sum") + F.coalesce(F.size(rest) * (F.col("rare") / F.col("found")) / UNIT, F.lit(0.0)))
     mean = F.when(F.col("n_words") > 0, F.col("sum") / F.col("n_words"))
     return out.select(*keep, "n_words", F.round("sum", 4).alias("log_likelihood"), F.round(mean, 6).alias("mean_log_likelihood"))
 
