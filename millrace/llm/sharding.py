@@ -6,13 +6,14 @@ on its siblings: where a subtree's weight grows, rows move only into it; where i
 it; all other rows stay. A shard that is added as a region of its own therefore takes rows only into
 itself, which is the law `key`: the key and the tree decide.
 
-Slots number each shard's rows from 0 without a gap. A row's place is its hash; the rows of one shard
-are cut into buckets by that hash, each bucket is numbered by itself, and the small table of bucket
-counts gives each bucket's first slot. No task ever holds a whole shard.
+Slots number each shard's rows from 0 without a gap. A row's place is its hash; equal rows are counted as one, the rows of
+one shard are cut into buckets by their place, each bucket is numbered by itself, and the small table of bucket
+counts gives each bucket's first slot. Rows that repeat come back as runs of slots, cut into pieces. No task
+ever holds a whole shard or all rows that are equal.
 
 Defined results. A null key draws as the text "null"; a null text has size 1 and the CRC of nothing, 0.
 Rows that repeat land in the same shard, each with a slot of its own. An empty table gives no rows.
-Columns of the input that are not named are kept as they are.
+Columns of the input that are not named are kept as they are and may have any names; maps can't be numbered, as they can't be compared.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import text_of
+from millrace.llm.common import fresh, text_of, written
 from millrace.session import table
 
 #: A tree: weights of shards, by rack, by region.
@@ -83,15 +84,24 @@ def placed(df: DataFrame, key: Column, tree: Tree, region: str, rack: str, shard
     return df.withColumn(shard, _lookup(ids, F.col(region), F.col(rack), leaf))
 
 
+#: Slots of equal rows that one task puts out in a row.
+PIECE = 10_000
+
+
 def numbered(df: DataFrame, group: str, place: Column, ties: list[str], slot: str, buckets: int = 1024) -> DataFrame:
     """The rows with a slot, gapless from 0 in each group, in the order of place (52 bits) and then of ties."""
-    spread = df.withColumn("__place", place).withColumn("__bucket", F.floor(F.col("__place") / F.lit(_UNIT / buckets)).cast("int"))
-    counts = spread.groupBy(group, "__bucket").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(group).orderBy("__bucket")) - F.col("__n")
-    first = counts.select(group, "__bucket", before.alias("__first"))
-    rank = F.row_number().over(Window.partitionBy(group, "__bucket").orderBy("__place", *ties))
-    ranked = spread.withColumn("__rank", rank)
-    return ranked.join(first, [group, "__bucket"]).withColumn(slot, (F.col("__first") + F.col("__rank") - 1).cast("long")).drop("__place", "__bucket", "__rank", "__first")
+    at, bucket, n, first, before, piece = (fresh(c, [*df.columns, slot]) for c in ("place", "bucket", "n", "first", "before", "piece"))
+    spread = df.withColumn(at, place).withColumn(bucket, F.floor(F.col(at) / F.lit(_UNIT / buckets)).cast("int"))
+    rows = written(spread.groupBy(*spread.columns).agg(F.count("*").alias(n)), "numbered")
+    counts = rows.groupBy(group, bucket).agg(F.sum(n).alias(n))
+    start = F.sum(n).over(Window.partitionBy(group).orderBy(bucket)) - F.col(n)
+    starts = counts.select(group, bucket, start.alias(first))
+    upto = Window.partitionBy(group, bucket).orderBy(at, *ties, F.hash(*df.columns)).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.withColumn(before, F.sum(n).over(upto) - F.col(n)).join(starts, [group, bucket])
+    pieces = ranked.withColumn(piece, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(PIECE).cast("long")))).repartition(group, bucket, piece)
+    left = F.least(F.col(n) - F.col(piece), F.lit(PIECE)) - 1
+    each = pieces.withColumn(slot, F.explode(F.sequence(F.col(first) + F.col(before) + F.col(piece), F.col(first) + F.col(before) + F.col(piece) + left)))
+    return each.select(*df.columns, F.col(slot).cast("long").alias(slot))
 
 
 def key_text(column: str = "doc_id") -> Column:
