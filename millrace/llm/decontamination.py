@@ -13,31 +13,34 @@ distance, counted in words, lower case. Windows are found in three steps.
    RUNS walks with keys of BITS outputs are repeated, and windows meet items that share any key.
 3. Pairs that met are verified by their exact edit distance.
 
-Windows and items meet in a join on the keys. For step 1 items go to all tasks in blocks of at most
-ITEMS, one pass over the texts for each block, so what is broadcast is bounded and the benchmark may be
-of any size. Step 1 spares work; steps 2 and 3 decide.
+Windows of equal words are one content: they are embedded and verified once, so a passage that very many texts share costs no more
+than one that two share, and no key holds more rows than there are different contents. Contents and items meet in
+a join on the keys. For step 1 items go to all tasks in blocks of at most ITEMS, one pass over the texts for each block; a
+block's windows are written and its broadcast freed before the next one is read, so what the driver and the tasks hold is
+bounded and the benchmark may be of any size. Step 1 spares work; steps 2 and 3 decide. The number of runs follows from the recall wanted.
 
 Defined results. Null or empty items are never found; a null text is empty. Rows with the same
 doc_id and text are one document. A null doc_id or item_id is a value like any other. Of several
 windows in one document the closest counts, then the first. Texts shorter than an item can't hold it.
+Empty tables on either side give no rows. Texts may be of any length; further columns may have any names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import same, text_of, word_hashes, written
+from millrace.llm.common import Scratch, fresh, same, small_batches, text_of, word_hashes, written
 from millrace.llm.word_table import blocks, gathered, lists
 from millrace.session import table
 
 SHARE = 0.2
-RUNS = 24
+RECALL = 0.99
 BITS = 2
 SLOT_BITS = 22
 ITEMS = 20_000
@@ -66,7 +69,33 @@ def needed(n: np.ndarray, share: float = SHARE) -> np.ndarray:
     return n - 1 - 2 * np.floor(share * n + 1e-9).astype(np.int64)
 
 
-def walks(windows: np.ndarray, runs: int = RUNS, bits: int = BITS, seed: int = 7) -> np.ndarray:
+@lru_cache
+def runs_for(recall: float, share: float = SHARE, bits: int = BITS, sizes: tuple[int, ...] = (5, 10, 20, 40, 80), tries: int = 400) -> int:
+    """Runs until a window with as many edits as are allowed shares a key with its item with this probability.
+
+    The chance of one run is measured on random items of several lengths, half of whose edits replace words and half shift
+    them, from a fixed seed; the length with the least chance counts.
+    """
+    rng, least = np.random.default_rng(17), 1.0
+    for n in sizes:
+        k = int(np.floor(share * n + 1e-9))
+        items = rng.integers(1, 1 << 62, (tries, n))
+        texts = np.concatenate([items, rng.integers(1, 1 << 62, (tries, n))], axis=1)
+        for t, row in enumerate(texts):
+            for e in range(k):
+                at = int(rng.integers(0, n))
+                if e % 2:
+                    row[at] = rng.integers(1, 1 << 62)
+                elif t % 2:
+                    row[at + 1 :] = row[at:-1].copy()
+                    row[at] = rng.integers(1, 1 << 62)
+                else:
+                    row[at:-1] = row[at + 1 :].copy()
+        least = min(least, (walks(items, 16, bits) == walks(texts[:, :n].copy(), 16, bits)).mean())
+    return int(np.ceil(np.log(1 - recall) / np.log1p(-least)))
+
+
+def walks(windows: np.ndarray, runs: int, bits: int = BITS, seed: int = 7) -> np.ndarray:
     """LSH keys, one column for each run, of windows of one length (rows of word hashes)."""
     count, n = windows.shape
     rows = np.arange(count)
@@ -154,9 +183,8 @@ class _Items:
         return both[:, 0], both[:, 1]
 
 
-def close_windows(docs: DataFrame, items: list[np.ndarray], share: float = SHARE) -> DataFrame:
-    """Step 1: (doc_id, th, start, words) of the windows that may be close to an item of their length."""
-    shared = docs.sparkSession.sparkContext.broadcast(_Items(items, share))
+def close_windows(docs: DataFrame, shared) -> DataFrame:
+    """Step 1: (doc_id, th, start, words) of the windows that may be close to an item of their length; shared is a broadcast of _Items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "words"):
@@ -177,14 +205,14 @@ def close_windows(docs: DataFrame, items: list[np.ndarray], share: float = SHARE
     return rows.mapInArrow(run, f"doc_id {kind}, th long, start int, words array<long>")
 
 
-def _keyed(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Step 2: the columns and `key`, one row for each distinct LSH key of words."""
+def _keyed(rows: DataFrame, columns: list[str], runs: int) -> DataFrame:
+    """Step 2: the columns and `key`, one row for each LSH key of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, flat = lists(batch.column("words"))
             for at, windows in _by_size(flat.to_numpy(zero_copy_only=False), offsets):
-                keys = walks(windows)
+                keys = walks(windows, runs)
                 of = pa.array(np.repeat(at, keys.shape[1]))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).take(of) for c in columns], pa.array(keys.ravel())], names=[*columns, "key"])
 
@@ -212,25 +240,35 @@ def _verified(pairs: DataFrame, columns: list[str], share: float) -> DataFrame:
     return pairs.select(*columns, "words", "item_words").mapInArrow(run, f"{schema}, n int, distance int")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+def _content(name: str) -> list[Column]:
+    """128 bits that stand for the words of a row."""
+    return [F.xxhash64("words").alias(f"{name}1"), F.xxhash64(F.lit(name), "words").alias(f"{name}2")]
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, recall: float = RECALL) -> DataFrame:
     """(doc_id, th, item_id, distance, start, n) of each document and item that it holds; th is the text's hash."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    scratch, runs = Scratch(spark, "leaks"), runs_for(recall, share)
     items = benchmark.select("item_id", word_hashes(F.lower(text_of())).alias("words")).filter(F.size("words") > 0).distinct()
-    items = written(items, "items")
-    blocks = max(1, -(-items.count() // ITEMS))
-    parts = [items.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).select("words").distinct().toLocalIterator() for b in range(blocks)]
-    found = [close_windows(docs.select("doc_id", "text"), [np.array(r[0], dtype=np.int64) for r in part], share) for part in parts]
-    windows = written(reduce(DataFrame.unionByName, found), "windows").distinct()
-    key = [F.col("size") == F.size("words"), same(F.col("doc_id"), F.col("d")), F.col("th") == F.col("t"), F.col("start") == F.col("s")]
-    met = (
-        _keyed(windows.withColumn("size", F.size("words")), ["doc_id", "th", "start", "size"])
-        .join(_keyed(items.withColumnRenamed("words", "w").withColumn("words", F.col("w")), ["item_id", "w"]), "key")
-        .select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("start").alias("s"), "size", "item_id", F.col("w").alias("item_words"))
-        .distinct()
-    )
-    pairs = windows.join(met, key[0] & key[1] & key[2] & key[3])
-    close = _verified(pairs, ["doc_id", "th", "item_id", "start"], share)
-    best = close.groupBy("doc_id", "th", "item_id").agg(F.min(F.struct("distance", "start", "n")).alias("best"))
-    return best.select("doc_id", "th", "item_id", "best.*")
+    items = scratch.keep(items.select("item_id", "words", *_content("i")), "items")
+    asked = scratch.keep(items.groupBy("i1", "i2").agg(F.first("words").alias("words")), "asked")
+    blocks = max(1, -(-asked.count() // ITEMS))
+    found = []
+    for b in range(blocks):
+        part = asked.filter(F.pmod(F.col("i1"), F.lit(blocks)) == b).select("words").toLocalIterator()
+        shared = spark.sparkContext.broadcast(_Items([np.array(r[0], dtype=np.int64) for r in part], share))
+        found.append(scratch.keep(close_windows(docs.select("doc_id", "text"), shared), f"found-{b}"))
+        shared.unpersist()
+    windows = scratch.keep(reduce(DataFrame.unionByName, found).distinct().select("doc_id", "th", "start", "words", *_content("c")), "windows")
+    contents = scratch.keep(windows.groupBy("c1", "c2").agg(F.first("words").alias("words")), "contents")
+    scratch.drop(*[f"found-{b}" for b in range(blocks)])
+    met = _keyed(contents, ["c1", "c2"], runs).join(_keyed(asked, ["i1", "i2"], runs), "key").select("c1", "c2", "i1", "i2").distinct()
+    pairs = met.join(contents, ["c1", "c2"]).join(asked.withColumnRenamed("words", "item_words"), ["i1", "i2"])
+    close = scratch.keep(_verified(pairs, ["c1", "c2", "i1", "i2"], share), "close")
+    places = windows.select("doc_id", "th", "start", "c1", "c2").join(close, ["c1", "c2"])
+    best = places.groupBy("doc_id", "th", "i1", "i2").agg(F.min(F.struct("distance", "start", "n")).alias("best"))
+    return best.join(items.select("item_id", "i1", "i2"), ["i1", "i2"]).select("doc_id", "th", "item_id", "best.*")
 
 
 def op6_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,5 +278,6 @@ def op6_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with their own columns."""
-    found = written(leaks(docs, benchmark).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct(), "leaks")
-    return docs.join(found, same(F.col("doc_id"), F.col("__d")) & (F.xxhash64(text_of()) == F.col("__t")), "left_anti")
+    of, at = fresh("of", docs.columns), fresh("th", docs.columns)
+    found = written(leaks(docs, benchmark).select(F.col("doc_id").alias(of), F.col("th").alias(at)).distinct(), "leaks")
+    return docs.join(found, same(F.col("doc_id"), F.col(of)) & (F.xxhash64(text_of()) == F.col(at)), "left_anti")
