@@ -13,10 +13,11 @@ put into one shard: its segments are aggregated by content and its windows compa
 their words, in aggregates and joins that split such groups. Exact copies of a text are indexed once:
 all their windows repeat; and so are segments of the same words.
 
-Words are compared by 64-bit hashes, window hashes of the hot path have 64 bits too.
+Words are compared by 64-bit hashes, contents and whole windows by two of them.
 
 Defined results. A null text has no words. A text of fewer than WIDTH words keeps them all. Repeated rows
-are copies of each other. Nulls in doc_id are kept. An empty table gives no rows.
+are copies of each other. Nulls in doc_id are kept. An empty table gives no rows. Texts may be of any length; columns kept may have any
+names but n_words, n_removed and kept.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import text_of, word_hashes, words, written
+from millrace.llm.common import fresh, small_batches, text_of, word_hashes, words, written
 from millrace.llm.fm_index import FMIndex, repeated_spans
 from millrace.llm.word_table import blocks, gathered, lists
 from millrace.session import table
@@ -91,9 +92,16 @@ def _minimizers(docs: DataFrame, width: int, m: int) -> DataFrame:
     return rows.mapInArrow(run, "mini long, tk binary, start int, n int")
 
 
+def _bytes(*hashes: np.ndarray) -> pa.Array:
+    """64-bit hashes side by side as one binary column."""
+    flat = np.stack(hashes, axis=1).astype(">u8").tobytes()
+    size = 8 * len(hashes)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(flat) // size, [None, pa.py_buffer(flat)]).cast(pa.binary())
+
+
 def _cut(texts: DataFrame, width: int) -> DataFrame:
-    """(key, tk, start, n, hot, content, words) of the listed segments of each text; content is a hash of the words."""
-    powers = np.random.default_rng(9).integers(1, 1 << 62, size=2 * width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    """(key, tk, start, n, hot, content, words) of the listed segments of each text; content is a hash of the words, of 128 bits."""
+    powers = np.random.default_rng(9).integers(1, 1 << 62, size=(2, 2 * width), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     names = ["key", "tk", "start", "n", "hot", "content", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,11 +116,12 @@ def _cut(texts: DataFrame, width: int) -> DataFrame:
                 size = (n[of] + width - 1).astype(np.int64)
                 words = flat[gathered(size, offsets[:-1][row[of]] + start[of])]
                 begin = np.cumsum(size) - size
-                hashed = np.add.reduceat(_grams(words, 1) * powers[gathered(size, np.zeros_like(size))], begin)
+                mixed, place = _grams(words, 1), gathered(size, np.zeros_like(size))
+                hashed = _bytes(*[np.add.reduceat(mixed * p[place], begin) for p in powers])
                 cut = pa.ListArray.from_arrays(pa.array(np.append(begin, len(words)).astype(np.int32)), pa.array(words))
-                yield pa.RecordBatch.from_arrays([pa.array(key[of]), batch.column("tk").take(pa.array(row[of])), pa.array(start[of]), pa.array(n[of]), pa.array(hot[of]), pa.array(hashed.astype(np.int64)), cut], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(key[of]), batch.column("tk").take(pa.array(row[of])), pa.array(start[of]), pa.array(n[of]), pa.array(hot[of]), hashed, cut], names=names)
 
-    return texts.mapInArrow(run, "key long, tk binary, start int, n int, hot boolean, content long, words array<long>")
+    return texts.mapInArrow(run, "key long, tk binary, start int, n int, hot boolean, content binary, words array<long>")
 
 
 def _searched(shards: DataFrame, width: int) -> DataFrame:
@@ -120,7 +129,8 @@ def _searched(shards: DataFrame, width: int) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         # Segments of the same words are one content; more places than one make all its windows repeated.
-        _, some, which, places = np.unique(group.column("content").to_numpy(), return_index=True, return_inverse=True, return_counts=True)
+        content = group.column("content").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        _, some, which, places = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
         n = group.column("n").to_numpy().astype(np.int64)
         offsets, flat = lists(group.column("words").take(pa.array(some)))
         symbols = np.unique(flat.to_numpy(zero_copy_only=False), return_inverse=True)[1] + 1
@@ -155,12 +165,13 @@ def _hot_spans(hot: DataFrame, width: int) -> DataFrame:
         for batch in blocks(batches, "words"):
             offsets, flat = lists(batch.column("words"))
             count = np.diff(offsets) - width + 1
-            hashes = _grams(flat.to_numpy(zero_copy_only=False), width)[gathered(count, offsets[:-1])].astype(np.int64)
+            words, at = flat.to_numpy(zero_copy_only=False), gathered(count, offsets[:-1])
+            hashes = _bytes(_grams(words, width)[at], _grams(~words, width)[at])
             of = pa.array(np.repeat(np.arange(batch.num_rows), count))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), batch.column("content").take(of), batch.column("key").take(of), pa.array(gathered(count, np.zeros_like(count)).astype(np.int32))], names=["window", "content", "key", "i"])
+            yield pa.RecordBatch.from_arrays([hashes, batch.column("content").take(of), batch.column("key").take(of), pa.array(gathered(count, np.zeros_like(count)).astype(np.int32))], names=["window", "content", "key", "i"])
 
     def windows(of: DataFrame) -> DataFrame:
-        return of.select("content", "key", "words").mapInArrow(run, "window long, content long, key long, i int")
+        return of.select("content", "key", "words").mapInArrow(run, "window binary, content binary, key long, i int")
 
     twice = windows(contents).groupBy("window").agg(F.min("content").alias("a"), F.max("content").alias("b")).filter("a <> b").select("window")
     single = contents.filter("x = y")
@@ -193,14 +204,16 @@ def repeated(docs: DataFrame, width: int = WIDTH, m: int = M, hot: int = HOT) ->
 
 def dedup_substrings(docs: DataFrame, keep: list[str], width: int = WIDTH, **settings) -> DataFrame:
     """The columns in keep, n_words, n_removed and `kept`, the words that stay joined by one space."""
-    spans = repeated(docs.select("text"), width, **settings).withColumnRenamed("tk", "__tk").hint("merge")
-    rows = docs.select(*keep, text_of().alias("__text")).withColumn("__key", F.unhex(F.md5("__text"))).join(spans, F.col("__key") == F.col("__tk"), "left")
-    rows = rows.select(*keep, words(F.col("__text")).alias("__words"), F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>")).alias("__spans"))
+    small_batches(docs.sparkSession)
+    text, key, word, span = (fresh(c, keep) for c in ("text", "key", "words", "spans"))
+    spans = repeated(docs.select("text"), width, **settings).select(F.col("tk").alias(key), F.col("spans").alias(span)).hint("merge")
+    rows = docs.select(*keep, text_of().alias(text), _text_key().alias(key)).join(spans, key, "left")
+    rows = rows.select(*keep, words(F.col(text)).alias(word), F.coalesce(span, F.array().cast("array<struct<a:int,b:int>>")).alias(span))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "__words"):
-            offsets, flat = lists(batch.column("__words"))
-            ends, found = lists(batch.column("__spans"))
+        for batch in blocks(batches, word):
+            offsets, flat = lists(batch.column(word))
+            ends, found = lists(batch.column(span))
             size = np.diff(offsets)
             row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
             ok = size[row] >= width
