@@ -8,8 +8,12 @@ the findings, old and new, back to all paths. A hot group of copies is one blob.
 Spans come from Spark's own regular expressions: the text is split by the rule and the matches are
 extracted; the lengths of the pieces, summed in order, give each match its place in code points.
 
+A ledger is kept as a folder of Parquet: append_ledger() adds the rows of a scan, read_ledger() reads what is there, in the
+next run or by another job.
+
 Defined results. A null text is empty and has no spans. Rows that repeat get the same spans, each. An
-empty table gives no rows. Spans of one kind do not overlap; spans of different kinds may.
+empty table gives no rows. Spans of one kind do not overlap; spans of different kinds may. Texts may be of any length. Columns of paths may
+have any names; the two that are added give way to them by a `_` behind their own.
 """
 
 from __future__ import annotations
@@ -18,8 +22,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
-from millrace.llm.common import same, text_of, written
+from millrace.llm.common import fresh, text_of, written
 from millrace.session import table
 
 
@@ -75,20 +80,42 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, version: str =
 
 
 def scan(paths: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = VERSION) -> tuple[DataFrame, DataFrame]:
-    """(spans for each row of paths, the ledger with what is new).
+    """(spans for each row of paths, the ledger's new rows after its old ones).
 
-    paths has a text column and any others. The first result has every row of paths with its blob and
-    spans; the second has all old rows of the ledger and one for each blob that was not yet scanned.
+    paths has a text column and any others. The first result has every row of paths, without its text, with its blob and
+    spans as its last columns; the second has all old rows of the ledger and one for each blob that was not yet scanned.
     """
-    hashed = paths.withColumn("blob", blob_of(text_of()))
-    blobs = hashed.select("blob", text_of().alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    new = _new_rows(paths, ledger, rules, version)
+    after = new if ledger is None else ledger.select(*LEDGER).unionByName(new)
+    kept = [c for c in paths.columns if c != "text"]
+    blob, spans = fresh("blob", kept), fresh("spans", kept)
+    found = after.filter(F.col("version") == version).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    return paths.select(*kept, blob_of(text_of()).alias(blob)).join(found, blob, "left").select(*kept, blob, spans), after
+
+
+def _new_rows(paths: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], version: str) -> DataFrame:
+    blobs = paths.select(blob_of(text_of()).alias("blob"), text_of().alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
     if ledger is not None:
         blobs = blobs.join(ledger.filter(F.col("version") == version).select("blob"), "blob", "left_anti")
-    new = written(scan_blobs(blobs, rules, version), "ledger")
-    after = new if ledger is None else ledger.unionByName(new)
-    found = after.filter(F.col("version") == version).select(F.col("blob").alias("__blob"), "spans")
-    joined = hashed.drop("text").join(found, same(F.col("blob"), F.col("__blob")), "left").drop("__blob")
-    return joined, after
+    return written(scan_blobs(blobs, rules, version), "ledger")
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger in a folder, or none if nothing was written there yet."""
+    try:
+        return spark.read.parquet(path).select(*LEDGER)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+
+
+def append_ledger(paths: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, version: str = VERSION) -> DataFrame:
+    """Scans what the ledger in a folder lacks, adds its rows there, and returns the spans of all rows of paths."""
+    spark = paths.sparkSession
+    _new_rows(paths, read_ledger(spark, path), rules, version).write.mode("append").parquet(path)
+    # All blobs are in the ledger now, so nothing is scanned here.
+    return scan(paths, read_ledger(spark, path), rules, version)[0]
 
 
 def _joined(spans: Column) -> Column:
