@@ -117,3 +117,13 @@ def test_quality_stage_rejects_junk(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(2000)] + [(5000 + i, 0) for i in range(150)], "doc_id long, quality int")
     kept = {r.doc_id for r in quality.quality_stage(docs, labels).select("doc_id").collect()}
     assert kept == set(range(2500))
+
+
+def test_bpe_joined_forms_agree(spark):
+    df = spark.createDataFrame([(i, t, "en", "x") for i, t in enumerate(texts()[:80])] + [(5, "the the", None, None)] * 2, DOCS).drop("ids")
+    plain, joined = (f(df, ["doc_id", "lang"]) for f in (bpe.encode, bpe.encode_joined))
+    key = lambda r: (str(r[0]), str(r[1]), str(r[2]))
+    assert sorted(map(tuple, joined.collect()), key=key) == sorted(map(tuple, plain.collect()), key=key)
+    a, b = (f(plain, ["doc_id"]).collect() for f in (bpe.decode, bpe.decode_joined))
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+    assert bpe.encode_joined(df.limit(0), ["doc_id"]).count() == 0
