@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, fresh, text_of, word_hashes, written
+from millrace.llm.common import Scratch, fresh, small_batches, text_of, word_hashes, written
 from millrace.llm.word_table import blocks, gathered, lists, whole_groups
 from millrace.session import table
 
@@ -391,6 +391,7 @@ def links(docs: DataFrame, n: int = N, similarity: float = SIMILARITY, recall: f
     with there; each link counts once, at both its ends. members (doc_id, th, rid) has all documents.
     """
     docs = docs.select("doc_id", "text")
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "near-join")
     members = scratch.keep(signatures(docs, n, runs_for(recall, similarity)), "signatures")
     classes = scratch.keep(members.groupBy("rid").agg(F.min(F.struct("doc_id", "th")).alias("m"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")).select("rid", "m.*", "size", "sketch", "paths"), "classes")

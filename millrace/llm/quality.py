@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import fresh, let, text_of, word_hashes, words, written
+from millrace.llm.common import fresh, let, small_batches, text_of, word_hashes, words, written
 from millrace.session import table
 
 SYMBOLS = "#*$%&|<>"
@@ -202,6 +202,7 @@ def _measures(stratum: str) -> list[Column]:
 
 def counted(docs: DataFrame, stratum: str) -> DataFrame:
     """The measures of every document, written once: both the fit and the verdict read them."""
+    small_batches(docs.sparkSession)
     return written(docs.select(*_measures(stratum)), "quality-counts")
 
 
@@ -224,6 +225,7 @@ def quality_stage(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **s
 
     They are written once with their measures: the fit reads these only, and no text is counted twice.
     """
+    small_batches(docs.sparkSession)
     name = fresh("measures", docs.columns)
     rows = written(docs.withColumn(name, F.struct(*_measures(stratum))), "quality-documents")
     cutoffs = fit(rows.select(f"{name}.*"), labels, **settings)

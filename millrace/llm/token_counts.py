@@ -12,6 +12,7 @@ UTF-8 form has bytes, since the vocabulary has a piece for each byte.
 
 Defined results. A null text is empty: no words, no tokens, score 0. Rows that repeat count alike. An
 empty table gives no rows. Words may be of any length: work grows with length times the longest piece.
+Null ids are kept like any others; columns kept may have any names but n_words, n_tokens and score.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import text_of, words
+from millrace.llm.common import fresh, small_batches, text_of, words
 from millrace.llm.word_table import WordTable, blocks, lists
 from millrace.session import table
 
@@ -95,12 +96,14 @@ def _loaded(path: str) -> WordTable:
 
 def count_tokens(docs: DataFrame, keep: list[str], path: str = PATH) -> DataFrame:
     """The columns in keep, n_words, n_tokens and the score of the best segmentation of all words."""
-    rows = docs.select(*keep, words(text_of()).alias("__words"))
+    small_batches(docs.sparkSession)
+    word = fresh("words", [*keep, "n_words", "n_tokens", "score"])
+    rows = docs.select(*keep, words(text_of()).alias(word))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _loaded(path)
-        for batch in blocks(batches, "__words"):
-            offsets, flat = lists(batch.column("__words"))
+        for batch in blocks(batches, word):
+            offsets, flat = lists(batch.column(word))
             values, at = known.lookup(flat)
             counts, scores = np.array([c for c, _ in values], dtype=np.int64), np.array([s for _, s in values], dtype=np.float64)
             totals = [np.concatenate([[0], np.cumsum(x[at])]) for x in (counts, scores)]
