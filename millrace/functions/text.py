@@ -290,3 +290,8 @@ def thrown_at(log: Column, key: Column, method: Column, start: Column) -> Column
     ours = F.filter(frames, lambda f: (f[0] == class_of(key)) & ((f[1] == method_of(key)) | F.contains(method, f[1])))
     at = F.get(F.transform(ours, place), F.lit(0))
     return F.when(log.rlike(EXCEPTION_TYPE) & (at > 0), F.struct(at.cast("int").alias("line"), F.regexp_extract(log, EXCEPTION_TYPE, 1).alias("exception")))
+
+
+def matches(value: Column, pattern: str, group: int = 1) -> Column:
+    """What a group of a pattern matches in a text, each once, sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(value, F.lit(pattern), F.lit(group))))

@@ -145,3 +145,9 @@ def stack_availability(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     has = (F.size("stack_traces") > 0) | ((F.size("call_stacks") == 1) & (F.get("call_stacks", F.lit(0)) == desc))
     has = F.coalesce(has, F.lit(False))
     return rows.filter(has), rows.filter(~has)
+
+
+def shortest(rows: DataFrame, group: list[str], length: Column, order: str, n: int) -> DataFrame:
+    """The n shortest rows of each group; of equal lengths, the first in order."""
+    w = Window.partitionBy(*group).orderBy("__length", order)
+    return rows.withColumn("__length", length).withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n).drop("__r", "__length")

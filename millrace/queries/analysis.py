@@ -59,8 +59,7 @@ def code_block_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regex_extract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
-    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.array_sort(F.array_distinct(found)), " ").alias("links"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(text.matches(F.col("html"), 'href="([^"]*)"'), " ").alias("links"))
 
 
 def prompt_fill(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,16 +8,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import funnel, repair, results
+from millrace.functions.text import token_count
+from millrace.operators import funnel, lookups, repair, results, stats
 from millrace.session import table
 
 _ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
-def _samples(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    """(id, result): each task's samples in order, as structs with a summary."""
+def _samples(spark: SparkSession, sf_dir: str, where: str = "true", ordered: bool = True) -> DataFrame:
+    """(id, result): each task's samples, in order if that is asked for, as structs with a summary."""
     passed, compiled = F.col("l_returnflag") != "R", F.col("l_linestatus") == "F"
     summary = F.struct(compiled.cast("int").alias("compiled"), passed.cast("int").alias("all_pass"))
+    if not ordered:
+        return table(spark, sf_dir, "lineitem").filter(where).groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct(summary.alias("summary"))).alias("result"))
     one = F.struct(*_ORDER, summary.alias("summary"))
     lines = table(spark, sf_dir, "lineitem").filter(where)
     return lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(x["summary"].alias("summary"))).alias("result"))
@@ -29,7 +32,7 @@ def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pad_missing_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = F.struct(F.struct(F.lit(0).alias("compiled"), F.lit(0).alias("all_pass")).alias("summary"))
-    rows = results.pad_missing(_tasks(spark, sf_dir), _samples(spark, sf_dir), failed, 10)
+    rows = results.pad_missing(_tasks(spark, sf_dir), _samples(spark, sf_dir, ordered=False), failed, 10)
     return rows.select("id", F.size("result").cast("long").alias("n"), F.size(F.filter("result", lambda r: r["summary"]["all_pass"] == 1)).cast("long").alias("c"))
 
 
@@ -45,11 +48,11 @@ def _status(spark: SparkSession, sf_dir: str, *status: str) -> DataFrame:
 
 
 def subset_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results.subset(_tasks(spark, sf_dir).select("id", "o_totalprice"), _samples(spark, sf_dir, "l_returnflag = 'A'"))
+    return results.subset(_tasks(spark, sf_dir).select("id", "o_totalprice"), table(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'").select(F.col("l_orderkey").alias("id")))
 
 
 def separate_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results.separate(_tasks(spark, sf_dir).select("id", "o_totalprice"), _samples(spark, sf_dir, "l_returnflag = 'A'"))
+    return results.separate(_tasks(spark, sf_dir).select("id", "o_totalprice"), table(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'").select(F.col("l_orderkey").alias("id")))
 
 
 def merge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,9 +86,9 @@ def funnel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    q = F.percentile("n", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))
-    one = t.agg(F.count("*").alias("tasks"), F.sum("n").alias("total"), F.avg("n").alias("mean"), q.alias("q"), (100.0 * F.count_if(F.col("n") > 6) / F.count("*")).alias("over"), F.sum(F.least("n", F.lit(4))).alias("capped"))
-    return one.select("tasks", "total", F.round("mean", 9).alias("mean"), *[F.get("q", F.lit(i)).alias(f"p{25 * i}") for i in range(5)], F.round("over", 9).alias("over_6_pct"), "capped")
+    n = stats.spread("n", F.col("n"), "avg", "sum", "percentile")
+    one = t.agg(F.count("*").alias("tasks"), *[v.alias(k) for k, v in n.items()], (100.0 * F.count_if(F.col("n") > 6) / F.count("*")).alias("over"), F.sum(stats.tool_counts(F.col("n"), F.lit(0), 4)[0]).alias("capped"))
+    return one.select("tasks", F.col("n-sum").cast("long").alias("total"), F.round("n-avg", 9).alias("mean"), *[F.col(f"n-p{25 * i}").alias(f"p{25 * i}") for i in range(5)], F.round("over", 9).alias("over_6_pct"), "capped")
 
 
 def rich_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,12 +106,8 @@ def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shortest_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    from millrace.functions.text import token_count
-
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", token_count(F.col("text")).cast("long").alias("n"))
-    return rows.withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy("n", "turn"))).filter("r <= 2").select("conv_id", "turn", "n")
+    return lookups.shortest(rows, ["conv_id"], F.col("n"), "turn", 2)
 
 
 def annotation_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
