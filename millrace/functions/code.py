@@ -66,7 +66,7 @@ def decisions(found: list[str]) -> int | None:
 
     if, for, while (with a do before it or not), catch, ternary signs, case labels and && and ||, each one.
     """
-    count, label, seen_body = 0, False, False
+    count, label, seen_body, arm = 0, False, False, False  # arm: the last arrow was that of a case
     opened: list[tuple[str, bool, bool]] = []  # what closes it, whether it is left out, whether it ends a `new` expression
     created = declared = False
     for i, t in enumerate(found):
@@ -77,7 +77,7 @@ def decisions(found: list[str]) -> int | None:
             opened.pop()
             out = opened[-1][1] if opened else False
         if t in CLOSED_BY:
-            lambda_body = t == "{" and before == "->" and not label
+            lambda_body = t == "{" and before == "->" and not arm
             left_out = out or (t == "{" and (lambda_body or created or declared))
             seen_body = seen_body or t == "{"
             maker = t == "(" and _creates(found, i)
@@ -95,9 +95,11 @@ def decisions(found: list[str]) -> int | None:
             label = True
             count += t == "case" and not out
         elif t == ":" or (t == "->" and label):
-            label = False
-        elif t == "->" and after != "{":
-            opened.append((",", True, False))
+            label, arm = False, t == "->"
+        elif t == "->":
+            arm = False
+            if after != "{":
+                opened.append((",", True, False))
         elif not out:
             wildcard = t == "?" and before in {"<", ","} and after in {">", ",", "extends", "super"}
             count += t in {"if", "for", "while", "catch", "&&", "||"} or (t == "?" and not wildcard)

@@ -2,34 +2,54 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def _collect(key, batches, state):
-    held = json.loads(state.get[0]) if state.exists else {}
-    expected = None
-    for batch in batches:
-        for idx, results, wanted in zip(batch["idx"], batch["results"], batch["expected"]):
-            held.setdefault(str(int(idx)), list(results))
-            expected = int(wanted)
-    if len(held) < expected:
-        state.update((json.dumps(held),))
-        return
-    if state.exists:
-        state.remove()
-    yield pd.DataFrame({"id": [key[0]], "results": [[r for i in sorted(held, key=int) for r in held[i]]]})
 
+class _Parts(StatefulProcessor):
+    """Holds the parts of a task as a map, so a new part writes itself only, and their number, so they are read once, at the end."""
 
-def completed_stream(parts: DataFrame) -> DataFrame:
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.parts = handle.getMapState("parts", "idx int", "results array<string>", self.ttl_ms)
+        self.held = handle.getValueState("held", "n int", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, expected = (self.held.get() or (0,))[0], None
+        for batch in rows:
+            for idx, results, wanted in zip(batch["idx"], batch["results"], batch["expected"], strict=True):
+                expected = int(wanted)
+                if not self.parts.containsKey((int(idx),)):
+                    self.parts.updateValue((int(idx),), (list(results),))
+                    n += 1
+        if expected is None or n < expected:
+            self.held.update((n,))
+            return
+        found = sorted((k[0], list(v[0])) for k, v in self.parts.iterator())
+        self.parts.clear()
+        self.held.clear()
+        yield pd.DataFrame({"id": [key[0]], "results": [[r for _, part in found for r in part]]})
+
+    def close(self) -> None:
+        pass
+
+
+def completed_stream(parts: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """(id, results) in append mode, from a stream of (id long, idx, results array<string>, expected).
 
-    State is held for open tasks only: it goes when the task is given out. The first of repeated parts of an open task
-    counts. Rows without id, idx, results or expected are left out, a task whose parts never all come stays open, and
+    State is held for open tasks only, in RocksDB, which the session is set to use: it goes when the task is given out, or, with
+    ttl_ms, that long after its last change, and then the task's later parts open it again. The first of repeated parts of an open task
+    counts. Rows without id, idx, results or expected are left out, a task whose parts never all come is not given out, and
     a part that comes after its task was given out opens that task again. Other columns are ignored.
     """
+    parts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     clean = parts.select(F.col("id").cast("long"), F.col("idx").cast("int"), "results", F.col("expected").cast("int")).dropna()
-    return clean.groupBy("id").applyInPandasWithState(_collect, "id long, results array<string>", "held string", "append", "NoTimeout")
+    return clean.groupBy("id").transformWithStateInPandas(_Parts(ttl_ms), "id long, results array<string>", "Append", "ProcessingTime" if ttl_ms else "None")
