@@ -15,30 +15,27 @@ class WaveletMatrix:
             padded = np.zeros(-(-(len(ones) + 1) // 64) * 64, dtype=np.uint8)
             padded[: len(ones)] = ones
             packed = np.packbits(padded, bitorder="little").view(np.uint64)
-            before = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)[:-1]]).astype(np.uint32)
+            before = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)[:-1]])
             self.levels.append((packed, before, int(len(ones) - ones.sum())))
             symbols = np.concatenate([symbols[ones == 0], symbols[ones == 1]])
         every = np.arange(1 << bits)
-        (self.start,) = self._walked(every, np.zeros_like(every))  # where each symbol's places begin on the last level
+        self.start = self._walked(every, np.zeros_like(every))  # where each symbol's places begin on the last level
 
-    def _walked(self, symbol: np.ndarray, *places: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The places, followed through all levels along each symbol's bits."""
+    def _walked(self, symbol: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The places, followed through all levels along each symbol's bits; places may have several rows."""
         bits = len(self.levels)
         for k, (packed, before, zeros) in enumerate(self.levels):
             one = ((symbol >> (bits - 1 - k)) & 1).astype(bool)
-            found = []
-            for at in places:
-                word = at >> 6
-                mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-                ones = before[word].astype(np.int64) + np.bitwise_count(packed[word] & mask)
-                found.append(np.where(one, zeros + ones, at - ones))
-            places = tuple(found)
+            word = places >> 6
+            mask = (np.uint64(1) << (places & 63).view(np.uint64)) - np.uint64(1)
+            ones = before[word] + np.bitwise_count(packed[word] & mask)
+            places = np.where(one, zeros + ones, places - ones)
         return places
 
     def rank(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often each symbol occurs before low and before high."""
-        low, high = self._walked(symbol, low, high)
-        return low - self.start[symbol], high - self.start[symbol]
+        low, high = self._walked(symbol, np.stack([low, high])) - self.start[symbol]
+        return low, high
 
 
 class FMIndex:

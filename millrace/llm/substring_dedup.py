@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fresh, small_batches, text_of, word_hashes, words, written
+from millrace.llm.common import Scratch, fresh, small_batches, text_of, word_hashes, words
 from millrace.llm.fm_index import FMIndex, repeated_spans
 from millrace.llm.word_table import blocks, gathered, lists
 from millrace.session import table
@@ -38,7 +38,7 @@ from millrace.session import table
 WIDTH = 35
 M = 8
 HOT = 1000
-SHARD_WORDS = 100_000
+SHARD_WORDS = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -149,7 +149,7 @@ def _searched(shards: DataFrame, width: int) -> DataFrame:
     return shards.groupBy("shard").applyInArrow(run, "tk binary, a int, b int")
 
 
-def _hot_spans(hot: DataFrame, width: int) -> DataFrame:
+def _hot_spans(hot: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     """(tk, a, b) of segments whose minimizer is too frequent for one shard.
 
     Contents are aggregated first. All windows of a content with several places repeat; a window of a
@@ -157,7 +157,7 @@ def _hot_spans(hot: DataFrame, width: int) -> DataFrame:
     they hold their minimizer at different places.)
     """
     place = F.struct("tk", "start")
-    contents = written(hot.groupBy("key", "content").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.first("n").alias("n"), F.first("words").alias("words")), "hot-contents")
+    contents = scratch.keep(hot.groupBy("key", "content").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.first("n").alias("n"), F.first("words").alias("words")), "hot-contents")
     many = contents.filter("x <> y").select("key", "content").hint("merge")
     whole = hot.select("key", "content", "tk", "start", "n").join(many, ["key", "content"], "left_semi").select("tk", F.col("start").alias("a"), (F.col("start") + F.col("n") + (width - 1)).alias("b"))
 
@@ -175,7 +175,7 @@ def _hot_spans(hot: DataFrame, width: int) -> DataFrame:
 
     twice = windows(contents).groupBy("window").agg(F.min("content").alias("a"), F.max("content").alias("b")).filter("a <> b").select("window")
     single = contents.filter("x = y")
-    some = windows(single).join(written(twice, "hot-windows").hint("merge"), "window", "left_semi").groupBy("key", "content").agg(F.min("i").alias("first"), F.max("i").alias("last"))
+    some = windows(single).join(scratch.keep(twice, "hot-windows").hint("merge"), "window", "left_semi").groupBy("key", "content").agg(F.min("i").alias("first"), F.max("i").alias("last"))
     parts = single.select("key", "content", "x").join(some, ["key", "content"]).select("x.tk", (F.col("x.start") + F.col("first")).alias("a"), (F.col("x.start") + F.col("last") + width).alias("b"))
     return whole.unionByName(parts)
 
@@ -186,20 +186,25 @@ def _place() -> Column:
 
 def repeated(docs: DataFrame, width: int = WIDTH, m: int = M, hot: int = HOT) -> DataFrame:
     """(tk, spans): for each text, by the MD5 of its content, the spans of words in repeated windows."""
-    found = written(_minimizers(docs, width, m), "minimizers")
+    scratch = Scratch(docs.sparkSession, "substrings")
+    found = scratch.keep(_minimizers(docs, width, m), "minimizers")
     # A text that occurs twice has the same places both times, so places tell different ones apart.
     shared = found.groupBy("mini").agg(F.min(_place()).alias("x"), F.max(_place()).alias("y"), F.count("*").alias("places")).filter("x <> y").select("mini", (F.col("places") > hot).alias("hot"))
-    near = found.join(written(shared, "shared").hint("merge"), "mini").groupBy("tk").agg(F.collect_set(F.struct("start", "n", "mini", "hot")).alias("found"))
-    near = written(near, "near")
+    near = found.join(scratch.keep(shared, "shared").hint("merge"), "mini").groupBy("tk").agg(F.collect_set(F.struct("start", "n", "mini", "hot")).alias("found"))
+    near = scratch.keep(near, "near")
+    scratch.drop("minimizers", "shared")
     texts = docs.select(_text_key().alias("tk"), text_of().alias("text")).groupBy("tk").agg(F.first("text").alias("text"))
-    cut = written(_cut(texts.join(near.hint("merge"), "tk").select("tk", "found", word_hashes(F.col("text")).alias("words")), width), "segments")
+    cut = scratch.keep(_cut(texts.join(near.hint("merge"), "tk").select("tk", "found", word_hashes(F.col("text")).alias("words")), width), "segments")
+    scratch.drop("near")
     total = cut.filter(~F.col("hot")).agg(F.sum(F.col("n") + width - 1)).first()[0] or 0
     shards = cut.filter(~F.col("hot")).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(1 + total // SHARD_WORDS)))
     spans = _searched(shards.select("shard", "tk", "start", "n", "content", "words"), width)
-    hot_spans = _hot_spans(cut.filter("hot"), width)
+    hot_spans = _hot_spans(cut.filter("hot"), width, scratch)
     copies = docs.groupBy(_text_key().alias("tk")).agg(F.count("*").alias("c")).filter("c > 1").select("tk", F.lit(0).alias("a"), F.lit(2**31 - 1).alias("b"))
     every = spans.unionByName(hot_spans).unionByName(copies)
-    return written(every.groupBy("tk").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+    out = scratch.keep(every.groupBy("tk").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+    scratch.drop("segments", "hot-contents", "hot-windows")
+    return out
 
 
 def dedup_substrings(docs: DataFrame, keep: list[str], width: int = WIDTH, **settings) -> DataFrame:
