@@ -38,7 +38,7 @@ from millrace.session import table
 WIDTH = 35
 M = 8
 HOT = 1000
-SHARD_WORDS = 400_000
+SHARD_WORDS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
