@@ -105,6 +105,15 @@ def call_paths_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.call_paths(pairs.unionByName(over), start, None).select("start", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
+def call_paths_overridden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All paths from all suppliers at any depth: each calls the one of half its number, and odd ones are overridden by one of the negative number."""
+    s = F.col("s_suppkey")
+    base = table(spark, sf_dir, "supplier")
+    calls = base.filter(s > 1).select(s.alias("src"), F.floor(s / 2).alias("dst"), F.lit("C").alias("label"))
+    over = base.filter(s % 2 == 1).select((-s).alias("src"), s.alias("dst"), F.lit("O").alias("label"))
+    return graph.call_paths(calls.unionByName(over), base.select(s.alias("id")), None).select("start", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+
+
 def ancestor_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     parents = s.select(F.col("s_suppkey").alias("node"), F.when(F.col("s_suppkey") > 1, F.floor(F.col("s_suppkey") / 2)).alias("parent"))
@@ -112,7 +121,7 @@ def ancestor_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.members(parents, own)
 
 
-QUERIES = {f.__name__: f for f in (cohen_kappa, venn_overlap, binned_success, bin_gap, best_config_per_metric, text_counts, code_block_extract, regex_extract_all, prompt_fill, line_comment, trace_parse, frame_interval_join, call_paths, call_paths_lineitem, ancestor_members)}
+QUERIES = {f.__name__: f for f in (cohen_kappa, venn_overlap, binned_success, bin_gap, best_config_per_metric, text_counts, code_block_extract, regex_extract_all, prompt_fill, line_comment, trace_parse, frame_interval_join, call_paths, call_paths_lineitem, call_paths_overridden, ancestor_members)}
 _BIN = "WITH r AS (SELECT least(greatest(ceil(l_quantity / 5) - 1, 0), 8)::BIGINT AS bin, (l_returnflag <> 'R')::INT a, (l_linestatus = 'F')::INT b FROM lineitem), m AS (SELECT bin, count(*) n, avg(a) ma, avg(b) mb FROM r GROUP BY 1), g AS (SELECT i::BIGINT bin, CASE WHEN i = 8 THEN '40+' ELSE (i * 5) || '-' || (i * 5 + 5) END AS label, coalesce(n, 0)::BIGINT n, ma, mb FROM range(9) t(i) LEFT JOIN m ON m.bin = i)"
 ORACLES = {
     "cohen_kappa": """WITH c AS (SELECT lang, count(*) FILTER (quality = 1 AND toxic = 1) yes_yes, count(*) FILTER (quality = 1 AND toxic <> 1) yes_no, count(*) FILTER (quality <> 1 AND toxic = 1) no_yes, count(*) FILTER (quality <> 1 AND toxic <> 1) no_no FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY 1),
@@ -130,5 +139,6 @@ ORACLES = {
     "trace_parse": "WITH e AS (SELECT user_id, ts::DATE::VARCHAR AS day, event_id, event_type FROM events), f AS (SELECT user_id, day, count(*) depth, min(event_id) FILTER (event_type = 'purchase') p FROM e GROUP BY 1, 2) SELECT user_id, day, depth, count(event_id) n, coalesce(string_agg(event_id::VARCHAR, ',' ORDER BY event_id), '') AS lines FROM f LEFT JOIN e ON e.user_id = f.user_id AND e.day = f.day AND e.event_id < f.p WHERE f.p IS NOT NULL GROUP BY f.user_id, f.day, f.depth".replace("SELECT user_id, day, depth, count", "SELECT f.user_id, f.day, f.depth, count"),
     "frame_interval_join": "WITH m AS (SELECT *, count(*) OVER (PARTITION BY c, t) k FROM (SELECT DISTINCT p_brand c, p_type t, p_size s FROM part)) SELECT p_partkey, ((p_partkey * 7) % 60)::INT AS line, s AS start_line FROM part JOIN m ON c = p_brand AND t = p_type WHERE k = 1 OR (p_partkey * 7) % 60 BETWEEN s AND s + 10 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY s) = 1",
     "call_paths": "WITH RECURSIVE e AS (SELECT s_suppkey src, s_suppkey * 2 + k dst FROM supplier, range(2) t(k) WHERE s_suppkey * 2 + k BETWEEN 1 AND 60), p AS (SELECT s_suppkey AS start, s_suppkey node, [s_suppkey] path FROM supplier WHERE s_suppkey <= 10 UNION ALL SELECT p.start, e.dst, list_append(path, e.dst) FROM p JOIN e ON src = node WHERE len(path) < 8 AND NOT list_contains(path, e.dst)) SELECT start, array_to_string(path, ',') AS path FROM p WHERE len(path) = 8 OR node NOT IN (SELECT src FROM e)",
+    "call_paths_overridden": "WITH RECURSIVE p AS (SELECT s_suppkey AS start, s_suppkey node, [s_suppkey] path FROM supplier UNION ALL SELECT start, nx, list_append(path, nx) FROM (SELECT *, unnest(CASE WHEN node > 1 AND node % 2 = 1 AND len(path) > 1 THEN [node // 2, -node] WHEN node > 1 THEN [node // 2] WHEN node = 1 AND len(path) > 1 THEN [-1] ELSE [] END) AS nx FROM p)) SELECT start, array_to_string(path, ',') AS path FROM p WHERE node <= 1",
     "ancestor_members": "WITH RECURSIVE a AS (SELECT s_suppkey node, s_suppkey x, 0 d FROM supplier UNION ALL SELECT node, x // 2, d + 1 FROM a WHERE x > 1) SELECT node, (s_nationkey % 7)::BIGINT AS signature, arg_min(x, d) AS owner FROM a JOIN supplier ON s_suppkey = x WHERE d = 0 OR s_suppkey % 3 <> 0 GROUP BY 1, 2",
 }
