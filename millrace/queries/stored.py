@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import agreement, extractors, stats, trees
 from millrace.session import table
-from millrace.sources import datasets
+from millrace.sources import column_files, datasets
 
 
 def _folder(spark: SparkSession) -> str:
@@ -40,6 +40,17 @@ def dataset_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.ids().select("id", F.lit(None).cast("string").alias("name")).unionByName(one)
 
 
+def column_files_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts written as a file for each field and put together again by line, those of listed ids only."""
+    p = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(p.alias("id"), F.when(p % 7 != 0, F.concat("p_name", F.lit('"\n\\'))).alias("note"), F.array_repeat(F.col("p_size"), (p % 3).cast("int")).alias("sizes"))
+    folder = _folder(spark)
+    column_files.write_column_files(rows, folder, ["id", "note", "sizes"], "id")
+    ids = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
+    out = column_files.read_column_files(spark, folder, {"id": "long", "note": "string", "sizes": "array<int>"}, ids)
+    return out.select("pos", "id", "note", F.array_join(F.col("sizes").cast("array<string>"), ",").alias("sizes"))
+
+
 def metrics_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines' quantities as samples of runs by flag, written with their means; a second run's folder joins the first's."""
     path, lines = _folder(spark), table(spark, sf_dir, "lineitem")
@@ -139,11 +150,12 @@ def judged_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agreement.unlike(d.filter("quality = 1").select(F.col("doc_id").alias("id")), d.filter("toxic = 0").select(F.col("doc_id").alias("id")))
 
 
-QUERIES = {f.__name__: f for f in (dataset_roundtrip, dataset_ids, metrics_sink, annotation_tags, latex_macros, viewers, extracted_fields, tree_walk, tree_find, tree_spans, tree_statements, capped_tools, judged_overlap)}
+QUERIES = {f.__name__: f for f in (dataset_roundtrip, dataset_ids, column_files_roundtrip, metrics_sink, annotation_tags, latex_macros, viewers, extracted_fields, tree_walk, tree_find, tree_spans, tree_statements, capped_tools, judged_overlap)}
 _NODES = "n AS (SELECT s_suppkey AS node, CASE WHEN s_suppkey % 5 = 0 THEN 'Stmt' WHEN s_suppkey % 3 = 0 THEN 'Expr' ELSE 'Block' END AS type FROM supplier WHERE s_suppkey >= 1)"
 ORACLES = {
     "dataset_roundtrip": "SELECT p_partkey AS id, p_name, -p_size AS p_size, upper(p_name) AS title FROM part WHERE p_partkey IN (SELECT s_suppkey FROM supplier)",
     "dataset_ids": "SELECT c_custkey AS id, NULL::VARCHAR AS name FROM customer UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey = 3",
+    "column_files_roundtrip": r"""SELECT row_number() OVER (ORDER BY p_partkey) - 1 + (SELECT count(*) FROM part WHERE p_partkey < (SELECT min(s_suppkey) FROM supplier)) AS pos, p_partkey AS id, CASE WHEN p_partkey % 7 <> 0 THEN p_name || '"' || chr(10) || '\' END AS note, array_to_string(list_transform(range(p_partkey % 3), lambda i: p_size), ',') AS sizes FROM part WHERE p_partkey IN (SELECT s_suppkey FROM supplier)""",
     "metrics_sink": "SELECT l_returnflag AS config, count(*) n, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY 1",
     "annotation_tags": "SELECT DISTINCT unnest(CASE WHEN s_suppkey % 2 = 0 THEN ['t' || (s_suppkey % 7)] ELSE ['u' || (s_suppkey % 5), 'w'] END) AS tag FROM supplier WHERE s_suppkey % 3 <> 0",
     "latex_macros": r"SELECT '\DefMacro{stat-' || lower(o_orderstatus) || '-test}{' || format('{:,}', count(*) * 1000) || '}' AS line FROM orders GROUP BY o_orderstatus UNION ALL SELECT '\DefMacro{stat-' || lower(r_name) || '-test}{' || format('{:,}', r_regionkey::BIGINT * 1000) || '.50}' FROM region",

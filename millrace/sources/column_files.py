@@ -1,4 +1,7 @@
-"""Folders with one JSONL file for each field, in which line N of every file belongs to row N."""
+"""Folders with one JSONL file for each field, in which line N of every file belongs to row N.
+
+A file may also be a folder of part files, whose lines follow one another in the order of their names; that is what Spark writes.
+"""
 
 from __future__ import annotations
 
@@ -9,12 +12,13 @@ from pyspark.sql import functions as F
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, value): the lines of one text file with their numbers from 0.
+    """(pos, value): the lines of a text file, or of a folder of them, with their numbers from 0.
 
     Lines are numbered within each block that Spark reads, and a block starts at the number of lines before it; one
     row for each block is all that is ordered in one task.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    lines = spark.read.text(path).select("value", block.alias("block"), F.monotonically_increasing_id().alias("at"))
     counts = lines.groupBy("block").count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(F.col("block").alias("start_block"), before.alias("start"))
@@ -23,6 +27,14 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return ranked.join(starts, F.col("block") == F.col("start_block")).select((F.col("start") + F.col("inside") - 1).alias("pos"), "value")
 
 
+def write_column_files(rows: DataFrame, folder: str, fields: list[str], order: str) -> None:
+    """Writes `folder`/<field>.jsonl for each field, its rows in the order of a column without repeats."""
+    ranked = rows.orderBy(order)
+    for name in fields:
+        value = F.regexp_extract(F.to_json(F.struct(F.col(name).alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+        ranked.select(F.when(F.col(name).isNull(), F.lit("null")).otherwise(value).alias("value")).write.text(f"{folder}/{name}.jsonl")
+
+
 def _parsed(value: Column, ddl: str) -> Column:
     wrapped = F.concat(F.lit('{"v":'), value, F.lit("}"))
     return F.from_json(wrapped, f"v {ddl}")["v"]
