@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """The rows, written once to the checkpoint folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -28,11 +28,11 @@ def call_paths(edges: DataFrame, start: DataFrame, depth: int | None = 10) -> Da
     Each round of joins adds a node and is written.
     """
     calls = edges.filter("label = 'C'").select("src", "dst")
-    e = _kept(calls.withColumn("over", F.lit(False)).unionByName(edges.filter("label = 'O'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("over"))))
-    rounds = [_kept(start.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("path")))]
+    e = kept(calls.withColumn("over", F.lit(False)).unionByName(edges.filter("label = 'O'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("over"))))
+    rounds = [kept(start.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("path")))]
     while (depth is None or len(rounds) < depth) and not rounds[-1].isEmpty():
         grown = rounds[-1].join(e.filter("NOT over") if len(rounds) == 1 else e, F.col("src") == F.col("node")).filter(~F.array_contains("path", F.col("dst")))
-        rounds.append(_kept(grown.select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))))
+        rounds.append(kept(grown.select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))))
     rows = reduce(DataFrame.unionByName, rounds)
     inner = calls.select(F.col("src").alias("node")).distinct()
     found = rows.join(inner, "node", "left_anti").select("start", "path")
@@ -47,13 +47,13 @@ def ancestors(parents: DataFrame) -> DataFrame:
 
     Each round of joins adds a generation and is written, until nothing new comes; so cycles end.
     """
-    up = _kept(parents.select("node", "parent"))
-    rounds = [_kept(up.select("node", F.col("node").alias("ancestor")).distinct().withColumn("distance", F.lit(0)))]
+    up = kept(parents.select("node", "parent"))
+    rounds = [kept(up.select("node", F.col("node").alias("ancestor")).distinct().withColumn("distance", F.lit(0)))]
     while not rounds[-1].isEmpty():
         seen = reduce(DataFrame.unionByName, rounds).select("node", "ancestor")
         link = up.filter("parent IS NOT NULL").select(F.col("node").alias("ancestor"), "parent")
         new = rounds[-1].join(link, "ancestor").select("node", F.col("parent").alias("ancestor")).distinct().join(seen, ["node", "ancestor"], "left_anti")
-        rounds.append(_kept(new.withColumn("distance", F.lit(len(rounds)))))
+        rounds.append(kept(new.withColumn("distance", F.lit(len(rounds)))))
     return reduce(DataFrame.unionByName, rounds)
 
 
@@ -81,15 +81,15 @@ def throwing_paths(edges: DataFrame, methods: DataFrame, starts: DataFrame) -> D
     declare the exception only. No method is twice on a path, so cycles end.
     """
     thrown = methods.select("id", F.explode(F.array_distinct("thrown")).alias("exception")).withColumn("throws", F.lit(True))
-    declared = _kept(methods.select("id", F.explode(F.array_distinct("declared")).alias("exception")).join(thrown, ["id", "exception"], "left").withColumn("throws", F.coalesce("throws", F.lit(False))))
-    calls = _kept(edges.select("src", "dst").distinct())
+    declared = kept(methods.select("id", F.explode(F.array_distinct("declared")).alias("exception")).join(thrown, ["id", "exception"], "left").withColumn("throws", F.coalesce("throws", F.lit(False))))
+    calls = kept(edges.select("src", "dst").distinct())
     first = starts.select("id").distinct().join(declared, "id").select(F.col("id").alias("start"), "exception", F.array("id").alias("path"), F.col("id").alias("node"), "throws")
-    rounds = [_kept(first)]
+    rounds = [kept(first)]
     while not rounds[-1].isEmpty():
         grown = rounds[-1].filter("NOT throws").join(calls, F.col("src") == F.col("node")).filter(~F.array_contains("path", F.col("dst")))
         next_of = declared.select(F.col("id").alias("dst"), "exception", F.col("throws").alias("next_throws"))
         grown = grown.join(next_of, ["dst", "exception"]).select("start", "exception", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("node"), F.col("next_throws").alias("throws"))
-        rounds.append(_kept(grown))
+        rounds.append(kept(grown))
     return reduce(DataFrame.unionByName, rounds).filter("throws").select("start", "exception", "path")
 
 
@@ -99,7 +99,7 @@ def call_graph(calls: DataFrame, methods: DataFrame, parents: DataFrame) -> Data
     calls: src, owner, signature; methods: id, class, signature, private, static; parents: node, parent (classes and interfaces). Private and static
     methods override nothing. A call that no class answers has no edge.
     """
-    up = _kept(ancestors(parents.select("node", "parent").unionByName(parents.select(F.col("parent").alias("node"), F.lit(None).cast(parents.schema["parent"].dataType).alias("parent")).filter("node IS NOT NULL"))))
+    up = kept(ancestors(parents.select("node", "parent").unionByName(parents.select(F.col("parent").alias("node"), F.lit(None).cast(parents.schema["parent"].dataType).alias("parent")).filter("node IS NOT NULL"))))
     own = methods.select(F.col("id").alias("dst"), F.col("class").alias("ancestor"), "signature")
     found = calls.select("src", F.col("owner").alias("node"), "signature").distinct().join(up, "node").join(own, ["ancestor", "signature"])
     nearest = found.groupBy("src", "node", "signature").agg(F.min_by("dst", F.struct("distance", "dst")).alias("dst")).select("src", "dst", F.lit("C").alias("label"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.graph import _kept
+from millrace.operators.graph import kept
 
 
 def placed(nodes: DataFrame, stop: Column | None = None) -> DataFrame:
@@ -16,11 +16,11 @@ def placed(nodes: DataFrame, stop: Column | None = None) -> DataFrame:
     Paths sort in the order of a depth-first walk, their lengths first in that of a breadth-first one. Each round of joins goes down
     one level and is written.
     """
-    marked = _kept(nodes.withColumn("__stop", F.coalesce(stop, F.lit(False)) if stop is not None else F.lit(False)))
-    rounds = [_kept(marked.filter("parent IS NULL").withColumn("path", F.array("place")))]
+    marked = kept(nodes.withColumn("__stop", F.coalesce(stop, F.lit(False)) if stop is not None else F.lit(False)))
+    rounds = [kept(marked.filter("parent IS NULL").withColumn("path", F.array("place")))]
     while not rounds[-1].isEmpty():
         above = rounds[-1].filter("NOT __stop").select("tree", F.col("node").alias("parent"), F.col("path").alias("__above"))
-        rounds.append(_kept(marked.join(above, ["tree", "parent"]).withColumn("path", F.concat("__above", F.array("place"))).select(*rounds[0].columns)))
+        rounds.append(kept(marked.join(above, ["tree", "parent"]).withColumn("path", F.concat("__above", F.array("place"))).select(*rounds[0].columns)))
     return reduce(DataFrame.unionByName, rounds).drop("__stop")
 
 

@@ -135,10 +135,17 @@ def repair_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.next_round(old, tried).select("id", "output", "passed", "carried")
 
 
+def repair_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as samples, finished ones passed: in round k those are tried whose number leaves k or less when divided by six, and pass if it leaves k."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit(0).alias("sample"), F.col("o_orderstatus").alias("output"), (F.col("o_orderstatus") == "F").alias("passed"))
+    attempt = lambda left, k: left.filter(F.col("id") % 6 <= k).select("id", "sample", F.concat(F.lit(f"r{k}-"), (F.col("id") % 6).cast("string")).alias("output"), (F.col("id") % 6 == k).alias("passed"))
+    return repair.rounds(orders, attempt).select("id", "output", "passed", "round")
+
+
 _S = "(l_returnflag <> 'R')::INT AS ok, (l_linestatus = 'F')::INT AS comp"
 _W = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)"
 _A = "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'A'"
-QUERIES = {f.__name__: f for f in (pad_missing_tasks, combine_results_zip, subset_semi, separate_anti, merge_union, project_rank_filter, any_all_filters, compile_filter_side_output, funnel_counts, dataset_stats, rich_summary, topk_summary, dedup_first, shortest_k, annotation_upsert, resume_worklist, completion_accumulate, repair_round)}
+QUERIES = {f.__name__: f for f in (pad_missing_tasks, combine_results_zip, subset_semi, separate_anti, merge_union, project_rank_filter, any_all_filters, compile_filter_side_output, funnel_counts, dataset_stats, rich_summary, topk_summary, dedup_first, shortest_k, annotation_upsert, resume_worklist, completion_accumulate, repair_round, repair_rounds)}
 ORACLES = {
     "pad_missing_tasks": f"WITH s AS (SELECT l_orderkey, count(*) n, sum(ok) c FROM (SELECT l_orderkey, {_S} FROM lineitem) GROUP BY 1) SELECT o_orderkey AS id, coalesce(n, 10)::BIGINT n, coalesce(c, 0)::BIGINT c FROM orders LEFT JOIN s ON l_orderkey = o_orderkey",
     "combine_results_zip": f"""WITH a AS (SELECT l_orderkey, {_S}, {_W} r FROM lineitem WHERE l_quantity <= 25), b AS (SELECT l_orderkey, {_S}, {_W} r FROM lineitem WHERE l_quantity > 25),
@@ -162,4 +169,5 @@ ORACLES = {
     "resume_worklist": "SELECT o_orderkey AS id, 'F' AS kind FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'F')",
     "completion_accumulate": "SELECT conv_id AS id, string_agg(role, ',' ORDER BY turn) AS results FROM conversations GROUP BY 1 HAVING count(*) = 4",
     "repair_round": "SELECT o_orderkey AS id, CASE WHEN o_orderstatus <> 'F' AND o_totalprice > 100000 THEN o_orderpriority ELSE o_orderstatus END AS output, o_orderstatus = 'F' OR (o_totalprice > 100000 AND o_orderpriority = '1-URGENT') AS passed, o_orderstatus = 'F' AS carried FROM orders",
+    "repair_rounds": "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'F' WHEN o_orderkey % 6 BETWEEN 1 AND 4 THEN 'r' || (o_orderkey % 6) || '-' || (o_orderkey % 6) WHEN o_orderkey % 6 = 0 THEN 'r4-0' ELSE o_orderstatus END AS output, o_orderstatus = 'F' OR o_orderkey % 6 BETWEEN 1 AND 4 AS passed, CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_orderkey % 6 BETWEEN 1 AND 4 THEN o_orderkey % 6 END::INT AS round FROM orders",
 }
