@@ -239,6 +239,28 @@ def complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _method(spark, sf_dir).groupBy(code.cyclomatic_complexity(F.col("code")).alias("complexity")).agg(F.count("*").alias("n"))
 
 
+def test_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as tests in five ways; some of those with a try have two catches."""
+    p, size = F.col("p_partkey"), F.concat(F.lit("q.E"), _s("p_size"))
+    ways = F.array(
+        F.concat(F.lit("@Test(timeout = 1, expected = "), size, F.lit(".class) void t() { assertThrows(); }")),
+        F.concat(F.lit("@Test void t() { assertThrows(A.class, () -> f()); assertThrows("), size, F.lit(".class, () -> g()); }")),
+        F.concat(F.lit("@Test void t() { rule.expect("), size, F.lit(".class); f(); }")),
+        F.concat(F.lit('@Test void t() { try { f(); fail("x"); } catch (final '), size, F.lit(" e) { }"), F.when(p % 2 == 0, F.lit(" catch (B b) { }")).otherwise(F.lit("")), F.lit(" }")),
+        F.lit("@Test void t() { f(); }"),
+    )
+    found = code.test_pattern(F.get(ways, (p % 5).cast("int")))
+    return table(spark, sf_dir, "part").select("p_partkey", found["pattern"].alias("pattern"), found["exception"].alias("exception"))
+
+
+def tried_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as methods of six types and one without a body."""
+    p = F.col("p_partkey")
+    kinds = F.array(*map(F.lit, ["public void", "static int", "boolean", "Map<String, int[]>", "private final double", "char"]))
+    method = F.when(p % 7 == 6, F.lit("abstract int m();")).otherwise(F.concat(F.get(kinds, (p % 7).cast("int")), F.lit(" m(int a) throws E { if (a) { f("), _s("p_size"), F.lit("); } }")))
+    return table(spark, sf_dir, "part").select("p_partkey", code.with_try_catch(method).alias("code"))
+
+
 def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as methods that call the ones of half and a third of their number and override the one before."""
     s = F.col("s_suppkey")
@@ -325,7 +347,7 @@ QUERIES = {
     for f in (
         key_parts, thinking_stripped, covered_lines, unreported_exceptions, thrown_exceptions, type_names, generic_parts, class_names, subtoken_counts,
         comment_removal, splice_lines, indented_text, test_files, number_texts, throw_lines, tool_log, code_variants, markdown_parts, base_prompt,
-        one_field_prompt, add_on_prompt, exception_comments, throw_and_type_info, repair_errors, token_signature_groups, method_bodies, complexity,
+        one_field_prompt, add_on_prompt, exception_comments, throw_and_type_info, repair_errors, token_signature_groups, method_bodies, complexity, test_patterns, tried_methods,
         edge_lookups, throwing_paths, built_call_graph, dependency_names, own_throws, trie_prefix, trie_prefixes_of, repair_tasks, drawn_tests,
     )
 }
@@ -370,6 +392,8 @@ ORACLES = {
     "token_signature_groups": """SELECT CASE WHEN p_partkey % 4 < 2 THEN 'int m ( int a ) { if ( a > 0 && b ) { return 1 ; } return 2 ; }' WHEN p_partkey % 4 = 2 THEN 'void m ( ) { throw new E ( "a; b" ) ; }' ELSE 'Object m ( ) { return null ; }' END AS signature, count(*) n FROM part GROUP BY 1""",
     "method_bodies": f"SELECT p_partkey, p_partkey % 4 = 2 AS only_throw, false AS empty, p_partkey % 4 = 3 AS empty_after, CASE WHEN p_partkey % 4 = 3 THEN 'Object m() {{' || {_N} || '}}' END AS stripped FROM part",
     "complexity": "SELECT CASE WHEN p_partkey % 4 < 2 THEN 3 ELSE 1 END::BIGINT AS complexity, count(*) n FROM part GROUP BY 1",
+    "test_patterns": "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '@Test(expected)' WHEN 1 THEN 'assertThrows' WHEN 2 THEN 'expectedException.expect()' WHEN 3 THEN CASE WHEN p_partkey % 2 = 1 THEN 'try{fail}catch' END END AS pattern, CASE WHEN p_partkey % 5 < 3 OR (p_partkey % 5 = 3 AND p_partkey % 2 = 1) THEN 'q.E' || p_size END AS exception FROM part",
+    "tried_methods": r"SELECT p_partkey, CASE WHEN p_partkey % 7 = 6 THEN 'abstract int m();' ELSE ['public void', 'static int', 'boolean', 'Map<String, int[]>', 'private final double', 'char'][p_partkey % 7 + 1] || ' m(int a) throws E { try { if (a) { f(' || p_size || '); } } catch (Exception e) { ' || ['return;', 'return 0;', 'return false;', 'return null;', 'return 0.0;', 'return ''\0'';'][p_partkey % 7 + 1] || ' } }' END AS code FROM part",
     "edge_lookups": f"WITH {_GRAPH}, n AS (SELECT s_suppkey id FROM supplier WHERE s_nationkey = 3) SELECT DISTINCT 'from' AS kind, id, dst AS other, label FROM e JOIN n ON src = id UNION ALL SELECT DISTINCT 'to', id, src, label FROM e JOIN n ON dst = id UNION ALL SELECT DISTINCT 'over', id, src, label FROM e JOIN n ON dst = id WHERE label = 'O'",
     "throwing_paths": f"""WITH RECURSIVE {_GRAPH}, c AS (SELECT DISTINCT src, dst FROM e WHERE label = 'C'), x AS (SELECT 'E0' AS e UNION ALL SELECT 'E1'),
         p AS (SELECT s_suppkey AS start, e AS exception, [s_suppkey] AS path, s_suppkey AS node FROM supplier, x WHERE e = 'E0' OR s_suppkey % 2 = 1
