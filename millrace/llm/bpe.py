@@ -19,6 +19,7 @@ special tokens, which become their ids. The columns kept may have any names but
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +48,7 @@ def _loaded(path: str) -> tuple[WordTable, pa.Array]:
         t.no_truncation()
         t.no_padding()
         pieces = [t.id_to_token(i) for i in range(t.get_vocab_size(with_added_tokens=True))]
-        _tables[path] = WordTable(lambda new: [np.array(e.ids, dtype=np.int32).tobytes() for e in t.encode_batch(new, add_special_tokens=False)]), pa.array(pieces, pa.string())
+        _tables[path] = WordTable(lambda new: [array("i", e.ids).tobytes() for e in t.encode_batch(new, add_special_tokens=False)]), pa.array(pieces, pa.string())
     return _tables[path]
 
 

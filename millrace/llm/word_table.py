@@ -3,8 +3,8 @@
 Spark splits the texts into words and deals the blocks out; here the words of a block are reduced to
 the distinct ones, those not yet known are computed in one call, and the values go back to the words'
 places through their indices. The table lives as long as its Python worker, so words that many
-blocks share are computed once for each worker; at LIMIT words it starts anew, which bounds its memory
-and changes no result.
+blocks share are computed once for each worker. It has two generations: at LIMIT words the younger becomes the
+older one and what wasn't looked up since goes, which bounds its memory and changes no result.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-LIMIT = 200_000
+LIMIT = 300_000
 #: Words of whole rows that a task works on at once; a longer row is worked on alone.
 BLOCK = 300_000
 
@@ -23,18 +23,21 @@ class WordTable:
     """Values of distinct words, each computed once while the table lasts."""
 
     def __init__(self, compute: Callable[[list[str]], list], limit: int = LIMIT):
-        self.compute, self.limit, self.values = compute, limit, {}
+        self.compute, self.limit, self.values, self.older = compute, limit, {}, {}
 
     def lookup(self, words: pa.Array) -> tuple[list, np.ndarray]:
         """(the values of the distinct words of this block, for each word the index of its value)."""
         if len(self.values) > self.limit:
-            self.values.clear()
+            self.values, self.older = {}, self.values
         encoded = words.dictionary_encode()
         distinct = encoded.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.values]
+        values, older = self.values, self.older
+        new = [w for w in distinct if w not in values]
+        values.update((w, older[w]) for w in new if w in older)
+        new = [w for w in new if w not in values]
         if new:
-            self.values.update(zip(new, self.compute(new), strict=True))
-        return [self.values[w] for w in distinct], encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            values.update(zip(new, self.compute(new), strict=True))
+        return [values[w] for w in distinct], encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def lists(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
