@@ -41,9 +41,9 @@ A_PATH = public_tokenizers.path("byte_bpe_50k.json")
 B_PATH = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
 #: Characters of whole documents in a block; a longer document is a block of its own.
-BLOCK = 3_000_000
+BLOCK = 2_000_000
 #: Stretches looked up at once, and characters (100 more for each stretch) that a worker's table holds before it starts anew.
-CHUNK, TABLE_CHARS = 100_000, 50_000_000
+CHUNK, TABLE_CHARS = 100_000, 25_000_000
 #: Links of a group above which its pairs come by distinct ids.
 LARGE = 4096
 #: From one place where white space follows another character to the next such place; the first branch is the most frequent case of the second.

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from itertools import permutations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import let, text_of, words, written
@@ -80,9 +80,9 @@ def replayed(flags: DataFrame, filters: str = FILTERS) -> DataFrame:
     }
     sums = each.groupBy("part", "place", "step", "bit").agg(*[F.count_if(c).alias(name) for name, c in counts.items()])
     # Once aggregated, a part has one row for each order and step.
-    total = sums.groupBy("part", "bit").agg(F.sum("removed").alias("shapley"))
+    total = F.sum("removed").over(Window.partitionBy("part", "bit"))
     names = F.lit(["".join(p) for p in permutations(filters)])
-    return sums.join(total, ["part", "bit"]).select("part", F.get(names, F.col("place")).alias("filter_order"), "step", *counts, "shapley")
+    return sums.select("part", F.get(names, F.col("place")).alias("filter_order"), "step", *counts, total.alias("shapley"))
 
 
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,13 +99,13 @@ l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic F
 m AS (SELECT part, [fa, fb, fc, fd, fe] AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM f LEFT JOIN l USING (doc_id)),
 i AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
 o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS p FROM i a, i b, i c, i d, i e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
-r AS (SELECT part, p, fails, good, toxic, coalesce(list_position(list_transform(p, x -> fails[x]), true), 6) AS hit FROM m, o),
+r AS (SELECT part, p, fails, good, toxic, coalesce(list_position(list_transform(p, lambda x: fails[x]), true), 6) AS hit FROM m, o),
 s AS (SELECT part, p, i.i AS step, p[i.i] AS filter, count(*) FILTER (hit > i.i) AS kept, count(*) FILTER (hit = i.i) AS removed,
              count(*) FILTER (fails[p[i.i]] AND hit < i.i) AS redundant,
-             count(*) FILTER (fails[p[i.i]] AND len(list_filter(fails, x -> x)) = 1) AS unique_fails,
+             count(*) FILTER (fails[p[i.i]] AND len(list_filter(fails, lambda x: x)) = 1) AS unique_fails,
              count(*) FILTER (hit = i.i AND good) AS good_lost, count(*) FILTER (hit = i.i AND toxic) AS toxic_lost
       FROM r, i GROUP BY ALL)
-SELECT part, array_to_string(list_transform(p, x -> chr(64 + x)), '') AS filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+SELECT part, array_to_string(list_transform(p, lambda x: chr(64 + x)), '') AS filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
        CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
 FROM s
 """
