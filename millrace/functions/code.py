@@ -130,19 +130,21 @@ def test_pattern(test: Column) -> Column:
     """(pattern, exception) of a test: how it says that an exception is expected, the first of four ways that it uses, and which; null for a normal test.
 
     An annotation, assertThrows (of several the last one's exception, null if it names no class), a rule's expect(), or a try with a call of fail
-    and a single catch. Exceptions are as the test writes them.
+    and a single catch. Exceptions are as the test writes them. What comments and strings say doesn't count.
     """
-    name = r"([\w.$]+)"
-    expected = rf"@Test\s*\([^)]*\bexpected\s*=\s*{name}\.class"
-    thrown = F.regexp_extract_all(test, F.lit(rf"assertThrows\s*\(\s*{name}\.class"), F.lit(1))
-    rule = rf"\bexpect\s*\(\s*{name}\.class\s*\)"
-    caught = rf"\btry\s*\{{[\s\S]*?\bfail\s*\([\s\S]*?\}}\s*catch\s*\(\s*(?:final\s+)?{name}\s+\w+\s*\)"
-    one = lambda p, e: F.struct(F.lit(p).alias("pattern"), e.alias("exception"))
+    parts = F.transform(tokens(test), lambda t: F.when(t.rlike("^[\"']"), "''").otherwise(t))
+    code = F.array_join(parts, " ")
+    name = r"([\w$]+(?: \. [\w$]+)*)"
+    expected = rf"@ Test \( (?:[^)]* )?expected = {name} \. class\b"
+    thrown = F.regexp_extract_all(code, F.lit(rf"\bassertThrows \( {name} \. class\b"), F.lit(1))
+    rule = rf"\bexpect \( {name} \. class \)"
+    caught = rf"\btry \{{ .*?\bfail \(.*?\}} catch \( (?:final )?{name} \w+ \)"
+    one = lambda p, e: F.struct(F.lit(p).alias("pattern"), F.replace(e, F.lit(" "), F.lit("")).alias("exception"))
     return (
-        F.when(test.rlike(expected), one("@Test(expected)", F.regexp_extract(test, expected, 1)))
-        .when(test.contains("assertThrows"), one("assertThrows", F.when(F.size(thrown) > 0, F.element_at(thrown, -1))))
-        .when(test.rlike(rule), one("expectedException.expect()", F.regexp_extract(test, rule, 1)))
-        .when(test.rlike(caught) & (F.regexp_count(test, F.lit(r"\bcatch\b")) == 1), one("try{fail}catch", F.regexp_extract(test, caught, 1)))
+        F.when(code.rlike(expected), one("@Test(expected)", F.regexp_extract(code, expected, 1)))
+        .when(F.array_contains(parts, "assertThrows"), one("assertThrows", F.when(F.size(thrown) > 0, F.element_at(thrown, -1))))
+        .when(code.rlike(rule), one("expectedException.expect()", F.regexp_extract(code, rule, 1)))
+        .when(code.rlike(caught) & (F.size(F.filter(parts, lambda t: t == "catch")) == 1), one("try{fail}catch", F.regexp_extract(code, caught, 1)))
     )
 
 
@@ -151,12 +153,17 @@ DEFAULTS = {"boolean": "false", "Boolean": "false", "char": "'\\0'", "Character"
 
 
 def with_try_catch(method: Column) -> Column:
-    """A method whose body is tried as a whole, and which gives back its type's default if it throws; one without a body stays as it is."""
-    parts = r"(?s)^([^{]*?([\w.$<>,\[\]? ]*?)\s+\w+\s*\([^{]*)\{(.*)\}\s*$"
+    """A method whose body is tried as a whole, and which gives back its type's default if it throws; one without a body stays as it is.
+
+    Annotations before the method may have braces, brackets and strings of their own. Code with a brace that isn't one method with a body is an error, not left untried.
+    """
+    string, brackets = r"\"(?:\\.|[^\"\\])*\"", r"\([^()\"]*\)"
+    annotations = rf"(?:\s*@[\w.$]+(?:\s*\((?:[^()\"]|{string}|{brackets})*\))?)*"
+    parts = rf"(?s)^({annotations}[^{{]*?([\w.$<>,\[\]? ]*?)\s+\w+\s*\([^{{]*)\{{(.*)\}}\s*$"
     kind = F.regexp_replace(F.regexp_extract(method, parts, 2), r"^.*\s(?=\S+$)", "")
     value = F.lit("null")
     for name, default in DEFAULTS.items():
         value = F.when(kind == name, F.lit(default)).otherwise(value)
     back = F.when(kind == "void", F.lit("return;")).otherwise(F.concat(F.lit("return "), value, F.lit(";")))
     tried = F.concat(F.regexp_extract(method, parts, 1), F.lit("{ try {"), F.regexp_extract(method, parts, 3), F.lit("} catch (Exception e) { "), back, F.lit(" } }"))
-    return F.when(method.rlike(parts), tried).otherwise(method)
+    return F.when(method.rlike(parts), tried).when(method.contains("{"), F.raise_error(F.lit("not one method with a body")).cast("string")).otherwise(method)

@@ -50,11 +50,16 @@ def section(name: Column, level: int, body: Column, children: Column | None = No
 
 
 def shifted(markdown: Column, by: int) -> Column:
-    """A Markdown text with all its headings demoted by so many levels, or promoted if negative; a heading can't rise above level 1."""
-    lines = F.split(markdown, "\n", -1)
+    """A Markdown text with all its headings demoted by so many levels, or promoted if negative; a heading can't rise above level 1.
+
+    Lines between fences (three backquotes or tildes) are code and stay as they are, whatever they begin with; a fence that isn't closed goes on to the end.
+    """
     level = lambda x: F.length(F.regexp_extract(x, r"^(#+) ", 1))
-    moved = F.transform(lines, lambda x: F.when(level(x) == 0, x).when(level(x) + by <= 0, F.raise_error(F.lit("a heading above level 1")).cast("string")).otherwise(F.concat(F.repeat(F.lit("#"), level(x) + by), F.substring(x, level(x) + 1, F.length(x)))))
-    return F.array_join(moved, "\n")
+    line = lambda x: F.when(level(x) == 0, x).when(level(x) + by <= 0, F.raise_error(F.lit("a heading above level 1")).cast("string")).otherwise(F.concat(F.repeat(F.lit("#"), level(x) + by), F.substring(x, level(x) + 1, F.length(x))))
+    # Every part but the first begins with a fence; every second one is code up to its closing fence.
+    parts = F.split(markdown, r"(?m)(?=^ {0,3}(?:```|~~~))", -1)
+    moved = F.transform(parts, lambda part, i: F.when(i % 2 == 1, part).otherwise(F.array_join(F.transform(F.split(part, "\n", -1), line), "\n")))
+    return F.array_join(moved, "")
 
 
 def base_arguments(key: Column, method: Column, tests: Column) -> dict[str, Column]:

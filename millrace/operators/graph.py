@@ -4,23 +4,44 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows, written once to the checkpoint folder."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share; on one machine a temporary one serves where none is named."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-"))
+    return context.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, written once to the checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written once as Parquet to the checkpoint folder, where they stay until the application ends.
+
+    Unlike those of a checkpoint their size is known, so small sides of joins are broadcast; a checkpoint keeps the estimate of its plan, which many rounds of joins multiply
+    until computing it takes longer than the joins.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def call_paths(edges: DataFrame, start: DataFrame, depth: int | None = 10) -> DataFrame:
     """(start, path) of all simple call paths from each start to a leaf, cut at depth nodes, or whole if depth is None.
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators import intervals
 from millrace.operators.graph import kept
 
 
@@ -42,12 +43,13 @@ def found(nodes: DataFrame, types: list[str], first: bool = False, below_root: b
 
 
 def spans(nodes: DataFrame) -> DataFrame:
-    """(tree, node, size, first_line, last_line, tokens) of each node's subtree: its nodes, its leaves' lines and their text, one space between."""
-    down = placed(nodes)
-    parts = down.select("tree", "tok", "start", "end", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", F.lit(1), n))).alias("of"))
-    text = F.transform(F.array_sort(F.collect_list(F.when(F.col("tok").isNotNull(), F.struct("path", "tok")))), lambda x: x["tok"])
-    each = parts.groupBy("tree", "of").agg(F.count("*").alias("size"), F.min("start").alias("first_line"), F.max("end").alias("last_line"), F.array_join(text, " ").alias("tokens"))
-    return down.select("tree", "node", F.col("path").alias("of")).join(each, ["tree", "of"]).drop("of")
+    """(tree, node, size, first_line, last_line, first_leaf, leaves) of each node's subtree: its nodes, its lines, and its leaves as a range of the tree's.
+
+    Subtrees are intervals of a walk (`intervals.numbered`), so no row is written for a node and what is above it, however deep a tree is.
+    """
+    down = intervals.numbered(nodes)
+    lines = intervals.extremes(down, "start", "end").select("tree", "node", F.col("start").alias("first_line"), F.col("end").alias("last_line"))
+    return down.select("tree", "node", intervals.size().alias("size"), "first_leaf", "leaves").join(lines, ["tree", "node"])
 
 
 def statements(nodes: DataFrame, terminal: list[str]) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.queries import analysis, metrics, records, relational, reports, stored, texts
+from millrace.queries import analysis, metrics, records, relational, reports, stored, syntax, texts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (metrics, relational, analysis, reports, records, texts, stored):
+for _module in (metrics, relational, analysis, reports, records, texts, stored, syntax):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

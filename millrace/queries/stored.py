@@ -32,6 +32,19 @@ def dataset_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.load(["id", "p_name", "p_size", "title"], table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")))
 
 
+def dataset_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts saved and given a column, saved anew in their place with another, and appended to with values of that column: the last version, and the first one beside it."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("v"))
+    data = datasets.Dataset(spark, _folder(spark))
+    data.save(parts)
+    data.save_columns(parts.select("id", (-F.col("v")).alias("v")), ["v"])
+    data.save(parts.filter("id % 2 = 0").select("id", (F.col("v") * 100).alias("v")), exist_ok=True)
+    data.save_columns(parts.filter("id % 4 = 0").select("id", (F.col("v") + 1).alias("w")), ["w"])
+    data.save(parts.filter("id % 2 = 1").select("id", "v", F.col("v").alias("w")), append=True)
+    first = data.load(version=data.versions()[0]).select("id", F.col("v").alias("first_v"))
+    return data.load(["id", "v", "w"]).join(first, "id")
+
+
 def dataset_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of a saved data set, and one row of it."""
     data = datasets.Dataset(spark, _folder(spark))
@@ -125,12 +138,12 @@ def tree_find(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tree_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = trees.spans(_nodes(spark, sf_dir))
-    return out.select("node", "size", "first_line", "last_line", F.size(F.split("tokens", " ")).cast("long").alias("tokens"))
+    return out.select("node", "size", "first_line", "last_line", F.col("leaves").alias("tokens"))
 
 
 def tree_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as trees of a root and their lines, each a statement on lines of its own."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
     n = F.col("l_linenumber").cast("long")
     below = lines.select(F.col("l_orderkey").alias("tree"), n.alias("node"), F.lit(0).cast("long").alias("parent"), n.alias("place"), F.when(F.col("p") % 4 == 0, "Empty").otherwise("Stmt").alias("type"), F.lit("x").alias("tok"), (n * 10).alias("start"), (n * 10 + F.col("p") % 5).alias("end"))
     roots = lines.select("l_orderkey").distinct().select(F.col("l_orderkey").alias("tree"), F.lit(0).cast("long").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("place"), F.lit("Root").alias("type"), F.lit(None).cast("string").alias("tok"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
@@ -150,10 +163,11 @@ def judged_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agreement.unlike(d.filter("quality = 1").select(F.col("doc_id").alias("id")), d.filter("toxic = 0").select(F.col("doc_id").alias("id")))
 
 
-QUERIES = {f.__name__: f for f in (dataset_roundtrip, dataset_ids, column_files_roundtrip, metrics_sink, annotation_tags, latex_macros, viewers, extracted_fields, tree_walk, tree_find, tree_spans, tree_statements, capped_tools, judged_overlap)}
+QUERIES = {f.__name__: f for f in (dataset_roundtrip, dataset_versions, dataset_ids, column_files_roundtrip, metrics_sink, annotation_tags, latex_macros, viewers, extracted_fields, tree_walk, tree_find, tree_spans, tree_statements, capped_tools, judged_overlap)}
 _NODES = "n AS (SELECT s_suppkey AS node, CASE WHEN s_suppkey % 5 = 0 THEN 'Stmt' WHEN s_suppkey % 3 = 0 THEN 'Expr' ELSE 'Block' END AS type FROM supplier WHERE s_suppkey >= 1)"
 ORACLES = {
     "dataset_roundtrip": "SELECT p_partkey AS id, p_name, -p_size AS p_size, upper(p_name) AS title FROM part WHERE p_partkey IN (SELECT s_suppkey FROM supplier)",
+    "dataset_versions": "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_size * 100 ELSE p_size END AS v, CASE WHEN p_partkey % 2 = 1 THEN p_size WHEN p_partkey % 4 = 0 THEN p_size + 1 END AS w, p_size AS first_v FROM part",
     "dataset_ids": "SELECT c_custkey AS id, NULL::VARCHAR AS name FROM customer UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey = 3",
     "column_files_roundtrip": r"""SELECT row_number() OVER (ORDER BY p_partkey) - 1 + (SELECT count(*) FROM part WHERE p_partkey < (SELECT min(s_suppkey) FROM supplier)) AS pos, p_partkey AS id, CASE WHEN p_partkey % 7 <> 0 THEN p_name || '"' || chr(10) || '\' END AS note, array_to_string(list_transform(range(p_partkey % 3), lambda i: p_size), ',') AS sizes FROM part WHERE p_partkey IN (SELECT s_suppkey FROM supplier)""",
     "metrics_sink": "SELECT l_returnflag AS config, count(*) n, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY 1",
@@ -164,7 +178,7 @@ ORACLES = {
     "tree_walk": f"WITH RECURSIVE {_NODES}, w AS (SELECT node, type, 1 AS d, 0::BIGINT AS k FROM n WHERE node = 1 UNION ALL SELECT n.node, n.type, d + 1, 2 * k + n.node % 2 FROM w JOIN n ON n.node // 2 = w.node WHERE w.type <> 'Stmt') SELECT 't' AS tree, node, type, row_number() OVER (ORDER BY d, k) - 1 AS step FROM w",
     "tree_find": f"WITH {_NODES}, d AS (SELECT *, floor(log2(node) + 1e-9)::BIGINT AS depth FROM n), x AS (SELECT *, (node - (1 << depth)) * (1 << (20 - depth)) AS k FROM d WHERE type = 'Expr') SELECT 'all' AS kind, node, depth FROM d WHERE type = 'Stmt' UNION ALL SELECT * FROM (SELECT 'first', node, depth FROM x ORDER BY k, depth LIMIT 1) UNION ALL SELECT 'below', node, depth FROM d WHERE depth = 1 AND type <> 'Stmt'",
     "tree_spans": "WITH RECURSIVE m AS (SELECT max(s_suppkey) AS most FROM supplier), a AS (SELECT s_suppkey AS leaf, s_suppkey AS node FROM supplier WHERE s_suppkey >= 1 UNION ALL SELECT leaf, node // 2 FROM a WHERE node > 1) SELECT node, count(*) AS size, min(leaf) AS first_line, max(leaf) AS last_line, count(*) FILTER (leaf * 2 > most) AS tokens FROM a, m GROUP BY 1",
-    "tree_statements": "WITH l AS (SELECT l_orderkey AS tree, l_linenumber::BIGINT AS node, min(l_partkey) p FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2) SELECT tree, node, row_number() OVER (PARTITION BY tree ORDER BY node) - 1 AS number, node * 10 AS first_line, node * 10 + p % 5 AS last_line FROM l WHERE p % 4 <> 0",
+    "tree_statements": "WITH l AS (SELECT l_orderkey AS tree, l_linenumber::BIGINT AS node, min(l_partkey) p FROM lineitem GROUP BY 1, 2) SELECT tree, node, row_number() OVER (PARTITION BY tree ORDER BY node) - 1 AS number, node * 10 AS first_line, node * 10 + p % 5 AS last_line FROM l WHERE p % 4 <> 0",
     "capped_tools": "WITH c AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'A') a, count(*) FILTER (l_returnflag <> 'A') b FROM lineitem GROUP BY 1) SELECT l_orderkey, least(a, 3) AS first, least(b, 3 - least(a, 3)) AS second FROM c",
     "judged_overlap": "SELECT doc_id AS id, CASE WHEN bool_or(quality = 1) THEN 'missing' ELSE 'extra' END AS side FROM labels GROUP BY 1 HAVING bool_or(quality = 1) <> bool_or(toxic = 0)",
 }

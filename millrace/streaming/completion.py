@@ -43,7 +43,7 @@ class _Parts(StatefulProcessor):
 
 
 def completed_stream(parts: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """(id, results) in append mode, from a stream of (id long, idx, results array<string>, expected).
+    """(id, results) in append mode, from a stream of (id, idx, results array<string>, expected); ids keep their type, be they numbers or texts.
 
     State is held for open tasks only, in RocksDB, which the session is set to use: it goes when the task is given out, or, with
     ttl_ms, that long after its last change, and then the task's later parts open it again. The first of repeated parts of an open task
@@ -51,5 +51,5 @@ def completed_stream(parts: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     a part that comes after its task was given out opens that task again. Other columns are ignored.
     """
     parts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    clean = parts.select(F.col("id").cast("long"), F.col("idx").cast("int"), "results", F.col("expected").cast("int")).dropna()
-    return clean.groupBy("id").transformWithStateInPandas(_Parts(ttl_ms), "id long, results array<string>", "Append", "ProcessingTime" if ttl_ms else "None")
+    clean = parts.select("id", F.col("idx").cast("int"), "results", F.col("expected").cast("int")).dropna()
+    return clean.groupBy("id").transformWithStateInPandas(_Parts(ttl_ms), f"id {parts.schema['id'].dataType.simpleString()}, results array<string>", "Append", "ProcessingTime" if ttl_ms else "None")
