@@ -137,7 +137,7 @@ def early_exits(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     by = Window.partitionBy("tree", "root").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)
     high = events.withColumn("sum", F.sum("change").over(by)).withColumn("height", F.col("sum") - F.least(F.lit(0), F.min("sum").over(by)))
     pushes = high.filter("change = 1").select("tree", "root", "at", "turn", F.col("height").alias("level"), F.struct("part", "negated").alias("pushed"))
-    asks = high.filter("turn = 2 AND height > 0").select("tree", "root", "at", "turn", F.explode(F.sequence(F.lit(1), F.col("height").cast("int"))).cast("long").alias("level"), F.lit(None).cast(pushes.schema["pushed"].dataType).alias("pushed"))
+    asks = high.filter("turn = 2 AND height > 0").select("tree", "root", "at", "turn", F.explode(F.sequence(F.lit(1).cast("long"), "height")).alias("level"), F.lit(None).cast(pushes.schema["pushed"].dataType).alias("pushed"))
     at_level = Window.partitionBy("tree", "root", "level").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)
     found = pushes.unionByName(asks).withColumn("on", F.last("pushed", ignorenulls=True).over(at_level)).filter("turn = 2")
     return found.select("tree", "root", F.col("at").alias("place"), "level", F.col("on.part").alias("part"), F.col("on.negated").alias("negated"))
@@ -201,7 +201,7 @@ def path_conditions(nodes: DataFrame, frames: DataFrame) -> DataFrame:
     found = stored(begins(nodes, frames))
     around = stored(guards(nodes, found))
     earlier = stored(before(nodes, around))
-    exits = early_exits(nodes, earlier.filter("type = 'IfStmt'").select("tree", "node"))
+    exits = stored(early_exits(nodes, earlier.filter("type = 'IfStmt'").select("tree", "node")))
     sets = stored(assignments(nodes, texts))
     none_names = F.lit(None).cast(sets.schema["names"].dataType)
     none = F.lit(None).cast(TOKEN)
@@ -212,7 +212,7 @@ def path_conditions(nodes: DataFrame, frames: DataFrame) -> DataFrame:
 
     zero, sign = F.lit(0), F.lit("==")
     token = lambda t: F.array(F.struct(t.alias("tok"), F.lit(False).alias("name"))).cast(TOKEN)
-    own = own_items(nodes, around, texts)
+    own = stored(own_items(nodes, around, texts))
     both = F.concat("tokens", token(F.when(F.col("kind") == "equal", sign).otherwise(F.lit("!="))), "other")
     assigned = F.array(F.struct(F.get("other", F.lit(0))["tok"].alias("name"), F.col("tokens").alias("value"))).cast(sets.schema["names"].dataType)
     compared = F.col("kind").isin("equal", "unequal")
@@ -228,7 +228,7 @@ def path_conditions(nodes: DataFrame, frames: DataFrame) -> DataFrame:
     whole = _role(nodes, "expression", "part", "node").join(texts.withColumnRenamed("node", "part"), ["tree", "part"]).select("tree", "node", "tokens")
     rows.append(item(at_begin.filter("begin_type = 'ExpressionStmt'").join(lowest, ["trace", "pos"], "left_semi").join(whole, ["tree", "node"]), zero, zero, zero, zero, zero, F.lit("is"), F.col("tokens"), none_names))
     rows.append(item(at_begin.join(lowest, ["trace", "pos"], "left_anti").join(sets, ["tree", "node"]), zero, zero, zero, zero, zero, F.lit("set"), none, F.col("names")))
-    rows.append(item(arguments(nodes, found, texts), F.lit(2), zero, zero, zero, zero, F.lit("set"), none, F.col("names")))
+    rows.append(item(stored(arguments(nodes, found, texts)), F.lit(2), zero, zero, zero, zero, F.lit("set"), none, F.col("names")))
     out = rows[0]
     for more in rows[1:]:
         out = out.unionByName(more)

@@ -6,12 +6,13 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import agreement, extractors, stats, trees
 from millrace.session import table
 from millrace.sources import column_files, datasets
+from millrace.streaming import completion
 
 
 def _folder(spark: SparkSession) -> str:
@@ -74,6 +75,20 @@ def metrics_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read[0].groupBy("config").agg(F.count("*").alias("n")).join(read[1], "config").select(F.col("config").cast("string").alias("config"), "n", F.round("mean", 6).alias("mean"))
 
 
+def completed_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as tasks with ids `order-N`, their lines as parts that a stream of files brings: those whose lines are all there, with the parts in order."""
+    folder = _folder(spark)
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").cast("string").alias("part"))
+    # An order whose key is divisible by 3 waits for one more part, which never comes.
+    wanted = F.count("*").over(Window.partitionBy("l_orderkey")) + F.when(F.col("l_orderkey") % 3 == 0, 1).otherwise(0)
+    parts = lines.select(F.concat(F.lit("order-"), F.col("l_orderkey").cast("string")).alias("id"), F.col("l_linenumber").cast("int").alias("idx"), F.array("part").alias("results"), wanted.cast("int").alias("expected"))
+    parts.write.parquet(f"{folder}/in")
+    stream = completion.completed_stream(spark.readStream.schema(parts.schema).parquet(f"{folder}/in"))
+    out = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/mark").outputMode("append").trigger(availableNow=True).start()
+    out.awaitTermination()
+    return spark.read.schema("id string, results array<string>").parquet(f"{folder}/out").select("id", F.array_join("results", ",").alias("results"))
+
+
 def annotation_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as lines of JSON, some broken, with single tags and lists."""
     s = F.col("s_suppkey")
@@ -163,9 +178,10 @@ def judged_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agreement.unlike(d.filter("quality = 1").select(F.col("doc_id").alias("id")), d.filter("toxic = 0").select(F.col("doc_id").alias("id")))
 
 
-QUERIES = {f.__name__: f for f in (dataset_roundtrip, dataset_versions, dataset_ids, column_files_roundtrip, metrics_sink, annotation_tags, latex_macros, viewers, extracted_fields, tree_walk, tree_find, tree_spans, tree_statements, capped_tools, judged_overlap)}
+QUERIES = {f.__name__: f for f in (completed_tasks, dataset_roundtrip, dataset_versions, dataset_ids, column_files_roundtrip, metrics_sink, annotation_tags, latex_macros, viewers, extracted_fields, tree_walk, tree_find, tree_spans, tree_statements, capped_tools, judged_overlap)}
 _NODES = "n AS (SELECT s_suppkey AS node, CASE WHEN s_suppkey % 5 = 0 THEN 'Stmt' WHEN s_suppkey % 3 = 0 THEN 'Expr' ELSE 'Block' END AS type FROM supplier WHERE s_suppkey >= 1)"
 ORACLES = {
+    "completed_tasks": "WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2) SELECT 'order-' || k AS id, string_agg(p, ',' ORDER BY n) AS results FROM l WHERE k % 3 <> 0 GROUP BY k",
     "dataset_roundtrip": "SELECT p_partkey AS id, p_name, -p_size AS p_size, upper(p_name) AS title FROM part WHERE p_partkey IN (SELECT s_suppkey FROM supplier)",
     "dataset_versions": "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_size * 100 ELSE p_size END AS v, CASE WHEN p_partkey % 2 = 1 THEN p_size WHEN p_partkey % 4 = 0 THEN p_size + 1 END AS w, p_size AS first_v FROM part",
     "dataset_ids": "SELECT c_custkey AS id, NULL::VARCHAR AS name FROM customer UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey = 3",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import graph, intervals, members, throw_removal
+from millrace.operators import conditions, graph, intervals, members, throw_removal
 from millrace.queries import stored
 from millrace.session import table
 
@@ -29,9 +29,9 @@ def _statement(base: Column, body: int, line: Column, parts: list[tuple]) -> Col
 
 
 def _trees(lines: DataFrame, fixed: list[tuple], kinds: Column) -> DataFrame:
-    """Trees of the lines: fixed nodes (node, parent, place, type, role, tok) of every order, and each line's own."""
+    """Trees of the lines: fixed nodes (node, parent, place, type, role, tok, and a line if it isn't 0) of every order, and each line's own."""
     shape = f"array<struct<{', '.join(x.replace(' ', ':') for x in NODE.split(', '))}>>"
-    one = F.array(*[F.struct(*[F.lit(v) for v in (*row, 0, 0)]) for row in fixed]).cast(shape)
+    one = F.array(*[F.struct(*[F.lit(v) for v in (*row[:6], *(2 * row[6:] or (0, 0)))]) for row in fixed]).cast(shape)
     roots = lines.select("tree").distinct().select("tree", F.explode(one).alias("x"))
     return lines.select("tree", F.explode(kinds).alias("x")).unionByName(roots).select("tree", "x.*")
 
@@ -103,9 +103,23 @@ def method_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.join(lines, "tree").join(data, "tree").join(types, "tree")
 
 
-QUERIES = {f.__name__: f for f in (throw_removals, tree_intervals, used_types, conditional_throws, method_records)}
+def path_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as methods that end with a call, whose lines leave early or assign: what holds where the call is reached."""
+    lines, base, n = _lines(spark, sf_dir), F.col("n") * 100, F.col("n")
+    name = F.concat(F.lit("x"), F.floor(F.col("p") / 2 % 2).cast("string"))
+    guard = [(0, None, "IfStmt", None, None), (1, 0, "BinaryExpr", "condition", None), (2, 1, "NameExpr", None, name), (3, 1, "Token", None, "<"), (4, 1, "Token", None, n.cast("string")), (5, 0, "ReturnStmt", "then", None), (6, 5, "Token", None, "return")]
+    given = [(0, None, "ExpressionStmt", None, None), (1, 0, "AssignExpr", "expression", None), (2, 1, "NameExpr", "target", name), (3, 1, "NameExpr", "value", F.concat(F.lit("y"), n.cast("string")))]
+    kinds = F.when(F.col("p") % 2 == 0, _statement(base, 3, n, guard)).otherwise(_statement(base, 3, n, given))
+    fixed = [(1, None, 0, "MethodDeclaration", None, None), (2, 1, 0, "Token", "name", "m"), (3, 1, 1, "BlockStmt", "body", None), (4, 3, 1000, "ExpressionStmt", None, None, 1000), (5, 4, 0, "MethodCallExpr", "expression", None, 1000), (6, 5, 0, "Token", "name", "end", 1000)]
+    nodes = graph.stored(intervals.numbered(_trees(lines, fixed, kinds)))
+    frames = lines.select(F.col("tree").alias("trace"), F.lit(0).alias("pos"), "tree", F.lit(1000).cast("long").alias("line")).distinct()
+    return conditions.path_conditions(nodes, frames)
+
+
+QUERIES = {f.__name__: f for f in (path_conditions, throw_removals, tree_intervals, used_types, conditional_throws, method_records)}
 _L = "l AS (SELECT l_orderkey AS tree, l_linenumber AS n, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2)"
 ORACLES = {
+    "path_conditions": f"WITH {_L}, g AS (SELECT tree, n, 'x' || (p // 2 % 2) AS x FROM l WHERE p % 2 = 0), s AS (SELECT tree, n, 'x' || (p // 2 % 2) AS x FROM l WHERE p % 2 = 1), c AS (SELECT tree, n, '!' || coalesce('y' || (SELECT max(s.n) FROM s WHERE s.tree = g.tree AND s.x = g.x AND s.n < g.n), x) || ' < ' || n AS c FROM g) SELECT tree AS trace, concat_ws(' && ', (SELECT string_agg(c, ' && ' ORDER BY n) FROM c WHERE c.tree = o.tree), 'end') AS condition FROM (SELECT DISTINCT tree FROM l) o",
     "throw_removals": f"WITH {_L} SELECT tree, concat_ws(' ', '{{', string_agg(CASE p % 5 WHEN 1 THEN 'a' || n || ' b' || n WHEN 2 THEN 'a' || n WHEN 3 THEN 'a' || n END, ' ' ORDER BY n), '}}') AS text, count(*) FILTER (p % 5 < 2) AS n_if, count(*) FILTER (p % 5 = 2) AS n_catch, count(*) FILTER (p % 5 = 3) AS n_switch, count(*) FILTER (p % 5 = 4) AS n_rest FROM l GROUP BY tree",
     "tree_intervals": "WITH RECURSIVE m AS (SELECT max(s_suppkey) AS most FROM supplier), w AS (SELECT 1::BIGINT AS node, 0 AS depth, [0]::BIGINT[] AS path UNION ALL SELECT s_suppkey, depth + 1, list_append(path, s_suppkey) FROM w JOIN supplier ON s_suppkey // 2 = w.node WHERE s_suppkey > 1), a AS (SELECT node, unnest(path) AS above FROM w), z AS (SELECT CASE above WHEN 0 THEN 1 ELSE above END AS node, count(DISTINCT a.node) AS size, count(DISTINCT a.node) FILTER (a.node * 2 > most) AS leaves FROM a, m GROUP BY 1), o AS (SELECT w.node, depth, size, leaves, row_number() OVER (ORDER BY path) - 1 AS step FROM w JOIN z USING (node)) SELECT node, 2 * step - depth AS enter, 2 * step - depth + 2 * size - 1 AS leave, step, depth::BIGINT AS depth, leaves FROM o",
     "used_types": f"WITH {_L}, u AS (SELECT * FROM l WHERE p % 4 IN (1, 3)), d AS (SELECT * FROM l WHERE p % 4 = 0) SELECT u.tree, u.n::BIGINT AS n, 'v' || (u.p % 2) AS name, coalesce((SELECT arg_max('T' || (d.p % 7), d.n) FROM d WHERE d.tree = u.tree AND d.n < u.n AND d.p % 2 = u.p % 2), CASE WHEN u.p % 2 = 0 THEN 'int' END) AS kind FROM u",

@@ -112,7 +112,7 @@ class Dataset:
             return False
         last = self._last()
         if last is not None and not (exist_ok or append):
-            raise FileExistsError(self.path)
+            raise FileExistsError(f"{self.path} already exists")
         folder = self._write(rows)
         own = {n: self._write(rows.select("id", n)) for n in (last["columns"] if append and last else {}) if n in rows.columns}
 
