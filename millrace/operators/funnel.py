@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import is_one_throw
+from millrace.operators.graph import stored
 
 #: Exceptions that say nothing, and the number of projects kept.
 GENERIC = ("java.lang.Exception", "java.lang.Throwable")
@@ -145,31 +146,31 @@ def allowed(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return listed.filter(ok)
 
 
-def numbered(rows: DataFrame, order: str, name: str = "number", block: int = 1_000_000) -> DataFrame:
-    """The rows with numbers from 0 in the order of a column of whole numbers, without a gap.
+def numbered(rows: DataFrame, order: str, name: str = "number", parts: int | None = None) -> DataFrame:
+    """The rows with numbers from 0 in the order of a column, without a gap."""
+    return running(rows.withColumn("__one", F.lit(1)), order, "__one", name, parts).withColumn(name, F.col(name) - 1).drop("__one")
 
-    Rows are numbered in blocks of the order's values, and a block starts at the number of rows before it; one
-    row for each block is all that is ordered in one task.
-    """
-    return running(rows.withColumn("__one", F.lit(1)), order, "__one", name, block).withColumn(name, F.col(name) - 1).drop("__one")
 
+def running(rows: DataFrame, order: str, value: str, name: str, parts: int | None = None) -> DataFrame:
+    """The rows with the sum of a value up to and with each of them, in the order of a column of any sortable type; nulls come first, and equal ones in no certain order.
 
-def running(rows: DataFrame, order: str, value: str, name: str, block: int = 1_000_000) -> DataFrame:
-    """The rows with the sum of a value up to and with each of them, in the order of a column of whole numbers without repeats."""
-    at = rows.withColumn("__block", F.floor(F.col(order) / block))
-    sums = at.groupBy("__block").agg(F.sum(value).alias("__sum"))
+    Two passes: rows are dealt out by ranges of the column whose borders are drawn from the data, so sparse or clustered values fill them evenly, and written with their range;
+    sums are taken inside each range, and those of the ranges before are added. All that is ordered in one task is one row for each range.
+    """
+    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = stored(rows.repartitionByRange(n, order).withColumn("__block", F.spark_partition_id()))
     before = F.coalesce(F.sum("__sum").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = at.groupBy("__block").agg(F.sum(value).alias("__sum")).select("__block", before.alias("__before"))
     inside = F.sum(value).over(Window.partitionBy("__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    starts = sums.select("__block", before.alias("__before"))
     return at.withColumn("__inside", inside).join(starts, "__block").withColumn(name, F.col("__before") + F.col("__inside")).drop("__block", "__inside", "__before")
 
 
-def within_budget(requests: DataFrame, order: str, cost: str, limit: float, block: int = 1_000_000) -> DataFrame:
+def within_budget(requests: DataFrame, order: str, cost: str, limit: float, parts: int | None = None) -> DataFrame:
     """The requests with `spent`, what was spent before them, and `sent`: once that has reached the limit, only filler is given out.
 
     A request that takes the sum over the limit is still sent.
     """
-    out = running(requests, order, cost, "spent", block).withColumn("spent", F.col("spent") - F.col(cost))
+    out = running(requests, order, cost, "spent", parts).withColumn("spent", F.col("spent") - F.col(cost))
     return out.withColumn("sent", F.col("spent") < limit)
 
 

@@ -61,11 +61,21 @@ def cleaned(frames: Column) -> Column:
 
 
 def running_values(deltas: DataFrame, key: list[str], order: str) -> DataFrame:
-    """(key, order, values): all variables at each statement, from deltas (map) of the changed ones; the last value of a name stands."""
-    w = Window.partitionBy(*key).orderBy(order)
-    upto = F.collect_list("delta").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    joined = F.aggregate(upto, F.create_map().cast(deltas.schema["delta"].dataType), lambda acc, d: F.map_concat(F.map_filter(acc, lambda k, v: ~F.map_contains_key(d, k)), d))
-    return deltas.select(*key, order, joined.alias("values"))
+    """(key, order, values): all variables at each statement, from deltas (map) of the changed ones; the last value of a name stands, a null one too.
+
+    Each statement meets each name of its key once, and a name's last value is carried on in the order of statements: what is written follows the result's own
+    size, statements times names, not the square of the statements.
+    """
+    in_order = Window.partitionBy(*key).orderBy(order)
+    each = deltas.select(*key, F.col(order).alias("__at"), "delta", F.row_number().over(in_order).alias("__seq"))
+    names = each.select(*[F.col(k).alias(f"__{k}") for k in key], F.explode(F.map_keys("delta")).alias("n")).groupBy(*[f"__{k}" for k in key]).agg(F.collect_set("n").alias("__names"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
+    held = each.join(names, same, "left").select(*key, "__at", "__seq", "delta", F.explode_outer("__names").alias("__name"))
+    upto = Window.partitionBy(*key, "__name").orderBy("__seq").rowsBetween(Window.unboundedPreceding, 0)
+    value = F.last(F.when(F.map_contains_key("delta", F.col("__name")), F.struct(F.col("delta")[F.col("__name")].alias("v"))), ignorenulls=True).over(upto)
+    entry = F.when(F.col("__value").isNotNull(), F.struct("__name", F.col("__value.v")))
+    found = held.withColumn("__value", value).groupBy(*key, "__seq").agg(F.first("__at").alias(order), F.map_from_entries(F.collect_list(entry)).alias("values"))
+    return found.select(*key, order, "values")
 
 
 def last_called(statements: DataFrame, key: list[str], order: str) -> DataFrame:

@@ -82,14 +82,14 @@ def allowed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sequential_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open orders numbered from 0, in blocks of 1,000 keys."""
-    return funnel.numbered(table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").select("o_orderkey"), "o_orderkey", "number", 1000).select("o_orderkey", F.col("number").cast("long").alias("number"))
+    """Open orders numbered from 0."""
+    return funnel.numbered(table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").select("o_orderkey"), "o_orderkey").select("o_orderkey", F.col("number").cast("long").alias("number"))
 
 
 def price_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as requests that cost their priority's number, until 5,000 are spent."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.substring("o_orderpriority", 1, 1).cast("long").alias("cost"))
-    return funnel.within_budget(rows, "o_orderkey", "cost", 5000, 1000).select("o_orderkey", "spent", "sent")
+    return funnel.within_budget(rows, "o_orderkey", "cost", 5000).select("o_orderkey", "spent", "sent")
 
 
 def head_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
