@@ -160,3 +160,34 @@ def with_prefix(entries: DataFrame, wanted: DataFrame) -> DataFrame:
 def prefixes_of(entries: DataFrame, sequences: DataFrame) -> DataFrame:
     """(id, key, value): the entries whose key begins a sequence (id, sequence)."""
     return sequences.select("id", F.explode(prefixes(F.col("sequence"))).alias("key")).join(entries.select("key", "value"), "key").select("id", "key", "value")
+
+
+def all_in(entries: DataFrame, sets: DataFrame, with_empty: bool = False) -> DataFrame:
+    """(id, key, value): the entries (key array, value) whose key has no element outside of a set (id, elements); the empty key only if asked for.
+
+    An entry meets the sets through its element that the fewest of them hold, so an element that is in very many sets brings an entry to them only if all its others are too.
+    """
+    members = sets.select("id", F.explode(F.array_distinct("elements")).alias("e"))
+    held = members.groupBy("e").agg(F.count("*").alias("n"))
+    keys = entries.filter(F.size("key") > 0).select("key", F.explode(F.array_distinct("key")).alias("e")).distinct()
+    # An element that no set holds keeps its entry from all of them.
+    anchors = keys.join(held, "e", "left").groupBy("key").agg(F.min_by("e", F.struct(F.coalesce("n", F.lit(0)), "e")).alias("e"))
+    found = entries.join(anchors, "key").join(members, "e").join(sets.select("id", "elements"), "id").filter(F.size(F.array_except("key", "elements")) == 0).select("id", "key", "value")
+    if not with_empty:
+        return found
+    # The empty key is one entry, which every set has.
+    return found.unionByName(sets.select("id").crossJoin(F.broadcast(entries.filter(F.size("key") == 0).limit(1))).select("id", "key", "value"))
+
+
+def overlaps(left: DataFrame, right: DataFrame, left_has_value: bool = False, right_has_value: bool = False) -> DataFrame:
+    """(prefix, left_value, right_value): the beginnings, not empty, that keys of both tables (key array, value) have, with the values of the keys that are just these, null where there is none; only those with a value on a side, if asked for.
+
+    What is below a beginning on either side is with_prefix() of it. Each side's beginnings are made distinct before they meet, so a frequent first element is one row.
+    """
+    sides = []
+    for entries, name in ((left, "left_value"), (right, "right_value")):
+        each = entries.filter(F.size("key") > 0).select(F.explode(F.filter(prefixes(F.col("key")), lambda p: F.size(p) > 0)).alias("prefix"), "key", "value")
+        own = F.col("prefix") == F.col("key")
+        sides.append(each.groupBy("prefix").agg(F.max(F.when(own, F.col("value"))).alias(name), F.bool_or(own).alias(f"has_{name}")))
+    both = sides[0].join(sides[1], "prefix")
+    return both.filter((F.col("has_left_value") | F.lit(not left_has_value)) & (F.col("has_right_value") | F.lit(not right_has_value))).select("prefix", "left_value", "right_value")

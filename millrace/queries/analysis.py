@@ -89,11 +89,11 @@ def frame_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("src"))
-    return pairs.select("src", F.inline(F.array(F.struct((F.col("src") * 2).alias("dst"), F.lit("C").alias("label")), F.struct((F.col("src") * 2 + 1).alias("dst"), F.lit("C").alias("label")), F.struct((F.col("src") - 3).alias("dst"), F.lit("O").alias("label"))))).filter("dst > 0 AND dst <= 60")
+    return pairs.select("src", F.inline(F.array(F.struct((F.col("src") * 2).alias("dst"), F.lit("C").alias("label")), F.struct((F.col("src") * 2 + 1).alias("dst"), F.lit("C").alias("label")), F.struct((F.col("src") - 3).alias("dst"), F.lit("O").alias("label"))))).filter("dst > 0")
 
 
 def call_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = table(spark, sf_dir, "supplier").filter("s_suppkey <= 10").select(F.col("s_suppkey").alias("id"))
+    start = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
     return graph.call_paths(_edges(spark, sf_dir).filter("label = 'C'"), start, 8).select("start", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
@@ -138,7 +138,7 @@ ORACLES = {
     "line_comment": "WITH l AS (SELECT doc_id, source, string_split(text, chr(10)) x FROM documents) SELECT doc_id, md5(array_to_string(list_transform(x, lambda v, i: CASE WHEN i = 2 THEN v || ' // ' || source ELSE v END), chr(10))) AS digest FROM l",
     "trace_parse": "WITH e AS (SELECT user_id, ts::DATE::VARCHAR AS day, event_id, event_type FROM events), f AS (SELECT user_id, day, count(*) depth, min(event_id) FILTER (event_type = 'purchase') p FROM e GROUP BY 1, 2) SELECT user_id, day, depth, count(event_id) n, coalesce(string_agg(event_id::VARCHAR, ',' ORDER BY event_id), '') AS lines FROM f LEFT JOIN e ON e.user_id = f.user_id AND e.day = f.day AND e.event_id < f.p WHERE f.p IS NOT NULL GROUP BY f.user_id, f.day, f.depth".replace("SELECT user_id, day, depth, count", "SELECT f.user_id, f.day, f.depth, count"),
     "frame_interval_join": "WITH m AS (SELECT *, count(*) OVER (PARTITION BY c, t) k FROM (SELECT DISTINCT p_brand c, p_type t, p_size s FROM part)) SELECT p_partkey, ((p_partkey * 7) % 60)::INT AS line, s AS start_line FROM part JOIN m ON c = p_brand AND t = p_type WHERE k = 1 OR (p_partkey * 7) % 60 BETWEEN s AND s + 10 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY s) = 1",
-    "call_paths": "WITH RECURSIVE e AS (SELECT s_suppkey src, s_suppkey * 2 + k dst FROM supplier, range(2) t(k) WHERE s_suppkey * 2 + k BETWEEN 1 AND 60), p AS (SELECT s_suppkey AS start, s_suppkey node, [s_suppkey] path FROM supplier WHERE s_suppkey <= 10 UNION ALL SELECT p.start, e.dst, list_append(path, e.dst) FROM p JOIN e ON src = node WHERE len(path) < 8 AND NOT list_contains(path, e.dst)) SELECT start, array_to_string(path, ',') AS path FROM p WHERE len(path) = 8 OR node NOT IN (SELECT src FROM e)",
+    "call_paths": "WITH RECURSIVE e AS (SELECT s_suppkey src, s_suppkey * 2 + k dst FROM supplier, range(2) t(k) WHERE s_suppkey * 2 + k > 0), p AS (SELECT s_suppkey AS start, s_suppkey node, [s_suppkey] path FROM supplier UNION ALL SELECT p.start, e.dst, list_append(path, e.dst) FROM p JOIN e ON src = node WHERE len(path) < 8 AND NOT list_contains(path, e.dst)) SELECT start, array_to_string(path, ',') AS path FROM p WHERE len(path) = 8 OR node NOT IN (SELECT src FROM e)",
     "call_paths_overridden": "WITH RECURSIVE p AS (SELECT s_suppkey AS start, s_suppkey node, [s_suppkey] path FROM supplier UNION ALL SELECT start, nx, list_append(path, nx) FROM (SELECT *, unnest(CASE WHEN node > 1 AND node % 2 = 1 AND len(path) > 1 THEN [node // 2, -node] WHEN node > 1 THEN [node // 2] WHEN node = 1 AND len(path) > 1 THEN [-1] ELSE [] END) AS nx FROM p)) SELECT start, array_to_string(path, ',') AS path FROM p WHERE node <= 1",
     "ancestor_members": "WITH RECURSIVE a AS (SELECT s_suppkey node, s_suppkey x, 0 d FROM supplier UNION ALL SELECT node, x // 2, d + 1 FROM a WHERE x > 1) SELECT node, (s_nationkey % 7)::BIGINT AS signature, arg_min(x, d) AS owner FROM a JOIN supplier ON s_suppkey = x WHERE d = 0 OR s_suppkey % 3 <> 0 GROUP BY 1, 2",
 }

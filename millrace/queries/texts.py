@@ -318,6 +318,27 @@ def _trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(F.split("p_type", " ").alias("key")).agg(F.min("p_partkey").alias("value"))
 
 
+def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, value, odd): the kinds of an order's lines, in order, as keys, each with its least order, apart for odd and even ones."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.min("l_partkey") % 12).cast("string").alias("kind"))
+    keys = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "kind")))["kind"].alias("key"))
+    return keys.groupBy("key", (F.col("l_orderkey") % 2 == 1).alias("odd")).agg(F.min("l_orderkey").alias("value"))
+
+
+def trie_all_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each supplier, the orders' sequences made of no other kinds than its own four."""
+    k = F.col("s_suppkey")
+    sets = table(spark, sf_dir, "supplier").select(k.alias("id"), F.transform(F.array(k, k + 1, F.floor(k / 5), 7 * k), lambda x: (x % 12).cast("string")).alias("elements"))
+    entries = _sequences(spark, sf_dir).groupBy("key").agg(F.min("value").alias("value"))
+    return graph.all_in(entries, sets).select("id", F.array_join("key", " ").alias("key"), "value")
+
+
+def trie_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The beginnings that odd orders' sequences have in common with even ones', where one of the latter ends there."""
+    both = _sequences(spark, sf_dir)
+    return graph.overlaps(both.filter("odd"), both.filter("NOT odd"), right_has_value=True).select(F.array_join("prefix", " ").alias("prefix"), "left_value", "right_value")
+
+
 def trie_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = table(spark, sf_dir, "part").filter("p_size = 1").select(F.slice(F.split("p_type", " "), 1, 1).alias("prefix"))
     return graph.with_prefix(_trie(spark, sf_dir), wanted).select(F.array_join("prefix", " ").alias("prefix"), F.array_join("key", " ").alias("key"), "value")
@@ -348,13 +369,14 @@ QUERIES = {
         key_parts, thinking_stripped, covered_lines, unreported_exceptions, thrown_exceptions, type_names, generic_parts, class_names, subtoken_counts,
         comment_removal, splice_lines, indented_text, test_files, number_texts, throw_lines, tool_log, code_variants, markdown_parts, base_prompt,
         one_field_prompt, add_on_prompt, exception_comments, throw_and_type_info, repair_errors, token_signature_groups, method_bodies, complexity, test_patterns, tried_methods,
-        edge_lookups, throwing_paths, built_call_graph, dependency_names, own_throws, trie_prefix, trie_prefixes_of, repair_tasks, drawn_tests,
+        edge_lookups, throwing_paths, built_call_graph, dependency_names, own_throws, trie_all_in, trie_overlaps, trie_prefix, trie_prefixes_of, repair_tasks, drawn_tests,
     )
 }
 
 _N = "chr(10)"
 _GRAPH = "e AS (SELECT s_suppkey src, s_suppkey // 2 AS dst, 'C' AS label FROM supplier WHERE s_suppkey >= 2 UNION ALL SELECT s_suppkey, s_suppkey // 3, 'C' FROM supplier WHERE s_suppkey >= 3 UNION ALL SELECT s_suppkey, s_suppkey - 1, 'O' FROM supplier WHERE s_suppkey >= 2)"
 _FENCE = "'```java' || chr(10) || {} || chr(10) || '```'"
+_SEQUENCES = "l AS (SELECT l_orderkey, l_linenumber, (min(l_partkey) % 12)::VARCHAR AS kind FROM lineitem GROUP BY 1, 2), k AS (SELECT l_orderkey, list(kind ORDER BY l_linenumber) AS key FROM l GROUP BY 1), q AS (SELECT key, l_orderkey % 2 = 1 AS odd, min(l_orderkey) AS value FROM k GROUP BY 1, 2)"
 ORACLES = {
     "key_parts": "SELECT p_partkey, 'p/q.C' || p_size || '$I' || (p_partkey % 3) AS class, 'm' || p_partkey AS method, 'p/q.C' || p_size AS outer, 'p.q.C' || p_size || '$I' || (p_partkey % 3) || '#m' || p_partkey || '#(Lp.T;)V' AS dotted, 'p/q/C' || p_size || '$I' || (p_partkey % 3) || '#m' || p_partkey || '#(Lp/T;)V' AS slashed, 'a__b' || p_size || '__c' || p_partkey AS slug FROM part",
     "thinking_stripped": "WITH r AS (SELECT *, 'hm ' || CASE WHEN turn % 2 = 1 THEN '</think>  ' ELSE '' END || text || ' </think> x' AS reply FROM conversations) SELECT conv_id, turn, md5(CASE WHEN role = 'assistant' THEN trim(substr(reply, position('</think>' IN reply) + 8)) ELSE reply END) AS digest FROM r",
@@ -405,6 +427,8 @@ ORACLES = {
     "dependency_names": "SELECT DISTINCT 'p.C' || p_size AS name FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 5 <> 0",
     "own_throws": "SELECT s_suppkey AS method, 'p.E' || (s_nationkey % 3) AS exception FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 3 = s_nationkey % 3",
     "trie_prefix": "WITH t AS (SELECT p_type AS key, min(p_partkey) AS value FROM part GROUP BY 1), w AS (SELECT DISTINCT string_split(p_type, ' ')[1] AS prefix FROM part WHERE p_size = 1) SELECT prefix, key, value FROM t JOIN w ON string_split(key, ' ')[1] = prefix",
+    "trie_all_in": f"WITH {_SEQUENCES}, e AS (SELECT key, min(value) AS value FROM q GROUP BY 1), s AS (SELECT s_suppkey AS id, list_transform([s_suppkey, s_suppkey + 1, s_suppkey // 5, 7 * s_suppkey], lambda x: (x % 12)::VARCHAR) AS w FROM supplier) SELECT id, array_to_string(key, ' ') AS key, value FROM s JOIN e ON list_has_all(w, key)",
+    "trie_overlaps": f"WITH {_SEQUENCES}, a AS (SELECT * FROM q WHERE odd), b AS (SELECT * FROM q WHERE NOT odd), p AS (SELECT DISTINCT list_slice(key, 1, i) AS prefix FROM (SELECT key, unnest(range(1, len(key) + 1)) AS i FROM a)) SELECT array_to_string(b.key, ' ') AS prefix, a.value AS left_value, b.value AS right_value FROM b JOIN p ON p.prefix = b.key LEFT JOIN a ON a.key = b.key",
     "trie_prefixes_of": "WITH t AS (SELECT p_type AS key, min(p_partkey) AS value FROM part GROUP BY 1) SELECT p_partkey AS id, key, value FROM part JOIN t ON list_slice(list_append(string_split(p_type, ' '), 'more'), 1, len(string_split(key, ' '))) = string_split(key, ' ')",
     "repair_tasks": """WITH r AS (SELECT l_orderkey id, l_returnflag f, l_quantity q, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS s FROM lineitem WHERE l_returnflag IN ('A', 'N')),
         a AS (SELECT * FROM r WHERE f = 'A'), b AS (SELECT * FROM r WHERE f = 'N' AND id IN (SELECT id FROM a)) SELECT id, s AS sample, o_orderstatus, coalesce(b.q, a.q) AS quantity FROM a FULL JOIN b USING (id, s) JOIN orders ON o_orderkey = id""",
