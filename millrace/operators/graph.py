@@ -66,16 +66,19 @@ def call_paths(edges: DataFrame, start: DataFrame, depth: int | None = 10) -> Da
 def ancestors(parents: DataFrame) -> DataFrame:
     """(node, ancestor, distance) along a table (node, parent), at any distance, the least where there are several; a node is its own at 0.
 
-    Each round of joins adds a generation and is written, until nothing new comes; so cycles end.
+    Paths are doubled: what is reached in fewer than 2^k steps, and from there what is exactly 2^k steps further. So rounds follow the logarithm of the longest
+    shortest path; they end when nothing new is reached, on cycles too.
     """
-    up = kept(parents.select("node", "parent"))
-    rounds = [kept(up.select("node", F.col("node").alias("ancestor")).distinct().withColumn("distance", F.lit(0)))]
-    while not rounds[-1].isEmpty():
-        seen = reduce(DataFrame.unionByName, rounds).select("node", "ancestor")
-        link = up.filter("parent IS NOT NULL").select(F.col("node").alias("ancestor"), "parent")
-        new = rounds[-1].join(link, "ancestor").select("node", F.col("parent").alias("ancestor")).distinct().join(seen, ["node", "ancestor"], "left_anti")
-        rounds.append(kept(new.withColumn("distance", F.lit(len(rounds)))))
-    return reduce(DataFrame.unionByName, rounds)
+    up = stored(parents.select("node", "parent").distinct())
+    reached = stored(up.select("node", F.col("node").alias("ancestor")).distinct().withColumn("distance", F.lit(0)))
+    jump, steps, n = up.filter("parent IS NOT NULL").select(F.col("node").alias("ancestor"), F.col("parent").alias("far")), 1, reached.count()
+    while True:
+        further = reached.join(jump, "ancestor").select("node", F.col("far").alias("ancestor"), (F.col("distance") + steps).alias("distance"))
+        reached = stored(reached.unionByName(further).groupBy("node", "ancestor").agg(F.min("distance").alias("distance")))
+        if (now := reached.count()) == n:
+            return reached
+        n, steps = now, 2 * steps
+        jump = stored(jump.join(jump.select(F.col("ancestor").alias("far"), F.col("far").alias("next")), "far").select("ancestor", F.col("next").alias("far")).distinct())
 
 
 def members(parents: DataFrame, own: DataFrame) -> DataFrame:

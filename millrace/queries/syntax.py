@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import conditions, graph, intervals, members, throw_removal
+from millrace.operators import classes, conditions, graph, intervals, members, throw_removal
 from millrace.queries import stored
 from millrace.session import table
 
@@ -116,9 +116,33 @@ def path_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conditions.path_conditions(nodes, frames)
 
 
-QUERIES = {f.__name__: f for f in (path_conditions, throw_removals, tree_intervals, used_types, conditional_throws, method_records)}
+def resolved_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as uses of types in orders as files; parts and suppliers as classes, customers' orders import one and two packages."""
+    t = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    uses = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), t("p", F.col("l_orderkey") % 5).alias("package"), t("T", F.col("l_partkey") % 50).alias("name"))
+    orders = table(spark, sf_dir, "orders")
+    single = orders.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("file"), t("q.T", F.col("o_custkey") % 50).alias("path"), F.lit(False).alias("wildcard"))
+    some = [orders.select(F.col("o_orderkey").alias("file"), t("p", F.col(c) % 7).alias("path"), F.lit(True).alias("wildcard")) for c in ("o_orderkey", "o_custkey")]
+    p = F.col("p_partkey")
+    known = table(spark, sf_dir, "part").select(F.concat(t("p", p % 7), t(".T", F.floor(p / 7) % 23)).alias("full"))
+    lang = table(spark, sf_dir, "supplier").select(t("java.lang.T", F.col("s_suppkey") % 40).alias("full"))
+    out = classes.resolved_types(uses, single.unionByName(some[0]).unionByName(some[1]), known.unionByName(lang))
+    return out.select("file", "name", "full", "rank", F.array_join("ambiguous", ",").alias("ambiguous"))
+
+
+def class_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as classes whose parent has half their number, parts as methods of them: all relations between their ids."""
+    s = F.col("s_suppkey")
+    parents = table(spark, sf_dir, "supplier").select(s.alias("node"), F.when(s > 1, F.floor(s / 2)).alias("parent"))
+    first = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("class")).select(F.col("l_partkey").alias("id"), "class")
+    return classes.class_relations(parents, first)[1].select("src", "dst", "label", F.col("steps").cast("long").alias("steps"))
+
+
+QUERIES = {f.__name__: f for f in (resolved_types, class_relations, path_conditions, throw_removals, tree_intervals, used_types, conditional_throws, method_records)}
 _L = "l AS (SELECT l_orderkey AS tree, l_linenumber AS n, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2)"
 ORACLES = {
+    "resolved_types": "WITH u AS (SELECT DISTINCT l_orderkey AS file, 'p' || (l_orderkey % 5) AS package, 'T' || (l_partkey % 50) AS name FROM lineitem), c AS (SELECT DISTINCT 'p' || (p_partkey % 7) || '.T' || (p_partkey // 7 % 23) AS f FROM part UNION SELECT 'java.lang.T' || (s_suppkey % 40) FROM supplier), g AS (SELECT u.*, 1 AS rank, 'q.' || name AS f FROM u JOIN orders ON o_orderkey = file WHERE o_orderkey % 3 = 0 AND name = 'T' || (o_custkey % 50) UNION SELECT * FROM (SELECT u.*, 2, package || '.' || name AS f FROM u UNION SELECT u.*, 3, unnest(['p' || (o_orderkey % 7), 'p' || (o_custkey % 7)]) || '.' || name FROM u JOIN orders ON o_orderkey = file UNION SELECT u.*, 4, 'java.lang.' || name FROM u) WHERE f IN (SELECT f FROM c)), r AS (SELECT file, name, rank, list_sort(list_distinct(list(f))) AS fs FROM g GROUP BY 1, 2, 3), b AS (SELECT file, name, arg_min({'rank': rank, 'fs': fs}, rank) AS b FROM r GROUP BY 1, 2) SELECT u.file, u.name, CASE WHEN len(b.fs) = 1 THEN b.fs[1] END AS full, b.rank AS rank, CASE WHEN len(b.fs) > 1 THEN array_to_string(b.fs, ',') END AS ambiguous FROM u LEFT JOIN b USING (file, name)",
+    "class_relations": "WITH RECURSIVE c AS (SELECT s_suppkey AS k, row_number() OVER (ORDER BY s_suppkey) - 1 AS id FROM (SELECT s_suppkey FROM supplier UNION SELECT s_suppkey // 2 FROM supplier WHERE s_suppkey > 1)), m AS (SELECT l_partkey AS k, min(l_suppkey) AS class, row_number() OVER (ORDER BY l_partkey) - 1 + (SELECT count(*) FROM c) AS id FROM lineitem GROUP BY 1), a AS (SELECT s_suppkey AS node, s_suppkey // 2 AS x, 1 AS d FROM supplier WHERE s_suppkey > 1 UNION ALL SELECT node, x // 2, d + 1 FROM a WHERE x > 1) SELECT c.id AS src, e.id AS dst, CASE WHEN d = 1 THEN 'E' ELSE 'A' END AS label, d::BIGINT AS steps FROM a JOIN c ON c.k = node JOIN c e ON e.k = x UNION ALL SELECT c.id, m.id, 'M', 1 FROM m JOIN c ON c.k = m.class",
     "path_conditions": f"WITH {_L}, g AS (SELECT tree, n, 'x' || (p // 2 % 2) AS x FROM l WHERE p % 2 = 0), s AS (SELECT tree, n, 'x' || (p // 2 % 2) AS x FROM l WHERE p % 2 = 1), c AS (SELECT tree, n, '!' || coalesce('y' || (SELECT max(s.n) FROM s WHERE s.tree = g.tree AND s.x = g.x AND s.n < g.n), x) || ' < ' || n AS c FROM g) SELECT tree AS trace, concat_ws(' && ', (SELECT string_agg(c, ' && ' ORDER BY n) FROM c WHERE c.tree = o.tree), 'end') AS condition FROM (SELECT DISTINCT tree FROM l) o",
     "throw_removals": f"WITH {_L} SELECT tree, concat_ws(' ', '{{', string_agg(CASE p % 5 WHEN 1 THEN 'a' || n || ' b' || n WHEN 2 THEN 'a' || n WHEN 3 THEN 'a' || n END, ' ' ORDER BY n), '}}') AS text, count(*) FILTER (p % 5 < 2) AS n_if, count(*) FILTER (p % 5 = 2) AS n_catch, count(*) FILTER (p % 5 = 3) AS n_switch, count(*) FILTER (p % 5 = 4) AS n_rest FROM l GROUP BY tree",
     "tree_intervals": "WITH RECURSIVE m AS (SELECT max(s_suppkey) AS most FROM supplier), w AS (SELECT 1::BIGINT AS node, 0 AS depth, [0]::BIGINT[] AS path UNION ALL SELECT s_suppkey, depth + 1, list_append(path, s_suppkey) FROM w JOIN supplier ON s_suppkey // 2 = w.node WHERE s_suppkey > 1), a AS (SELECT node, unnest(path) AS above FROM w), z AS (SELECT CASE above WHEN 0 THEN 1 ELSE above END AS node, count(DISTINCT a.node) AS size, count(DISTINCT a.node) FILTER (a.node * 2 > most) AS leaves FROM a, m GROUP BY 1), o AS (SELECT w.node, depth, size, leaves, row_number() OVER (ORDER BY path) - 1 AS step FROM w JOIN z USING (node)) SELECT node, 2 * step - depth AS enter, 2 * step - depth + 2 * size - 1 AS leave, step, depth::BIGINT AS depth, leaves FROM o",
