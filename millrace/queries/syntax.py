@@ -1,8 +1,8 @@
-"""Syntax trees over the driver's tables: orders as methods whose lines are statements of many kinds."""
+"""Syntax trees over the driver's tables: brands as methods whose parts are statements of many kinds."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import classes, conditions, graph, intervals, members, throw_removal
@@ -13,8 +13,9 @@ NODE = "node long, parent long, place int, type string, role string, tok string,
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tree, n, p): each line of an order once, with a part."""
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("tree"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("p"))
+    """(tree, n, p): each part of a brand, numbered from 1."""
+    number = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")).cast("long")
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("tree"), number.alias("n"), F.col("p_partkey").alias("p"))
 
 
 def _statement(base: Column, body: int, line: Column, parts: list[tuple]) -> Column:
@@ -29,7 +30,7 @@ def _statement(base: Column, body: int, line: Column, parts: list[tuple]) -> Col
 
 
 def _trees(lines: DataFrame, fixed: list[tuple], kinds: Column) -> DataFrame:
-    """Trees of the lines: fixed nodes (node, parent, place, type, role, tok, and a line if it isn't 0) of every order, and each line's own."""
+    """Trees of the lines: fixed nodes (node, parent, place, type, role, tok, and a line if it isn't 0) of every brand, and each line's own."""
     shape = f"array<struct<{', '.join(x.replace(' ', ':') for x in NODE.split(', '))}>>"
     one = F.array(*[F.struct(*[F.lit(v) for v in (*row[:6], *(2 * row[6:] or (0, 0)))]) for row in fixed]).cast(shape)
     roots = lines.select("tree").distinct().select("tree", F.explode(one).alias("x"))
@@ -37,7 +38,7 @@ def _trees(lines: DataFrame, fixed: list[tuple], kinds: Column) -> DataFrame:
 
 
 def _throwing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as methods: a line is an if that throws, one with an else, a try whose catch throws, a switch with an entry that does, or a throw."""
+    """Brands as methods: a part is an if that throws, one with an else, a try whose catch throws, a switch with an entry that does, or a throw."""
     lines, base, n = _lines(spark, sf_dir), F.col("n") * 100, F.col("n")
     a, b = F.concat(F.lit("a"), n.cast("string")), F.concat(F.lit("b"), n.cast("string"))
     t = lambda number, parent, tok: (number, parent, "Token", None, tok)
@@ -48,11 +49,11 @@ def _throwing(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = [(0, None, "ThrowStmt", None, None), t(1, 0, "throw")]
     made = [_statement(base, 2, n, x) for x in (plain, other, tried, switch, bare)]
     kinds = F.when(F.col("p") % 5 == 0, made[0]).when(F.col("p") % 5 == 1, made[1]).when(F.col("p") % 5 == 2, made[2]).when(F.col("p") % 5 == 3, made[3]).otherwise(made[4])
-    return _trees(lines, [(1, None, 0, "MethodDeclaration", None, None), (2, 1, 0, "BlockStmt", None, None), (3, 2, 0, "Token", None, "{"), (4, 2, 1000, "Token", None, "}")], kinds)
+    return _trees(lines, [(1, None, 0, "MethodDeclaration", None, None), (2, 1, 0, "BlockStmt", None, None), (3, 2, 0, "Token", None, "{"), (4, 2, 10**9, "Token", None, "}")], kinds)
 
 
 def throw_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every order's method, and how many throws of each kind went."""
+    """What is left of every brand's method, and how many throws of each kind went."""
     left, markers = throw_removal.removed(_throwing(spark, sf_dir))
     names = {"n_if": throw_removal.IF, "n_catch": throw_removal.CATCH, "n_switch": throw_removal.SWITCH, "n_rest": throw_removal.REST}
     tally = markers.groupBy("tree").agg(*[F.count_if(F.col("marker") == m).alias(c) for c, m in names.items()])
@@ -65,7 +66,7 @@ def tree_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _declaring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as classes with a field v0 and a method that declares E0 and E1: a line declares a variable, uses one, throws, or throws under a condition."""
+    """Brands as classes with a field v0 and a method that declares E0 and E1: a part declares a variable, uses one, throws, or throws under a condition."""
     lines, base, n, p = _lines(spark, sf_dir), F.col("n") * 100, F.col("n"), F.col("p")
     name, kind, thrown = F.concat(F.lit("v"), (p % 2).cast("string")), F.concat(F.lit("T"), (p % 7).cast("string")), F.concat(F.lit("E"), (p % 3).cast("string"))
     t = lambda number, parent, role, tok: (number, parent, "Token", role, tok)
@@ -84,17 +85,17 @@ def _declaring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def used_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The types of all names that lines use: the last line's that declares the name before, else the field's."""
+    """The types of all names that parts use: the last part's that declares the name before, else the field's."""
     return members.used_types(graph.stored(intervals.numbered(_declaring(spark, sf_dir)))).select("tree", F.floor(F.col("node") / 100).alias("n"), "name", "kind")
 
 
 def conditional_throws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The declared exceptions that orders' methods throw under a condition, with the first such line."""
+    """The declared exceptions that brands' methods throw under a condition, with the first such part."""
     return members.conditional_throws(graph.stored(intervals.numbered(_declaring(spark, sf_dir)))).select("tree", "exception", F.floor(F.col("nearest_if") / 100).alias("n"))
 
 
 def method_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order's method with its exceptions by line, the lines of each, and the members of its class."""
+    """Every brand's method with its exceptions by line, the lines of each, and the members of its class."""
     nodes = graph.stored(intervals.numbered(_declaring(spark, sf_dir)))
     records = members.method_records(nodes).select("tree", "class", "name", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("exceptions", ",").alias("exceptions"), F.array_join("modifiers", " ").alias("modifiers"))
     lines = members.throw_lines(nodes, 0).groupBy("tree").agg(F.array_join(F.array_sort(F.collect_list(F.concat("exception", F.lit(":"), F.array_join(F.col("lines").cast("array<string>"), " ")))), ",").alias("lines"))
@@ -104,15 +105,15 @@ def method_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def path_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as methods that end with a call, whose lines leave early or assign: what holds where the call is reached."""
+    """Brands as methods that end with a call, whose parts leave early or assign: what holds where the call is reached."""
     lines, base, n = _lines(spark, sf_dir), F.col("n") * 100, F.col("n")
     name = F.concat(F.lit("x"), F.floor(F.col("p") / 2 % 2).cast("string"))
     guard = [(0, None, "IfStmt", None, None), (1, 0, "BinaryExpr", "condition", None), (2, 1, "NameExpr", None, name), (3, 1, "Token", None, "<"), (4, 1, "Token", None, n.cast("string")), (5, 0, "ReturnStmt", "then", None), (6, 5, "Token", None, "return")]
     given = [(0, None, "ExpressionStmt", None, None), (1, 0, "AssignExpr", "expression", None), (2, 1, "NameExpr", "target", name), (3, 1, "NameExpr", "value", F.concat(F.lit("y"), n.cast("string")))]
     kinds = F.when(F.col("p") % 2 == 0, _statement(base, 3, n, guard)).otherwise(_statement(base, 3, n, given))
-    fixed = [(1, None, 0, "MethodDeclaration", None, None), (2, 1, 0, "Token", "name", "m"), (3, 1, 1, "BlockStmt", "body", None), (4, 3, 1000, "ExpressionStmt", None, None, 1000), (5, 4, 0, "MethodCallExpr", "expression", None, 1000), (6, 5, 0, "Token", "name", "end", 1000)]
+    fixed = [(1, None, 0, "MethodDeclaration", None, None), (2, 1, 0, "Token", "name", "m"), (3, 1, 1, "BlockStmt", "body", None), (4, 3, 10**9, "ExpressionStmt", None, None, 10**9), (5, 4, 0, "MethodCallExpr", "expression", None, 10**9), (6, 5, 0, "Token", "name", "end", 10**9)]
     nodes = graph.stored(intervals.numbered(_trees(lines, fixed, kinds)))
-    frames = lines.select(F.col("tree").alias("trace"), F.lit(0).alias("pos"), "tree", F.lit(1000).cast("long").alias("line")).distinct()
+    frames = lines.select(F.col("tree").alias("trace"), F.lit(0).alias("pos"), "tree", F.lit(10**9).cast("long").alias("line")).distinct()
     return conditions.path_conditions(nodes, frames)
 
 
@@ -139,7 +140,7 @@ def class_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (resolved_types, class_relations, path_conditions, throw_removals, tree_intervals, used_types, conditional_throws, method_records)}
-_L = "l AS (SELECT l_orderkey AS tree, l_linenumber AS n, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2)"
+_L = "l AS (SELECT p_brand AS tree, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n, p_partkey AS p FROM part)"
 ORACLES = {
     "resolved_types": "WITH u AS (SELECT DISTINCT l_orderkey AS file, 'p' || (l_orderkey % 5) AS package, 'T' || (l_partkey % 50) AS name FROM lineitem), c AS (SELECT DISTINCT 'p' || (p_partkey % 7) || '.T' || (p_partkey // 7 % 23) AS f FROM part UNION SELECT 'java.lang.T' || (s_suppkey % 40) FROM supplier), g AS (SELECT u.*, 1 AS rank, 'q.' || name AS f FROM u JOIN orders ON o_orderkey = file WHERE o_orderkey % 3 = 0 AND name = 'T' || (o_custkey % 50) UNION SELECT * FROM (SELECT u.*, 2, package || '.' || name AS f FROM u UNION SELECT u.*, 3, unnest(['p' || (o_orderkey % 7), 'p' || (o_custkey % 7)]) || '.' || name FROM u JOIN orders ON o_orderkey = file UNION SELECT u.*, 4, 'java.lang.' || name FROM u) WHERE f IN (SELECT f FROM c)), r AS (SELECT file, name, rank, list_sort(list_distinct(list(f))) AS fs FROM g GROUP BY 1, 2, 3), b AS (SELECT file, name, arg_min({'rank': rank, 'fs': fs}, rank) AS b FROM r GROUP BY 1, 2) SELECT u.file, u.name, CASE WHEN len(b.fs) = 1 THEN b.fs[1] END AS full, b.rank AS rank, CASE WHEN len(b.fs) > 1 THEN array_to_string(b.fs, ',') END AS ambiguous FROM u LEFT JOIN b USING (file, name)",
     "class_relations": "WITH RECURSIVE c AS (SELECT s_suppkey AS k, row_number() OVER (ORDER BY s_suppkey) - 1 AS id FROM (SELECT s_suppkey FROM supplier UNION SELECT s_suppkey // 2 FROM supplier WHERE s_suppkey > 1)), m AS (SELECT l_partkey AS k, min(l_suppkey) AS class, row_number() OVER (ORDER BY l_partkey) - 1 + (SELECT count(*) FROM c) AS id FROM lineitem GROUP BY 1), a AS (SELECT s_suppkey AS node, s_suppkey // 2 AS x, 1 AS d FROM supplier WHERE s_suppkey > 1 UNION ALL SELECT node, x // 2, d + 1 FROM a WHERE x > 1) SELECT c.id AS src, e.id AS dst, CASE WHEN d = 1 THEN 'E' ELSE 'A' END AS label, d::BIGINT AS steps FROM a JOIN c ON c.k = node JOIN c e ON e.k = x UNION ALL SELECT c.id, m.id, 'M', 1 FROM m JOIN c ON c.k = m.class",
