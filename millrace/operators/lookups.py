@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,18 +15,27 @@ def _listed(order: list[str], *columns: str) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*columns).alias("x")))), lambda r: r["x"])
 
 
-def covering_tests(methods: DataFrame, coverage: DataFrame, slashes: bool = True) -> DataFrame:
+def _derived(methods: DataFrame, listed: DataFrame, on: list[str], name: str, derive: Callable[[Column], dict[str, Column]] | None) -> DataFrame:
+    """The methods with the list of their key, an empty one where there is none, or with what is derived from it: that is worked out once for each key, so no list is copied to the methods."""
+    derive = derive or (lambda c: {name: c})
+    made = listed.select(*on, *[v.alias(f"__{k}") for k, v in derive(F.col(name)).items()])
+    none = derive(F.array().cast(listed.schema[name].dataType))
+    return methods.join(made.withColumn("__found", F.lit(True)), on, "left").select(*methods.columns, *[F.when(F.col("__found"), F.col(f"__{k}")).otherwise(v).alias(k) for k, v in none.items()])
+
+
+def covering_tests(methods: DataFrame, coverage: DataFrame, slashes: bool = True, derive: Callable[[Column], dict[str, Column]] | None = None) -> DataFrame:
     """The methods with `tests`, those (test, pattern) of their module that cover them and expect no exception, in order.
 
     methods: id, project, module, mut_key; coverage: project, module, test, pattern, methods (array). Keys are compared
     with slashes throughout, or, with slashes false, the coverage's keys are dotted and compared with mut_key as it stands, which
-    misses methods whose descriptor has slashes. A method without tests keeps an empty array.
+    misses methods whose descriptor has slashes. A method without tests keeps an empty array. With derive (from `tests` to columns by name)
+    methods get these columns in place of `tests`.
     """
     form = slashed if slashes else dotted
     each = coverage.filter(F.col("pattern").isNull()).select("project", "module", "test", F.explode(F.array_distinct("methods")).alias("m"))
     found = each.groupBy("project", "module", form(F.col("m")).alias("key")).agg(F.array_sort(F.collect_list("test")).alias("tests"))
     keyed = methods.withColumn("key", slashed(F.col("mut_key")) if slashes else F.col("mut_key"))
-    return keyed.join(found, ["project", "module", "key"], "left").drop("key").withColumn("tests", F.coalesce("tests", F.array().cast(found.schema["tests"].dataType)))
+    return _derived(keyed, found, ["project", "module", "key"], "tests", derive).drop("key")
 
 
 def tool_tests(methods: DataFrame, entries: DataFrame) -> DataFrame:
@@ -93,7 +104,7 @@ def call_suffixes(methods: DataFrame, traces: DataFrame) -> DataFrame:
     suffixes = frames.select("project", "etype", slashed(F.col("frame")).alias("mut_key"), F.slice("call_stack", F.col("at") + 1, F.size("call_stack") - F.col("at")).alias("part"))
     listed = suffixes.groupBy("project", "etype", "mut_key").agg(F.array_sort(F.collect_set("part")).alias("stack_traces"))
     kept = methods.join(traces.select("project").distinct(), "project", "left_semi")
-    return kept.join(listed, ["project", "etype", "mut_key"], "left").withColumn("stack_traces", F.coalesce("stack_traces", F.array().cast(listed.schema["stack_traces"].dataType)))
+    return _derived(kept, listed, ["project", "etype", "mut_key"], "stack_traces", derive)
 
 
 def throws_clause(tests: DataFrame, clauses: DataFrame) -> DataFrame:

@@ -120,15 +120,15 @@ def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def covering_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     methods = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit("p").alias("project"), (F.col("p_partkey") % 8).alias("module"), F.concat(F.lit("p.C#m"), (F.col("p_partkey") % 50).cast("string")).alias("mut_key"))
-    out = lookups.covering_tests(methods, _coverage(spark, sf_dir))
-    return out.select("id", F.size("tests").cast("long").alias("n"), F.md5(F.array_join(F.col("tests").cast("array<string>"), ",")).alias("digest"))
+    made = lambda tests: {"n": F.size(tests).cast("long"), "digest": F.md5(F.array_join(tests.cast("array<string>"), ","))}
+    return lookups.covering_tests(methods, _coverage(spark, sf_dir), derive=made).select("id", "n", "digest")
 
 
 def nebt_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, with the coverage's keys dotted: methods whose key has a slash are missed."""
     methods = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit("p").alias("project"), (F.col("p_partkey") % 8).alias("module"), F.concat(F.when(F.col("p_partkey") % 3 == 0, F.lit("p/C#m")).otherwise(F.lit("p.C#m")), (F.col("p_partkey") % 50).cast("string")).alias("mut_key"))
-    out = lookups.covering_tests(methods, _coverage(spark, sf_dir), slashes=False)
-    return out.select("id", F.size("tests").cast("long").alias("n"))
+    out = lookups.covering_tests(methods, _coverage(spark, sf_dir), slashes=False, derive=lambda tests: {"n": F.size(tests).cast("long")})
+    return out.select("id", "n")
 
 
 def tool_test_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
