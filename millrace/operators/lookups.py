@@ -128,13 +128,17 @@ def first_possible_trace(methods: DataFrame, traces: DataFrame, throw_lines: Dat
     method, etype, line. A logged trace counts from the method on and ends at its last frame's throw lines. None: nulls.
     """
     lines = throw_lines.groupBy(F.col("method").alias("last"), "etype").agg(F.min("line").alias("line"))
-    own = methods.join(lines.withColumnRenamed("last", "mut_key"), ["mut_key", "etype"]).select("id", F.lit(-1).cast("long").alias("pos"), F.lit(0).alias("at"), F.array("mut_key").alias("frames"), "line")
-    each = traces.select("project", "module", "pos", F.explode(F.array_distinct("etypes")).alias("etype"), "frames").select("*", F.posexplode("frames").alias("at", "mut_key"))
-    logged = methods.join(each, ["project", "module", "mut_key", "etype"])
-    part = F.slice("frames", F.col("at") + 1, F.size("frames") - F.col("at"))
-    logged = logged.select("id", F.col("pos").cast("long").alias("pos"), "at", part.alias("frames"), "etype", F.element_at("frames", -1).alias("last")).join(lines, ["last", "etype"]).select("id", "pos", "at", "frames", "line")
-    best = own.unionByName(logged).groupBy("id").agg(F.min_by(F.struct("frames", "line"), F.struct("pos", "at")).alias("x"))
-    return methods.join(best, "id", "left").select(*methods.columns, "x.frames", "x.line")
+    own = lines.select(F.col("last").alias("mut_key"), "etype", F.struct(F.array("last").alias("frames"), "line").alias("own"))
+    each = traces.select("project", "module", "pos", F.explode(F.array_distinct("etypes")).alias("etype"), "frames").withColumn("last", F.element_at("frames", -1))
+    frames = each.join(lines, ["last", "etype"]).select("project", "module", "pos", "etype", "frames", "line", F.posexplode("frames").alias("at", "mut_key"))
+    # The first trace of each key is found before methods meet it: a key may have very many of both. Its place is found first, so that traces aren't sorted.
+    on = ["project", "module", "mut_key", "etype"]
+    least = frames.groupBy(*on).agg(F.min("pos").alias("pos"))
+    logged = frames.join(least, [*on, "pos"]).groupBy(*on).agg(F.min_by(F.struct("frames", "at", "line"), "at").alias("x"))
+    part = F.slice("x.frames", F.col("x.at") + 1, F.size("x.frames") - F.col("x.at"))
+    logged = logged.select(*on, F.struct(part.alias("frames"), F.col("x.line").alias("line")).alias("logged"))
+    found = methods.join(own, ["mut_key", "etype"], "left").join(logged, on, "left").withColumn("x", F.coalesce("own", "logged"))
+    return found.select(*methods.columns, "x.frames", "x.line")
 
 
 def paired(a: DataFrame, b: DataFrame, ids: DataFrame) -> DataFrame:

@@ -15,3 +15,14 @@ def test_lists_are_read_once_for_each_key(spark):
     assert {(r.id % 2, r.n, r.total) for r in got.collect()} == {(0, 2000, sum(i for i in range(3000) if i % 3)), (1, 0, 0)}
     whole = lookups.covering_tests(methods, coverage)
     assert whole.filter("size(tests) <> IF(id % 2 = 0, 2000, 0)").isEmpty() and whole.count() == 2000
+
+
+def test_first_trace_of_each_key(spark):
+    """Traces are reduced to the first of each key before methods meet them: no row is written for a pair of a method and a trace."""
+    traces = spark.range(500).select(F.lit(0).alias("project"), F.lit(0).alias("module"), (500 - F.col("id")).alias("pos"), F.array(F.lit("E")).alias("etypes"), F.array(F.lit("a"), F.lit("b"), F.lit("a"), F.when(F.col("id") == 499, "none").otherwise("c")).alias("frames"))
+    methods = spark.range(800).select("id", F.lit(0).alias("project"), F.lit(0).alias("module"), F.get(F.array(*map(F.lit, "abcd")), (F.col("id") % 4).cast("int")).alias("mut_key"), F.lit("E").alias("etype"))
+    lines = spark.createDataFrame([("c", "E", 7), ("c", "E", 5), ("d", "F", 1)], "method string, etype string, line int")
+    got = lookups.first_possible_trace(methods, traces, lines)
+    assert {(r.mut_key, tuple(r.frames or ()), r.line) for r in got.collect()} == {("a", ("a", "b", "a", "c"), 5), ("b", ("b", "a", "c"), 5), ("c", ("c",), 5), ("d", (), None)}
+    assert got.count() == 800
+    assert "Aggregate [id#" not in got._jdf.queryExecution().optimizedPlan().toString()
