@@ -6,6 +6,7 @@ import pytest
 
 from millrace.operators.repair import next_round, open_samples
 from millrace.sources.column_files import read_column_files
+from millrace.streaming import completion
 from millrace.streaming.completion import completed_stream
 
 
@@ -55,3 +56,23 @@ def test_completed_stream(spark, tmp_path):
         stream = completed_stream(spark.readStream.schema(schema).parquet(str(source)))
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start().awaitTermination(90)
     assert sorted((r.id, r.results) for r in spark.read.parquet(out).collect()) == [(1, ["a", "a2", "b"]), (2, ["x"])]
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_stream_holds_open_tasks_only(spark, tmp_path, monkeypatch, kind):
+    """Tasks that a batch brings whole write no state; open ones of the same bucket, which are numbers here, stay open when others end."""
+    if kind == "long":
+        monkeypatch.setattr(completion, "BUCKETS", 1)
+    name = lambda i: f"t{i}" if kind == "string" else i
+    schema = f"id {kind}, idx int, results array<string>, expected int"
+    out, mark, source = str(tmp_path / "out"), str(tmp_path / "mark"), str(tmp_path / "in")
+    steps = [[(name(i), k, [f"{i}:{k}"], 2) for i in range(300) for k in (1, 0)], [(name(i), 0, [f"{i}:0"], 3) for i in range(1000, 1100)], [(name(i), k, [f"{i}:{k}"], 3) for i in range(1000, 1050) for k in (2, 1, 0)], [(name(1099), 0, ["late"], 3)]]
+    rows = []
+    for step in steps:
+        spark.createDataFrame(step, schema).coalesce(1).write.mode("append").parquet(source)
+        query = completed_stream(spark.readStream.schema(schema).parquet(source)).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination(90)
+        rows.append(sum(p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["stateOperators"]))
+    assert rows[0] == 0 and rows[1] > 0
+    got = {r.id: r.results for r in spark.read.schema(f"id {kind}, results array<string>").parquet(out).collect()}
+    assert got == {name(i): [f"{i}:0", f"{i}:1"] for i in range(300)} | {name(i): [f"{i}:0", f"{i}:1", f"{i}:2"] for i in range(1000, 1050)}
