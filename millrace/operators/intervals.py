@@ -1,52 +1,100 @@
 """Trees as nested intervals: every node of a table (tree, node, parent, place, ...) gets the places at which a walk enters and leaves it.
 
 With them a subtree, an ancestor and the innermost thing around a place are range comparisons, and nothing is written for each pair of a node and an
-ancestor. Numbering takes as many rounds of joins as the longest walk has doublings, however deep a tree is.
+ancestor. Numbering takes as many rounds of joins as the longest walk has doublings, however deep a tree is, and only the first pass is over all nodes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.operators.graph import stored
 
 
+SUMS = ("length", "nodes", "rise", "leaves")
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes with both of their elements moved on, within their batch, to the last one before the walk leaves it: where it goes from there, and the weights up to there.
+
+    Any batches are right; the more of a subtree one holds, the fewer elements are left to go to. What runs into a cycle has no end.
+    """
+    for batch in batches:
+        n = batch.num_rows
+        names = batch.schema.names[:-7]
+        column = lambda c: batch.column(batch.schema.get_field_index(c))
+        frame = lambda node: pd.DataFrame({"tree": column("tree").to_pandas(), "node": column(node).to_pandas()})
+        place = frame("node").assign(at=np.arange(n)).drop_duplicates(["tree", "node"])
+        nexts = []
+        for side in ("into", "out"):
+            more, low = column(f"{side}_more").to_numpy(zero_copy_only=False), column(f"{side}_side").to_numpy(zero_copy_only=False)
+            at = frame(f"{side}_to").merge(place, "left", ["tree", "node"])["at"].fillna(-1).to_numpy(np.int64)
+            nexts.append(np.where(more & (at >= 0), at + low * n, -1))
+        to, last, leaf = np.concatenate(nexts), np.arange(2 * n), column("__leaf").to_numpy(zero_copy_only=False)
+        one, zero = np.ones(n, np.int64), np.zeros(n, np.int64)
+        sums = np.stack([np.concatenate(x) for x in ((one, one), (one, zero), (one, -one), (leaf.astype(np.int64), zero))])
+        reach = 1
+        while (on := np.flatnonzero(to >= 0)).size and reach <= 4 * n:
+            ahead = to[on]
+            sums[:, on] = sums[:, on] + sums[:, ahead]
+            last[on], to[on] = last[ahead], to[ahead]
+            reach *= 2
+        both = lambda c: pa.concat_arrays([column(f"into_{c}"), column(f"out_{c}")]).take(pa.array(last))
+        lost, more = to >= 0, both("more").to_numpy(zero_copy_only=False)
+        found = {"to": both("to"), "side": both("side"), "more": pa.array(more & ~lost), "whole": pa.array(~more & ~lost)} | {k: pa.array(v) for k, v in zip(SUMS, sums, strict=True)}
+        cells = {c: column(c) for c in names} | {f"{side}_{k}": v.slice(i * n, n) for i, side in enumerate(("into", "out")) for k, v in found.items()}
+        yield pa.RecordBatch.from_pydict(cells)
+
+
 def numbered(nodes: DataFrame) -> DataFrame:
     """The nodes that a walk from the roots (parent null) meets, with `enter` and `leave`, their places in the walk in and out of all nodes; `step`, their
     place among nodes in depth-first order; `depth`; `first_leaf` and `leaves`, their subtree's leaves (tok not null) as a range of the tree's.
 
-    The walk is a linked list of 2 elements for each node; pointers are doubled until all reach its end, each round written. Siblings go by place, then
+    The walk is a linked list of 2 elements for each node. Nodes are dealt by ranges of their ids and the list is first shortened within batches of them; pointers are doubled
+    only among the elements that other batches go to, until all reach the end, each round written. Siblings go by place, then
     node; several roots of a tree are siblings. Nodes under a missing parent or on a cycle of parents aren't met and not returned.
     """
-    own = stored(nodes)
+    own = stored(nodes.filter("tree IS NOT NULL AND node IS NOT NULL"))
     siblings = Window.partitionBy("tree", "parent").orderBy("place", "node")
-    nexts = own.select("tree", "node", "parent", F.lead("node").over(siblings).alias("next"), F.col("tok").isNotNull().cast("long").alias("leaf"))
-    firsts = own.filter("parent IS NOT NULL").groupBy("tree", F.col("parent").alias("node")).agg(F.min_by("node", F.struct("place", "node")).alias("first"))
-
-    def element(side: int, to: Column, to_side: Column, *weights: Column | int) -> Column:
-        named = zip(("length", "nodes", "rise", "leaves"), weights, strict=True)
-        return F.struct(F.lit(side).alias("side"), to.alias("to"), to_side.alias("to_side"), to.isNull().alias("whole"), *[(w if isinstance(w, Column) else F.lit(w)).cast("long").alias(n) for n, w in named])
-
-    into = element(0, F.coalesce("first", "node"), F.when(F.col("first").isNull(), 1).otherwise(0), 1, 1, 1, F.col("leaf"))
-    out = element(1, F.coalesce("next", "parent"), F.when(F.col("next").isNull(), 1).otherwise(0), 1, 0, -1, 0)
-    walk = stored(nexts.join(firsts, ["tree", "node"], "left").select("tree", "node", F.explode(F.array(into, out)).alias("e")).select("tree", "node", "e.*"))
-    sums, most = ("length", "nodes", "rise", "leaves"), walk.count()
-    reach = 1
-    while not walk.filter("to IS NOT NULL").isEmpty() and reach <= 2 * most:
-        ahead = walk.select("tree", F.col("node").alias("to"), F.col("side").alias("to_side"), F.col("to").alias("__to"), F.col("to_side").alias("__to_side"), F.col("whole").alias("__whole"), *[F.col(c).alias(f"__{c}") for c in sums])
-        moved = walk.filter("to IS NOT NULL").join(ahead, ["tree", "to", "to_side"], "left")
-        moved = moved.select("tree", "node", "side", F.col("__to").alias("to"), F.col("__to_side").alias("to_side"), F.coalesce("__whole", F.lit(False)).alias("whole"), *[(F.col(c) + F.coalesce(f"__{c}", F.lit(0))).alias(c) for c in sums])
-        walk, reach = stored(walk.filter("to IS NULL").unionByName(moved)), 2 * reach
-    met = walk.filter("to IS NULL AND whole")
-    total = met.groupBy("tree").agg(*[F.max(c).alias(f"all_{c}") for c in ("length", "nodes", "leaves")])
-    at = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c)))
-    each = met.groupBy("tree", "node").agg(at("length", 0).alias("a"), at("length", 1).alias("b"), at("nodes", 0).alias("n"), at("rise", 0).alias("r"), at("leaves", 0).alias("l"), at("leaves", 1).alias("m"))
-    places = each.join(total, "tree").select(
-        "tree", "node", (F.col("all_length") - F.col("a")).alias("enter"), (F.col("all_length") - F.col("b")).alias("leave"), (F.col("all_nodes") - F.col("n")).alias("step"),
-        (-F.col("r")).alias("depth"), (F.col("all_leaves") - F.col("l")).alias("first_leaf"), (F.col("l") - F.col("m")).alias("leaves"),
+    nexts = own.withColumn("__next", F.lead("node").over(siblings))
+    firsts = own.filter("parent IS NOT NULL").groupBy("tree", F.col("parent").alias("node")).agg(F.min_by("node", F.struct("place", "node")).alias("__first"))
+    rest = ["tree", "node", *[c for c in own.columns if c not in ("tree", "node")]]
+    to = F.coalesce("__next", "parent", "node")
+    linked = nexts.join(firsts, ["tree", "node"], "left").select(
+        *rest, F.col("tok").isNotNull().alias("__leaf"), F.coalesce("__first", "node").alias("into_to"), F.col("__first").isNull().cast("int").alias("into_side"), F.lit(True).alias("into_more"),
+        to.alias("out_to"), F.col("__next").isNull().cast("int").alias("out_side"), F.coalesce("__next", "parent").isNotNull().alias("out_more"),
+    )
+    sides = ", ".join(f"{s}_to {own.schema['node'].dataType.simpleString()}, {s}_side int, {s}_more boolean, {s}_whole boolean, {', '.join(f'{s}_{k} long' for k in SUMS)}" for s in ("into", "out"))
+    shape = StructType([*own.select(*rest).schema.fields, *StructType.fromDDL(sides).fields])
+    near = stored(linked.repartitionByRange("tree", "node").sortWithinPartitions("tree", "node").mapInArrow(_contracted, shape))
+    side = lambda s, i: F.struct(F.lit(i).alias("side"), *[F.col(f"{s}_{k}").alias(k) for k in ("to", "more", "whole", *SUMS)], F.col(f"{s}_side").alias("to_side"))
+    elements = near.select("tree", "node", F.explode(F.array(side("into", 0), side("out", 1))).alias("e")).select("tree", "node", "e.*")
+    goals = stored(elements.filter("more").select("tree", F.col("to").alias("node"), F.col("to_side").alias("side")).distinct())
+    walk = stored(elements.join(goals, ["tree", "node", "side"], "left_semi"))
+    most, reach = walk.count(), 1
+    while not walk.filter("more").isEmpty() and reach <= 2 * most:
+        ahead = walk.select("tree", F.col("node").alias("to"), F.col("side").alias("to_side"), F.col("to").alias("__to"), F.col("to_side").alias("__to_side"), F.col("more").alias("__more"), F.col("whole").alias("__whole"), *[F.col(c).alias(f"__{c}") for c in SUMS])
+        moved = walk.filter("more").join(ahead, ["tree", "to", "to_side"])
+        moved = moved.select("tree", "node", "side", F.col("__to").alias("to"), F.col("__to_side").alias("to_side"), F.col("__more").alias("more"), F.col("__whole").alias("whole"), *[(F.col(c) + F.col(f"__{c}")).alias(c) for c in SUMS])
+        walk, reach = stored(walk.filter("NOT more").unionByName(moved)), 2 * reach
+    ends = stored(walk.filter("NOT more AND whole").select("tree", "node", "side", *SUMS))
+    whole = near
+    for s in ("into", "out"):
+        end = ends.select("tree", F.col("node").alias(f"{s}_to"), F.col("side").alias(f"{s}_side"), F.lit(True).alias("__met"), *[F.col(c).alias(f"__{c}") for c in SUMS])
+        joined = whole.join(end, ["tree", f"{s}_to", f"{s}_side"], "left").filter(f"{s}_whole OR {s}_more AND __met")
+        whole = joined.withColumns({f"{s}_{c}": F.col(f"{s}_{c}") + F.when(F.col(f"{s}_more"), F.col(f"__{c}")).otherwise(0) for c in SUMS}).drop("__met", *[f"__{c}" for c in SUMS])
+    total = stored(whole.filter("parent IS NULL").groupBy("tree").agg(*[F.max(f"into_{c}").alias(f"all_{c}") for c in ("length", "nodes", "leaves")]))
+    return whole.join(total, "tree").select(
+        *rest, (F.col("all_length") - F.col("into_length")).alias("enter"), (F.col("all_length") - F.col("out_length")).alias("leave"), (F.col("all_nodes") - F.col("into_nodes")).alias("step"),
+        (-F.col("into_rise")).alias("depth"), (F.col("all_leaves") - F.col("into_leaves")).alias("first_leaf"), (F.col("into_leaves") - F.col("out_leaves")).alias("leaves"),
     )
-    return own.join(places, ["tree", "node"])
 
 
 def size() -> Column:

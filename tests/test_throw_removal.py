@@ -286,3 +286,44 @@ def test_innermost(spark):
         around = [(h - lo, n) for kk, lo, h, n in spans if kk == k and lo <= p < h]
         want[i] = min(around)[1] if around else None
     assert {x.id: x.name for x in got.collect()} == want
+
+
+@pytest.mark.parametrize("batch", ["3", "10000"])
+def test_numbering_over_batches(spark, batch):
+    """Trees with ids in no order, roots side by side, a missing parent and a cycle, in small batches and in one: the same places."""
+    r, rows_, want = random.Random(4), [], {}
+    for t in ("a", "b"):
+        ids = r.sample(range(2**60), 150)
+        above = {n: (ids[r.randrange(i)] if i > 1 and r.random() < 0.97 else None) for i, n in enumerate(ids)}
+        below = {p: sorted(n for n in ids if above[n] == p) for p in [None, *ids]}
+        clock, step = [0], [0]
+
+        def walk(n, depth, t=t, below=below, clock=clock, step=step):
+            enter, me = clock[0], step[0]
+            clock[0], step[0] = clock[0] + 1, step[0] + 1
+            for c in below[n]:
+                walk(c, depth + 1)
+            want[t, n] = (enter, clock[0], me, depth)
+            clock[0] += 1
+
+        for root in below[None]:
+            walk(root, 0)
+        rows_ += [(t, n, above[n], 0, "X", None if below[n] else "x") for n in ids]
+    lost = [("a", 1, 2, 0, "X", None), ("a", 3, 4, 0, "X", None), ("a", 4, 3, 0, "X", "x"), ("a", 5, 4, 0, "X", "x")]
+    table = spark.createDataFrame(rows_ + lost, "tree string, node long, parent long, place int, type string, tok string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = intervals.numbered(table).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert {(x.tree, x.node): (x.enter, x.leave, x.step, x.depth) for x in found} == want and len(found) == len(want)
+
+
+def test_numbering_goes_over_all_nodes_once(spark, monkeypatch):
+    """Of a wide tree in the order of its ids few elements are left after the first pass, and only those are written again in each round."""
+    sizes, write = [], intervals.stored
+    monkeypatch.setattr(intervals, "stored", lambda df: sizes.append((out := write(df)).count()) or out)
+    table = spark.range(1, 40_001).selectExpr("'t' AS tree", "id AS node", "IF(id > 1, IF(id % 4 = 2, 1, id - 1), NULL) AS parent", "0 AS place", "'X' AS type", "CAST(NULL AS string) AS tok")
+    assert intervals.numbered(table).filter("leave <= enter").isEmpty()
+    assert sum(n > 1000 for n in sizes) <= 2
