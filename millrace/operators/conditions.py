@@ -2,7 +2,7 @@
 
 Trees are numbered tables of nodes with roles (condition, compare, variable, iterable, selector, label, then, else, body, name, initializer, target, value, argument,
 parameter, expression). Steps, each over all traces at once: the node at each frame's line; what encloses it, from the inside out; the statements before it in the blocks
-that do; the conditions under which those leave the method early; and last, for each trace, one fold over its items in order, which gathers conditions and puts in what names stand for.
+that do; the conditions under which those leave the method early; and last, for each trace, one pass over its items, which gathers conditions and puts in what names stand for.
 
 An item is a condition, or an assignment (names and the expressions that they get), which is put into the conditions gathered before it. The early exits of an if keep a stack of conditions: its
 condition negated while its then is read, its condition itself while an else is read that is no if; each exit (a throw, a return, a statement that is a call) adds the stack. As in the tool, an if without an else, or with an else if,
@@ -14,8 +14,10 @@ that is a single name stays as it is (negated ones don't). A frame whose line is
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from millrace.operators import intervals, members
 from millrace.operators.graph import stored
@@ -179,20 +181,29 @@ def arguments(nodes: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame
     return first.select(*FRAME, F.filter(zipped, lambda x: x["name"].isNotNull() & x["value"].isNotNull()).alias("names"))
 
 
-def _put_in(condition: Column, names: Column) -> Column:
-    """A condition (negated, tokens) with the names in it replaced; one that is a single name stays."""
-    bare = ~condition["negated"] & (F.size(condition["tokens"]) == 1)
-    value = lambda t: F.get(F.filter(names, lambda n: n["name"] == t["tok"]), F.lit(0))["value"]
-    tokens = F.flatten(F.transform(condition["tokens"], lambda t: F.when(t["name"], F.coalesce(value(t), F.array(t))).otherwise(F.array(t))))
-    return F.struct(condition["negated"].alias("negated"), F.when(bare, condition["tokens"]).otherwise(tokens).alias("tokens"))
-
-
-def folded(items: Column) -> Column:
-    """The text of a trace's items (kind, tokens, names) in order: conditions, the last one first, with what was assigned after them put in."""
-    kind = "struct<negated:boolean,tokens:" + TOKEN + ">"
-    step = lambda state, x: F.when(x["kind"] == "set", F.transform(state, lambda c: _put_in(c, x["names"]))).otherwise(F.concat(state, F.array(F.struct((x["kind"] == "not").alias("negated"), x["tokens"].alias("tokens")).cast(kind))))
-    text = lambda c: F.concat(F.when(c["negated"], F.lit("!")).otherwise(F.lit("")), F.array_join(c["tokens"]["tok"], " "))
-    return F.array_join(F.transform(F.reverse(F.aggregate(items, F.array().cast(f"array<{kind}>"), step)), text), " && ")
+@F.pandas_udf(StringType())
+def folded(items: pd.Series) -> pd.Series:
+    """The text of a trace's items (kind, tokens, names) in order: conditions, the last one first, with what was assigned after them put in; one that is a single name stays.
+
+    Items are read from the last one back, with what each name stands for from there on, so each is read once and not again for each condition before it.
+    """
+
+    def text(trace) -> str:
+        stands, out = {}, []
+        resolved = lambda tokens: [w for t in tokens for w in (stands[t["tok"]] if t["name"] and t["tok"] in stands else (t["tok"],))]
+        for x in reversed([] if trace is None else trace):
+            if x["kind"] == "set":
+                first = {}
+                for n in [] if x["names"] is None else x["names"]:
+                    first.setdefault(n["name"], n["value"])
+                stands |= {k: resolved(v) for k, v in first.items() if k is not None and v is not None}
+            else:
+                bare = x["kind"] != "not" and len(x["tokens"]) == 1
+                words = [t["tok"] for t in x["tokens"]] if bare else resolved(x["tokens"])
+                out.append(("!" if x["kind"] == "not" else "") + " ".join(w for w in words if w is not None))
+        return " && ".join(out)
+
+    return items.map(text)
 
 
 def path_conditions(nodes: DataFrame, frames: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
 """Path conditions against a recursive version on random methods and traces."""
 
 import random
+import time
+
+import pandas as pd
 
 from millrace.operators import conditions, graph, intervals
 
@@ -233,3 +236,16 @@ def test_random_traces(spark):
     wrong = [i for i in want if got[i] != want[i]]
     assert not wrong, (len(wrong), [(traces[i], got[i], want[i]) for i in wrong[:3]])
     assert sum(" && " in v for v in want.values()) > 40 and got[999] == ""
+
+
+def test_fold_reads_each_item_once():
+    """A long trace: work grows with its items, not with their square, and assignments after a condition are put in, through each other."""
+    token = lambda w, name=True: {"tok": w, "name": name}
+    n = 20_000
+    items = [x for i in range(n) for x in ({"kind": "not" if i % 2 else "is", "tokens": [token("x"), token("<", False), token(str(i), False)], "names": None}, {"kind": "set", "tokens": None, "names": [{"name": "x", "value": [token(f"y{i}")]}, {"name": f"y{i - 1}", "value": [token("z")]}]})]
+    began = time.process_time()
+    got = conditions.folded.func(pd.Series([items, None, [items[0]]], dtype=object)).tolist()
+    assert time.process_time() - began < 20
+    assert got[1:] == ["", "x < 0"]
+    want = [("!" if i % 2 else "") + (f"y{i}" if i == n - 1 else "z") + f" < {i}" for i in range(n)]
+    assert got[0] == " && ".join(reversed(want))
