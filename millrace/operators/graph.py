@@ -168,14 +168,19 @@ def prefixes_of(entries: DataFrame, sequences: DataFrame) -> DataFrame:
 def all_in(entries: DataFrame, sets: DataFrame, with_empty: bool = False) -> DataFrame:
     """(id, key, value): the entries (key array, value) whose key has no element outside of a set (id, elements); the empty key only if asked for.
 
+    Equal sets are looked up once, by their elements; what they hold goes to all ids of them in the end, in parts of a thousand ids, so a set that very many ids have is no hot key.
     An entry meets the sets through its element that the fewest of them hold, so an element that is in very many sets brings an entry to them only if all its others are too.
     """
-    members = sets.select("id", F.explode(F.array_distinct("elements")).alias("e"))
+    listed = sets.select("id", F.array_sort(F.array_distinct("elements")).alias("elements"))
+    distinct = stored(listed.groupBy("elements").agg(F.ceil(F.count("*") / 1000).cast("long").alias("parts")).filter("elements IS NOT NULL"))
+    members = distinct.select("elements", F.explode("elements").alias("e"))
     held = members.groupBy("e").agg(F.count("*").alias("n"))
     keys = entries.filter(F.size("key") > 0).select("key", F.explode(F.array_distinct("key")).alias("e")).distinct()
     # An element that no set holds keeps its entry from all of them.
     anchors = keys.join(held, "e", "left").groupBy("key").agg(F.min_by("e", F.struct(F.coalesce("n", F.lit(0)), "e")).alias("e"))
-    found = entries.join(anchors, "key").join(members, "e").join(sets.select("id", "elements"), "id").filter(F.size(F.array_except("key", "elements")) == 0).select("id", "key", "value")
+    fits = entries.join(anchors, "key").join(members, "e").filter(F.size(F.array_except("key", "elements")) == 0).select("elements", "key", "value")
+    dealt = listed.join(distinct, "elements").select("id", "elements", F.pmod(F.xxhash64("id"), "parts").alias("part"))
+    found = fits.join(distinct, "elements").select("elements", "key", "value", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(dealt, ["elements", "part"]).select("id", "key", "value")
     if not with_empty:
         return found
     # The empty key is one entry, which every set has.

@@ -34,3 +34,13 @@ def test_overlaps(spark, flags):
     want = {(p, sides[0].get(p), sides[1].get(p)) for p in begins[0] & begins[1] if all(p in s or not f for s, f in zip(sides, flags, strict=True))}
     got = graph.overlaps(*tables, *flags).collect()
     assert {(tuple(x.prefix), x.left_value, x.right_value) for x in got} == want and len(got) == len(want)
+
+
+def test_equal_sets_are_looked_up_once(spark, monkeypatch):
+    """Many ids of one set: the set meets the entries once, and what it holds goes to all its ids."""
+    written, write = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: written.append(out := write(df)) or out)
+    sets = spark.range(2500).selectExpr("id", "IF(id % 2 = 0, array('a', 'b'), array('b', 'a', 'a')) AS elements")
+    got = graph.all_in(spark.createDataFrame([(["a"], 1), (["a", "b", "a"], 2), (["c"], 3), ([], 4)], SCHEMA), sets)
+    assert [d.count() for d in written] == [1]
+    assert got.distinct().count() == got.count() == 5000 and {x.value for x in got.select("value").distinct().collect()} == {1, 2}
