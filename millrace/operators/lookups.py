@@ -94,15 +94,16 @@ def test_context(methods: DataFrame, tests: DataFrame) -> DataFrame:
     return out.withColumn("found", F.coalesce("x", "y")).select(*methods.columns, "found.test_class", "found.context", "found.first_test")
 
 
-def call_suffixes(methods: DataFrame, traces: DataFrame) -> DataFrame:
+def call_suffixes(methods: DataFrame, traces: DataFrame, derive: Callable[[Column], dict[str, Column]] | None = None) -> DataFrame:
     """The methods with `stack_traces`: of each call stack of their project and exception, the part from where they are called, each once.
 
     methods: id, project, etype, mut_key; traces: project, etype, call_stack (array of keys). Methods of projects without traces are left out.
-    Stacks are looked up by each frame, so no method is compared with a stack that lacks it.
+    Stacks are looked up by each frame, so no method is compared with a stack that lacks it. With derive (from `stack_traces` to columns by name)
+    methods get these columns in place of `stack_traces`.
     """
     frames = traces.select("project", "etype", "call_stack", F.posexplode("call_stack").alias("at", "frame"))
     suffixes = frames.select("project", "etype", slashed(F.col("frame")).alias("mut_key"), F.slice("call_stack", F.col("at") + 1, F.size("call_stack") - F.col("at")).alias("part"))
-    listed = suffixes.groupBy("project", "etype", "mut_key").agg(F.array_sort(F.collect_set("part")).alias("stack_traces"))
+    listed = suffixes.distinct().groupBy("project", "etype", "mut_key").agg(F.array_sort(F.collect_list("part")).alias("stack_traces"))
     kept = methods.join(traces.select("project").distinct(), "project", "left_semi")
     return _derived(kept, listed, ["project", "etype", "mut_key"], "stack_traces", derive)
 

@@ -169,8 +169,8 @@ def _stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def call_stack_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     methods = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 6).alias("project"), F.concat(F.lit("E"), (F.col("p_partkey") % 4).cast("string")).alias("etype"), F.concat(F.lit("p/C#m"), (F.col("p_partkey") % 100).cast("string")).alias("mut_key"))
-    out = lookups.call_suffixes(methods, _stacks(spark, sf_dir))
-    return out.select("id", F.size("stack_traces").cast("long").alias("n"), F.aggregate("stack_traces", F.lit(0), lambda a, s: a + F.size(s)).cast("long").alias("frames"))
+    made = lambda stacks: {"n": F.size(stacks).cast("long"), "frames": F.aggregate(stacks, F.lit(0).cast("long"), lambda a, s: a + F.size(s))}
+    return lookups.call_suffixes(methods, _stacks(spark, sf_dir), made).select("id", "n", "frames")
 
 
 def normal_exceptional_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,3 +26,11 @@ def test_first_trace_of_each_key(spark):
     assert {(r.mut_key, tuple(r.frames or ()), r.line) for r in got.collect()} == {("a", ("a", "b", "a", "c"), 5), ("b", ("b", "a", "c"), 5), ("c", ("c",), 5), ("d", (), None)}
     assert got.count() == 800
     assert "Aggregate [id#" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stacks_are_read_once_for_each_key(spark):
+    traces = spark.range(1000).select(F.lit("p").alias("project"), F.lit("E").alias("etype"), F.array(F.lit("C#m"), (F.col("id") % 400).cast("string")).alias("call_stack"))
+    methods = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, "q").otherwise("p").alias("project"), F.lit("E").alias("etype"), F.when(F.col("id") % 2 == 0, "C#m").otherwise("C#n").alias("mut_key"))
+    got = lookups.call_suffixes(methods, traces, lambda stacks: {"n": F.size(stacks)})
+    assert got.columns[-1] == "n" and {(r.project, r.id % 2, r.n) for r in got.collect()} == {("p", 0, 400), ("p", 1, 0)} and got.count() == 600
+    assert lookups.call_suffixes(methods, traces).filter("size(stack_traces) <> IF(id % 2 = 0, 400, 0)").isEmpty()
