@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import intervals
-from millrace.operators.graph import kept
+from millrace.operators.graph import kept, stored
 
 
 def placed(nodes: DataFrame, stop: Column | None = None) -> DataFrame:
@@ -47,7 +47,7 @@ def spans(nodes: DataFrame) -> DataFrame:
 
     Subtrees are intervals of a walk (`intervals.numbered`), so no row is written for a node and what is above it, however deep a tree is.
     """
-    down = intervals.numbered(nodes)
+    down = stored(intervals.numbered(nodes))
     lines = intervals.extremes(down, "start", "end").select("tree", "node", F.col("start").alias("first_line"), F.col("end").alias("last_line"))
     return down.select("tree", "node", intervals.size().alias("size"), "first_leaf", "leaves").join(lines, ["tree", "node"])
 
