@@ -42,25 +42,34 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str, rows: int = 1_000_000) -> DataFrame:
+    """A stored table dealt by the keys to a partition for each million rows, so a task's memory doesn't grow with the table; one that has no more of them than a shuffle makes is left to Spark."""
+    n = -(-df.count() // rows)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def call_paths(edges: DataFrame, start: DataFrame, depth: int | None = 10) -> DataFrame:
     """(start, path) of all simple call paths from each start to a leaf, cut at depth nodes, or whole if depth is None.
 
     C edges are calls; an O edge (overrider, overridden) is followed backwards, except at the start. A start without calls is a path.
-    Each round of joins adds a node and is written.
+    Each round of joins adds a node and is written. Edges and starts are made distinct, not the paths, which then come once each; an edge knows whether its end
+    calls or is overridden, so only paths that can go on meet the edges.
     """
-    calls = edges.filter("label = 'C'").select("src", "dst")
-    e = kept(calls.withColumn("over", F.lit(False)).unionByName(edges.filter("label = 'O'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("over"))))
-    rounds = [kept(start.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("path")))]
-    while (depth is None or len(rounds) < depth) and not rounds[-1].isEmpty():
-        grown = rounds[-1].join(e.filter("NOT over") if len(rounds) == 1 else e, F.col("src") == F.col("node")).filter(~F.array_contains("path", F.col("dst")))
-        rounds.append(kept(grown.select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))))
-    rows = reduce(DataFrame.unionByName, rounds)
-    inner = calls.select(F.col("src").alias("node")).distinct()
-    found = rows.join(inner, "node", "left_anti").select("start", "path")
-    if depth is not None:
-        found = found.union(rows.filter(F.size("path") == depth).join(inner, "node", "left_semi").select("start", "path"))
-    found = found.distinct()
-    return found.unionByName(start.select(F.col("id").alias("start")).join(found.select("start"), "start", "left_anti").select("start", F.array("start").alias("path")))
+    calls = edges.filter("label = 'C'").select("src", "dst", F.lit(False).alias("over"))
+    each = stored(calls.unionByName(edges.filter("label = 'O'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("over"))))
+    ends = stored(each.groupBy(F.col("src").alias("dst")).agg(F.bool_or(~F.col("over")).alias("calls"), F.bool_or("over").alias("overridden")))
+    no = F.lit(False)
+    e = spread(each, "src", "dst").groupBy("src", "dst").agg(F.bool_and("over").alias("over")).join(ends, "dst", "left")
+    e = stored(e.select("src", "dst", "over", *[F.coalesce(c, no).alias(c) for c in ("calls", "overridden")]))
+    first = start.select(F.col("id").alias("dst")).distinct().join(ends, "dst", "left")
+    rounds = [stored(first.select(F.col("dst").alias("start"), F.col("dst").alias("node"), F.array("dst").alias("path"), F.coalesce("calls", no).alias("calls"), no.alias("overridden")))]
+    while (depth is None or len(rounds) < depth) and not rounds[-1].filter("calls OR overridden").isEmpty():
+        on = [rounds[-1].filter(kind).select("start", "node", "path").join(e.filter(edge), F.col("src") == F.col("node")) for kind, edge in (("calls", "NOT over"), ("overridden", "over"))]
+        grown = on[0].unionByName(on[1]).filter(~F.array_contains("path", F.col("dst")))
+        rounds.append(stored(grown.select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), "calls", "overridden")))
+    found = reduce(DataFrame.unionByName, rounds).filter("NOT calls" if depth is None else f"NOT calls OR size(path) = {depth}").select("start", "path")
+    rest = rounds[0].filter("calls").join(found.select("start").distinct(), "start", "left_anti")
+    return found.unionByName(rest.select("start", "path"))
 
 
 def ancestors(parents: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def call_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def call_paths_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All paths from all suppliers over all supplier-part pairs; a part is -1 - p_partkey, and the odd ones override the part before."""
-    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst"), F.lit("C").alias("label")).distinct()
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst"), F.lit("C").alias("label"))
     over = table(spark, sf_dir, "part").filter("p_partkey % 2 = 1").select((-1 - F.col("p_partkey")).alias("src"), (-F.col("p_partkey")).alias("dst"), F.lit("O").alias("label"))
     start = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
     return graph.call_paths(pairs.unionByName(over), start, None).select("start", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))

@@ -52,3 +52,18 @@ def test_call_paths_lineitem_is_whole(spark):
     want = {f"{s},{-1 - p}" for s, p in pairs if s in suppliers} | {f"{s},{-1 - p},{-2 - p}" for s, p in pairs if s in suppliers and p % 2 == 0 and p + 1 in parts} | {str(s) for s in suppliers - {s for s, _ in pairs}}
     got = [r.path for r in analysis.call_paths_lineitem(spark, d).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_call_paths_come_once_each_without_being_compared(spark):
+    """Repeated edges and starts, an edge of both kinds, a ring without a leaf and a start without a value; paths are in no aggregate's keys."""
+    edges = spark.createDataFrame([(1, 2, "C"), (2, 1, "C"), (1, 2, "C"), (3, 4, "C"), (3, 4, "C"), (4, 3, "O"), (5, 4, "O"), (5, 4, "O")], "src long, dst long, label string")
+    out = graph.call_paths(edges, spark.createDataFrame([(1,), (1,), (3,), (3,), (None,)], "id long"), None)
+    got = [(r.start, tuple(r.path)) for r in out.collect()]
+    assert sorted(got, key=str) == [(1, (1,)), (3, (3, 4)), (3, (3, 4, 5)), (None, (None,))]
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for line in plan if "Aggregate" in line and "path" in line]
+
+
+def test_spread_follows_the_rows(spark):
+    df = graph.stored(spark.range(1000))
+    assert graph.spread(df, "id", rows=10).rdd.getNumPartitions() == 100 and graph.spread(df, "id", rows=500) is df
