@@ -5,6 +5,8 @@ Tokens and all that follows from them are Columns; the complexity of nested code
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,33 +32,44 @@ def same_code(left: Column, right: Column) -> Column:
     return token_signature(left) == token_signature(right)
 
 
-def _body(code: Column) -> Column:
+def _with(value: Column, of: Callable[[Column], Column]) -> Column:
+    """What `of` makes of a value, which is worked out once however often `of` names it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def _body(t: Column) -> Column:
     """The tokens between a method's first { and its last }; null without a body."""
-    t = tokens(code)
     at = F.array_position(t, "{")
     return F.when((at > 0) & (F.element_at(t, -1) == "}"), F.slice(t, at.cast("int") + 1, F.greatest(F.size(t) - at.cast("int") - 1, F.lit(0))))
 
 
 def has_empty_body(code: Column) -> Column:
     """Whether a method has a body without statements, comments aside."""
-    return F.coalesce(F.size(_body(code)) == 0, F.lit(False))
+    return F.coalesce(_with(tokens(code), lambda t: F.size(_body(t)) == 0), F.lit(False))
 
 
 def is_only_throw(code: Column) -> Column:
     """Whether a method's body is one throw statement: no ; ends a statement before the last token."""
-    body = _body(code)
-    steps = F.transform(body, lambda t: F.when(t.isin("(", "[", "{"), 1).when(t.isin(")", "]", "}"), -1).otherwise(0))
-    ends = F.filter(F.transform(body, lambda t, i: F.when(t == ";", i)), lambda i: i.isNotNull())
-    outer = F.filter(ends, lambda i: F.aggregate(F.slice(steps, F.lit(1), i + 1), F.lit(0), lambda acc, s: acc + s) == 0)
-    return F.coalesce((F.get(body, F.lit(0)) == "throw") & (F.size(outer) == 1) & (F.get(outer, F.lit(0)) == F.size(body) - 1), F.lit(False))
+    return F.coalesce(_with(tokens(code), lambda t: _with(_body(t), _throws_once)), F.lit(False))
+
+
+def _throws_once(body: Column) -> Column:
+    """Whether tokens begin with throw and their first ; outside of brackets is the last of them; brackets are counted in one pass."""
+    step = lambda t: F.when(t.isin("(", "[", "{"), 1).when(t.isin(")", "]", "}"), -1).otherwise(0)
+    end = lambda t, depth: F.when((t == ";") & (depth == 0), 1).otherwise(0)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("ends"))
+    seen = F.aggregate(body, start, lambda acc, t: F.struct((acc["depth"] + step(t)).alias("depth"), (acc["ends"] + end(t, acc["depth"])).alias("ends")))
+    once = _with(seen, lambda x: (x["ends"] == 1) & (x["depth"] == 0))
+    return (F.get(body, F.lit(0)) == "throw") & (F.get(body, F.size(body) - 1) == ";") & once
 
 
 def strip_lone_return_null(code: Column) -> Column:
     """A method whose body is `return null;` with an empty body, the statement's line gone if it stood alone on it; null for any other body.
 
-    A comment that holds the same words loses them too.
+    A comment that holds the same words loses them too. Only code with these words is looked at token by token.
     """
-    lone = (F.array_join(_body(code), " ") == "return null ;") & code.rlike(r"return\s+null;")
+    words = code.rlike(r"return\s+null;")
+    lone = F.when(words, _with(tokens(code), lambda t: F.array_join(_body(t), " ") == "return null ;"))
     alone = r"(?m)^[ \t]*return\s+null;[ \t]*(?:\n|\z)"
     return F.when(lone, F.when(code.rlike(alone), F.regexp_replace(code, alone, "")).otherwise(F.regexp_replace(code, r"return\s+null;", "")))
 
@@ -132,8 +145,12 @@ def test_pattern(test: Column) -> Column:
     An annotation, assertThrows (of several the last one's exception, null if it names no class), a rule's expect(), or a try with a call of fail
     and a single catch. Exceptions are as the test writes them. What comments and strings say doesn't count.
     """
-    parts = F.transform(tokens(test), lambda t: F.when(t.rlike("^[\"']"), "''").otherwise(t))
-    code = F.array_join(parts, " ")
+    plain = F.transform(tokens(test), lambda t: F.when(t.rlike("^[\"']"), "''").otherwise(t))
+    return _with(plain, lambda parts: _with(F.array_join(parts, " "), lambda code: _pattern(parts, code)))
+
+
+def _pattern(parts: Column, code: Column) -> Column:
+    """test_pattern of a test's tokens without what strings say, and of these with one space between."""
     name = r"([\w$]+(?: \. [\w$]+)*)"
     expected = rf"@ Test \( (?:[^)]* )?expected = {name} \. class\b"
     thrown = F.regexp_extract_all(code, F.lit(rf"\bassertThrows \( {name} \. class\b"), F.lit(1))
@@ -142,7 +159,7 @@ def test_pattern(test: Column) -> Column:
     one = lambda p, e: F.struct(F.lit(p).alias("pattern"), F.replace(e, F.lit(" "), F.lit("")).alias("exception"))
     return (
         F.when(code.rlike(expected), one("@Test(expected)", F.regexp_extract(code, expected, 1)))
-        .when(F.array_contains(parts, "assertThrows"), one("assertThrows", F.when(F.size(thrown) > 0, F.element_at(thrown, -1))))
+        .when(F.array_contains(parts, "assertThrows"), one("assertThrows", F.get(F.reverse(thrown), F.lit(0))))
         .when(code.rlike(rule), one("expectedException.expect()", F.regexp_extract(code, rule, 1)))
         .when(code.rlike(caught) & (F.size(F.filter(parts, lambda t: t == "catch")) == 1), one("try{fail}catch", F.regexp_extract(code, caught, 1)))
     )

@@ -123,3 +123,13 @@ def test_comments_keep_the_block_without_any(spark):
     none = F.array().cast("array<struct<line:int,text:string>>")
     assert column(spark, prompts.commented(F.col("c"), none, "D"), c=["```java\nx\n```"]) == ["```java\nx\n```"]
     assert column(spark, prompts.shifted(F.col("c"), -1), c=["## a\ntext # b\n### c"]) == ["# a\ntext # b\n## c"]
+
+
+def test_tokens_are_found_once(spark):
+    """Each function names its token expression once; throws whose brackets or last token differ are told apart."""
+    df = spark.createDataFrame([("void m() { throw e; }",)], "c string")
+    for found in (code.is_only_throw, code.has_empty_body, code.strip_lone_return_null, code.test_pattern):
+        assert df.select(found(F.col("c")).alias("x"))._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(c") == 1, found.__name__
+    bodies = ["void m() { throw x }", "void m() { throw x; ; }", "void m() { throw f(); ) }", "void m() { throw (x; }", "void m() { throw f(() -> { a(); }); }", "}", "", None]
+    assert column(spark, code.is_only_throw(F.col("c")), c=bodies) == [False, False, False, False, True, False, False, False]
+    assert column(spark, code.has_empty_body(F.col("c")), c=["}", "", None, "{}"]) == [False, False, False, True]
