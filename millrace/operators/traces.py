@@ -34,12 +34,17 @@ def shallowest(traces: DataFrame, key: list[str], order: str) -> DataFrame:
 def resolve(rows: DataFrame, methods: DataFrame, key: list[str]) -> DataFrame:
     """Each frame (class, method, line) with its method record; of overloads, the first whose lines hold the frame's.
 
-    A name with one record is that record, whatever its lines. The equal names deal the work out; lines are a residual.
+    A name with one record is that record, whatever its lines. The equal names deal the work out; lines are a residual. An overload is taken for the lines
+    after the last end of those before it only, so a frame meets one record, however many overloads hold its line.
     """
-    counts = methods.withColumn("__n", F.count("*").over(Window.partitionBy("class", "method")))
-    joined = rows.join(counts, ["class", "method"]).filter((F.col("__n") == 1) | F.col("line").between(F.col("start_line"), F.col("end_line")))
+    name = Window.partitionBy("class", "method")
+    before = name.orderBy("start_line", "end_line").rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.max(F.when(F.col("start_line").isNotNull(), F.col("end_line"))).over(before)
+    own = methods.withColumn("__ended", ended).withColumn("__n", F.count("*").over(name)).filter("__n = 1 OR __ended IS NULL OR __ended < end_line")
+    holds = F.col("line").between(F.col("start_line"), F.col("end_line")) & (F.col("__ended").isNull() | (F.col("line") > F.col("__ended")))
+    joined = rows.join(own, ["class", "method"]).filter((F.col("__n") == 1) | holds)
     w = Window.partitionBy(*key).orderBy("start_line", "end_line")
-    return joined.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r", "__n")
+    return joined.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r", "__n", "__ended")
 
 
 def directly_called(traces: DataFrame) -> DataFrame:
