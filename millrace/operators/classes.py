@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.funnel import numbered
-from millrace.operators.graph import ancestors, stored
+from millrace.operators.graph import ancestors, parts, stored
 
 
 def offset_ids(tables: list[tuple[str, DataFrame, str]]) -> DataFrame:
@@ -44,20 +44,43 @@ def resolved_types(uses: DataFrame, imports: DataFrame, classes: DataFrame) -> D
     uses: file, package, name; imports: file, path, wildcard; classes: full, all that are known. Dictionaries by rank: 0 the name is whole; 1 an import of its first part; 2 the file's own package; 3 packages imported with a
     wildcard; 4 java.lang. Of several classes of one rank none is taken: `ambiguous` lists them, in order. Imported names need not be known. A name that no dictionary has keeps nulls.
 
-    All lookups go by the whole name of a candidate, so a package with very many classes or files is no hot key.
+    All lookups go by the whole name of a candidate, so a package with very many classes or files is no hot key. A name meets its file's imports once, all of them together; what
+    wildcards may mean is looked up only for names that nothing before them knows.
     """
-    names = uses.select("file", "package", "name").distinct()
-    first = F.substring_index("name", ".", 1)
-    single = imports.filter("NOT wildcard").select("file", F.substring_index("path", ".", -1).alias("__first"), "path").distinct()
-    named = names.withColumn("__first", first).join(single, ["file", "__first"]).select("file", "package", "name", F.lit(1).alias("rank"), F.concat("path", F.expr("substring(name, length(__first) + 1)")).alias("full"))
-    some = imports.filter("wildcard").select("file", "path").distinct()
-    guess = names.select("file", "package", "name", F.lit(0).alias("rank"), F.col("name").alias("full")).filter("contains(name, '.')")
-    guess = guess.unionByName(names.select("file", "package", "name", F.lit(2).alias("rank"), F.concat_ws(".", F.nullif("package", F.lit("")), "name").alias("full")))
-    guess = guess.unionByName(names.join(some, "file").select("file", "package", "name", F.lit(3).alias("rank"), F.concat("path", F.lit("."), "name").alias("full")))
-    guess = guess.unionByName(names.select("file", "package", "name", F.lit(4).alias("rank"), F.concat(F.lit("java.lang."), "name").alias("full")))
-    found = guess.join(classes.select("full").distinct(), "full", "left_semi").unionByName(named.select("full", "file", "package", "name", "rank")).distinct()
-    best = found.groupBy("file", "package", "name", "rank").agg(F.array_sort(F.collect_set("full")).alias("all")).groupBy("file", "package", "name").agg(F.min(F.struct("rank", "all")).alias("b"))
-    best = best.select(*[F.col(c).alias(f"__{c}") for c in ("file", "package", "name")], "b")
-    out = names.join(best, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ("file", "package", "name")], "left")
+    known = stored(classes.select("full").filter("full IS NOT NULL").distinct())
+    uses = stored(uses.select("file", "package", "name"))
+    if n := parts(uses):
+        uses, imports = (t.repartition(n, "file") for t in (uses, imports))
+    names = uses.distinct()
+    listed = imports.groupBy("file").agg(F.collect_set(F.struct("wildcard", "path")).alias("__imports"))
+    name, first = F.col("name"), F.substring_index("name", ".", 1)
+    single = F.filter("__imports", lambda i: ~i["wildcard"] & (F.substring_index(i["path"], ".", -1) == first))
+    some = F.filter("__imports", lambda i: i["wildcard"] & i["path"].isNotNull())
+    out = names.join(listed, "file", "left").select(
+        "file",
+        "package",
+        "name",
+        F.array_sort(F.transform(single, lambda i: F.concat(i["path"], F.substr(name, F.length(first) + 1)))).alias("__single"),
+        F.transform(some, lambda i: F.concat(i["path"], F.lit("."), name)).alias("__some"),
+        F.concat_ws(".", F.nullif("package", F.lit("")), "name").alias("__own"),
+        F.concat(F.lit("java.lang."), "name").alias("__lang"),
+    )
+    for column, hit in (("name", "__0"), ("__own", "__2"), ("__lang", "__4")):
+        out = _looked_up(out, column, known, hit)
+    best = lambda rank, full: F.struct(F.lit(rank).alias("rank"), full.alias("all"))
+    before = F.when(F.col("__0") & F.contains("name", F.lit(".")), best(0, F.array("name"))).when(F.size("__single") > 0, best(1, F.col("__single"))).when(F.col("__2"), best(2, F.array("__own")))
+    out = out.withColumn("b", before).withColumn("__guess", F.explode_outer(F.when(F.col("b").isNull(), F.col("__some"))))
+    # A name without a guess is looked up as itself, so no task gets all of them; what comes of it isn't used.
+    out = _looked_up(out.withColumn("__key", F.coalesce("__guess", "__own")), "__key", known, "__3")
+    out = out.groupBy("file", "package", "name").agg(F.first("b").alias("b"), F.first("__4").alias("__4"), F.array_sort(F.collect_set(F.when(F.col("__3"), F.col("__guess")))).alias("__some"))
+    after = F.when(F.size("__some") > 0, best(3, F.col("__some"))).when(F.col("__4"), best(4, F.array(F.concat(F.lit("java.lang."), "name"))))
+    out = out.withColumn("b", F.coalesce("b", after))
     one = F.size("b.all") == 1
     return out.select("file", "package", "name", F.when(one, F.get("b.all", F.lit(0))).alias("full"), F.col("b.rank").alias("rank"), F.when(~one, F.col("b.all")).alias("ambiguous"))
+
+
+def _looked_up(rows: DataFrame, column: str, known: DataFrame, hit: str) -> DataFrame:
+    """The rows with whether the column's value is a known name."""
+    key = f"{hit}_full"
+    found = rows.join(known.select(F.col("full").alias(key)), F.col(column) == F.col(key), "left")
+    return found.withColumn(hit, F.col(key).isNotNull()).drop(key)

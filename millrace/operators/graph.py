@@ -42,10 +42,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str, rows: int = 1_000_000) -> DataFrame:
-    """A stored table dealt by the keys to a partition for each million rows, so a task's memory doesn't grow with the table; one that has no more of them than a shuffle makes is left to Spark."""
+def parts(df: DataFrame, rows: int = 1_000_000) -> int | None:
+    """A partition for each million rows of a stored table, so a task's memory doesn't grow with it; none where a shuffle makes as many anyway, which is left to Spark."""
     n = -(-df.count() // rows)
-    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    return n if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def spread(df: DataFrame, *keys: str, rows: int = 1_000_000) -> DataFrame:
+    """A stored table dealt by the keys to as many partitions."""
+    n = parts(df, rows)
+    return df.repartition(n, *keys) if n else df
 
 
 def call_paths(edges: DataFrame, start: DataFrame, depth: int | None = 10) -> DataFrame:

@@ -47,3 +47,33 @@ def test_names_by_rank(spark):
         ("g", "C"): ("r.C", 3, None),
         (None, "A"): ("p.A", 2, None),
     }
+
+
+def test_uses_are_read_once_and_dealt_by_files(spark, monkeypatch):
+    """Random names against the rule, as Spark deals them and by files; the plan has one source of uses."""
+    r = random.Random(5)
+    uses = [(r.choice(["f", "g", "h", None]), r.choice(["p", "q", "", None]), r.choice(["A", "B", "C", "D.E", "p.A", "x.y.Z"])) for _ in range(80)]
+    imports = [(r.choice(["f", "g", None]), r.choice(["p", "q", "r", "s.A", "t.A", "s.D", None]), r.choice([True, False, None])) for _ in range(25)]
+    known = [f"{p}.{n}" for p in ("p", "q", "r", "java.lang") for n in "ABC" if r.random() < 0.5] + ["p.D.E", "A", "x.y.Z", None]
+    want = {}
+    for file, package, name in uses:
+        own = [(p, w) for f, p, w in imports if f == file and file is not None and p is not None]
+        first = name.split(".")[0]
+        ranks = [
+            {name} & set(known) if "." in name else set(),
+            {p + name[len(first) :] for p, w in own if w is False and p.split(".")[-1] == first},
+            {f"{package}.{name}" if package else name} & set(known),
+            {f"{p}.{name}" for p, w in own if w} & set(known),
+            {f"java.lang.{name}"} & set(known),
+        ]
+        rank = next((i for i, found in enumerate(ranks) if found), None)
+        found = sorted(ranks[rank]) if rank is not None else []
+        want[file, package, name] = (found[0] if len(found) == 1 else None, rank, found if len(found) > 1 else None)
+    tables = [spark.createDataFrame(uses, "file string, package string, name string"), spark.createDataFrame(imports, "file string, path string, wildcard boolean"), spark.createDataFrame([(k,) for k in known], "full string")]
+    for n in (None, 9):
+        monkeypatch.setattr(classes, "parts", lambda _, n=n: n, raising=False)
+        out = classes.resolved_types(*tables)
+        got = out.collect()
+        assert {(x.file, x.package, x.name): (x.full, x.rank, x.ambiguous) for x in got} == want and len(got) == len(want)
+        leaves = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "package#" in line and ("Relation" in line or "LogicalRDD" in line)]
+        assert len(leaves) == 1
