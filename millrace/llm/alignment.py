@@ -11,6 +11,7 @@ once while a worker's table lasts, and a text's groups are those of its stretche
 How many documents hold a pair of ids linked is counted over the corpus: documents are dealt into blocks of bounded words, a block
 keeps its distinct pairs with their number of documents, these are summed by pair, and counts and whether they are their A id's
 highest come back to the blocks. What is shuffled is one row for each block and distinct pair, never one for each token, and no group is larger than a block.
+A block's lists are kept in rows of at most PART entries and files of small row groups, since Spark holds up to 100 rows when it writes such a file and a row group's rows (4,096 at most) when it reads one.
 
 Defined results. Null and empty texts, and those whose tokens' bytes aren't a space and the text (for B: texts with U+2581), have no tokens: all
 counts 0, groups_sha256 ''. Strings of special tokens are plain text. Rows that repeat count as documents each. An empty table gives no rows. Texts may
@@ -30,6 +31,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,8 @@ MARK = "▁"
 BLOCK = 2_000_000
 #: Stretches looked up at once, and characters (100 more for each stretch) that a worker's table holds before it starts anew.
 CHUNK, TABLE_CHARS = 100_000, 25_000_000
+#: Entries of each of a block's lists in one of its rows, and bytes of a row group of these.
+PART, ROW_GROUP = 8192, 4_000_000
 #: Links of a group above which its pairs come by distinct ids.
 LARGE = 4096
 #: From one place where white space follows another character to the next such place; the first branch is the most frequent case of the second.
@@ -314,36 +318,37 @@ def _links(known: Aligner, found: list[np.ndarray | None]) -> tuple[np.ndarray,
     return counts, keys[firsts] // len(pairs), keys[firsts] % len(pairs), np.add.reduceat(links, firsts), pairs
 
 
-def _listed(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+def _listed(values: pa.Array, rows: int, part: int) -> pa.ListArray:
+    """The values as lists of so many entries, the last ones shorter or empty."""
+    return pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(rows + 1) * part, len(values)), pa.int32()), values)
 
 
-def linked(docs: DataFrame, keep: list[str], paths: tuple[str, str] = (A_PATH, B_PATH)) -> DataFrame:
-    """One row for each block of documents: `rows` with the columns in keep, COUNTS and groups_sha256; `sizes`, the distinct pairs of each; `at`, which they are, and `links`, how often; `pairs`, the block's distinct pairs, and `docs`, how many of its documents hold each."""
+def linked(docs: DataFrame, keep: list[str], paths: tuple[str, str] = (A_PATH, B_PATH), part: int = PART) -> DataFrame:
+    """Blocks of documents, each as rows (block, part, lists) that hold the next entries of all its lists: `rows` with the columns in keep, COUNTS and groups_sha256; `sizes`, the distinct pairs of each; `at`, which they are, and `links`, how often; `pairs`, the block's distinct pairs, and `docs`, how many of its documents hold each."""
     small_batches(docs.sparkSession)
     column = fresh("text", [*keep, *COUNTS, "groups_sha256"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _loaded(paths)
-        for batch, found in _blocks(batches, column, known):
+        known, first = _loaded(paths), TaskContext.get().partitionId() << 33
+        for block, (batch, found) in enumerate(_blocks(batches, column, known), first):
             digests = [known.digest(p) for p in found]
             counts, doc, at, links, pairs = _links(known, found)
             rows = pa.StructArray.from_arrays([*[batch.column(c) for c in keep], *[pa.array(c) for c in counts.T], pa.array(digests, pa.string())], names=[*keep, *COUNTS, "groups_sha256"])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
-                    _listed(np.bincount(doc, minlength=len(found)), pa.int32()),
-                    _listed(at, pa.int32()),
-                    _listed(links, pa.int64()),
-                    _listed(pairs, pa.int64()),
-                    _listed(np.bincount(at, minlength=len(pairs)), pa.int64()),
-                ],
-                names=["rows", "sizes", "at", "links", "pairs", "docs"],
-            )
+            values = [
+                rows,
+                pa.array(np.bincount(doc, minlength=len(found)), pa.int32()),
+                pa.array(at, pa.int32()),
+                pa.array(links, pa.int64()),
+                pa.array(pairs, pa.int64()),
+                pa.array(np.bincount(at, minlength=len(pairs)), pa.int64()),
+            ]
+            many = -(-max(map(len, values)) // part)
+            numbers = [pa.array(np.full(many, block), pa.int64()), pa.array(np.arange(many), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*numbers, *[_listed(v, many, part) for v in values]], names=["block", "part", "rows", "sizes", "at", "links", "pairs", "docs"])
 
     kept = ", ".join([*[f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in keep], *[f"{c}: bigint" for c in COUNTS], "groups_sha256: string"])
     rows = docs.select(*keep, text_of().alias(column))
-    return rows.mapInArrow(run, f"rows array<struct<{kept}>>, sizes array<int>, at array<int>, links array<bigint>, pairs array<bigint>, docs array<bigint>")
+    return rows.mapInArrow(run, f"block bigint, part int, rows array<struct<{kept}>>, sizes array<int>, at array<int>, links array<bigint>, pairs array<bigint>, docs array<bigint>")
 
 
 def link_counts(blocks: DataFrame) -> DataFrame:
@@ -354,33 +359,29 @@ def link_counts(blocks: DataFrame) -> DataFrame:
     return counts.select("pair", "docs", (F.col("docs") == most).alias("best"))
 
 
-def alignment(docs: DataFrame, keep: list[str], paths: tuple[str, str] = (A_PATH, B_PATH)) -> DataFrame:
+def alignment(docs: DataFrame, keep: list[str], paths: tuple[str, str] = (A_PATH, B_PATH), part: int = PART) -> DataFrame:
     """The columns in keep, COUNTS, groups_sha256, n_best and count_sum of each document."""
     scratch = Scratch(docs.sparkSession, "alignment")
-    blocks = scratch.keep(linked(docs, keep, paths).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    blocks = scratch.keep(linked(docs, keep, paths, part), "blocks", **{"parquet.block.size": ROW_GROUP})
     counts = scratch.keep(link_counts(blocks), "counts")
-    places = blocks.select("block", F.posexplode("pairs").alias("place", "pair"))
-    back = (
-        places.join(counts.hint("merge"), "pair")
-        .groupBy("block")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "docs", "best"))).alias("found"))
-        .select("block", F.col("found.docs").alias("counts"), F.col("found.best").alias("best"))
-    )
-    joined = blocks.select("block", "rows", "sizes", "at", "links").join(back.hint("merge"), "block", "left").drop("block")
+    places = blocks.select("block", "part", F.posexplode("pairs").alias("place", "pair")).withColumn("place", F.col("part") * part + F.col("place"))
+    back = places.join(counts.hint("merge"), "pair").select(F.col("block").alias("of"), "place", "docs", "best")
     names = [*keep, *COUNTS, "groups_sha256", "n_best", "count_sum"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                rows = row.column("rows").flatten()
-                sizes, at, links, counts, best = (lists(row.column(c))[1].to_numpy(zero_copy_only=False) for c in ("sizes", "at", "links", "counts", "best"))
-                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-                sums = [np.concatenate([[0], np.cumsum(v)]).astype(np.int64) for v in (links * best.astype(bool)[at] if len(at) else at, links * counts[at] if len(at) else at)]
-                yield pa.RecordBatch.from_arrays([*rows.flatten(), *[pa.array(s[ends[1:]] - s[ends[:-1]]) for s in sums]], names=names)
+    def run(own: pa.Table, found: pa.Table) -> pa.Table:
+        own = own.sort_by("part") if own.num_rows > 1 else own
+        rows, sizes, at, links = (lists(own.column(c))[1] for c in ("rows", "sizes", "at", "links"))
+        sizes, at, links = (v.to_numpy(zero_copy_only=False) for v in (sizes, at, links))
+        place = found.column("place").to_numpy()
+        counts, best = (np.zeros(len(place), dtype=np.int64) for _ in range(2))
+        counts[place], best[place] = found.column("docs").to_numpy(), found.column("best").to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        sums = [np.concatenate([[0], np.cumsum(links * v[at])]).astype(np.int64) for v in (best, counts)]
+        return pa.Table.from_arrays([*rows.flatten(), *[pa.array(s[ends[1:]] - s[ends[:-1]]) for s in sums]], names=names)
 
     schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep], *[f"{c} long" for c in COUNTS], "groups_sha256 string, n_best long, count_sum long"])
-    return joined.mapInArrow(run, schema)
+    own = blocks.select("block", "part", "rows", "sizes", "at", "links")
+    return own.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(run, schema)
 
 
 def align(docs: DataFrame, keep: list[str], paths: tuple[str, str] = (A_PATH, B_PATH)) -> DataFrame:

@@ -73,9 +73,9 @@ class Scratch:
         at = context._jvm.org.apache.hadoop.fs.Path(path)
         return at, at.getFileSystem(context._jsc.hadoopConfiguration())
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """The rows, written and read back."""
-        df.write.parquet(f"{self.path}/{name}")
+    def keep(self, df: DataFrame, name: str, **options) -> DataFrame:
+        """The rows, written, with these options of the writer, and read back."""
+        df.write.options(**options).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:

@@ -153,6 +153,31 @@ def test_alignment(spark, known):
             assert [(list(whole[k].a_ids[p:q]), list(whole[k].b_ids[r:s])) for (p, q), (r, s) in zip(*cut, strict=True)] == align_brute(known, t)[2]
 
 
+def test_blocks_in_bounded_rows(spark, known):
+    """A block's lists come in rows of bounded size, and their parts make the same results as one row of each."""
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefghiéß0123.'") for _ in range(r.randrange(1, 9))) for _ in range(900)]
+    texts = [" ".join(r.choice(words) for _ in range(40)) for _ in range(300)]
+    docs = table(spark, [(k, t, "en") for k, t in enumerate([*texts, "", None])]).coalesce(1)
+    blocks = alignment.linked(docs, ["doc_id"])
+    lists = ["rows", "sizes", "at", "links", "pairs", "docs"]
+    most = blocks.agg(*[F.max(F.size(c)).alias(c) for c in lists], *[F.sum(F.size(c)).alias(f"all_{c}") for c in lists]).first()
+    assert most["all_at"] > 8192 and max(most[c] for c in lists) <= 8192
+    assert most["all_rows"] == most["all_sizes"] == 302 and most["all_at"] == most["all_links"] and most["all_pairs"] == most["all_docs"]
+    want = [align_brute(known, t)[:2] for t in [*texts, "", None]]
+    held = {}
+    for _, pairs in want:
+        for p in pairs:
+            held[p] = held.get(p, 0) + 1
+    most = {}
+    for (a, _), n in held.items():
+        most[a] = max(n, most.get(a, 0))
+    rows = {(k, *w, sum(n for p, n in pairs.items() if held[p] == most[p[0]]), sum(n * held[p] for p, n in pairs.items())) for k, (w, pairs) in enumerate(want)}
+    for part in (8192, 7):
+        got = alignment.alignment(docs, ["doc_id"], part=part).collect()
+        assert {(x.doc_id, x.n_a, x.n_b, x.n_groups, x.n_links, x.groups_sha256, x.n_best, x.count_sum) for x in got} == rows and len(got) == len(rows)
+
+
 # Operator 13
 
 
