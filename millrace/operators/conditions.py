@@ -14,10 +14,13 @@ that is a single name stays as it is (negated ones don't). A frame whose line is
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from millrace.operators import intervals, members
 from millrace.operators.graph import stored
@@ -181,31 +184,63 @@ def arguments(nodes: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame
     return first.select(*FRAME, F.filter(zipped, lambda x: x["name"].isNotNull() & x["value"].isNotNull()).alias("names"))
 
 
+class _Fold:
+    """The text of a trace's items, given from the last one back, with what each name stands for from there on: each is read once and not again for each condition before it."""
+
+    def __init__(self):
+        self.stands, self.out = {}, []
+
+    def _resolved(self, tokens) -> list:
+        return [w for t in tokens for w in (self.stands[t["tok"]] if t["name"] and t["tok"] in self.stands else (t["tok"],))]
+
+    def add(self, kind: str, tokens, names) -> None:
+        if kind == "set":
+            first = {}
+            for n in [] if names is None else names:
+                first.setdefault(n["name"], n["value"])
+            self.stands |= {k: self._resolved(v) for k, v in first.items() if k is not None and v is not None}
+        else:
+            bare = kind != "not" and len(tokens) == 1
+            words = [t["tok"] for t in tokens] if bare else self._resolved(tokens)
+            self.out.append(("!" if kind == "not" else "") + " ".join(w for w in words if w is not None))
+
+    def text(self) -> str:
+        return " && ".join(self.out)
+
+
 @F.pandas_udf(StringType())
 def folded(items: pd.Series) -> pd.Series:
-    """The text of a trace's items (kind, tokens, names) in order: conditions, the last one first, with what was assigned after them put in; one that is a single name stays.
-
-    Items are read from the last one back, with what each name stands for from there on, so each is read once and not again for each condition before it.
-    """
+    """The text of a trace's items (kind, tokens, names) in order: conditions, the last one first, with what was assigned after them put in; one that is a single name stays. For traces that are values already; `folded_rows` is for rows."""
 
     def text(trace) -> str:
-        stands, out = {}, []
-        resolved = lambda tokens: [w for t in tokens for w in (stands[t["tok"]] if t["name"] and t["tok"] in stands else (t["tok"],))]
+        fold = _Fold()
         for x in reversed([] if trace is None else trace):
-            if x["kind"] == "set":
-                first = {}
-                for n in [] if x["names"] is None else x["names"]:
-                    first.setdefault(n["name"], n["value"])
-                stands |= {k: resolved(v) for k, v in first.items() if k is not None and v is not None}
-            else:
-                bare = x["kind"] != "not" and len(x["tokens"]) == 1
-                words = [t["tok"] for t in x["tokens"]] if bare else resolved(x["tokens"])
-                out.append(("!" if x["kind"] == "not" else "") + " ".join(w for w in words if w is not None))
-        return " && ".join(out)
+            fold.add(x["kind"], x["tokens"], x["names"])
+        return fold.text()
 
     return items.map(text)
 
 
+def folded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(trace, condition) of items as rows (trace, kind, tokens, names), a trace's together and its last item first. Memory holds a batch, and of a trace its text and what names stand for, never its items."""
+    trace, fold, kind = None, None, None
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([trace], kind), pa.array([fold.text()], pa.string())], names=["trace", "condition"])
+
+    for batch in batches:
+        kind = batch.schema.field("trace").type
+        for k in range(0, batch.num_rows, 1000):
+            for x in batch.slice(k, 1000).to_pylist():
+                if fold is None or x["trace"] != trace:
+                    if fold is not None:
+                        yield row()
+                    trace, fold = x["trace"], _Fold()
+                fold.add(x["kind"], x["tokens"], x["names"])
+    if fold is not None:
+        yield row()
+
+
 def path_conditions(nodes: DataFrame, frames: DataFrame) -> DataFrame:
     """(trace, condition) of traces given as frames (trace, pos, tree, line), pos 0 the root cause; trees must be numbered. A trace without conditions has ''."""
     texts = stored(_texts(nodes, ["condition", "compare", "iterable", "selector", "label", "initializer", "value", "argument", "expression"]).unionByName(_texts(nodes, ["variable"])))
@@ -243,5 +278,7 @@ def path_conditions(nodes: DataFrame, frames: DataFrame) -> DataFrame:
     out = rows[0]
     for more in rows[1:]:
         out = out.unionByName(more)
-    listed = out.groupBy("trace").agg(F.array_sort(F.collect_list(F.struct("order", "kind", "tokens", "names")), lambda a, b: F.when(a["order"] < b["order"], -1).when(a["order"] > b["order"], 1).otherwise(0)).alias("items"))
-    return frames.select("trace").distinct().join(listed, "trace", "left").select("trace", F.coalesce(folded(F.col("items")), F.lit("")).alias("condition"))
+    # Spark's sort brings a trace's items together, which can spill; a list of them would be one value in memory, in Java and in Python.
+    last = out.repartition("trace").sortWithinPartitions("trace", F.desc("order")).select("trace", "kind", "tokens", "names")
+    texts_of = last.mapInArrow(folded_rows, StructType([out.schema["trace"], StructField("condition", StringType())]))
+    return frames.select("trace").distinct().join(texts_of, "trace", "left").select("trace", F.coalesce("condition", F.lit("")).alias("condition"))

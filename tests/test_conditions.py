@@ -2,8 +2,10 @@
 
 import random
 import time
+import tracemalloc
 
 import pandas as pd
+import pyarrow as pa
 
 from millrace.operators import conditions, graph, intervals
 
@@ -249,3 +251,25 @@ def test_fold_reads_each_item_once():
     assert got[1:] == ["", "x < 0"]
     want = [("!" if i % 2 else "") + (f"y{i}" if i == n - 1 else "z") + f" < {i}" for i in range(n)]
     assert got[0] == " && ".join(reversed(want))
+
+
+def test_traces_are_folded_as_rows(spark):
+    """A trace's items are never one value: the plan gathers no list by trace, and a stream of many batches takes no more memory than its text."""
+    nodes = graph.stored(intervals.numbered(spark.createDataFrame([x for x in rows("m0", made(random.Random(3), "f", ["f"]))], SCHEMA)))
+    frames = spark.createDataFrame([(1, 0, "m0", 1)], "trace int, pos int, tree string, line long")
+    assert "collect_list" not in conditions.path_conditions(nodes, frames)._jdf.queryExecution().executedPlan().toString()
+    token = pa.list_(pa.struct([("tok", pa.string()), ("name", pa.bool_())]))
+    shape = pa.schema([("trace", pa.int32()), ("kind", pa.string()), ("tokens", token), ("names", pa.list_(pa.struct([("name", pa.string()), ("value", token)])))])
+    item = lambda t, k: {"trace": t, "kind": "not", "tokens": [{"tok": "x", "name": True}, {"tok": str(k), "name": False}], "names": None} if k % 2 else {"trace": t, "kind": "set", "tokens": None, "names": [{"name": "x", "value": [{"tok": f"y{k}", "name": True}]}]}
+    each = [[item(t, k) for k in range(2_000)] for t in (None, 4, 7)]
+    batches = pa.Table.from_pylist([x for trace in each for x in trace], schema=shape).to_batches(max_chunksize=700)
+    got = [(x["trace"], x["condition"]) for b in conditions.folded_rows(iter(batches)) for x in b.to_pylist()]
+    want = conditions.folded.func(pd.Series([trace[::-1] for trace in each], dtype=object)).tolist()
+    assert got == list(zip((None, 4, 7), want, strict=True)) and want[0].startswith("!y0 1 && !y2 3 && ")
+    assert list(conditions.folded_rows(iter([]))) == []
+    many = pa.RecordBatch.from_pylist(each[1], schema=shape)
+    tracemalloc.start()
+    out = [b for b in conditions.folded_rows(many for _ in range(60))]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 1 and len(out[0]["condition"][0].as_py()) > 600_000 and most < 30_000_000
